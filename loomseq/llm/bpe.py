@@ -18,6 +18,8 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from loomseq.llm.common import map_pandas
+
 _NONE = 1 << 60
 _WHITE = r"\t\n\x0b\x0c\r \x85\xa0  -     　"
 
@@ -141,7 +143,7 @@ def encode_documents(docs: DataFrame, path: str, id_col: str = "doc_id", text_co
 
     src = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     kind = docs.schema[id_col].dataType.simpleString()
-    return src.mapInPandas(run, f"id {kind}, ids array<int>, decoded string").withColumnRenamed("id", id_col)
+    return map_pandas(src, run, f"id {kind}, ids array<int>, decoded string").withColumnRenamed("id", id_col)
 
 
 def encode_digest(docs: DataFrame, path: str) -> DataFrame:
@@ -160,4 +162,4 @@ def encode_digest(docs: DataFrame, path: str) -> DataFrame:
                 "decoded_sha256": [hashlib.sha256(d.encode("utf-8", "surrogatepass")).hexdigest() for _, d in got],
             })
 
-    return docs.select("doc_id", "text").mapInPandas(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return map_pandas(docs.select("doc_id", "text"), run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")

@@ -6,9 +6,14 @@ import atexit
 import shutil
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
 
+import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
 _OWN: dict[str, str] = {}
 
@@ -52,6 +57,17 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def map_pandas(df: DataFrame, fn: Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]], schema: str) -> DataFrame:
+    """``mapInPandas`` that keeps integers beside nulls as they are (pandas alone would make them floats)."""
+    arrow = to_arrow_schema(StructType.fromDDL(schema))
+
+    def run(batches):
+        for out in fn(b.to_pandas(integer_object_nulls=True) for b in batches):
+            yield pa.RecordBatch.from_pandas(out[arrow.names], schema=arrow, preserve_index=False)
+
+    return df.mapInArrow(run, schema)
+
+
 def connected_components(edges: DataFrame, a: str = "src", b: str = "dst", max_rounds: int = 60) -> DataFrame:
     """(node, component) for every node of an undirected edge list; component = smallest node reachable.
 

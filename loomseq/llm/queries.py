@@ -5,20 +5,29 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from loomseq.llm import bpe, sharding
-from loomseq.llm.common import table
+from loomseq.llm import bpe, langid, packing, sharding
+from loomseq.llm.common import cut, table
+
+
+def op3_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.identify(table(spark, sf_dir, "documents"))
 
 
 def op4_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_digest(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
+def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return packing.pack_pieces(cut(packing.token_pieces(docs, public_tokenizers.path("byte_bpe_50k.json")), "pieces"))
+
+
 def op8_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_digest(table(spark, sf_dir, "documents"))
 
 
 def queries():
-    return {f.__name__: f for f in (op4_bpe, op8_sharding)}
+    return {f.__name__: f for f in (op3_langid, op4_bpe, op5_packing, op8_sharding)}
 
 
 def oracle_sql():
