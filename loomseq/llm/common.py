@@ -63,7 +63,7 @@ def map_pandas(df: DataFrame, fn: Callable[[Iterator[pd.DataFrame]], Iterator[pd
 
     def run(batches):
         for out in fn(b.to_pandas(integer_object_nulls=True) for b in batches):
-            yield pa.RecordBatch.from_pandas(out[arrow.names], schema=arrow, preserve_index=False)
+            yield from pa.Table.from_pandas(out[arrow.names], schema=arrow, preserve_index=False).combine_chunks().to_batches()
 
     return df.mapInArrow(run, schema)
 

@@ -5,10 +5,14 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from loomseq.llm import bpe, langid, packing, sharding
+from loomseq.llm import bpe, langid, packing, sharding, toxicity
 from loomseq.llm.common import cut, table
 
 
+def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op3_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(table(spark, sf_dir, "documents"))
 
@@ -27,7 +31,7 @@ def op8_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries():
-    return {f.__name__: f for f in (op3_langid, op4_bpe, op5_packing, op8_sharding)}
+    return {f.__name__: f for f in (op2_toxicity, op3_langid, op4_bpe, op5_packing, op8_sharding)}
 
 
 def oracle_sql():
