@@ -217,6 +217,9 @@ def near_duplicates(vectors: DataFrame, least: float = 0.93, shard_rows: int = 4
     members = dealt.select("label", "dim", F.pmod(F.xxhash64("id"), "shards").alias("shard"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("block"), "id", "v")
     asked = dealt.select("label", "dim", F.explode(F.sequence(F.lit(0).cast("long"), F.col("shards") - 1)).alias("shard"), F.pmod(F.xxhash64(F.lit(1), "id"), "blocks").alias("block"), "id", "v")
 
+    # new names for the second use of the same columns, so that the two sides of the cogroup stay apart
+    asked = asked.select(*[F.col(c).alias(c) for c in asked.columns])
+
     def run(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         left, right = left.drop_duplicates("id"), right.drop_duplicates("id")
         rows: list[tuple[int, int, int]] = []

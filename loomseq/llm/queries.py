@@ -47,9 +47,9 @@ def oracle_sql():
     return {
         "op1_embedding_dedup": """
             WITH RECURSIVE v AS (
-                SELECT vec_id, label, list_transform(embedding, x -> CAST(x AS DOUBLE)) AS e FROM embeddings
-                WHERE embedding IS NOT NULL AND label IS NOT NULL AND len(list_filter(embedding, x -> x IS NULL OR NOT isfinite(x))) = 0
-                  AND len(list_filter(embedding, x -> x <> 0)) > 0),
+                SELECT vec_id, label, [CAST(x AS DOUBLE) for x in embedding] AS e FROM embeddings
+                WHERE embedding IS NOT NULL AND label IS NOT NULL AND len([x for x in embedding if x IS NULL OR NOT isfinite(x)]) = 0
+                  AND len([x for x in embedding if x <> 0]) > 0),
             links AS (
                 SELECT a.vec_id AS a, b.vec_id AS b FROM v a JOIN v b ON a.label = b.label AND a.vec_id <> b.vec_id AND len(a.e) = len(b.e)
                 WHERE list_cosine_similarity(a.e, b.e) >= 0.93),
@@ -58,8 +58,8 @@ def oracle_sql():
             FROM embeddings e JOIN reach r ON r.id = e.vec_id GROUP BY e.vec_id""",
         "op10_topk": """
             WITH v AS (
-                SELECT vec_id, list_transform(embedding, x -> floor(256 * CAST(x AS DOUBLE))) AS e FROM embeddings
-                WHERE embedding IS NOT NULL AND len(list_filter(embedding, x -> x IS NULL OR NOT isfinite(x))) = 0 AND len(embedding) > 0)
+                SELECT vec_id, [floor(256 * CAST(x AS DOUBLE)) for x in embedding] AS e FROM embeddings
+                WHERE embedding IS NOT NULL AND len([x for x in embedding if x IS NULL OR NOT isfinite(x)]) = 0 AND len(embedding) > 0)
             SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score FROM (
                 SELECT q.vec_id AS query_id, c.vec_id AS vec_id, CAST(list_inner_product(q.e, c.e) AS BIGINT) AS score,
                        row_number() OVER (PARTITION BY q.vec_id ORDER BY list_inner_product(q.e, c.e) DESC, c.vec_id) AS rank

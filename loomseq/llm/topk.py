@@ -154,7 +154,10 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 5, id_col: str = "vec_i
     sizes = good.select(F.count("*").alias("n"), F.coalesce(F.sum(F.col("is_query").cast("long")), F.lit(0)).alias("q")).head()
     shards, blocks = -(-sizes["n"] // shard_rows) or 1, -(-sizes["q"] // block_rows) or 1
     cands = good.select(F.size("v").alias("dim"), F.pmod(F.xxhash64("id"), F.lit(shards)).alias("shard"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"), "id", "v")
-    asked = good.where("is_query").select(F.size("v").alias("dim"), F.explode(F.sequence(F.lit(0), F.lit(shards - 1))).cast("long").alias("shard"), F.pmod(F.xxhash64(F.lit(1), "id"), F.lit(blocks)).cast("int").alias("block"), "id", "v")
+    asked = good.where("is_query").select(F.size("v").alias("dim"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(shards - 1).cast("long"))).alias("shard"), F.pmod(F.xxhash64(F.lit(1), "id"), F.lit(blocks)).cast("int").alias("block"), "id", "v")
+
+    # new names for the second use of the same columns, so that the two sides of the cogroup stay apart
+    asked = asked.select(*[F.col(c).alias(c) for c in asked.columns])
 
     def run(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         rows: list[tuple[int, int, int]] = []
