@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomseq.llm import bpe, hnsw, langid, packing, sharding, topk, toxicity
+from loomseq.llm import bpe, hnsw, langid, ngram_join, packing, sharding, topk, toxicity
 from loomseq.llm.common import cut, table
 
 
@@ -35,12 +35,16 @@ def op8_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_digest(table(spark, sf_dir, "documents"))
 
 
+def op9_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.link_documents(table(spark, sf_dir, "documents"))
+
+
 def op10_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
 
 
 def queries():
-    return {f.__name__: f for f in (op1_embedding_dedup, op2_toxicity, op3_langid, op4_bpe, op5_packing, op8_sharding, op10_topk)}
+    return {f.__name__: f for f in (op1_embedding_dedup, op2_toxicity, op3_langid, op4_bpe, op5_packing, op8_sharding, op9_ngram_join, op10_topk)}
 
 
 def oracle_sql():
