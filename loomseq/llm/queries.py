@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomseq.llm import bpe, hnsw, langid, ngram_join, packing, sharding, suffix_dedup, topk, toxicity
+from loomseq.llm import bpe, hnsw, langid, line_dedup, ngram_join, packing, sharding, suffix_dedup, topk, toxicity
 from loomseq.llm.common import cut, table
 
 
@@ -31,6 +31,10 @@ def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_pieces(cut(packing.token_pieces(docs, public_tokenizers.path("byte_bpe_50k.json")), "pieces"))
 
 
+def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.lines_digest(table(spark, sf_dir, "documents"))
+
+
 def op7_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup.repeats_digest(table(spark, sf_dir, "documents"))
 
@@ -48,7 +52,7 @@ def op10_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries():
-    return {f.__name__: f for f in (op1_embedding_dedup, op2_toxicity, op3_langid, op4_bpe, op5_packing, op7_suffix_dedup, op8_sharding, op9_ngram_join, op10_topk)}
+    return {f.__name__: f for f in (op1_embedding_dedup, op2_toxicity, op3_langid, op4_bpe, op5_packing, op6_line_dedup, op7_suffix_dedup, op8_sharding, op9_ngram_join, op10_topk)}
 
 
 def oracle_sql():
