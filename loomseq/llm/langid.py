@@ -13,6 +13,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
 from loomseq.llm.common import map_pandas
 
@@ -131,14 +132,14 @@ def learn(train: DataFrame, text: str = "text", lang: str = "lang", dim: int = D
     return {k: v / n for k, v in sorted(out.items()) if (n := np.linalg.norm(v)) > 0}
 
 
-def predict(docs: DataFrame, prototypes: dict[str, np.ndarray], dim: int = DIM, group: int = 64) -> DataFrame:
-    """(doc_id, lang_pred, score) for every row of (doc_id, text).
+def predict_rows(docs: DataFrame, prototypes: dict[str, np.ndarray], dim: int = DIM, group: int = 64) -> DataFrame:
+    """Every row of ``docs`` (with ``text``) and all its columns, plus ``lang_pred`` and ``lang_score``.
 
-    ``score`` is the cosine with the winning prototype, at least 0; ties go to the first language by name.  A
+    The score is the cosine with the winning prototype, at least 0; ties go to the first language by name.  A
     null text, one without a letter, or a model without languages gives ``und`` and 0.
     """
     names = sorted(prototypes)
-    stack = np.stack([prototypes[n] for n in names]).astype(np.float32) if names else np.zeros((0, dim), np.float32)
+    stack = np.stack([prototypes[n] for n in names]).astype(np.float32) if names else np.zeros((1, dim), np.float32)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         space = GramSpace(dim)
@@ -153,12 +154,15 @@ def predict(docs: DataFrame, prototypes: dict[str, np.ndarray], dim: int = DIM,
                     k = int(row.argmax()) if n > 0 and names else -1
                     lang.append(names[k] if k >= 0 else UNKNOWN)
                     score.append(min(1.0, max(0.0, float(row[k]))) if k >= 0 else 0.0)
-            yield pd.DataFrame({"doc_id": b["doc_id"], "lang_pred": lang, "score": score})
+            yield b.assign(lang_pred=lang, lang_score=score)
 
-    return map_pandas(docs.select("doc_id", "text"), run, "doc_id long, lang_pred string, score double")
+    own = docs.drop("lang_pred", "lang_score")
+    shape = StructType([*own.schema.fields, StructField("lang_pred", StringType()), StructField("lang_score", DoubleType())])
+    return map_pandas(own, run, shape)
 
 
 def identify(docs: DataFrame) -> DataFrame:
-    """Learn from the rows that are not held out, then predict the language of every row."""
+    """(doc_id, held_out, lang_pred, score): learn from the rows that are not held out, predict every row."""
     model = learn(docs.where(~held_out(F.col("doc_id"))))
-    return predict(docs, model).select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score")
+    found = predict_rows(docs.select("doc_id", "text"), model)
+    return found.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "lang_pred", F.col("lang_score").alias("score"))

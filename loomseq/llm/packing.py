@@ -10,6 +10,7 @@ within their length in two levels and each piece reads its place from the plan.
 from __future__ import annotations
 
 import bisect
+import json
 import zlib
 from collections.abc import Iterator
 
@@ -18,6 +19,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from loomseq.llm.bpe import byte_alphabet
 from loomseq.llm.common import map_pandas
 
 CAPACITY = 2048
@@ -32,22 +34,44 @@ def cut_points(n: int, capacity: int = CAPACITY) -> list[tuple[int, int]]:
     return ([(0, first)] if first else []) + [(s, capacity) for s in range(first, n, capacity)]
 
 
+def encoder(path: str):
+    """A function text -> ids (numpy uint32) of the byte-level tokenizer file at ``path``.
+
+    Where the file's ids follow its merge order, they are ranks and the faster rank encoder gives the same ids;
+    any other file goes through the tokenizers library.
+    """
+    with open(path, encoding="utf-8") as f:
+        spec = json.load(f)
+    vocab, merges = spec["model"]["vocab"], spec["model"]["merges"]
+    special = {t["content"]: t["id"] for t in spec["added_tokens"]}
+    plain = spec["normalizer"] is None and spec["pre_tokenizer"]["type"] == "ByteLevel" and not spec["pre_tokenizer"]["add_prefix_space"]
+    if plain and [vocab[a + b] for a, b in merges] == list(range(256, 256 + len(merges))) and len(vocab) == 256 + len(merges):
+        import public_tokenizers
+        import tiktoken
+
+        byte = {c: i for i, c in enumerate(byte_alphabet())}
+        ranks = {bytes(map(byte.__getitem__, t)): i for t, i in vocab.items()}
+        enc = tiktoken.Encoding("file", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens=special)
+        allowed = frozenset(special)
+        return lambda text: enc.encode_to_numpy(text, allowed_special=allowed, disallowed_special=())
+    from tokenizers import Tokenizer
+
+    tok = Tokenizer.from_file(path)
+    tok.no_padding()
+    tok.no_truncation()
+    return lambda text: np.array(tok.encode(text, add_special_tokens=False).ids, dtype="<u4")
+
+
 def token_pieces(docs: DataFrame, path: str, capacity: int = CAPACITY) -> DataFrame:
     """The pieces of every document: ids by the tokenizer file at ``path`` plus a closing id 0; null text is empty."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        from tokenizers import Tokenizer
-
-        tok = Tokenizer.from_file(path)
-        tok.no_padding()
-        tok.no_truncation()
+        encode = encoder(path)
         for b in batches:
             rows = []
-            texts = [t or "" for t in b["text"]]
-            for at in range(0, len(texts), 64):
-                for d, e in zip(b["doc_id"][at : at + 64], tok.encode_batch_fast(texts[at : at + 64], add_special_tokens=False)):
-                    ids = np.array([*e.ids, 0], dtype="<u4")
-                    rows += [(d, k, s, n, zlib.crc32(ids[s : s + n].tobytes())) for k, (s, n) in enumerate(cut_points(len(ids), capacity))]
+            for d, t in zip(b["doc_id"], b["text"]):
+                ids = np.append(encode(t or ""), np.uint32(0)).astype("<u4")
+                rows += [(d, k, s, n, zlib.crc32(ids[s : s + n])) for k, (s, n) in enumerate(cut_points(len(ids), capacity))]
             yield pd.DataFrame(rows, columns=["doc_id", "piece", "start", "length", "ids_crc32"])
 
     return map_pandas(docs.select("doc_id", "text"), run, PIECES)

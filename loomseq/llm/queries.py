@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import corpus_pipeline
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -51,8 +52,12 @@ def op10_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
 
 
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 def queries():
-    return {f.__name__: f for f in (op1_embedding_dedup, op2_toxicity, op3_langid, op4_bpe, op5_packing, op6_line_dedup, op7_suffix_dedup, op8_sharding, op9_ngram_join, op10_topk)}
+    return {f.__name__: f for f in (op1_embedding_dedup, op2_toxicity, op3_langid, op4_bpe, op5_packing, op6_line_dedup, op7_suffix_dedup, op8_sharding, op9_ngram_join, op10_topk, pipeline)}
 
 
 def oracle_sql():
