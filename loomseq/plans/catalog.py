@@ -1,9 +1,12 @@
-"""The registry of queries and their SQL text."""
+"""All registered queries; importing the query modules fills the registry."""
+
+from loomseq.plans import q_intervals, q_measures, q_reads  # noqa: F401
+from loomseq.plans.registry import QUERIES, SQL
 
 
 def queries():
-    return {}
+    return dict(QUERIES)
 
 
 def oracle_sql():
-    return {}
+    return dict(SQL)
