@@ -176,6 +176,14 @@ def sort_suffixes(data: np.ndarray, starts: np.ndarray, depth: int = SPAN) -> tu
 
 def repeats_of_group(docs: np.ndarray, places: np.ndarray, counts: np.ndarray, stretches: list[bytes]) -> list[tuple[int, int, int]]:
     """(doc, begin, end) of bytes covered by strings of these stretches that also start earlier in another of them."""
+    at: dict[bytes, int] = {}
+    kind = np.array([at.setdefault(s, len(at)) for s in stretches])
+    order = np.lexsort((places, docs, kind))
+    lead = order[np.concatenate(([True], kind[order][1:] != kind[order][:-1]))]
+    # all but the first of equal stretches go whole
+    rest = np.setdiff1d(np.arange(len(stretches)), lead)
+    out = [(int(docs[k]), int(places[k]), int(places[k] + counts[k] - 1 + SPAN)) for k in rest]
+    docs, places, counts, stretches = docs[lead], places[lead], counts[lead], [stretches[k] for k in lead]
     lengths = np.array([len(s) for s in stretches])
     base = np.cumsum(lengths) - lengths
     owner = np.repeat(np.arange(len(stretches)), counts)
@@ -188,20 +196,21 @@ def repeats_of_group(docs: np.ndarray, places: np.ndarray, counts: np.ndarray, s
     again[first[lead]] = False
     hit = np.nonzero(again)[0]
     if not len(hit):
-        return []
+        return out
     edge = np.nonzero(np.concatenate(([True], (owner[hit][1:] != owner[hit][:-1]) | (hit[1:] != hit[:-1] + 1))))[0]
     last = np.append(edge[1:] - 1, len(hit) - 1)
-    return [(int(doc[hit[e]]), int(start[hit[e]]), int(start[hit[f]]) + SPAN) for e, f in zip(edge, last)]
+    return out + [(int(doc[hit[e]]), int(start[hit[e]]), int(start[hit[f]]) + SPAN) for e, f in zip(edge, last)]
 
 
 def utf8(text: str | None) -> bytes:
     return (text or "").encode("utf-8", "surrogatepass")
 
 
-def repeated_ranges(docs: DataFrame, group_rows: int = 20_000) -> tuple[DataFrame, DataFrame]:
-    """(texts, ranges): the documents that share an anchor with anything, and their byte ranges to remove.
+def repeated_ranges(texts: DataFrame, every: DataFrame, group_bytes: int = 2_000_000) -> DataFrame:
+    """(doc_id, begin, end): byte ranges to remove, for ``texts`` with unique, non-null ``doc_id`` and ``text``.
 
-    ``docs`` has unique, non-null ``doc_id`` and ``text``.
+    ``every`` holds at least those rows, as they are; its exchange by ``doc_id`` is what the caller's joins use too.
+    Stretches are grouped by anchor into groups that stem from about ``group_bytes`` of text each.
     """
 
     def sketch(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -225,64 +234,46 @@ def repeated_ranges(docs: DataFrame, group_rows: int = 20_000) -> tuple[DataFram
                 "h": np.concatenate([h, mark]), "n": np.concatenate([np.where(known, 0, np.minimum(n, 2)), np.full(len(mark), 3)]),
             })
 
-    rows = map_pandas(docs.select("doc_id", "text"), sketch, "key long, doc_id long, h long, n int")
+    rows = map_pandas(texts, sketch, "key long, doc_id long, h long, n int")
     # a row known to be repeated carries n = 0 and its own key; other rows meet at key = h
     lean = rows.select("key", "doc_id", F.when(F.col("n") == 0, F.col("h")).alias("h"), "n")
     total = F.sum("n").over(Window.partitionBy("key"))
     shared = lean.withColumn("total", total).where("(h is not null) or (n < 3 and total >= 2)")
     wanted = shared.groupBy("doc_id").agg(F.collect_list(F.coalesce("h", "key")).alias("wanted"))
-    texts = cut(docs.select("doc_id", "text").join(wanted, "doc_id"), "texts")
+    work = every.hint("merge").join(wanted, "doc_id")
+    total = every.agg(F.sum(F.octet_length("text"))).head()[0] or 0
+    groups = total // group_bytes + 1
 
     def stretch(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        cols = ["g", "doc_id", "start", "n", "s"]
         for b in batches:
-            out, met = [], set()
-            for d, t, w in zip(b["doc_id"], b["text"], b["wanted"]):
+            out, met = [], {}
+            for d, t, w in sorted(zip(b["doc_id"], b["text"], b["wanted"]), key=lambda r: r[0]):
                 raw = utf8(t)
                 a = Anchors(np.frombuffer(raw, np.uint8))
                 for p, start, n in a.runs(np.asarray(w, dtype=np.int64).view(np.uint64)):
                     s = raw[start : start + n - 1 + SPAN]
-                    digest = hashlib.blake2b(s + (p - start).to_bytes(2, "little"), digest_size=16).digest()
-                    out.append((int(a.h[p].view(np.int64)), digest, d, start, n, None if digest in met else s))
-                    met.add(digest)
+                    h = int(a.h[p])
+                    if met.setdefault((h, s), (d, start)) == (d, start):
+                        out.append((h % groups, d, start, n, s))
+                    else:  # not even the first of its batch: goes whole, and its text need not travel
+                        out.append((hash((d, start)) % groups, d, start, n, None))
                 if len(out) > 50_000:
-                    yield pd.DataFrame(out, columns=["h", "digest", "doc_id", "start", "n", "s"])
-                    out, met = [], set()
-            yield pd.DataFrame(out, columns=["h", "digest", "doc_id", "start", "n", "s"])
-
-    found = cut(map_pandas(texts, stretch, "h long, digest binary, doc_id long, start long, n long, s binary"), "stretches")
-    place = F.struct("doc_id", "start")
-    lead = found.groupBy("h", "digest").agg(F.min(place).alias("first"), F.max("s").alias("s"), F.max("n").alias("n"), F.count("*").alias("times"))
-    lead = cut(lead, "leads")
-    # all but the first of equal stretches go whole
-    firsts = lead.where("times > 1").select("digest", "first")
-    copies = found.select("digest", "doc_id", "start", "n").join(firsts, "digest").where(place != F.col("first")).select(
-        "doc_id", F.col("start").alias("begin"), (F.col("start") + F.col("n") - 1 + SPAN).alias("end")
-    )
-    per = lead.groupBy("h").agg(F.count("*").alias("kinds")).where("kinds > 1")
-    todo = lead.join(per, "h").select("h", "kinds", F.col("first.doc_id").alias("doc_id"), F.col("first.start").alias("start"), "n", "s")
-
-    def scatter(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        """Stretches of an anchor with too many kinds go apart into single strings, dealt by content."""
-        for b in batches:
-            big = b["kinds"] > group_rows
-            yield b.loc[~big, ["h", "doc_id", "start", "n", "s"]].assign(deal=0)
-            rows = [
-                (h, d, st + i, 1, s[i : i + SPAN], int.from_bytes(hashlib.blake2b(s[i : i + SPAN], digest_size=4).digest(), "little") % (1 + k * 35 // group_rows))
-                for h, k, d, st, n, s in b[big].itertuples(index=False) for i in range(n)
-            ]
-            if rows:
-                yield pd.DataFrame(rows, columns=["h", "doc_id", "start", "n", "s", "deal"])
-
-    todo = map_pandas(todo, scatter, "h long, doc_id long, start long, n long, s binary, deal long")
-    groups = max(1, -(-per.agg(F.sum("kinds")).head()[0] // group_rows) if per.head(1) else 1)
+                    yield pd.DataFrame(out, columns=cols)
+                    out, met = [], {}
+            yield pd.DataFrame(out, columns=cols)
 
     def sort_group(pdf: pd.DataFrame) -> pd.DataFrame:
-        rows = repeats_of_group(pdf["doc_id"].to_numpy(), pdf["start"].to_numpy(), pdf["n"].to_numpy(), pdf["s"].tolist())
+        told = pdf["s"].notna()
+        gone = pdf[~told]
+        rows = [(d, a, a + n - 1 + SPAN) for d, a, n in zip(gone["doc_id"], gone["start"], gone["n"])]
+        pdf = pdf[told]
+        if len(pdf):
+            rows += repeats_of_group(pdf["doc_id"].to_numpy(), pdf["start"].to_numpy(), pdf["n"].to_numpy(), pdf["s"].tolist())
         return pd.DataFrame(rows, columns=["doc_id", "begin", "end"]).astype("int64")
 
-    own = F.pmod(F.xxhash64("h", "deal"), F.lit(groups))
-    again = todo.withColumn("g", own).groupBy("g").applyInPandas(sort_group, "doc_id long, begin long, end long")
-    return texts, copies.unionByName(again)
+    found = map_pandas(work, stretch, "g long, doc_id long, start long, n long, s binary")
+    return found.groupBy("g").applyInPandas(sort_group, "doc_id long, begin long, end long")
 
 
 def kept_bytes(raw: bytes, ranges: list) -> tuple[bytes, int, int]:
@@ -306,8 +297,15 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
     A byte goes if a 100-byte string that covers it also starts earlier (smaller doc_id, or the same document and
     an earlier start); strings are judged on the input and never cross documents.
     """
-    texts, ranges = repeated_ranges(docs)
-    by_doc = ranges.groupBy("doc_id").agg(F.collect_list(F.struct("begin", "end")).alias("ranges"))
+    docs = docs.select("doc_id", "text")
+    # exact copies of a whole text go at once; only the first of each takes part in the search
+    digest = [F.xxhash64(F.lit(k), "text") for k in (1, 2)]
+    twins = docs.select("doc_id", digest[0].alias("h1"), digest[1].alias("h2"), F.octet_length("text").alias("b")).where(F.col("b") >= SPAN)
+    twice = twins.groupBy("h1", "h2", "b").agg(F.min("doc_id").alias("first"), F.count("*").alias("c")).where("c > 1")
+    copies = cut(twins.join(twice, ["h1", "h2", "b"]).where("doc_id <> first").select("doc_id", F.lit(0).cast("long").alias("begin"), F.col("b").cast("long").alias("end")), "copies")
+    # three merge joins by doc_id on the same rows, so that the texts are exchanged once
+    texts = docs.hint("merge").join(copies.select("doc_id"), "doc_id", "left_anti")
+    by_doc = repeated_ranges(texts, docs).unionByName(copies).groupBy("doc_id").agg(F.collect_list(F.struct("begin", "end")).alias("ranges"))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
@@ -318,7 +316,7 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
                 rows.append((d, len(raw), n, spans, hashlib.sha256(kept).hexdigest(), kept))
             yield pd.DataFrame(rows, columns=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"])
 
-    return map_pandas(texts.select("doc_id", "text").join(by_doc, "doc_id"), run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary")
+    return map_pandas(docs.hint("merge").join(by_doc, "doc_id"), run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary")
 
 
 def repeats_digest(docs: DataFrame) -> DataFrame:
