@@ -288,10 +288,10 @@ def w8(t):
     return cnv.change_points(t.cnv)
 
 
-@query("W12_downsample", "select sample, chrom, (bin // 4 + 0.5)::double * 20000 as x, round(avg(value), 6) + 0.0 as value from @cnv group by sample, chrom, bin // 4 having count(*) = 2")
+@query("W12_downsample", "select sample, chrom, (bin // 8 + 0.5)::double * 20000 as x, round(avg(value), 6) + 0.0 as value from @cnv group by sample, chrom, bin // 8 having count(*) = 2")
 def w12(t):
-    # the derived bins are the even ones
-    return cnv.downsample(t.cnv.withColumn("bin", F.floor(F.col("bin") / 2)), 2)
+    # the derived bins lie four apart
+    return cnv.downsample(t.cnv.withColumn("bin", F.floor(F.col("bin") / 4)), 2)
 
 
 @query("W13_even_sample", """with r as (select sample, chrom, bin, value, row_number() over (partition by sample, chrom order by bin) - 1 as r, count(*) over (partition by sample, chrom) as n from @cnv)
