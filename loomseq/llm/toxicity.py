@@ -1,7 +1,7 @@
 """Toxicity scores: a learned lexicon, misspellings by Levenshtein automata, and context windows.
 
-Terms and stems that mark toxic training texts go into a trie.  A text's distinct words are looked up by running
-each word's Levenshtein automaton against the trie, so that a misspelled term is caught too.  Every hit is judged
+Terms and stems that mark toxic training texts go into a trie.  A text's distinct words run
+through the terms' Levenshtein automata intersected with that trie, so that a misspelled term is caught too.  Every hit is judged
 in a window around it: inside quotation marks or beside a reporting word it counts as quoted, otherwise as abuse.
 A logistic model turns the counts into a score.
 """
@@ -52,27 +52,76 @@ class Trie:
                 return node[""]
         return node.get("")
 
-    def near(self, word: str, edits: int) -> str | None:
-        """A term within ``edits`` insertions, deletions or substitutions of ``word``.
-
-        The automaton's state is the row of edit distances capped at ``edits`` + 1; a trie branch is left as soon
-        as its state holds no live position.
-        """
-        cap = edits + 1
-        stack = [(self.root, tuple(min(i, cap) for i in range(len(word) + 1)))]
-        while stack:
-            node, row = stack.pop()
-            for c, child in node.items():
-                if not c:
-                    if row[-1] <= edits and len(child[0]) > 4:
-                        return child[0]
-                    continue
-                new = [min(row[0] + 1, cap)]
-                for i, w in enumerate(word):
-                    new.append(min(row[i] + (w != c), row[i + 1] + 1, new[i] + 1, cap))
-                if min(new) <= edits:
-                    stack.append((child, tuple(new)))
-        return None
+
+class LevenshteinTrie:
+    """The Levenshtein automata of all terms at once: positions in the trie with the edits spent so far.
+
+    Sets of positions are made deterministic as words meet them and kept, so that a further word costs one lookup
+    per letter, and most words leave the automaton after a few letters.
+    """
+
+    def __init__(self, terms: list[str], edits: int = 1, cache: int = 500_000):
+        self.edits, self.cache = edits, cache
+        self.children: list[dict[str, int]] = [{}]
+        self.term: dict[int, str] = {}
+        for t in terms:
+            node = 0
+            for c in t:
+                if c not in self.children[node]:
+                    self.children.append({})
+                    self.children[node][c] = len(self.children) - 1
+                node = self.children[node][c]
+            self.term[node] = t
+        self._reset()
+
+    def _reset(self) -> None:
+        self.states: dict[frozenset, int] = {}
+        self.sets: list[dict[int, int]] = []
+        self.steps: dict[tuple[int, str], int] = {}
+        self.start = self._state({0: 0})
+
+    def _state(self, spent: dict[int, int]) -> int:
+        """Number of a position set {node: fewest edits}, closed over letters that the word leaves out; -1 if empty."""
+        todo = list(spent)
+        while todo:
+            n = todo.pop()
+            if spent[n] < self.edits:
+                for child in self.children[n].values():
+                    if spent.get(child, self.edits + 1) > spent[n] + 1:
+                        spent[child] = spent[n] + 1
+                        todo.append(child)
+        if not spent:
+            return -1
+        key = frozenset(spent.items())
+        if key not in self.states:
+            self.states[key] = len(self.sets)
+            self.sets.append(spent)
+        return self.states[key]
+
+    def _step(self, state: int, letter: str) -> int:
+        new: dict[int, int] = {}
+        for n, e in self.sets[state].items():
+            for c, child in self.children[n].items():
+                cost = e + (c != letter)
+                if cost <= self.edits and new.get(child, self.edits + 1) > cost:
+                    new[child] = cost
+            if e < self.edits and new.get(n, self.edits + 1) > e + 1:
+                new[n] = e + 1
+        return self._state(new)
+
+    def find(self, word: str) -> str | None:
+        """A term within the edits allowed (insertions, deletions, substitutions), or None."""
+        if len(self.steps) > self.cache:
+            self._reset()
+        state, steps = self.start, self.steps
+        for c in word:
+            nxt = steps.get((state, c))
+            if nxt is None:
+                nxt = steps[state, c] = self._step(state, c)
+            if nxt < 0:
+                return None
+            state = nxt
+        return next((self.term[n] for n in sorted(self.sets[state]) if n in self.term), None)
 
 
 class Matcher:
@@ -80,8 +129,7 @@ class Matcher:
 
     def __init__(self, terms: list[tuple[str, bool]], cache_words: int = 400_000):
         self.trie, self.cache_words = Trie(terms), cache_words
-        self.lengths = {len(t) + d for t, stem in terms if not stem and len(t) > 4 for d in (-1, 0, 1)}
-        self.full = Trie([t for t in terms if not t[1]])
+        self.near = LevenshteinTrie([t for t, stem in terms if not stem and len(t) > 4])
         self.kind: dict[str, str] = {}
 
     def of(self, word: str) -> str:
@@ -91,7 +139,7 @@ class Matcher:
             if hit:
                 k = "stem" if hit[1] else "exact"
             else:
-                k = "fuzzy" if len(word) in self.lengths and self.full.near(word, 1) else ""
+                k = "fuzzy" if self.near.find(word) else ""
             if len(self.kind) >= self.cache_words:
                 self.kind.clear()
             self.kind[word] = k
