@@ -10,19 +10,21 @@ import hashlib
 import json
 import re
 import struct
-import unicodedata
 from collections.abc import Iterator
 
 import pandas as pd
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from tokenizers import Tokenizer
 
 from loomseq.llm.common import map_pandas
 
 _NONE = 1 << 60
 _WHITE = r"\t\n\x0b\x0c\r \x85\xa0  -     　"
 
+#: Below these characters nothing composes and lower case is the same in every Unicode version.
+_BEYOND = re.compile("[^\u0000-\u02ff]")
 _CONTROLS = re.compile("[\x1c-\x1f]")
 
 # Letters and numbers that Unicode gained after the tokenizer library's tables; there they are symbols.
@@ -64,6 +66,8 @@ class WordBpe:
         self.words = regex.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|\p{{L}}+|\p{{N}}|[^{_WHITE}\p{{L}}\p{{N}}]+")
         self.alphabet = byte_alphabet()
         self.cache_words = cache_words
+        #: the file's own normaliser: its Unicode tables decide on composed and lower-case forms
+        self.normalised = Tokenizer.from_file(path).normalizer.normalize_str
         self.white = regex.compile(f"[{_WHITE}]+")
         self.ids: dict[str, tuple[int, ...]] = {}
         self.packed: dict[str, bytes] = {}
@@ -115,7 +119,7 @@ class WordBpe:
                 ids.append(struct.pack("<I", self.special[piece]))
                 out.append(piece)
                 continue
-            low = piece.lower() if piece.isascii() else unicodedata.normalize("NFC", piece).replace("Σ", "σ").lower()
+            low = self.normalised(piece) if _BEYOND.search(piece) else piece.lower()
             # str.split also cuts at four control characters that are not white space here
             chunks = list(filter(None, self.white.split(low))) if _CONTROLS.search(low) else low.split()
             for c in set(chunks).difference(self.packed):
