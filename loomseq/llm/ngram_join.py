@@ -248,15 +248,17 @@ def link_documents(docs: DataFrame, n: int = 3, num: int = 90, den: int = 100, b
     index = Index(bands, plans)
     sets = cut(map_pandas(docs, lambda b: sketch(b, index), shape), "sets")
 
-    # equal sets are one node from here on: its smallest id
+    # equal sets are one node from here on: its smallest id; in the index they go by their hash, so no id is joined on
     nodes = sets.where("n_shingles > 0 and doc_id is not null").groupBy("n_shingles", "s1", "s2").agg(F.min("doc_id").alias("node"))
-    of = cut(sets.select("doc_id", "n_shingles", "s1", "s2").join(nodes, ["n_shingles", "s1", "s2"], "left").select("doc_id", "n_shingles", "node"), "nodes")
+    of = cut(sets.select("doc_id", "n_shingles", "s1", "s2").join(nodes, ["n_shingles", "s1", "s2"], "left").select("doc_id", "n_shingles", "s1", "node"), "nodes")
 
-    # a node's entries; those that two nodes share tie both to the smallest, which gives the candidate groups
-    own = of.where("doc_id = node").select("node").join(sets.select(F.col("doc_id").alias("node"), "grams"), "node").select("node", F.explode("grams").alias("entry"))
-    shared = own.groupBy("entry").agg(F.min("node").alias("low"), F.max("node").alias("high")).where("low <> high").select("entry", "low")
-    ties = own.join(shared, "entry").where("node <> low").select("node", "low").distinct()
-    groups = cut(connected_components(ties, "node", "low").withColumnRenamed("component", "grp"), "groups")
+    # entries that two different sets share tie both to the smallest, which gives the candidate groups; the join is
+    # a merge join at every size, whose hot keys AQE splits
+    own = sets.where("n_shingles > 0 and doc_id is not null").select("s1", F.explode("grams").alias("entry"))
+    shared = own.groupBy("entry").agg(F.min("s1").alias("low"), F.max("s1").alias("high")).where("low <> high").select("entry", "low")
+    ties = own.hint("merge").join(shared, "entry").where("s1 <> low").select("s1", "low").distinct()
+    found = connected_components(ties, "s1", "low").select(F.col("node").alias("s1"), F.col("component").alias("grp"))
+    groups = cut(of.where("doc_id = node").select("s1", "node").join(found, "s1").select("node", "grp"), "groups")
 
     sizes = groups.groupBy("grp").agg(F.count("*").alias("c")).select("grp", F.ceil(F.col("c") / block_rows).alias("k"))
     block = F.pmod(F.xxhash64("node"), F.col("k")).cast("int")
@@ -264,7 +266,7 @@ def link_documents(docs: DataFrame, n: int = 3, num: int = 90, den: int = 100, b
     dealt = groups.join(sizes, "grp").select("node", "grp", block.alias("b"), "k").select(
         "node", "grp", "b", F.explode(F.sequence(F.lit(0), (F.col("k") - 1).cast("int"))).alias("o")
     ).select("node", "grp", "b", F.least("b", "o").alias("x"), F.greatest("b", "o").alias("y"))
-    work = dealt.join(docs.select(F.col("doc_id").alias("node"), "text"), "node").dropDuplicates(["node", "grp", "x", "y"])
+    work = dealt.join(docs.select(F.col("doc_id").alias("node"), "text").hint("merge"), "node").dropDuplicates(["node", "grp", "x", "y"])
 
     def verify(pdf: pd.DataFrame) -> pd.DataFrame:
         shingler = Shingler(n)
