@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import gc
 import shutil
 import tempfile
 import uuid
@@ -53,6 +54,18 @@ def drop_cut(df: DataFrame) -> None:
         target.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
 
 
+def release(spark: SparkSession, *tables: DataFrame) -> None:
+    """Remove scratch tables that nothing reads any more and let Spark drop the shuffle files of finished jobs.
+
+    Spark deletes shuffle files when the driver collects the garbage that refers to them; long chains of jobs
+    would otherwise keep all of theirs on the executors' disks.
+    """
+    for t in tables:
+        drop_cut(t)
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

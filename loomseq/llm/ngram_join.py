@@ -17,7 +17,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loomseq.llm.common import connected_components, cut, map_pandas
+from loomseq.llm.common import connected_components, cut, map_pandas, release
 
 _M1, _M2, _M3 = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9))
 
@@ -31,7 +31,7 @@ def mix(h: np.ndarray) -> np.ndarray:
 class Shingler:
     """Sorted distinct n-gram hashes of whole texts; words are runs of bytes other than ASCII white space, A-Z lowered."""
 
-    def __init__(self, n: int, cache_words: int = 400_000):
+    def __init__(self, n: int, cache_words: int = 150_000):
         self.n, self.cache_words = n, cache_words
         self.words: dict[bytes, int] = {}
 
@@ -232,15 +232,16 @@ def link_documents(docs: DataFrame, n: int = 3, num: int = 90, den: int = 100, b
     def sketch(batches: Iterator[pd.DataFrame], index: Index) -> Iterator[pd.DataFrame]:
         shingler = Shingler(n)
         for b in batches:
-            rows = []
-            for d, t in zip(b["doc_id"], b["text"]):
-                g = shingler.of(t)
-                if not len(g):
-                    rows.append((d, 0, 0, 0, []))
-                    continue
-                s = int(np.bitwise_xor.reduce(mix(g + _M2)).view(np.int64)), int(mix(g + _M3).sum().view(np.int64))
-                rows.append((d, len(g), *s, index.entries(g).view(np.int64) if index else g.view(np.int64)))
-            yield pd.DataFrame(rows, columns=["doc_id", "n_shingles", "s1", "s2", "grams"])
+            for at in range(0, len(b), 1_000):  # entries of few documents at a time, so that a worker stays small
+                rows = []
+                for d, t in zip(b["doc_id"][at : at + 1_000], b["text"][at : at + 1_000]):
+                    g = shingler.of(t)
+                    if not len(g):
+                        rows.append((d, 0, 0, 0, []))
+                        continue
+                    s = int(np.bitwise_xor.reduce(mix(g + _M2)).view(np.int64)), int(mix(g + _M3).sum().view(np.int64))
+                    rows.append((d, len(g), *s, index.entries(g).view(np.int64) if index else g.view(np.int64)))
+                yield pd.DataFrame(rows, columns=["doc_id", "n_shingles", "s1", "s2", "grams"])
 
     shape = "doc_id long, n_shingles long, s1 long, s2 long, grams array<long>"
     part = docs.where(F.pmod(F.xxhash64(F.lit(5), "doc_id"), F.lit(round(1 / sample))) == 0)
@@ -260,6 +261,8 @@ def link_documents(docs: DataFrame, n: int = 3, num: int = 90, den: int = 100, b
     found = connected_components(ties, "s1", "low").select(F.col("node").alias("s1"), F.col("component").alias("grp"))
     groups = cut(of.where("doc_id = node").select("s1", "node").join(found, "s1").select("node", "grp"), "groups")
 
+    release(docs.sparkSession, sets)
+
     sizes = groups.groupBy("grp").agg(F.count("*").alias("c")).select("grp", F.ceil(F.col("c") / block_rows).alias("k"))
     block = F.pmod(F.xxhash64("node"), F.col("k")).cast("int")
     # a block meets itself and every other block once; small groups have one block and one task
@@ -281,5 +284,6 @@ def link_documents(docs: DataFrame, n: int = 3, num: int = 90, den: int = 100, b
 
     links = cut(work.groupBy("grp", "x", "y").applyInPandas(verify, "node long, low long"), "pairs")
     parts = connected_components(links, "node", "low")
+    release(docs.sparkSession, groups, links)
     out = of.join(parts, "node", "left")
     return out.select("doc_id", "n_shingles", F.coalesce("component", "node", "doc_id").alias("component_id"))
