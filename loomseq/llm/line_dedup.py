@@ -1,7 +1,7 @@
 """Fuzzy line deduplication by MinHash, in DataFrame functions only.
 
-Every non-blank line is a set of character shingles.  Its signature comes from its smallest shingle hashes,
-binned; bands of four bins give candidate pairs; pairs are verified by exact Jaccard of the shingle sets; links are
+Every non-blank line is a set of character shingles.  Its signature holds the first shingle hash
+of each of 32 bins; bands of four bins give candidate pairs; pairs are verified by exact Jaccard of the shingle sets; links are
 united by distributed star rounds, and the first line of each component in (doc_id, line number) order stays.
 """
 
@@ -10,10 +10,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from loomseq.llm.common import connected_components, cut
+from loomseq.llm.common import connected_components, cut, release
 
-SHINGLE, BINS, ROWS, SKETCH = 10, 32, 4, 96
+SHINGLE, BINS, ROWS = 10, 32, 4
 BIN_BITS = 5
+#: Shingles that begin with one of these letters make the sketch of a line that has enough of them.
+PICKED = "nsNS"
+FEW, ENOUGH = 12, 20
+TRIMMED = r"trim(BOTH ' \t\r' FROM line)"
 
 
 def shingle_hashes(line: Column, k: int = SHINGLE) -> Column:
@@ -22,49 +26,69 @@ def shingle_hashes(line: Column, k: int = SHINGLE) -> Column:
     return F.when(F.length(line) < k, F.array(F.xxhash64(line))).otherwise(F.transform(grams, lambda g: F.xxhash64(g)))
 
 
-def bin_of(h: Column) -> Column:
-    return F.shiftrightunsigned(h, 64 - BIN_BITS)
+def picked_hashes(line: Column, k: int = SHINGLE) -> Column:
+    """Hashes of the runs of ``k`` characters that begin with a picked letter: a sample that edits elsewhere leave alone."""
+    grams = F.regexp_extract_all(line, F.lit(f"(?s)(?=([{PICKED}].{{{k - 1}}}))"), F.lit(1))
+    return F.transform(grams, lambda g: F.xxhash64(g))
+
+
+def signature_bands(df: DataFrame, hashes: str, kind: int) -> DataFrame:
+    """``df`` with the array ``hashes`` turned into band keys: the bands of ``kind`` meet only their own.
+
+    The hashes lie on a ring of ``BINS`` equal bins; each bin's value is the first hash at or after its start, so
+    an empty bin takes the next full one's and short lines have whole signatures too.  The starts are sorted in
+    among the hashes, which leaves two plain array lookups per bin.
+    """
+    starts = [(b - BINS // 2) << (64 - BIN_BITS) for b in range(BINS)]
+    m = df.withColumn("s", F.sort_array(hashes))
+    m = m.withColumn("_in", F.sort_array(F.concat("s", F.array(*[F.lit(x).cast("bigint") for x in starts]))))
+    # lambdas keep the generated method small enough for the JIT; each names its source twice, because the optimiser
+    # moves a source that is named once into the lambda and so computes it anew for every element
+    before = lambda x, b: (F.least(F.array_position("_in", x), F.size("_in")) - 1 - b).cast("int")
+    ring = F.array(*[F.lit(x).cast("bigint") for x in starts])
+    sig = F.transform(ring, lambda x, b: F.coalesce(F.get("s", before(x, b)), F.get("s", F.lit(0))))
+    m = m.withColumn("sig", F.when(F.size("s") > 0, sig))
+    band = lambda b: F.xxhash64(F.lit(kind), b, F.slice("sig", b * ROWS + 1, F.least(F.lit(ROWS), F.size("sig"))))
+    bands = F.when(F.size("sig") > 0, F.transform(F.sequence(F.lit(0), F.lit(BINS // ROWS - 1)), band))
+    return m.withColumn(hashes, bands).drop("s", "_in", "sig")
 
 
 def band_keys(lines: DataFrame) -> DataFrame:
-    """``lines`` (with ``norm``) plus ``bands``: one key per band of the line's signature.
+    """``lines`` (with ``norm``) plus ``bands``, the keys under which candidates meet.
 
-    The sketch is the line's smallest hashes; each bin keeps its smallest member, and an empty bin takes the next
-    full one's, so that short lines have whole signatures too.
+    A line with ``ENOUGH`` picked shingles is sketched from those alone, one with under ``FEW`` from all of its
+    shingles, and one between has both kinds of bands, so similar lines on either side of a bound still meet.
     """
-    s = lines.withColumn("s", F.slice(F.sort_array(shingle_hashes(F.col("norm"))), 1, SKETCH))
-    # the sketch is a uniform sample; a second hash spreads it over the bins
-    s = s.withColumn("s", F.sort_array(F.transform("s", lambda h: F.xxhash64(h))))
-    m = s.withColumn("s", F.filter("s", lambda h, i: (i == 0) | (bin_of(h) != bin_of(F.get("s", i - 1)))))
-    # hashes sort as signed numbers, which turns the ring of bins by half; the same for every line
-    place = lambda h: F.pmod(bin_of(h) + BINS // 2, F.lit(BINS))
-    sig = F.transform(
-        F.sequence(F.lit(0), F.lit(BINS - 1)),
-        lambda b: F.coalesce(F.get(F.filter("s", lambda h: place(h) >= b), F.lit(0)), F.get("s", F.lit(0))),
-    )
-    m = m.withColumn("sig", sig)
-    bands = F.transform(F.sequence(F.lit(0), F.lit(BINS // ROWS - 1)), lambda b: F.xxhash64(b, F.slice("sig", b * ROWS + 1, ROWS)))
-    return m.withColumn("bands", bands).drop("s", "sig", "norm")
+    p = lines.withColumn("picked", picked_hashes(F.col("norm")))
+    n = F.size("picked")
+    none = F.array().cast("array<bigint>")
+    p = p.withColumns({"all_": F.when(n < ENOUGH, shingle_hashes(F.col("norm"))).otherwise(none), "picked": F.when(n >= FEW, F.col("picked")).otherwise(none)})
+    p = p.withColumns({"has_picked": F.size("picked") > 0, "has_all": F.size("all_") > 0})
+    p = signature_bands(signature_bands(p, "picked", 1), "all_", 2)
+    bands = F.concat(F.when(F.col("has_picked"), F.col("picked")).otherwise(none), F.when(F.col("has_all"), F.col("all_")).otherwise(none))
+    return p.withColumn("bands", bands).drop("norm", "picked", "all_", "has_picked", "has_all")
 
 
 def numbered_lines(docs: DataFrame) -> DataFrame:
-    """(doc_id, ln, norm, h1, h2, pos) of non-blank lines; ``norm`` is the line without outer white space."""
+    """(doc_id, ln, norm, h1, h2, pos) of non-blank lines; ``norm`` is the line without outer blanks, tabs and returns."""
     rows = docs.where(F.col("doc_id").isNotNull() & F.col("text").isNotNull()).select(
         F.col("doc_id").cast("long").alias("doc_id"), F.posexplode(F.split("text", "\n")).alias("ln", "line")
-    ).withColumn("norm", F.regexp_replace("line", r"^\s+|\s+$", "")).where("norm <> ''").drop("line")
+    ).withColumn("norm", F.expr(TRIMMED)).where("norm <> ''").drop("line")
     pos = F.col("doc_id").cast("decimal(20,0)") * F.lit(4294967296).cast("decimal(11,0)") + F.col("ln")
     return rows.select("doc_id", "ln", "norm", F.xxhash64("norm").alias("h1"), F.xxhash64(F.lit(17), "norm").alias("h2"), pos.cast("decimal(38,0)").alias("pos"))
 
 
 def verified(pairs: DataFrame, texts: DataFrame, least: float) -> DataFrame:
-    """The (a, b) pairs whose shingle sets have a Jaccard similarity of at least ``least``."""
-    sets = texts.select("h1", F.array_distinct(shingle_hashes(F.col("norm"))).alias("g"))
-    left = pairs.join(sets.select(F.col("h1").alias("a"), F.col("g").alias("ga")), "a")
-    both = left.join(sets.select(F.col("h1").alias("b"), F.col("g").alias("gb")), "b")
+    """The (a, b) pairs whose shingle sets have a Jaccard similarity of at least ``least``.
+
+    Texts travel to the pairs, not shingle sets, which take several times their room.
+    """
+    side = lambda c: texts.select(F.col("h1").alias(c), F.col("norm").alias(f"n{c}"))
+    both = pairs.join(side("a"), "a").join(side("b"), "b")
+    sets = both.select("a", "b", F.array_distinct(shingle_hashes(F.col("na"))).alias("ga"), F.array_distinct(shingle_hashes(F.col("nb"))).alias("gb"))
     na, nb = F.size("ga"), F.size("gb")
-    fits = (F.least(na, nb) >= least * F.greatest(na, nb))
-    common = F.size(F.array_intersect("ga", "gb"))
-    return both.where(fits).withColumn("c", common).where(F.col("c") >= least * (na + nb - F.col("c"))).select("a", "b")
+    c = F.size(F.array_intersect("ga", "gb"))
+    return sets.where(F.least(na, nb) >= least * F.greatest(na, nb)).withColumn("c", c).where(F.col("c") >= least * (na + nb - F.col("c"))).select("a", "b")
 
 
 def removed_lines(docs: DataFrame, least: float = 0.8) -> DataFrame:
@@ -81,21 +105,26 @@ def removed_lines(docs: DataFrame, least: float = 0.8) -> DataFrame:
     kinds = cut(kinds, "kinds")
     # two different lines with one 64-bit hash (never seen in practice) take part in exact matching only
     clash = kinds.groupBy("h1").agg(F.count("*").alias("c")).where("c > 1").select("h1")
-    nodes = sketched.join(kinds.select("h1", "h2", F.col("first").alias("pos")), ["h1", "h2", "pos"], "left_semi").join(clash, "h1", "left_anti")
-    banded = nodes.select("h1", F.posexplode("bands").alias("band", "key")).select("h1", F.xxhash64("band", "key").alias("key"))
+    # copies of a line bring the same hash under the same keys and are folded by the aggregation and the distinct
+    banded = sketched.join(clash, "h1", "left_anti") if clash.head(1) else sketched
+    banded = banded.select("h1", F.explode("bands").alias("key"))
     crowded = banded.groupBy("key").agg(F.min("h1").alias("lead"), F.max("h1").alias("last")).where("lead <> last")
-    inside = cut(banded.join(crowded.select("key", "lead"), "key"), "buckets")
+    inside = cut(banded.join(crowded.select("key", "lead"), "key").distinct(), "buckets")
     before = F.lag("h1").over(Window.partitionBy("key").orderBy("h1"))
     pairs = inside.where("h1 <> lead").select(F.col("lead").alias("a"), F.col("h1").alias("b")).unionByName(
         inside.withColumn("a", before).where("a is not null").select("a", F.col("h1").alias("b"))
     ).distinct()
 
-    wanted = inside.select("h1").distinct().join(kinds.select("h1", "first"), "h1")
+    # the candidates' texts: each document is told its wanted lines, so that texts move once, by document
     size = F.lit(4294967296).cast("decimal(11,0)")
-    spots = wanted.select("h1", F.floor(F.col("first") / size).cast("long").alias("doc_id"), "first")
-    pick = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(spots.select("doc_id").distinct(), "doc_id", "left_semi")
-    texts = numbered_lines(pick).join(spots.select("h1", F.col("first").alias("pos")), ["h1", "pos"], "left_semi").select("h1", "norm")
+    wanted = inside.select("h1").distinct().join(kinds.select("h1", "first"), "h1")
+    spot = wanted.select(F.floor(F.col("first") / size).cast("long").alias("doc_id"), (F.col("first") % size).cast("int").alias("ln"))
+    by_doc = spot.groupBy("doc_id").agg(F.collect_set("ln").alias("_want"))
+    pick = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(by_doc, "doc_id")
+    rows = pick.select("_want", F.posexplode(F.split("text", "\n")).alias("ln", "line")).where(F.array_contains("_want", F.col("ln")))
+    texts = rows.select(F.expr(TRIMMED).alias("norm")).select(F.xxhash64("norm").alias("h1"), "norm")
     texts = cut(texts, "texts")
+    release(docs.sparkSession)
 
     links = cut(verified(pairs, texts, least), "links")
     parts = connected_components(links, "a", "b")
@@ -108,6 +137,7 @@ def removed_lines(docs: DataFrame, least: float = 0.8) -> DataFrame:
     done = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
     more = verified(more.join(done, ["a", "b"], "left_anti"), texts, least)
     parts = connected_components(links.unionByName(more), "a", "b")
+    release(docs.sparkSession, inside, texts, links)
 
     member = parts.select(F.col("node").alias("h1"), "component")
     grouped = member.join(kinds.select("h1", "h2", "first"), "h1")
