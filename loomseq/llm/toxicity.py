@@ -20,6 +20,8 @@ from loomseq.llm.common import cut, map_pandas
 from loomseq.llm.langid import held_out
 
 WORD = re.compile(r"[^\W\d_]+")
+#: Letters with one or two digits or signs between them; read as one word by the fuzzy match alone.
+MIXED = re.compile(r"[^\W\d_]+(?:[\d@$!|*+#€_.\-]{1,2}[^\W\d_]+)+")
 MAX_TERMS = 4_000
 FIT_ROWS = 20_000
 THRESHOLD = 0.7
@@ -28,6 +30,8 @@ QUOTES = "\"“”„«»‹›"
 REPORTING = frozenset("said says called quote quoted quoting wrote writes term word slur dijo escribió palabra dit écrit mot sagte schrieb wort".split())
 FEATURES = ("n_words", "exact", "stem", "fuzzy", "quoted", "kinds")
 STEM_LENGTHS = (4, 5, 6, 7)
+#: Up to these lengths a term's misspellings are looked for by the strict rule.
+SHORT_WORD, SHORT_STEM = 4, 5
 
 
 class Trie:
@@ -58,17 +62,23 @@ class LevenshteinTrie:
 
     Sets of positions are made deterministic as words meet them and kept, so that a further word costs one lookup
     per letter, and most words leave the automaton after a few letters.
+
+    With ``prefix`` a term accepts every word it begins; its own last letter is then matched as it is, as a shorter
+    beginning would be accepted otherwise.  With ``strict`` an edit is a digit or sign in place of a letter or between
+    letters, or a letter written twice: edits that do not turn one ordinary short word into another.
     """
 
-    def __init__(self, terms: list[str], edits: int = 1, cache: int = 500_000):
-        self.edits, self.cache = edits, cache
+    def __init__(self, terms: list[str], edits: int = 1, cache: int = 500_000, prefix: bool = False, strict: bool = False):
+        self.edits, self.cache, self.prefix, self.strict = edits, cache, prefix, strict
         self.children: list[dict[str, int]] = [{}]
+        self.letter = [""]
         self.term: dict[int, str] = {}
         for t in terms:
             node = 0
             for c in t:
                 if c not in self.children[node]:
                     self.children.append({})
+                    self.letter.append(c)
                     self.children[node][c] = len(self.children) - 1
                 node = self.children[node][c]
             self.term[node] = t
@@ -82,11 +92,13 @@ class LevenshteinTrie:
 
     def _state(self, spent: dict[int, int]) -> int:
         """Number of a position set {node: fewest edits}, closed over letters that the word leaves out; -1 if empty."""
-        todo = list(spent)
+        todo = [] if self.strict else list(spent)
         while todo:
             n = todo.pop()
             if spent[n] < self.edits:
                 for child in self.children[n].values():
+                    if self.prefix and child in self.term:
+                        continue
                     if spent.get(child, self.edits + 1) > spent[n] + 1:
                         spent[child] = spent[n] + 1
                         todo.append(child)
@@ -102,9 +114,13 @@ class LevenshteinTrie:
         new: dict[int, int] = {}
         for n, e in self.sets[state].items():
             for c, child in self.children[n].items():
+                if c != letter and (self.strict and letter.isalpha() or self.prefix and child in self.term):
+                    continue
                 cost = e + (c != letter)
                 if cost <= self.edits and new.get(child, self.edits + 1) > cost:
                     new[child] = cost
+            if self.strict and letter.isalpha() and letter != self.letter[n]:
+                continue
             if e < self.edits and new.get(n, self.edits + 1) > e + 1:
                 new[n] = e + 1
         return self._state(new)
@@ -121,6 +137,11 @@ class LevenshteinTrie:
             if nxt < 0:
                 return None
             state = nxt
+            if self.prefix and (hit := self._term(state)):
+                return hit
+        return self._term(state)
+
+    def _term(self, state: int) -> str | None:
         return next((self.term[n] for n in sorted(self.sets[state]) if n in self.term), None)
 
 
@@ -129,7 +150,13 @@ class Matcher:
 
     def __init__(self, terms: list[tuple[str, bool]], cache_words: int = 400_000):
         self.trie, self.cache_words = Trie(terms), cache_words
-        self.near = LevenshteinTrie([t for t, stem in terms if not stem and len(t) > 4])
+        words, stems = [t for t, stem in terms if not stem], [t for t, stem in terms if stem]
+        self.near = [
+            LevenshteinTrie([t for t in words if len(t) > SHORT_WORD]),
+            LevenshteinTrie([t for t in words if len(t) <= SHORT_WORD], strict=True),
+            LevenshteinTrie([t for t in stems if len(t) > SHORT_STEM], prefix=True),
+            LevenshteinTrie([t for t in stems if len(t) <= SHORT_STEM], prefix=True, strict=True),
+        ]
         self.kind: dict[str, str] = {}
 
     def of(self, word: str) -> str:
@@ -139,7 +166,7 @@ class Matcher:
             if hit:
                 k = "stem" if hit[1] else "exact"
             else:
-                k = "fuzzy" if self.near.find(word) else ""
+                k = "fuzzy" if any(a.find(word) for a in self.near) else ""
             if len(self.kind) >= self.cache_words:
                 self.kind.clear()
             self.kind[word] = k
@@ -151,11 +178,17 @@ class Matcher:
         words = WORD.findall(low)
         hits = {w for w in set(words) if self.of(w)}
         n = {"exact": 0, "stem": 0, "fuzzy": 0, "quoted": 0}
+        # a mixed word counts if no part of it does
+        mixed = set()
+        for m in MIXED.finditer(low):
+            if self.of(m.group()) == "fuzzy" and hits.isdisjoint(WORD.findall(m.group())):
+                mixed.add(m.group())
+                n["quoted" if quoted(low, m.start(), m.end()) else "fuzzy"] += 1
         if hits:
             for m in WORD.finditer(low):
                 if m.group() in hits:
                     n["quoted" if quoted(low, m.start(), m.end()) else self.of(m.group())] += 1
-        return len(words), n["exact"], n["stem"], n["fuzzy"], n["quoted"], len(hits)
+        return len(words), n["exact"], n["stem"], n["fuzzy"], n["quoted"], len(hits) + len(mixed)
 
 
 def quoted(text: str, start: int, end: int) -> bool:
@@ -221,8 +254,12 @@ def learn_terms(train: DataFrame, max_terms: int = MAX_TERMS, min_toxic: int = 8
     use = {r["term"]: r["bad"] for r in rows if r["stem"]}
     stems_found = {s for s in stems_found if not any(w.startswith(s) and n >= 0.8 * use[s] for w, n in words.items())}
     keep = {s for s in stems_found if not any(s[:k] in stems_found for k in range(min(STEM_LENGTHS), len(s)))}
-    plain = [w for w in words if not any(w[:k] in keep for k in range(min(STEM_LENGTHS), len(w) + 1))]
-    return [(s, True) for s in sorted(keep)] + [(w, False) for w in sorted(plain)]
+    # the full words that a stem covers stay in the lexicon: their misspellings are looked for too
+    family = train.sparkSession.createDataFrame([(k,) for k in sorted(keep)], "stem string")
+    forms = counts.where("bad >= 2").where(odds >= min_odds)
+    forms = forms.select("term", F.explode(F.array_distinct(F.array(*[F.substring("term", 1, k) for k in STEM_LENGTHS]))).alias("stem")).join(F.broadcast(family), "stem", "left_semi")
+    plain = set(words) | {r["term"] for r in forms.select("term").distinct().collect()}
+    return [(s, True) for s in sorted(keep)] + [(w, False) for w in sorted(plain - keep)]
 
 
 def extract(docs: DataFrame, terms: list[tuple[str, bool]]) -> DataFrame:

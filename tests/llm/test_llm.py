@@ -97,6 +97,16 @@ def test_op2_quotation_and_held_out(spark):
     assert len(s) == 2 * len(ODD) and all(0 <= x.score <= 0.7 for x in s)
 
 
+def test_op2_misspelled_stems_short_terms_and_mixed_words():
+    m = toxicity.Matcher([("idio", True), ("moron", True), ("imbeci", True), ("idiot", False), ("shit", False), ("ass", False)])
+    for w in ("idjot", "idot", "id1ot", "id1otically", "imbxcile", "imbeeciles", "sh1t", "shiit", "a$s", "mor0ns"):
+        assert m.of(w) == "fuzzy", w
+    assert m.of("idiots") == "stem" and m.of("shit") == "exact"
+    for w in ("odio", "dios", "shot", "asp", "as", "his", "imbed", "morning", "mormon"):
+        assert m.of(w) == "", w
+    assert m.features("You id1ot, a well-known sh1t")[3:] == (2, 0, 2)
+
+
 def test_op3_held_out_accuracy_and_odd_texts(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     j = langid.identify(docs).join(docs.select("doc_id", "lang"), "doc_id").where("held_out")
