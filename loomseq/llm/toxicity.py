@@ -22,7 +22,8 @@ from loomseq.llm.langid import held_out
 WORD = re.compile(r"[^\W\d_]+")
 #: Letters with one or two digits or signs between them; read as one word by the fuzzy match alone.
 MIXED = re.compile(r"[^\W\d_]+(?:[\d@$!|*+#€_.\-]{1,2}[^\W\d_]+)+")
-MAX_TERMS = 4_000
+#: What a worker's memory holds; a larger lexicon is an error, never cut.
+MOST_TERMS = 200_000
 FIT_ROWS = 20_000
 THRESHOLD = 0.7
 WINDOW = 60
@@ -202,27 +203,32 @@ def quoted(text: str, start: int, end: int) -> bool:
 
 
 def labelled(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """Training texts: not held out, with a label; exact copies count once."""
+    """Training texts: not held out, with a label; exact copies count once, as toxic if one of them is.
+
+    Copies are found by a digest of 128 bits, and only the row that stands for its copies takes its text along.
+    """
     own = labels.where("toxic is not null").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
-    train = docs.select("doc_id", "text").where(~held_out(F.col("doc_id")) & F.col("text").isNotNull())
-    # a merge join at every size: how much is exchanged follows the input, not a size estimate
-    return train.hint("merge").join(own, "doc_id").select("text", (F.col("toxic") == 1).alias("toxic"))
+    train = docs.select("doc_id", "text", F.unhex(F.md5("text")).alias("digest")).where(~held_out(F.col("doc_id")) & F.col("text").isNotNull())
+    # merge joins at every size: how much is exchanged follows the input, not a size estimate
+    marks = train.select(F.col("doc_id").alias("id"), F.col("digest").alias("mark")).hint("merge").join(own.withColumnRenamed("doc_id", "id"), "id")
+    first = marks.groupBy("mark").agg(F.min("id").alias("id"), F.max(F.col("toxic") == 1).alias("toxic"))
+    rows = train.hint("merge").join(first, (F.col("doc_id") == F.col("id")) & (F.col("digest") == F.col("mark")))
+    # an id may repeat with its text; such rows meet in the join, so this exchanges nothing
+    return rows.dropDuplicates(["doc_id", "digest"]).select("text", "toxic")
 
 
-def learn_terms(train: DataFrame, max_terms: int = MAX_TERMS, min_toxic: int = 8, min_odds: float = 3.5) -> list[tuple[str, bool]]:
+def learn_terms(train: DataFrame, most_terms: int = MOST_TERMS, min_toxic: int = 8, min_odds: float = 3.5, least_odds: float = 2.0) -> list[tuple[str, bool]]:
     """The lexicon [(term, is_stem)]: whole words and word beginnings whose log-odds mark toxic texts.
 
-    Document counts are summed by tasks first and by Spark after; the driver takes at most ``max_terms`` terms.
+    A term's log-odds are at least ``min_odds``, and at least ``least_odds`` at the lower end of their confidence
+    interval (95 % one-sided), whatever the number of texts.  Every such term is taken; more than ``most_terms`` of
+    them raise an error.  Document counts are summed by tasks first and by Spark after.
     """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        seen: set[int] = set()
         n: dict[str, list[int]] = {}
         for b in batches:
             for text, toxic in zip(b["text"], b["toxic"]):
-                if (h := hash(text)) in seen:
-                    continue
-                seen.add(h)
                 for w in set(WORD.findall(text.lower())):
                     n.setdefault(w, [0, 0])[int(toxic)] += 1
                 n.setdefault("", [0, 0])[int(toxic)] += 1
@@ -246,22 +252,31 @@ def learn_terms(train: DataFrame, max_terms: int = MAX_TERMS, min_toxic: int = 8
     both = counts.where("term <> ''").select("term", F.lit(False).alias("stem"), "clean", "bad").unionByName(
         stems.where("forms >= 4").select("term", F.lit(True).alias("stem"), "clean", "bad")
     )
-    best = both.withColumn("odds", odds).where(f"bad >= {min_toxic} and odds >= {min_odds} and length(term) > 2")
-    rows = best.orderBy(F.desc(F.col("odds") * F.sqrt("bad")), "stem", "term").limit(max_terms).collect()
+    lower = F.col("odds") - 1.645 * F.sqrt(1 / (F.col("bad") + 0.5) + 1 / (F.col("clean") + 0.5))
+    best = both.withColumn("odds", odds).where(f"bad >= {min_toxic} and odds >= {min_odds} and length(term) > 2").where(lower >= least_odds)
+    rows = collected(best, most_terms)
     stems_found = {r["term"] for r in rows if r["stem"]}
     # a stem stands for all that begins with it, but a word that is nearly all of its stem's use stays a word
     words = {r["term"]: r["bad"] for r in rows if not r["stem"]}
     use = {r["term"]: r["bad"] for r in rows if r["stem"]}
-    stems_found = {s for s in stems_found if not any(w.startswith(s) and n >= 0.8 * use[s] for w, n in words.items())}
+    stems_found -= {w[:k] for w, n in words.items() for k in STEM_LENGTHS if w[:k] in use and n >= 0.8 * use[w[:k]]}
     keep = {s for s in stems_found if not any(s[:k] in stems_found for k in range(min(STEM_LENGTHS), len(s)))}
     # the full words that a stem covers stay in the lexicon: their misspellings are looked for too
     family = train.sparkSession.createDataFrame([(k,) for k in sorted(keep)], "stem string")
     forms = counts.where("bad >= 2").where(odds >= min_odds)
     forms = forms.select("term", F.explode(F.array_distinct(F.array(*[F.substring("term", 1, k) for k in STEM_LENGTHS]))).alias("stem")).join(F.broadcast(family), "stem", "left_semi")
-    plain = set(words) | {r["term"] for r in forms.select("term").distinct().collect()}
+    plain = set(words) | {r["term"] for r in collected(forms.select("term").distinct(), most_terms)}
     return [(s, True) for s in sorted(keep)] + [(w, False) for w in sorted(plain - keep)]
 
 
+def collected(terms: DataFrame, most: int) -> list:
+    """All rows, after a count has shown that there are at most ``most``."""
+    n = terms.count()
+    if n > most:
+        raise ValueError(f"{n} terms mark toxic texts, more than the {most} that workers hold")
+    return terms.collect()
+
+
 def extract(docs: DataFrame, terms: list[tuple[str, bool]]) -> DataFrame:
     """(doc_id, *FEATURES) of every whole text; null text has no words."""
 

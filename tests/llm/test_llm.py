@@ -107,6 +107,21 @@ def test_op2_misspelled_stems_short_terms_and_mixed_words():
     assert m.features("You id1ot, a well-known sh1t")[3:] == (2, 0, 2)
 
 
+def test_op2_copies_count_once_and_no_term_is_cut(spark):
+    letters = [chr(97 + i) for i in range(26)]
+    terms = ["z" + a + b + c for a in letters[:7] for b in letters for c in letters]
+    texts = [(" ".join(terms), 1, f" " + letters[i]) for i in range(20)] + [(f"clean text {i}", 0, "") for i in range(120)] + [("quite unlike", 1, "")] * 400
+    rows = [(i, t + end, y) for i, (t, y, end) in enumerate(texts)] + [(900, "clean text 5", 1)]
+    df = spark.createDataFrame([(3 * i + k, t, y) for i, t, y in rows for k in range(3)], "doc_id long, text string, toxic int").repartition(16)
+    train = toxicity.labelled(df.drop("toxic"), df.select("doc_id", "toxic"))
+    got = {r.text: r.toxic for r in train.collect()}
+    assert train.count() == len(got) and got["quite unlike"] and got["clean text 5"] and not got["clean text 6"]
+    found = toxicity.learn_terms(train.repartition(16))
+    assert found == toxicity.learn_terms(train.coalesce(1)) and set(found) == {(t, False) for t in terms} and len(terms) > 4000
+    with pytest.raises(ValueError):
+        toxicity.learn_terms(train, most_terms=4000)
+
+
 def test_op3_held_out_accuracy_and_odd_texts(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     j = langid.identify(docs).join(docs.select("doc_id", "lang"), "doc_id").where("held_out")
