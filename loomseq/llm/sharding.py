@@ -15,18 +15,21 @@ LAW = "rows"
 
 
 def shard_records(
-    records: DataFrame, key: str = "doc_id", shards: int = 16, seed: int = 42, bucket_rows: int = 20_000
+    records: DataFrame, key: str = "doc_id", shards: int = 16, seed: int = 42, bucket_bytes: int = 8_000_000
 ) -> DataFrame:
     """All columns of ``records`` plus ``shard`` (0..shards-1) and ``slot`` (gapless from 0 within the shard).
 
-    Law ``rows``: shard counts differ by at most one.  ``bucket_rows`` is the mean bucket size; the number of
-    buckets follows the row count, so a bucket's memory does not grow with the input.  Rows are scattered by a
+    Law ``rows``: shard counts differ by at most one.  ``bucket_bytes`` is the mean bucket size; the number of
+    buckets follows the bytes of the strings, so a bucket's memory does not grow with the input.  Rows are scattered by a
     hash of the key *and* of the whole row, so that repeated keys do not pile up in a bucket; fully identical
     rows do share one and are interchangeable.  Null keys are a value like any other.  An empty table gives an
     empty result.  Columns called ``shard`` or ``slot`` are replaced; all others pass through.
     """
     data = [c for c in records.columns if c.lower() not in ("shard", "slot")]
-    buckets = max(1, math.ceil(records.count() / bucket_rows))
+    wide = [F.coalesce(F.octet_length(F.col(f"`{c}`")), F.lit(0)) for c, t in records.select(*[f"`{c}`" for c in data]).dtypes if t in ("string", "binary")]
+    # 40 bytes stand for a row's other columns
+    total = records.agg(F.sum(sum(wide, F.lit(40).cast("long")))).head()[0] or 0
+    buckets = max(1, math.ceil(total / bucket_bytes))
     rec = F.struct(*[F.col(f"`{c}`") for c in data])
     scattered = records.select(
         F.pmod(F.xxhash64(F.lit(seed), rec), F.lit(buckets)).cast("int").alias("_b"),
@@ -53,11 +56,11 @@ def write_shards(sharded: DataFrame, path: str) -> None:
 
 
 def shard_digest(docs: DataFrame, shards: int = 16, seed: int = 42) -> DataFrame:
-    """The digest of a sharding of documents: ids, sizes and checksums instead of texts."""
+    """The digest of a sharding of documents: the documents are shuffled with their texts, and ids, sizes and
+    checksums are taken from what was dealt out.
+    """
     text = F.coalesce(F.col("text"), F.lit(""))
-    digest = docs.select(
-        "doc_id", (F.octet_length(text) + 1).cast("long").alias("size"), F.crc32(text).cast("long").alias("text_crc32")
-    )
-    return shard_records(digest, "doc_id", shards, seed).select(
-        "doc_id", "size", "text_crc32", F.lit(LAW).alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard")
+    return shard_records(docs.select("doc_id", "text"), "doc_id", shards, seed).select(
+        "doc_id", (F.octet_length(text) + 1).cast("long").alias("size"), F.crc32(text).cast("long").alias("text_crc32"),
+        F.lit(LAW).alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard")
     )

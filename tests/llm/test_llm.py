@@ -218,6 +218,17 @@ def test_op8_counts_gapless_and_empty(spark):
     assert sharding.shard_digest(docs.limit(0)).count() == 0
 
 
+def test_op8_moves_texts_in_buckets_by_bytes(spark, monkeypatch):
+    seen, real = [], sharding.shard_records
+    monkeypatch.setattr(sharding, "shard_records", lambda records, *rest: seen.append(records.columns) or real(records, *rest, bucket_bytes=50_000))
+    docs = spark.createDataFrame([(i, f"{i} " + "é" * 5000) for i in range(60)], DOCS)
+    out = sharding.shard_digest(docs, shards=4)
+    assert "text" in seen[0]
+    got = {r.doc_id: (r.size, r.text_crc32) for r in out.collect()}
+    assert got == {r.doc_id: (len(r.text.encode()) + 1, zlib.crc32(r.text.encode())) for r in docs.collect()}
+    assert out.groupBy("shard").agg(F.max("slot").alias("m"), F.count("*").alias("n")).where("m = 14 and n = 15").count() == 4
+
+
 @pytest.mark.parametrize("n, num, block", [(3, 90, 1000), (3, 90, 5), (5, 80, 1000)])
 def test_op9_equals_brute_force(spark, n, num, block):
     rows = near_copies(2)
