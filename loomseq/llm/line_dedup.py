@@ -1,175 +1,177 @@
 """Fuzzy line deduplication by MinHash, in DataFrame functions only.
 
-Every non-blank line is a set of character shingles.  Its signature holds the first shingle hash
-of each of 32 bins; bands of four bins give candidate pairs; pairs are verified by exact Jaccard of the shingle sets; links are
-united by distributed star rounds, and the first line of each component in (doc_id, line number) order stays.
+Every non-blank line is the set of its runs of 10 characters.  Equal lines are one; of each different line the shingles
+are hashed once, a hash threshold keeps those that can be the least of one of 32 bins, and the bins' least hashes are
+its signature.  Bands of four bins give buckets.  In a bucket every line is compared with the bucket's first one by exact Jaccard
+similarity, and then with every other line that this leaves open.  Links are united by distributed star rounds, and the
+first line of each component in (doc_id, line number) order stays.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from loomseq.llm.common import connected_components, cut, release
+from loomseq.llm.common import connected_components, cut, drop_cut
 
-SHINGLE, BINS, ROWS = 10, 32, 4
-BIN_BITS = 5
-#: Shingles that begin with one of these letters make the sketch of a line that has enough of them.
-PICKED = "nsNS"
-FEW, ENOUGH = 12, 20
+SHINGLE, BANDS, ROWS = 10, 8, 4
+BINS = BANDS * ROWS
+#: Mean number of hashes per bin that pass the threshold; a bin that gets none takes the next full one's value.
+PER_BIN = 2
+BIN_BITS = BINS.bit_length() - 1
 TRIMMED = r"trim(BOTH ' \t\r' FROM line)"
 
 
-def shingle_hashes(line: Column, k: int = SHINGLE) -> Column:
-    """Hashes of all runs of ``k`` characters; a shorter line is one shingle."""
-    grams = F.regexp_extract_all(line, F.lit(f"(?s)(?=(.{{{k}}}))"), F.lit(1))
-    return F.when(F.length(line) < k, F.array(F.xxhash64(line))).otherwise(F.transform(grams, lambda g: F.xxhash64(g)))
+def numbered_lines(docs: DataFrame) -> DataFrame:
+    """(doc_id, rh, ln, norm, h1) of non-blank lines; ``norm`` is the line without outer blanks, tabs and returns.
 
+    ``rh`` tells apart rows of one id whose texts differ; rows equal in both are one.
+    """
+    # the row's hash and lines are made below the explode, once a row
+    rows = docs.where(F.col("doc_id").isNotNull() & F.col("text").isNotNull()).select(
+        F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("rh"), F.split("text", "\n").alias("all")
+    ).select("doc_id", "rh", F.posexplode("all").alias("ln", "line"))
+    return rows.select("doc_id", "rh", "ln", F.expr(TRIMMED).alias("norm")).where("norm <> ''").withColumn("h1", F.xxhash64("norm"))
 
-def picked_hashes(line: Column, k: int = SHINGLE) -> Column:
-    """Hashes of the runs of ``k`` characters that begin with a picked letter: a sample that edits elsewhere leave alone."""
-    grams = F.regexp_extract_all(line, F.lit(f"(?s)(?=([{PICKED}].{{{k - 1}}}))"), F.lit(1))
-    return F.transform(grams, lambda g: F.xxhash64(g))
 
+def characters(text: str) -> Column:
+    """The text as four bytes a character, in which a run of characters is found without a scan from the start."""
+    return F.encode(text, "UTF-32")
 
-def signature_bands(df: DataFrame, hashes: str, kind: int) -> DataFrame:
-    """``df`` with the array ``hashes`` turned into band keys: the bands of ``kind`` meet only their own.
 
-    The hashes lie on a ring of ``BINS`` equal bins; each bin's value is the first hash at or after its start, so
-    an empty bin takes the next full one's and short lines have whole signatures too.  The starts are sorted in
-    among the hashes, which leaves two plain array lookups per bin.
-    """
-    starts = [(b - BINS // 2) << (64 - BIN_BITS) for b in range(BINS)]
-    m = df.withColumn("s", F.sort_array(hashes))
-    m = m.withColumn("_in", F.sort_array(F.concat("s", F.array(*[F.lit(x).cast("bigint") for x in starts]))))
-    # lambdas keep the generated method small enough for the JIT; each names its source twice, because the optimiser
-    # moves a source that is named once into the lambda and so computes it anew for every element
-    before = lambda x, b: (F.least(F.array_position("_in", x), F.size("_in")) - 1 - b).cast("int")
-    ring = F.array(*[F.lit(x).cast("bigint") for x in starts])
-    sig = F.transform(ring, lambda x, b: F.coalesce(F.get("s", before(x, b)), F.get("s", F.lit(0))))
-    m = m.withColumn("sig", F.when(F.size("s") > 0, sig))
-    band = lambda b: F.xxhash64(F.lit(kind), b, F.slice("sig", b * ROWS + 1, F.least(F.lit(ROWS), F.size("sig"))))
-    bands = F.when(F.size("sig") > 0, F.transform(F.sequence(F.lit(0), F.lit(BINS // ROWS - 1)), band))
-    return m.withColumn(hashes, bands).drop("s", "_in", "sig")
-
-
-def band_keys(lines: DataFrame) -> DataFrame:
-    """``lines`` (with ``norm``) plus ``bands``, the keys under which candidates meet.
-
-    A line with ``ENOUGH`` picked shingles is sketched from those alone, one with under ``FEW`` from all of its
-    shingles, and one between has both kinds of bands, so similar lines on either side of a bound still meet.
-    """
-    p = lines.withColumn("picked", picked_hashes(F.col("norm")))
-    n = F.size("picked")
-    none = F.array().cast("array<bigint>")
-    p = p.withColumns({"all_": F.when(n < ENOUGH, shingle_hashes(F.col("norm"))).otherwise(none), "picked": F.when(n >= FEW, F.col("picked")).otherwise(none)})
-    p = p.withColumns({"has_picked": F.size("picked") > 0, "has_all": F.size("all_") > 0})
-    p = signature_bands(signature_bands(p, "picked", 1), "all_", 2)
-    bands = F.concat(F.when(F.col("has_picked"), F.col("picked")).otherwise(none), F.when(F.col("has_all"), F.col("all_")).otherwise(none))
-    return p.withColumn("bands", bands).drop("norm", "picked", "all_", "has_picked", "has_all")
+def shingle_count(chars: str) -> Column:
+    """Runs of ``SHINGLE`` characters; a shorter line is one shingle."""
+    return F.greatest(F.shiftright(F.octet_length(chars), 2) - (SHINGLE - 1), F.lit(1))
 
 
-def numbered_lines(docs: DataFrame) -> DataFrame:
-    """(doc_id, ln, norm, h1, h2, pos) of non-blank lines; ``norm`` is the line without outer blanks, tabs and returns."""
-    rows = docs.where(F.col("doc_id").isNotNull() & F.col("text").isNotNull()).select(
-        F.col("doc_id").cast("long").alias("doc_id"), F.posexplode(F.split("text", "\n")).alias("ln", "line")
-    ).withColumn("norm", F.expr(TRIMMED)).where("norm <> ''").drop("line")
-    pos = F.col("doc_id").cast("decimal(20,0)") * F.lit(4294967296).cast("decimal(11,0)") + F.col("ln")
-    return rows.select("doc_id", "ln", "norm", F.xxhash64("norm").alias("h1"), F.xxhash64(F.lit(17), "norm").alias("h2"), pos.cast("decimal(38,0)").alias("pos"))
+def shingle(chars: str, at: Column) -> Column:
+    return F.xxhash64(F.substring(chars, at * 4 + 1, F.lit(4 * SHINGLE)))
 
 
-def verified(pairs: DataFrame, texts: DataFrame, least: float) -> DataFrame:
-    """The (a, b) pairs whose shingle sets have a Jaccard similarity of at least ``least``.
+def band_keys(lines: DataFrame, key: list[str]) -> DataFrame:
+    """(h1, keys): the bands' keys of each row of ``lines`` (``key`` columns, h1, norm), whose ``key`` is unique.
 
-    Texts travel to the pairs, not shingle sets, which take several times their room.
+    The upper bits of a shingle's hash choose its bin; in its bin only a hash below a threshold that falls with the
+    line's length goes on, which leaves ``PER_BIN`` a bin in the mean.
+    """
+    m = lines.select(*key, "h1", characters("norm").alias("u"))
+    m = m.select(*key, "h1", "u", shingle_count("u").alias("n"))
+    m = m.select(*key, "h1", "u", "n", F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("i"))
+    m = m.select(*key, "h1", "n", shingle("u", F.col("i")).alias("g"))
+    low = F.shiftrightunsigned(F.shiftleft("g", BIN_BITS), 32)
+    m = m.where(low * F.col("n") < F.lit(BINS * PER_BIN << 32)).select(*key, "h1", "g", F.shiftrightunsigned("g", 64 - BIN_BITS).alias("bin"))
+    m = m.groupBy(*key).agg(F.min("h1").alias("h1"), *[F.min(F.when(F.col("bin") == b, F.col("g"))).alias(f"m{b}") for b in range(BINS)])
+    every = ["h1", *[f"m{b}" for b in range(BINS)]]
+    m = m.select(*every, *[F.coalesce(*[f"m{ROWS * k + i}" for i in range(ROWS)]).alias(f"g{k}") for k in range(BANDS)])
+    m = m.select(*every, *[F.coalesce(*[f"g{(k + 1 + i) % BANDS}" for i in range(BANDS)]).alias(f"n{k}") for k in range(BANDS)])
+    filled = lambda k, i: F.coalesce(*[f"m{ROWS * k + x}" for x in range(i, ROWS)], f"n{k}")
+    bands = F.array(*[F.xxhash64(F.lit(k), *[filled(k, i) for i in range(ROWS)]) for k in range(BANDS)])
+    # a line so short that none of its hashes passes has no bands
+    return m.where("n0 is not null").select("h1", F.array_distinct(bands).alias("keys"))
+
+
+def similarities(pairs: DataFrame, texts: DataFrame) -> DataFrame:
+    """(a, b, j, na, nb) for each of ``pairs`` (a, b): exact Jaccard similarity and sizes of the shingle sets.
+
+    Each pair's shingles are exploded and counted where the pair's row lies: no shingle is exchanged.
+    """
+    side = lambda c: texts.select(F.col("h1").alias(c), F.col("norm").alias(f"t{c}"))
+    both = pairs.hint("merge").join(side("a"), "a").hint("merge").join(side("b"), "b")
+    m = both.select("a", "b", characters("ta").alias("ua"), characters("tb").alias("ub"))
+    m = m.select("a", "b", "ua", "ub", shingle_count("ua").alias("ka"), shingle_count("ub").alias("kb"))
+    m = m.select("a", "b", "ua", "ub", "ka", F.explode(F.sequence(F.lit(0), F.col("ka") + F.col("kb") - 1)).alias("i"))
+    left = F.col("i") < F.col("ka")
+    m = m.select("a", "b", F.when(left, shingle("ua", F.col("i"))).otherwise(shingle("ub", F.col("i") - F.col("ka"))).alias("g"), F.when(left, 1).otherwise(2).alias("of"))
+    m = m.groupBy("a", "b", "g").agg(F.bit_or("of").alias("of"))
+    in_both, na, nb = (F.count(F.when(c, 1)) for c in (F.col("of") == 3, F.col("of") != 2, F.col("of") != 1))
+    return m.groupBy("a", "b").agg((in_both / F.count("*")).alias("j"), na.alias("na"), nb.alias("nb"))
+
+
+def open_pairs(buckets: DataFrame, known: DataFrame, least: float) -> DataFrame:
+    """Distinct (a, b) of the pairs in a bucket that comparison with its first line does not decide.
+
+    Two lines that both link with the first are in one component.  Any others can only link if their sets' sizes
+    allow it and, as 1 - Jaccard is a metric, their distances to the first differ by no more than 1 - ``least``.
     """
-    side = lambda c: texts.select(F.col("h1").alias(c), F.col("norm").alias(f"n{c}"))
-    both = pairs.join(side("a"), "a").join(side("b"), "b")
-    sets = both.select("a", "b", F.array_distinct(shingle_hashes(F.col("na"))).alias("ga"), F.array_distinct(shingle_hashes(F.col("nb"))).alias("gb"))
-    na, nb = F.size("ga"), F.size("gb")
-    c = F.size(F.array_intersect("ga", "gb"))
-    return sets.where(F.least(na, nb) >= least * F.greatest(na, nb)).withColumn("c", c).where(F.col("c") >= least * (na + nb - F.col("c"))).select("a", "b")
+    x = buckets.where("h1 <> lead").join(known.select(F.col("a").alias("lead"), F.col("b").alias("h1"), "j", F.col("nb").alias("n")), ["lead", "h1"])
+    y = x.select("key", F.col("h1").alias("h2"), F.col("j").alias("j2"), F.col("n").alias("n2"))
+    # one line at least has no link with the first: that side is the smaller one, and it leads the join
+    away = x.where(F.col("j") < least)
+    met = away.hint("merge").join(y, "key").where((F.col("h1") < F.col("h2")) | ((F.col("h1") > F.col("h2")) & (F.col("j2") >= least)))
+    may = (F.abs(F.col("j") - F.col("j2")) <= 1 - least + 1e-9) & (F.least("n", "n2") >= least * F.greatest("n", "n2"))
+    return met.where(may).select(F.least("h1", "h2").alias("a"), F.greatest("h1", "h2").alias("b")).distinct()
 
 
 def removed_lines(docs: DataFrame, least: float = 0.8) -> DataFrame:
-    """(doc_id, ln) of the lines to remove: exact and fuzzy repeats of a line that comes earlier.
+    """(doc_id, rh, ln) of the lines to remove: exact and fuzzy repeats of a line that comes earlier.
 
-    Null texts and ids have no lines; blank lines are never removed.  Equal lines are one node, whatever their
-    number.  Within a bucket each line is compared with the bucket's first and with its neighbours in hash order;
-    buckets that then still hold several components compare every line with every other component's first line.
+    Null texts and ids have no lines; blank lines are never removed.  Rows equal in doc_id and text count as one row.
+    Two different lines with one 64-bit hash, should they ever occur, are both left alone.
     """
-    lines = numbered_lines(docs)
-    # no text beyond this point: positions, hashes and band keys only
-    sketched = cut(band_keys(lines), "lines")
-    kinds = sketched.groupBy("h1", "h2").agg(F.min("pos").alias("first"), F.count("*").alias("n"))
-    kinds = cut(kinds, "kinds")
-    # two different lines with one 64-bit hash (never seen in practice) take part in exact matching only
-    clash = kinds.groupBy("h1").agg(F.count("*").alias("c")).where("c > 1").select("h1")
-    # copies of a line bring the same hash under the same keys and are folded by the aggregation and the distinct
-    banded = sketched.join(clash, "h1", "left_anti") if clash.head(1) else sketched
-    banded = banded.select("h1", F.explode("bands").alias("key"))
-    crowded = banded.groupBy("key").agg(F.min("h1").alias("lead"), F.max("h1").alias("last")).where("lead <> last")
-    inside = cut(banded.join(crowded.select("key", "lead"), "key").distinct(), "buckets")
-    release(docs.sparkSession)
-    before = F.lag("h1").over(Window.partitionBy("key").orderBy("h1"))
-    pairs = inside.where("h1 <> lead").select(F.col("lead").alias("a"), F.col("h1").alias("b")).unionByName(
-        inside.withColumn("a", before).where("a is not null").select("a", F.col("h1").alias("b"))
-    ).distinct()
-
-    # the candidates' texts: each document is told its wanted lines, so that texts move once, by document
-    size = F.lit(4294967296).cast("decimal(11,0)")
-    wanted = inside.select("h1").distinct().join(kinds.select("h1", "first"), "h1")
-    spot = wanted.select(F.floor(F.col("first") / size).cast("long").alias("doc_id"), (F.col("first") % size).cast("int").alias("ln"))
-    by_doc = spot.groupBy("doc_id").agg(F.collect_set("ln").alias("_want"))
-    pick = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(by_doc, "doc_id")
-    rows = pick.select("_want", F.posexplode(F.split("text", "\n")).alias("ln", "line")).where(F.array_contains("_want", F.col("ln")))
-    texts = rows.select(F.expr(TRIMMED).alias("norm")).select(F.xxhash64("norm").alias("h1"), "norm")
-    texts = cut(texts, "texts")
-    release(docs.sparkSession)
-
-    links = cut(verified(pairs, texts, least), "links")
-    parts = connected_components(links, "a", "b")
-    # second look: buckets whose lines are still in several components
-    seen = inside.join(parts.withColumnRenamed("node", "h1"), "h1", "left").select("key", "h1", F.coalesce("component", "h1").alias("c"))
-    firsts = seen.groupBy("key", "c").agg(F.min("h1").alias("a"))
-    several = seen.groupBy("key").agg(F.min("c").alias("x"), F.max("c").alias("y")).where("x <> y").select("key")
-    firsts = firsts.join(several, "key", "left_semi").select("key", F.col("c").alias("ca"), "a")
-    more = seen.join(firsts, "key").where("c <> ca").select(F.least("a", "h1").alias("a"), F.greatest("a", "h1").alias("b")).distinct()
-    done = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    more = verified(more.join(done, ["a", "b"], "left_anti"), texts, least)
-    parts = connected_components(links.unionByName(more), "a", "b")
-    release(docs.sparkSession, inside, texts, links)
-
-    member = parts.select(F.col("node").alias("h1"), "component")
-    grouped = member.join(kinds.select("h1", "h2", "first"), "h1")
-    keep = grouped.groupBy("component").agg(F.min("first").alias("keep"))
-    fuzzy = grouped.join(keep, "component").select("h1", "h2", "keep")
-    alone = kinds.where("n > 1").join(member, "h1", "left_anti").select("h1", "h2", F.col("first").alias("keep"))
-    fate = fuzzy.unionByName(alone)
-    gone = sketched.select("doc_id", "ln", "pos", "h1", "h2").join(fate, ["h1", "h2"]).where("pos <> keep")
-    return gone.select("doc_id", "ln")
+    place = ["doc_id", "rh", "ln"]
+    lines = cut(numbered_lines(docs).select(*place, "h1", F.xxhash64(F.lit(17), "norm").alias("h2")).distinct(), "lines")
+    kinds = lines.groupBy("h1").agg(F.min(F.struct(*place)).alias("first"), F.count("*").alias("n"), F.min("h2").alias("lo"), F.max("h2").alias("hi"))
+    kinds = cut(kinds.where("lo = hi").select("h1", "first.*", "n"), "kinds")
+
+    # one exchange of the texts by place; what follows up to the bands stays in its partitions
+    firsts = numbered_lines(docs).drop("h1").hint("merge").join(kinds.drop("n"), place)
+    sketched = cut(band_keys(firsts, place), "bands")
+    banded = sketched.select("h1", F.explode("keys").alias("key"))
+    crowded = banded.groupBy("key").agg(F.min("h1").alias("lead"), F.max("h1").alias("last")).where("lead <> last").select("key", "lead")
+    buckets = cut(banded.hint("merge").join(crowded, "key"), "buckets")
+    drop_cut(sketched)
+
+    wanted = buckets.select("h1").distinct().join(kinds.drop("n"), "h1")
+    texts = cut(numbered_lines(docs).drop("h1").hint("merge").join(wanted, place).select("h1", "norm").distinct(), "texts")
+    known = cut(similarities(buckets.where("h1 <> lead").select(F.col("lead").alias("a"), F.col("h1").alias("b")).distinct(), texts), "known")
+    more = cut(similarities(open_pairs(buckets, known, least).join(known, ["a", "b"], "left_anti"), texts).where(F.col("j") >= least).select("a", "b"), "more")
+    parts = cut(connected_components(known.where(F.col("j") >= least).select("a", "b").unionByName(more), "a", "b"), "parts")
+    for t in (buckets, texts, known, more):
+        drop_cut(t)
+
+    grouped = kinds.join(parts.withColumnRenamed("node", "h1"), "h1", "left").where("n > 1 or component is not null")
+    grouped = grouped.select("h1", F.coalesce("component", "h1").alias("c"), F.struct(*place).alias("first"))
+    keep = grouped.groupBy("c").agg(F.min("first").alias("keep"))
+    fate = grouped.join(keep, "c").select("h1", "keep")
+    return lines.join(fate, "h1").where(F.struct(*place) != F.col("keep")).select(*place)
+
+
+def dedup_rows(docs: DataFrame, least: float = 0.8) -> DataFrame:
+    """(row, text, lines_removed): every row of ``docs`` as a struct, its text without the repeats, and their number."""
+    gone = removed_lines(docs.select("doc_id", "text"), least).groupBy("doc_id", "rh").agg(F.collect_set("ln").alias("gone"))
+    gone = gone.select(F.col("doc_id").alias("id"), "rh", "gone")
+    rows = docs.select(F.col("doc_id").cast("long").alias("id"), F.xxhash64("text").alias("rh"), "text", F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
+    all_ = F.split("text", "\n")
+    kept = F.transform(F.array_except(F.sequence(F.lit(0), F.size(all_) - 1), "gone"), lambda i: F.get("all", i))
+    out = rows.hint("merge").join(gone, ["id", "rh"], "left").withColumn("all", F.when(F.col("gone").isNotNull(), all_))
+    text = F.when(F.col("gone").isNotNull(), F.array_join(kept, "\n")).otherwise(F.col("text"))
+    return out.select("row", text.alias("text"), F.coalesce(F.when(F.col("gone").isNotNull(), F.size("gone")), F.lit(0)).cast("long").alias("lines_removed"))
+
+
+def with_text(rows: DataFrame, columns: list[str], changed: Column) -> list[Column]:
+    """The user's columns out of ``row``, with ``text`` (and ``n_chars``, where ``changed``) as they are now."""
+    now = {"text": F.col("text")}
+    if "n_chars" in columns:
+        now["n_chars"] = F.when(changed, F.length("text").cast("long")).otherwise(F.col("row.n_chars"))
+    return [now.get(c, F.col(f"row.`{c}`")).alias(c) for c in columns]
 
 
 def dedup_lines(docs: DataFrame, least: float = 0.8) -> DataFrame:
-    """All columns of ``docs`` with the repeats gone from ``text``, plus ``lines_removed`` (long).
+    """All columns of ``docs`` with the repeats gone from ``text``, plus ``lines_removed`` (long; replaces one of that name).
 
-    Line order and the other lines' bytes stay as they are; a document whose lines all go has an empty text.
-    ``doc_id`` is taken as unique; ``n_chars``, if there, is set anew where lines went.
+    Line order and the other lines' bytes stay as they are; a document whose lines all go has an empty text.  Rows
+    with a null id or text pass as they are; rows equal in id and text get the same result.  ``n_chars``, if there,
+    is set anew where lines went; other columns, whatever their names, are left alone.  No rows give no rows.
     """
-    gone = removed_lines(docs, least).groupBy("doc_id").agg(F.collect_set("ln").alias("_gone"))
-    kept = F.filter(F.split("text", "\n"), lambda x, i: ~F.array_contains("_gone", i))
-    out = docs.join(gone, "doc_id", "left").withColumn("lines_removed", F.coalesce(F.when(F.col("_gone").isNotNull(), F.size("_gone")), F.lit(0)).cast("long"))
-    out = out.withColumn("text", F.when(F.col("_gone").isNotNull(), F.array_join(kept, "\n")).otherwise(F.col("text")))
-    if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.when(F.col("_gone").isNotNull(), F.length("text").cast("long")).otherwise(F.col("n_chars")))
-    return out.select(*docs.columns, "lines_removed")
+    cols = [c for c in docs.columns if c.lower() != "lines_removed"]
+    rows = dedup_rows(docs, least)
+    return rows.select(*with_text(rows, cols, F.col("lines_removed") > 0), "lines_removed")
 
 
 def lines_digest(docs: DataFrame, least: float = 0.8) -> DataFrame:
     """(doc_id, n_lines, n_removed, kept_sha256) for every document; null text counts as no lines and empty bytes."""
-    out = dedup_lines(docs.select("doc_id", "text"), least)
-    text = F.coalesce("text", F.lit(""))
-    n = F.when(F.col("text").isNull(), F.lit(0)).otherwise(F.size(F.split("text", "\n")))
-    gone_all = (F.col("text") == "") & (F.col("lines_removed") > 0)
-    n_lines = F.when(gone_all, F.col("lines_removed")).otherwise(n + F.col("lines_removed")).cast("long")
-    return out.select("doc_id", n_lines.alias("n_lines"), F.col("lines_removed").alias("n_removed"), F.sha2(text.cast("binary"), 256).alias("kept_sha256"))
+    rows = dedup_rows(docs.select("doc_id", "text"), least)
+    was = F.col("row.text")
+    n_lines = F.when(was.isNull(), F.lit(0)).otherwise(F.size(F.split(was, "\n"))).cast("long")
+    sha = F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256)
+    return rows.select("row.doc_id", n_lines.alias("n_lines"), F.col("lines_removed").alias("n_removed"), sha.alias("kept_sha256"))
