@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomseq.llm import langid, line_dedup, ngram_join, packing, suffix_dedup
-from loomseq.llm.common import cut, map_pandas
+from loomseq.llm.common import cut, drop_cut, map_pandas
 
 #: A document goes if no language is found in it, or if it is this far from every prototype.
 LEAST_COSINE = 0.05
@@ -30,8 +30,9 @@ def keep_known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Line dedup: repeats of earlier lines go; a document left with no line goes too."""
-    out = line_dedup.dedup_lines(docs)
-    return out.where(~((F.trim("text") == "") & (F.col("lines_removed") > 0))).select(*docs.columns)
+    rows = line_dedup.dedup_rows(docs)
+    kept = rows.where(~((F.trim("text") == "") & (F.col("lines_removed") > 0)))
+    return kept.select(*line_dedup.with_text(rows, docs.columns, F.col("lines_removed") > 0))
 
 
 def keep_one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -79,5 +80,7 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over ``documents``; each result but the last is written and read again."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES[:-1]:
-        docs = cut(stage(spark, docs, sf_dir), f"stage-{name}")
+        kept = cut(stage(spark, docs, sf_dir), f"stage-{name}")
+        drop_cut(docs)
+        docs = kept
     return STAGES[-1][1](spark, docs, sf_dir)
