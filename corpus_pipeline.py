@@ -47,15 +47,15 @@ def drop_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
     def decode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            yield pd.DataFrame({"doc_id": b["doc_id"], "_kept": [k.decode("utf-8", "ignore") for k in b["kept"]]})
-
-    lost = suffix_dedup.remove_repeats(docs.select("doc_id", "text").where("doc_id is not null and text is not null"))
-    kept = map_pandas(lost.select("doc_id", "kept"), decode, "doc_id long, _kept string")
-    out = docs.join(kept, "doc_id", "left").where("_kept is null or trim(_kept) <> ''")
-    cols = {"text": F.coalesce("_kept", "text")}
-    if "n_chars" in docs.columns:
-        cols["n_chars"] = F.when(F.col("_kept").isNotNull(), F.length("_kept").cast("long")).otherwise(F.col("n_chars"))
-    return out.withColumns(cols).select(*docs.columns)
+            yield pd.DataFrame({"id": b["doc_id"], "tie": b["tie"], "kept": [k.decode("utf-8", "ignore") for k in b["kept"]]})
+
+    cols = docs.columns
+    lost = suffix_dedup.remove_repeats(docs.select("doc_id", "text")).where("n_removed > 0").select("doc_id", "tie", "kept")
+    kept = map_pandas(lost.dropDuplicates(["doc_id", "tie"]), decode, "id long, tie int, kept string")
+    rows = docs.select(F.col("doc_id").cast("long").alias("id"), F.hash("text").alias("tie"), F.col("text").alias("was"), F.struct(*[F.col(f"`{c}`") for c in cols]).alias("row"))
+    out = rows.hint("merge").join(kept, ["id", "tie"], "left").where("kept is null or trim(kept) <> ''")
+    out = out.select("row", F.coalesce("kept", "was").alias("text"), F.col("kept").isNotNull().alias("cut"))
+    return out.select(*line_dedup.with_text(out, cols, F.col("cut")))
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
