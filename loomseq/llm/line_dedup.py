@@ -2,14 +2,14 @@
 
 Every non-blank line is the set of its runs of 10 characters.  Equal lines are one; of each different line the shingles
 are hashed once, a hash threshold keeps those that can be the least of one of 32 bins, and the bins' least hashes are
-its signature.  Bands of four bins give buckets.  In a bucket every line is compared with the bucket's first one by exact Jaccard
-similarity, and then with every other line that this leaves open.  Links are united by distributed star rounds, and the
-first line of each component in (doc_id, line number) order stays.
+its signature.  Bands of four bins give buckets.  Every pair of lines in a bucket is verified by exact Jaccard
+similarity, unless other links put both in one component already.  Links are united by distributed star rounds, and
+the first line of each component in (doc_id, line number) order stays.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from loomseq.llm.common import connected_components, cut, drop_cut
@@ -87,19 +87,70 @@ def similarities(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     return m.groupBy("a", "b").agg((in_both / F.count("*")).alias("j"), na.alias("na"), nb.alias("nb"))
 
 
-def open_pairs(buckets: DataFrame, known: DataFrame, least: float) -> DataFrame:
-    """Distinct (a, b) of the pairs in a bucket that comparison with its first line does not decide.
+def labelled_buckets(buckets: DataFrame, parts: DataFrame) -> DataFrame:
+    """``buckets`` with the component ``c`` of each line, without the buckets that lie in one component."""
+    seen = buckets.join(parts.select(F.col("node").alias("h1"), "component"), "h1", "left").select("key", "lead", "h1", F.coalesce("component", "h1").alias("c"))
+    several = seen.groupBy("key").agg(F.min("c").alias("x"), F.max("c").alias("y")).where("x <> y").select("key")
+    return seen.hint("merge").join(several, "key", "left_semi")
 
-    Two lines that both link with the first are in one component.  Any others can only link if their sets' sizes
-    allow it and, as 1 - Jaccard is a metric, their distances to the first differ by no more than 1 - ``least``.
+
+def split_crowded(labelled: DataFrame, crowded: int) -> tuple[DataFrame, DataFrame]:
+    """``labelled`` by whether a bucket's pairs of different components are at most ``crowded`` times its lines."""
+    sizes = labelled.groupBy("key", "c").agg(F.count("*").alias("m")).groupBy("key").agg(F.sum("m").alias("n"), F.sum(F.col("m") * F.col("m")).alias("s"))
+    full = cut(sizes.where((F.col("n") * F.col("n") - F.col("s")) / 2 > crowded * F.col("n")).select("key"), "crowded")
+    return labelled.join(full, "key", "left_anti"), labelled.join(full, "key", "left_semi")
+
+
+def rare_pairs(lines: DataFrame, texts: DataFrame, least: float) -> DataFrame:
+    """Distinct (a, b) of ``lines`` (h1, c) in different components that can link, by their rarest shingles.
+
+    Shingles are ordered by how many of the lines have them.  Of two sets that link, each has one of the other's among
+    the first n - ceil(least * n) + 1 of its own n, so only those are met: near copies that are too far apart have their own
+    changes there.
+    """
+    m = lines.join(texts, "h1").select("h1", "c", characters("norm").alias("u"))
+    m = m.select("h1", "c", "u", F.explode(F.sequence(F.lit(0), shingle_count("u") - 1)).alias("i")).select("h1", "c", shingle("u", F.col("i")).alias("g"))
+    sets = cut(m.groupBy("h1", "g").agg(F.first("c").alias("c")), "sets")
+    ranked = sets.join(sets.groupBy("g").agg(F.count("*").alias("df")), "g").where("df > 1")
+    n = sets.groupBy("h1").agg(F.count("*").alias("n"))
+    # shingles of one line only come first and meet nothing: they use up their share of the prefix
+    alone = n.join(ranked.groupBy("h1").agg(F.count("*").alias("k")), "h1").select("h1", "n", (F.col("n") - F.col("k")).alias("own"), (F.col("n") - F.ceil(least * F.col("n") - 1e-9) + 1).alias("prefix"))
+    place = F.row_number().over(Window.partitionBy("h1").orderBy("df", "g"))
+    first = ranked.join(alone.where("own < prefix"), "h1").withColumn("r", place + F.col("own")).where("r <= prefix").select("h1", "c", "g", "n", "r")
+    other = first.select(F.col("h1").alias("h2"), F.col("c").alias("c2"), "g", F.col("n").alias("n2"), F.col("r").alias("r2"))
+    # at the first shingle that two sets share, what is left of both must be enough for the overlap that a link takes
+    enough = F.least(F.col("n") - F.col("r"), F.col("n2") - F.col("r2")) + 1 >= least / (1 + least) * (F.col("n") + F.col("n2")) - 1e-6
+    met = first.hint("merge").join(other, "g").where((F.col("h1") < F.col("h2")) & (F.col("c") != F.col("c2")) & enough)
+    return met.select(F.col("h1").alias("a"), F.col("h2").alias("b")).distinct()
+
+
+def open_pairs(labelled: DataFrame, known: DataFrame, least: float) -> DataFrame:
+    """Distinct (a, b) of the lines in different components of one bucket that can still link.
+
+    Sizes of sets that link differ little, and as 1 - Jaccard is a metric, so do their distances to the bucket's lead.
     """
-    x = buckets.where("h1 <> lead").join(known.select(F.col("a").alias("lead"), F.col("b").alias("h1"), "j", F.col("nb").alias("n")), ["lead", "h1"])
-    y = x.select("key", F.col("h1").alias("h2"), F.col("j").alias("j2"), F.col("n").alias("n2"))
-    # one line at least has no link with the first: that side is the smaller one, and it leads the join
-    away = x.where(F.col("j") < least)
-    met = away.hint("merge").join(y, "key").where((F.col("h1") < F.col("h2")) | ((F.col("h1") > F.col("h2")) & (F.col("j2") >= least)))
+    to_lead = known.select(F.col("a").alias("lead"), F.col("b").alias("h1"), "j", F.col("nb").alias("n"))
+    x = labelled.where("h1 <> lead").join(to_lead, ["lead", "h1"]).select("key", "h1", "j", "n", "c")
+    y = x.select("key", F.col("h1").alias("h2"), F.col("j").alias("j2"), F.col("n").alias("n2"), F.col("c").alias("c2"))
     may = (F.abs(F.col("j") - F.col("j2")) <= 1 - least + 1e-9) & (F.least("n", "n2") >= least * F.greatest("n", "n2"))
-    return met.where(may).select(F.least("h1", "h2").alias("a"), F.greatest("h1", "h2").alias("b")).distinct()
+    return x.hint("merge").join(y, "key").where((F.col("h1") < F.col("h2")) & (F.col("c") != F.col("c2")) & may).select(F.col("h1").alias("a"), F.col("h2").alias("b")).distinct()
+
+
+def bucket_links(buckets: DataFrame, texts: DataFrame, least: float, crowded: int = 8) -> DataFrame:
+    """(node, component) of the lines that link: every pair in a bucket is verified, excluded or in one component.
+
+    First each line meets its bucket's lead.  The pairs that are then still in different components are verified one
+    by one, but in buckets where these are more than ``crowded`` times the lines, only those that share a rare shingle.
+    """
+    ends = buckets.where("h1 <> lead").select(F.col("lead").alias("a"), F.col("h1").alias("b")).distinct()
+    known = cut(similarities(ends, texts), "known")
+    links = known.where(F.col("j") >= least).select("a", "b")
+    parts = cut(connected_components(links, "a", "b"), "parts")
+    labelled = cut(labelled_buckets(buckets, parts), "open")
+    few, many = split_crowded(labelled, crowded)
+    left = open_pairs(few, known, least).unionByName(rare_pairs(many.select("h1", "c").distinct(), texts, least)).distinct()
+    more = cut(similarities(cut(left, "pairs"), texts).where(F.col("j") >= least).select("a", "b"), "more")
+    return connected_components(links.unionByName(more), "a", "b")
 
 
 def removed_lines(docs: DataFrame, least: float = 0.8) -> DataFrame:
@@ -123,11 +174,9 @@ def removed_lines(docs: DataFrame, least: float = 0.8) -> DataFrame:
 
     wanted = buckets.select("h1").distinct().join(kinds.drop("n"), "h1")
     texts = cut(numbered_lines(docs).drop("h1").hint("merge").join(wanted, place).select("h1", "norm").distinct(), "texts")
-    known = cut(similarities(buckets.where("h1 <> lead").select(F.col("lead").alias("a"), F.col("h1").alias("b")).distinct(), texts), "known")
-    more = cut(similarities(open_pairs(buckets, known, least).join(known, ["a", "b"], "left_anti"), texts).where(F.col("j") >= least).select("a", "b"), "more")
-    parts = cut(connected_components(known.where(F.col("j") >= least).select("a", "b").unionByName(more), "a", "b"), "parts")
-    for t in (buckets, texts, known, more):
-        drop_cut(t)
+    parts = cut(bucket_links(buckets, texts, least), "parts")
+    drop_cut(buckets)
+    drop_cut(texts)
 
     grouped = kinds.join(parts.withColumnRenamed("node", "h1"), "h1", "left").where("n > 1 or component is not null")
     grouped = grouped.select("h1", F.coalesce("component", "h1").alias("c"), F.struct(*place).alias("first"))
