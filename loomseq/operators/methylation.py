@@ -77,13 +77,15 @@ def probe_votes(probes: DataFrame, calls: DataFrame, margin: int = 25, low: floa
     """Per probe: the calls from start - margin to start + margin + 1 and their vote.
 
     Scores over ``high`` vote 1, under ``low`` -1, others not; the vote is the median of those, cut towards 0, so
-    an even split is no call.
+    an even split is no call.  Calls are counted per place before the join, and of two kinds of votes the more frequent
+    is the median: no list of votes is kept.
     """
     spots = probes.select("probe_id", "chrom", F.col("start_pos"), (F.col("start_pos") + 1).alias("end_pos"))
-    v = F.when(F.col("score") > high, 1).when(F.col("score") < low, -1).otherwise(0)
-    hits = points_in(calls, spots, margin, margin, width=64 * 64).withColumn("v", v)
-    vote = F.coalesce(F.expr("cast(median(v) filter (where v <> 0) as int)"), F.lit(0))
-    return hits.groupBy(F.col("r_probe_id").alias("probe_id")).agg(F.count("*").alias("calls"), vote.alias("vote"))
+    score = F.col("score")
+    places = calls.groupBy("chrom", "pos").agg(F.count("*").alias("n"), F.count_if(score > high).alias("up"), F.count_if(score < low).alias("down"))
+    hits = points_in(places, spots, margin, margin, width=64)
+    vote = F.signum(F.sum("up") - F.sum("down")).cast("int")
+    return hits.groupBy(F.col("r_probe_id").alias("probe_id")).agg(F.sum("n").alias("calls"), vote.alias("vote"))
 
 
 def site_pairs(bed: DataFrame, pairs: DataFrame) -> DataFrame:

@@ -45,8 +45,17 @@ def primary_and_supplementary(aln: DataFrame) -> DataFrame:
     return primary.intersect(aln.where("is_supplementary").select("sample", "read_id"))
 
 
-def file_statistics(aln: DataFrame) -> DataFrame:
-    """Per file: alignments and bases by pass/fail, supplementary rows, reads with one, region reads, last start."""
+#: The region whose reads are counted by default: chromosome, start, end.  Fixed values.
+REGION = ("chr10", 129466536, 129467536)
+
+
+def file_statistics(aln: DataFrame, region: tuple[str, int, int] = REGION) -> DataFrame:
+    """Per file: alignments and bases by pass/fail, supplementary rows, reads with one, region reads, last start.
+
+    Region reads are primary rows that overlap ``region``.
+    """
+    chrom, first, last = region
+    met = (F.col("chrom") == chrom) & (F.col("start_pos") < last) & (F.col("end_pos") > first)
     ok = F.coalesce(F.col("qs") >= MIN_PRIMARY_QS, F.lit(True))
     span = F.col("end_pos") - F.col("start_pos")
     primary = ~F.col("is_supplementary")
@@ -56,7 +65,7 @@ def file_statistics(aln: DataFrame) -> DataFrame:
         F.coalesce(F.sum(F.when(primary & ~ok, span)), F.lit(0)).alias("fail_bases"),
         F.sum(F.when(primary, span).otherwise(0)).alias("yield_bases"), F.count_if("is_supplementary").alias("supplementary"),
         F.countDistinct(F.when(F.col("is_supplementary"), F.col("read_id"))).alias("reads_with_supplementary"),
-        F.count_if((F.col("chrom") == "chr10") & primary).alias("region_reads"), F.max("start_time").alias("last_start"),
+        F.count_if(met & primary).alias("region_reads"), F.max("start_time").alias("last_start"),
     ).withColumn("has_region_reads", F.col("region_reads") > 0)
 
 

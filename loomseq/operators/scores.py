@@ -19,8 +19,15 @@ def latest_top(scores: DataFrame) -> DataFrame:
     return now.withColumn("_r", rank).where("_r = 1").select(*KEY, "class", "score")
 
 
-def confidence_label(score: Column, high: float, medium: float, low: float) -> Column:
-    return F.when(score >= high, "High").when(score >= medium, "Medium").when(score >= low, "Low").otherwise("Very low")
+#: High, medium and low bound (percent) per classifier, and for any other.  Fixed values.
+CONFIDENCE = {"sturgeon": (95.0, 80.0, 0.0), "nanodx": (50.0, 25.0, 0.0), "pannanodx": (50.0, 25.0, 0.0), "random_forest": (85.0, 65.0, 0.0)}
+OTHER_CONFIDENCE = (80.0, 50.0, 20.0)
+
+
+def confidence_label(percent: Column, classifier: Column) -> Column:
+    """The verbal level of a score by its classifier's own bounds."""
+    bound = lambda i: F.coalesce(*[F.when(classifier == c, F.lit(v[i])) for c, v in CONFIDENCE.items()], F.lit(OTHER_CONFIDENCE[i]))
+    return F.when(percent >= bound(0), "High confidence").when(percent >= bound(1), "Medium confidence").when(percent >= bound(2), "Low confidence").otherwise("Very low confidence")
 
 
 def top_history(scores: DataFrame, n: int = 3) -> DataFrame:
@@ -51,15 +58,28 @@ def best_member(members: DataFrame) -> DataFrame:
 
 
 def rolling_median(jobs: DataFrame, least: int = 5) -> DataFrame:
-    """Median duration over the last max(10, n // 20) jobs of a type, from ``least`` values on."""
-    n = F.count("*").over(Window.partitionBy("job_type"))
-    order = Window.partitionBy("job_type").orderBy("ts", "event_id")
-    r = jobs.withColumns({"_k": F.greatest(F.lit(10), F.floor(n / 20)), "_r": F.row_number().over(order)})
-    own = r.select("job_type", "event_id", "_k", F.col("_r").alias("_at"))
-    # the window's width differs by type, so a frame of fixed rows cannot say it; rows meet theirs by rank
-    spread = own.select("job_type", "event_id", F.explode(F.sequence(F.greatest(F.lit(1).cast("long"), F.col("_at") - F.col("_k") + 1), F.col("_at").cast("long"))).alias("_r"))
-    vals = r.select("job_type", F.col("_r").cast("long").alias("_r"), "duration_seconds")
-    return spread.join(vals, ["job_type", "_r"]).groupBy("job_type", "event_id").agg(F.median("duration_seconds").alias("median"), F.count("*").alias("n")).where(F.col("n") >= least)
+    """Median duration over the last max(10, n // 20) jobs of a type, from ``least`` values on.
+
+    Jobs are ranked within (type, day) and moved by the counts of earlier days, so no type is ordered in one task.  A
+    type is cut into blocks of its window's width; each block gets the block before it and slides its window once.
+    """
+    day = F.to_date("ts").alias("_day")
+    counts = jobs.groupBy("job_type", day).agg(F.count("*").alias("_c"))
+    by_type = Window.partitionBy("job_type")
+    before = counts.select("job_type", "_day", (F.sum("_c").over(by_type.orderBy("_day")) - F.col("_c")).alias("_before"), F.sum("_c").over(by_type).alias("_n"))
+    r = jobs.select("job_type", "event_id", "ts", "duration_seconds", day).withColumn("_at", F.row_number().over(Window.partitionBy("job_type", "_day").orderBy("ts", "event_id")))
+    r = r.join(before, ["job_type", "_day"]).select("job_type", "event_id", "duration_seconds", (F.col("_at") + F.col("_before") - 1).alias("at"), F.greatest(F.lit(10), F.floor(F.col("_n") / 20)).alias("k"))
+    own = F.floor(F.col("at") / F.col("k"))
+    dealt = r.withColumn("own", own).withColumn("block", F.explode(F.array(own, own + 1)))
+
+    def slide(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("at")
+        win = pdf["duration_seconds"].rolling(int(pdf["k"].iloc[0]), min_periods=least)
+        out = pd.DataFrame({"job_type": pdf["job_type"], "event_id": pdf["event_id"], "median": win.median(), "n": win.count()})
+        out = out[(pdf["own"] == pdf["block"]) & (out["n"] >= least)]
+        return out.astype({"n": "int64"})
+
+    return dealt.groupBy("job_type", "block").applyInPandas(slide, "job_type string, event_id long, median double, n long")
 
 
 def job_overview(jobs: DataFrame) -> DataFrame:

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from loomseq.operators.intervals import points_in
+
 
 def info_value(info: Column, key: str) -> Column:
     """The value of ``key`` in an INFO text, null where it is absent; values may hold ``=``."""
@@ -70,8 +72,13 @@ def pileup_counts(bases: DataFrame, first_reads: int = 10) -> DataFrame:
     n = {b: F.count_if(F.col("base") == s) for b, s in (("A", "A"), ("C", "C"), ("G", "G"), ("T", "T"), ("N", "N"), ("indel", "-"))}
     out = bases.groupBy("chrom", "pos").agg(
         *[c.alias(b) for b, c in n.items()], F.round(F.avg("qual"), 6).alias("mean_qual"),
-        F.slice(F.array_sort(F.collect_set("read_id")), 1, first_reads).alias("reads"),
     )
+    # the group limit is applied before the exchange, so a deep position never gathers its reads
+    place = F.row_number().over(Window.partitionBy("chrom", "pos").orderBy("read_id"))
+    named = bases.select("chrom", "pos", "read_id").where("read_id is not null").distinct().withColumn("_r", place).where(F.col("_r") <= first_reads)
+    named = named.groupBy("chrom", "pos").agg(F.array_sort(F.collect_list("read_id")).alias("reads"))
+    none = F.array().cast("array<string>")
+    out = out.join(named, ["chrom", "pos"], "left").withColumn("reads", F.coalesce("reads", none))
     depth = F.col("A") + F.col("C") + F.col("G") + F.col("T") + F.col("N")
     top = F.greatest("A", "C", "G", "T")
     major = F.when(top == 0, F.lit(None).cast("string")).when(F.col("A") == top, "A").when(F.col("C") == top, "C").when(F.col("G") == top, "G").otherwise("T")
@@ -79,22 +86,54 @@ def pileup_counts(bases: DataFrame, first_reads: int = 10) -> DataFrame:
 
 
 def evidence(variants: DataFrame, pile: DataFrame) -> DataFrame:
-    """Known variants beside the pileup at their place: support, allele share, level and zygosity."""
+    """Known variants beside the pileup at their place: support, allele share, level and zygosity.
+
+    A variant whose reference and alternate differ in length is an indel: a deletion is left to review, an insertion
+    too where the pileup's base is the first of the reference, and its reads of that base are its reference support.
+    """
     j = variants.join(pile, ["chrom", "pos"])
-    of = lambda c: F.coalesce(*[F.when(F.col(c) == b, F.col(b)) for b in "ACGT"], F.lit(0).cast("long"))
-    j = j.withColumns({"ref_support": of("ref"), "alt_support": of("alt")})
-    vaf = F.when(F.col("coverage") > 0, F.col("alt_support") / F.col("coverage")).otherwise(0.0)
-    j = j.withColumn("vaf", F.round(vaf, 6))
-    level = F.when(F.col("alt_support") == 0, "none").when((F.col("vaf") >= 0.3) & (F.col("coverage") >= 10), "strong").when(F.col("vaf") >= 0.1, "moderate").otherwise("weak")
-    zyg = F.when(F.col("vaf") >= 0.8, "homozygous_alt").when(F.col("vaf") >= 0.2, "heterozygous").otherwise("homozygous_ref")
-    return j.withColumns({"level": level, "zygosity": zyg}).select("chrom", "pos", "ref", "alt", "coverage", "ref_support", "alt_support", "vaf", "level", "zygosity")
-
-
-def region_quality(pile: DataFrame) -> DataFrame:
-    """Coverage of each chromosome's positions and what it is worth: 30x over 1000 bases, 10x over 500."""
-    s = pile.groupBy("chrom").agg(F.count("*").alias("bases"), F.sum("coverage").alias("total"), F.round(F.avg("coverage"), 6).alias("mean"), F.round(F.stddev_pop("coverage"), 6).alias("sd"))
-    label = F.when((F.col("mean") >= 30) & (F.col("bases") >= 1000), "high").when((F.col("mean") >= 10) & (F.col("bases") >= 500), "medium").otherwise("low")
-    return s.withColumn("quality", label)
+    of = lambda base: F.coalesce(*[F.when(base == b, F.col(b)) for b in "ACGT"], F.lit(0).cast("long"))
+    indel = F.length("ref") != F.length("alt")
+    head = F.substring("ref", 1, 1)
+    inserted = indel & (F.length("ref") < F.length("alt"))
+    meets = F.coalesce(F.col("major"), F.lit("N")) == head
+    none = F.lit(0).cast("long")
+    j = j.withColumns({
+        "is_indel": indel,
+        "ref_support": F.when(inserted & meets, of(F.upper(head))).when(indel, none).otherwise(of(F.upper("ref"))),
+        "alt_support": F.when(indel, none).otherwise(of(F.upper("alt"))),
+    })
+    share = F.when((F.col("coverage") > 0) & ~indel, F.col("alt_support") / F.col("coverage")).otherwise(0.0)
+    j = j.withColumn("share", share)
+    n, x = F.col("alt_support"), F.col("share")
+    level = (
+        F.when(inserted & ~meets, "reference_mismatch").when(inserted, "insertion_requires_review").when(indel, "indel_requires_review")
+        .when(n == 0, "no_support").when(n < 3, "low_support").when(x < 0.1, "low_frequency").when(x < 0.3, "medium_frequency").otherwise("high_frequency")
+    )
+    zyg = (
+        F.when(indel, "indel_requires_review").when(F.col("coverage") <= 0, "unknown")
+        .when(x > 0.8, "homozygous").when(x > 0.2, "heterozygous").otherwise("low_frequency")
+    )
+    j = j.withColumns({"level": level, "zygosity": zyg, "vaf": F.round("share", 6)})
+    return j.select("chrom", "pos", "ref", "alt", "coverage", "ref_support", "alt_support", "vaf", "level", "zygosity", "is_indel")
+
+
+def region_quality(pile: DataFrame, regions: DataFrame) -> DataFrame:
+    """Coverage of the positions in each region (chrom, start_pos, end_pos, name; ends included) and what it is worth.
+
+    High: mean of 30 on a region of 1000 bases; medium: 10 on 500.  A region without a covered position is low.
+    """
+    spots = points_in(pile.select("chrom", "pos", "coverage"), regions).groupBy(
+        "chrom", F.col("r_start_pos").alias("start_pos"), F.col("r_end_pos").alias("end_pos"), F.col("r_name").alias("name")
+    ).agg(F.count("*").alias("positions"), F.sum("coverage").alias("total"), F.avg("coverage").alias("m"), F.round(F.stddev_pop("coverage"), 6).alias("sd"))
+    s = regions.select("chrom", "start_pos", "end_pos", "name").distinct().join(spots, ["chrom", "start_pos", "end_pos", "name"], "left")
+    size, m = F.col("end_pos") - F.col("start_pos"), F.coalesce("m", F.lit(0.0))
+    label = F.when((m >= 30) & (size >= 1000), "high").when((m >= 10) & (size >= 500), "medium").otherwise("low")
+    zero = F.lit(0).cast("long")
+    return s.select(
+        "chrom", "start_pos", "end_pos", "name", F.coalesce("positions", zero).alias("positions"), F.coalesce("total", zero).alias("total"),
+        F.round(m, 6).alias("mean"), F.coalesce("sd", F.lit(0.0)).alias("sd"), label.alias("quality"),
+    )
 
 
 def gene_rollup(ev: DataFrame, gene: str = "gene", good: int = 10) -> DataFrame:

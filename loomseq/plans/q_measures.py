@@ -11,14 +11,29 @@ from loomseq.plans.registry import query
 from loomseq.sources import tables as src
 
 BEST = "best as (select sample, chrom, pos, strand, read_id, mod_code, max(prob) as prob from @modcalls group by all)"
-ARMS = """j as (select c.sample, c.chrom, substr(b.band, 1, 1) as arm, value from @cnv c join @bands b on b.chrom = c.chrom and c.bin between b.start_pos // 10000 and b.end_pos // 10000),
-    arms as (select sample, chrom, arm, round(avg(value), 6) + 0.0 as mean, round(avg(case when value > 0.4 then 1 else 0 end), 6) as gain_share, round(avg(case when value < -0.4 then 1 else 0 end), 6) as loss_share,
-    count(*) as bins, greatest(round(avg(case when value > 0.4 then 1 else 0 end), 6), round(avg(case when value < -0.4 then 1 else 0 end), 6)) as share from j group by 1, 2, 3)"""
-EVENTS = """a as (select *, case when mean > 0.4 then 'gain' when mean < -0.4 then 'loss' end as way, count(*) over (partition by sample, chrom) as n from arms),
-    w as (select sample, chrom, min(way) as w1, max(way) as w2, count(way) as k, count(*) as c, max(share) as share, min(share) as low, round(avg(mean), 6) as mean from a where n > 1 group by 1, 2),
-    ev as (select sample, chrom, 'arm' as event, arm, way, mean, case when share > 0.8 then 'High' else 'Medium' end as confidence from a where way is not null and share > 0.4
-    union all select sample, chrom, 'whole', 'pq', w1, mean, case when share > 0.8 then 'High' else 'Medium' end from w where k = c and w1 = w2 and share > 0.7 and low > 0.4
-    union all select sample, chrom, 'whole', arm, case when mean > 0.6 then 'gain' else 'loss' end, mean, case when share > 0.8 then 'High' else 'Medium' end from a where n = 1 and (mean > 1.5 * 0.4 or mean < 1.5 * -0.4))"""
+SEXES = """sm as (select sample, round(avg(value) filter (chrom = 'chrX' and value <> 0), 6) as x_mean, round(avg(value) filter (chrom = 'chrY' and value <> 0), 6) as y_mean from @cnvx group by sample),
+    sx as (select *, case when x_mean is null or y_mean is null then 'Unknown' when x_mean >= 0.1 and y_mean <= -0.1 then 'Female' when x_mean <= 0.1 and y_mean >= -0.2 then 'Male'
+    when x_mean >= 0.1 and y_mean >= -0.1 then 'Male (query X/Y copy number changes)' when x_mean > 0.1 and y_mean > 0.1 then 'Male (query X/Y copy number changes)'
+    when x_mean < 0.1 and y_mean < -0.2 then 'Unknown (Query XY copy number changes)' else 'Unknown' end as sex from sm),
+    lim as (select sample, chrom, upper(sex) in ('XY', 'MALE') as male,
+    case chrom when 'chrX' then case when upper(sex) in ('XY', 'MALE') then 0.3 else 0.75 end when 'chrY' then case when upper(sex) in ('XY', 'MALE') then 0.5 else 0.2 end else 0.4 end as up,
+    case chrom when 'chrX' then case when upper(sex) in ('XY', 'MALE') then -0.3 else -0.75 end when 'chrY' then case when upper(sex) in ('XY', 'MALE') then -0.5 else -1.0 end else -0.4 end as down
+    from (select distinct sample, chrom from @cnvx) join sx using (sample))"""
+ARMS = f"""{SEXES}, j as (select c.sample, c.chrom, substr(b.band, 1, 1) as arm, value, up, down from @cnvx c join @bandsx b on b.chrom = c.chrom and c.bin between b.start_pos // 10000 and b.end_pos // 10000 join lim l on l.sample = c.sample and l.chrom = c.chrom),
+    arms as (select sample, chrom, arm, round(avg(value), 6) + 0.0 as mean, round(avg(case when value > up then 1 else 0 end), 6) as gain_share, round(avg(case when value < down then 1 else 0 end), 6) as loss_share,
+    count(*) as bins, greatest(round(avg(case when value > up then 1 else 0 end), 6), round(avg(case when value < down then 1 else 0 end), 6)) as share from j group by 1, 2, 3)"""
+EVENTS = """cm as (select sample, chrom, round(avg(value), 6) as m from @cnvx group by all),
+    tw as (select cm.sample, cm.chrom, m, p.mean as p, q.mean as q, p.share as ps, q.share as qs, up, down from cm join lim using (sample, chrom)
+    left join (select * from arms where arm = 'p') p on p.sample = cm.sample and p.chrom = cm.chrom left join (select * from arms where arm = 'q') q on q.sample = cm.sample and q.chrom = cm.chrom
+    where not (cm.chrom = 'chrY' and male)),
+    e0 as (select sample, chrom, case when p > up and q > up then 'WHOLE_CHR_GAIN' else 'WHOLE_CHR_LOSS' end as event, null::varchar as arm, m as mean, case when least(ps, qs) > 0.8 then 'High' else 'Medium' end as confidence, greatest(ps, qs) as share
+    from tw where p is not null and q is not null and (ps > 0.7 or qs > 0.7) and ps > 0.4 and qs > 0.4 and ((p > up and q > up) or (p < down and q < down))
+    union all select sample, chrom, case when m > up then 'WHOLE_CHR_GAIN' else 'WHOLE_CHR_LOSS' end, null, m, 'Medium', 1.0 from tw where (p is null or q is null) and abs(m) > abs(up) * 1.5
+    union all select sample, chrom, case when p > up then 'GAIN' else 'LOSS' end, 'p', p, case when ps > 0.8 then 'High' else 'Medium' end, ps from tw where p is not null and q is not null and chrom <> 'chrY' and ps > 0.4 and (p > up or p < down)
+    union all select sample, chrom, case when q > up then 'GAIN' else 'LOSS' end, 'q', q, case when qs > 0.8 then 'High' else 'Medium' end, qs from tw where p is not null and q is not null and chrom <> 'chrY' and qs > 0.4 and (q > up or q < down)),
+    pl as (select chrom, substr(band, 1, 1) as arm, min(start_pos) as s, max(end_pos) as e from @bandsx group by 1, 2 union all select chrom, null, min(start_pos), max(end_pos) from @bandsx group by 1),
+    pg as (select pl.chrom, pl.arm, s, e, coalesce(list_sort(list(distinct gene) filter (gene is not null)), []) as genes from pl left join @genesx g on g.chrom = pl.chrom and (pl.arm is null or (g.start_pos <= e and g.end_pos >= s)) group by all),
+    ev as (select e0.sample, e0.chrom, event, e0.arm, mean + 0.0 as mean, s as start_pos, e as end_pos, e - s as length, genes, confidence, share from e0 join pg on pg.chrom = e0.chrom and pg.arm is not distinct from e0.arm)"""
 
 
 @query("S3_best_calls", f"with {BEST} select sample, chrom, mod_code, count(*) as n, sum(prob)::bigint as prob from best group by all")
@@ -76,7 +91,7 @@ def a9(t):
 @query("J8_probe_window", """select p.chrom, count(*) as n, count(distinct p.probe_id) as probes from @probes p join @bedm b on b.chrom = p.chrom and b.pos between p.start_pos - 25 and p.start_pos + 26 group by p.chrom""")
 def j8(t):
     spots = t.probes.withColumn("end_pos", F.col("start_pos") + 1)
-    return points_in(t.bedm, spots, 25, 25, width=4096).groupBy("chrom").agg(F.count("*").alias("n"), F.countDistinct("r_probe_id").alias("probes"))
+    return points_in(t.bedm, spots, 25, 25, width=64).groupBy("chrom").agg(F.count("*").alias("n"), F.countDistinct("r_probe_id").alias("probes"))
 
 
 @query("J9_site_filter", "select sample, count(*) as n from @bedm b where exists (select 1 from @probes p where p.chrom = b.chrom and p.start_pos = b.pos) group by sample")
@@ -90,14 +105,14 @@ def j10(t):
     return j.groupBy("sample").agg(F.count("*").alias("n"), F.countDistinct("probe_id").alias("probes"))
 
 
-PAIRS = "p as (select concat('p', p_partkey) as pair_id, concat('chr', 1 + p_partkey % 3) as chrom, p_partkey * 7 % 500 + 1 as p1, p_partkey * 7 % 500 + 2 as p2 from part where p_partkey <= 40)"
+PAIRS = "p as (select concat('p', p_partkey) as pair_id, concat('chr', 1 + p_partkey % 3) as chrom, p_partkey * 7 % 500 + 1 as p1, p_partkey * 7 % 500 + 2 as p2 from part)"
 PAIRED = f"""{PAIRS}, e as (select pair_id, chrom, p1 - 1 as pos, '+' as strand from p union all select pair_id, chrom, p2 - 1, '-' from p)
     select sample, pair_id, coalesce(sum(valid_cov) filter (strand = '+'), 0)::bigint as forward_cov, coalesce(sum(valid_cov) filter (strand = '-'), 0)::bigint as reverse_cov, sum(valid_cov)::bigint as total_cov,
     round(sum(valid_cov * percent_modified / 100))::bigint as total_mod, round(sum(valid_cov * percent_modified) / sum(valid_cov), 2) as meth_pct from @bedm join e using (chrom, pos, strand) group by all"""
 
 
 def site_pairs(t):
-    p = t.table("part").where("p_partkey <= 40").selectExpr("concat('p', p_partkey) as pair_id", "concat('chr', 1 + p_partkey % 3) as chrom", "p_partkey * 7 % 500 + 1 as p1", "p_partkey * 7 % 500 + 2 as p2")
+    p = t.table("part").selectExpr("concat('p', p_partkey) as pair_id", "concat('chr', 1 + p_partkey % 3) as chrom", "p_partkey * 7 % 500 + 1 as p1", "p_partkey * 7 % 500 + 2 as p2")
     return me.site_pairs(t.bedm, p)
 
 
@@ -231,26 +246,29 @@ def a24(t):
     return cnv.chromosome_statistics(t.cnv)
 
 
+def sexes(t):
+    return cnv.estimate_sex(t.cnvx)
+
+
 @query("A25_arm_statistics", f"with {ARMS} select * from arms")
 def a25(t):
-    return cnv.arm_statistics(t.cnv, t.bands)
+    return cnv.arm_statistics(t.cnvx, t.bandsx, sexes(t))
 
 
-@query("A26_events", f"with {ARMS}, {EVENTS} select * from ev")
+@query("A26_events", f"with {ARMS}, {EVENTS} select * replace (array_to_string(genes, ',') as genes) from ev")
 def a26(t):
-    return cnv.call_events(cnv.arm_statistics(t.cnv, t.bands))
+    return cnv.call_events(t.cnvx, t.bandsx, t.genesx, sexes(t)).withColumn("genes", F.array_join("genes", ","))
 
 
-@query("A27_event_summary", f"""with {ARMS}, {EVENTS} select sample, count(*) as events, count(*) filter (event = 'whole') as whole, count(*) filter (event = 'arm') as arms, count(*) filter (way = 'gain') as gains,
-    count(*) filter (way = 'loss') as losses, count(*) filter (confidence = 'High') as high, count(distinct chrom) as chroms from ev group by sample""")
+@query("A27_event_summary", f"""with {ARMS}, {EVENTS} select sample, count(*) as events, count(*) filter (event like 'WHOLE%') as whole, count(*) filter (event not like 'WHOLE%') as arms, count(*) filter (len(genes) > 0) as with_genes,
+    count(*) filter (confidence = 'High') as high, count(*) filter (confidence = 'Medium') as medium, len(list_distinct(flatten(list(genes)))) as genes from ev group by sample""")
 def a27(t):
-    return cnv.event_summary(cnv.call_events(cnv.arm_statistics(t.cnv, t.bands)))
+    return cnv.event_summary(cnv.call_events(t.cnvx, t.bandsx, t.genesx, sexes(t)))
 
 
-@query("A28_sex_estimate", """with m as (select sample, round(avg(value) filter (chrom = 'chr21' and value <> 0), 6) as x_mean, round(avg(value) filter (chrom = 'chr22' and value <> 0), 6) as y_mean from @cnv group by sample)
-    select *, case when x_mean is null or y_mean is null then 'Unknown' when x_mean >= 0.1 and y_mean <= 0.1 then 'XX' when x_mean <= 0.1 and y_mean >= -0.2 then 'XY' else 'Unknown' end as sex from m""")
+@query("A28_sex_estimate", f"with {SEXES} select * from sx")
 def a28(t):
-    return cnv.estimate_sex(t.cnv, "chr21", "chr22")
+    return cnv.estimate_sex(t.cnvx)
 
 
 @query("W4_runs", """with s as (select *, case when value > 0.5 then 1 when value < -0.5 then -1 end as sign from @cnv), r as (select *, bin - row_number() over (partition by sample, chrom, sign order by bin) as i from s where sign is not null)
@@ -259,12 +277,17 @@ def w4(t):
     return cnv.runs(t.cnv)
 
 
-@query("W5_band_runs", """with b as (select c.sample, c.chrom, b.band, b.start_pos, b.end_pos, round(avg(value), 6) as mean from @cnv c join @bands b on b.chrom = c.chrom and c.bin between b.start_pos // 10000 and b.end_pos // 10000 group by all),
-    s as (select *, case when mean > 0.5 then 'gain' when mean < -0.5 then 'loss' else 'normal' end as state from b),
-    f as (select *, case when state = lag(state) over (partition by sample, chrom order by start_pos) then 0 else 1 end as c from s), i as (select *, sum(c) over (partition by sample, chrom order by start_pos) as i from f)
-    select sample, concat(chrom, ' ', arg_min(band, start_pos), '-', arg_max(band, start_pos)) as name, chrom, state, min(start_pos) as start_pos, max(end_pos) as end_pos, round(avg(mean), 6) as mean, count(*) as bands from i group by sample, chrom, i, state""")
+@query("W5_band_runs", f"""with {SEXES}, b as (select l.sample, l.chrom, b.band, b.start_pos, b.end_pos, up, down, coalesce(round(avg(value), 6), 0) as mean from lim l join @bandsx b on b.chrom = l.chrom
+    left join @cnvx c on c.sample = l.sample and c.chrom = l.chrom and c.bin between b.start_pos // 10000 and b.end_pos // 10000 group by all),
+    s as (select *, case when mean > up then 'GAIN' when mean < down then 'LOSS' else 'NORMAL' end as state from b),
+    f as (select *, case when state = lag(state) over (partition by sample, chrom order by start_pos) then 0 else 1 end as c from s), i as (select *, sum(c) over (partition by sample, chrom order by start_pos) as i from f),
+    r as (select sample, chrom, concat(chrom, ' ', arg_min(band, start_pos), '-', arg_max(band, start_pos)) as name, state, min(start_pos) as start_pos, max(end_pos) as end_pos, round(avg(mean), 6) as mean, count(*) as bands from i group by sample, chrom, i, state),
+    wh as (select sample, chrom, round(avg(value), 6) as mean, case when avg((value > up)::int) > 0.7 then 'GAIN' when avg((value < down)::int) > 0.7 then 'LOSS' end as state from @cnvx join lim using (sample, chrom) group by all),
+    al as (select * from r union all select sample, chrom, concat(chrom, ' WHOLE CHROMOSOME ', state), state, (select min(start_pos) from @bandsx b where b.chrom = wh.chrom), (select max(end_pos) from @bandsx b where b.chrom = wh.chrom), mean, null from wh where state is not null)
+    select al.sample, al.chrom, name, state, al.start_pos, al.end_pos, al.end_pos - al.start_pos as length, mean + 0.0 as mean, bands, coalesce(string_agg(distinct gene, ',' order by gene), '') as genes from al
+    left join @genesx g on state <> 'NORMAL' and g.chrom = al.chrom and g.start_pos <= al.end_pos and g.end_pos >= al.start_pos group by all""")
 def w5(t):
-    return cnv.band_runs(t.cnv, t.bands)
+    return cnv.band_runs(t.cnvx, t.bandsx, t.genesx, sexes(t)).withColumn("genes", F.array_join("genes", ","))
 
 
 SMOOTH = "round((coalesce(lag(value) over w, value) + value + coalesce(lead(value) over w, value)) / 3, 6) + 0.0"

@@ -4,6 +4,7 @@ import tempfile
 import uuid
 
 import pandas as pd
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from loomseq.functions import text as tx
@@ -200,12 +201,12 @@ def f17(t):
 STATS = """st as (select sample, file_no, count(*) filter (not is_supplementary and qs >= 12) as pass_reads, count(*) filter (not is_supplementary and qs < 12) as fail_reads,
     coalesce(sum(end_pos - start_pos) filter (not is_supplementary and qs >= 12), 0)::bigint as pass_bases, coalesce(sum(end_pos - start_pos) filter (not is_supplementary and qs < 12), 0)::bigint as fail_bases,
     coalesce(sum(end_pos - start_pos) filter (not is_supplementary), 0)::bigint as yield_bases, count(*) filter (is_supplementary) as supplementary, count(distinct read_id) filter (is_supplementary) as reads_with_supplementary,
-    count(*) filter (chrom = 'chr10' and not is_supplementary) as region_reads, max(start_time) as last_start from @aln group by sample, file_no)"""
+    count(*) filter (chrom = 'chr10' and start_pos < 600000 and end_pos > 400000 and not is_supplementary) as region_reads, max(start_time) as last_start from @aln group by sample, file_no)"""
 
 
 @query("A1_file_statistics", f"with {STATS} select * exclude (last_start), region_reads > 0 as has_region_reads, epoch(last_start)::bigint as last_start from st")
 def a1(t):
-    return rd.file_statistics(t.aln).withColumn("last_start", F.unix_timestamp("last_start"))
+    return rd.file_statistics(t.aln, ("chr10", 400000, 600000)).withColumn("last_start", F.unix_timestamp("last_start"))
 
 
 @query("A2_means", f"with {STATS} select sample, file_no, round(case when pass_reads > 0 then pass_bases / pass_reads else 0 end, 6) as mean_pass, round(case when fail_reads > 0 then fail_bases / fail_reads else 0 end, 6) as mean_fail from st")
@@ -234,9 +235,13 @@ def a36(t):
 PILE = """b as (select chrom, pos, count(*) filter (base = 'A') as "A", count(*) filter (base = 'C') as "C", count(*) filter (base = 'G') as "G", count(*) filter (base = 'T') as "T", count(*) filter (base = 'N') as "N",
     count(*) filter (base = '-') as indel, round(avg(qual), 6) as mean_qual, list_sort(list(distinct read_id))[1:10] as reads from @pile group by chrom, pos),
     pc as (select *, "A" + "C" + "G" + "T" + "N" as coverage, case when greatest("A", "C", "G", "T") = 0 then null when "A" = greatest("A", "C", "G", "T") then 'A' when "C" = greatest("A", "C", "G", "T") then 'C' when "G" = greatest("A", "C", "G", "T") then 'G' else 'T' end as major from b)"""
-EVID = """e0 as (select v.chrom, v.pos, v.ref, v.alt, coverage, case v.ref when 'A' then "A" when 'C' then "C" when 'G' then "G" when 'T' then "T" else 0 end as ref_support, case v.alt when 'A' then "A" when 'C' then "C" when 'G' then "G" when 'T' then "T" else 0 end as alt_support from @vcf v join pc using (chrom, pos)),
-    e1 as (select *, round(case when coverage > 0 then alt_support / coverage else 0 end, 6) as vaf from e0),
-    ev as (select *, case when alt_support = 0 then 'none' when vaf >= 0.3 and coverage >= 10 then 'strong' when vaf >= 0.1 then 'moderate' else 'weak' end as level, case when vaf >= 0.8 then 'homozygous_alt' when vaf >= 0.2 then 'heterozygous' else 'homozygous_ref' end as zygosity from e1)"""
+EVID = """e0 as (select v.chrom, v.pos, v.ref, v.alt, coverage, len(v.ref) <> len(v.alt) as is_indel, len(v.ref) < len(v.alt) as ins, coalesce(major, 'N') = v.ref[1] as meets, upper(case when len(v.ref) < len(v.alt) then v.ref[1] else v.ref end) as rb, upper(v.alt) as ab, "A", "C", "G", "T" from @vcf2 v join pc using (chrom, pos)),
+    e1 as (select *, case when is_indel and not (ins and meets) then 0 when rb = 'A' then "A" when rb = 'C' then "C" when rb = 'G' then "G" when rb = 'T' then "T" else 0 end as ref_support,
+    case when is_indel then 0 when ab = 'A' then "A" when ab = 'C' then "C" when ab = 'G' then "G" when ab = 'T' then "T" else 0 end as alt_support from e0),
+    e2 as (select *, case when coverage > 0 and not is_indel then alt_support / coverage else 0 end as x from e1),
+    ev as (select chrom, pos, ref, alt, coverage, ref_support, alt_support, round(x, 6) as vaf, is_indel,
+    case when is_indel and not ins then 'indel_requires_review' when is_indel and not meets then 'reference_mismatch' when is_indel then 'insertion_requires_review' when alt_support = 0 then 'no_support' when alt_support < 3 then 'low_support' when x < 0.1 then 'low_frequency' when x < 0.3 then 'medium_frequency' else 'high_frequency' end as level,
+    case when is_indel then 'indel_requires_review' when coverage = 0 then 'unknown' when x > 0.8 then 'homozygous' when x > 0.2 then 'heterozygous' else 'low_frequency' end as zygosity from e2)"""
 
 
 @query("A37_pileup", f"with {PILE} select * replace (array_to_string(reads, ',') as reads) from pc")
@@ -246,7 +251,7 @@ def a37(t):
 
 @query("A38_evidence", f"with {PILE}, {EVID} select * from ev")
 def a38(t):
-    return va.evidence(t.vcf, va.pileup_counts(t.pile))
+    return va.evidence(t.vcf2, va.pileup_counts(t.pile))
 
 
 @query("J18_pileup_variants", f"with {PILE} select v.chrom, count(*) as n, sum(coverage)::bigint as coverage from @vcf v join pc using (chrom, pos) group by v.chrom")
@@ -254,16 +259,17 @@ def j18(t):
     return t.vcf.join(va.pileup_counts(t.pile), ["chrom", "pos"]).groupBy("chrom").agg(F.count("*").alias("n"), F.sum("coverage").alias("coverage"))
 
 
-@query("A39_region_quality", f"""with {PILE}, s as (select chrom, count(*) as bases, sum(coverage)::bigint as total, round(avg(coverage), 6) as mean, round(stddev_pop(coverage), 6) as sd from pc group by chrom)
-    select *, case when mean >= 30 and bases >= 1000 then 'high' when mean >= 10 and bases >= 500 then 'medium' else 'low' end as quality from s""")
+@query("A39_region_quality", f"""with {PILE}, rg as (select distinct chrom, start_pos, end_pos, name from @regions),
+    s as (select rg.chrom, start_pos, end_pos, name, count(coverage) as positions, coalesce(sum(coverage), 0)::bigint as total, coalesce(avg(coverage), 0) as m, round(coalesce(stddev_pop(coverage), 0), 6) as sd from rg left join pc on pc.chrom = rg.chrom and pc.pos between start_pos and end_pos group by all)
+    select chrom, start_pos, end_pos, name, positions, total, round(m, 6) as mean, sd, case when m >= 30 and end_pos - start_pos >= 1000 then 'high' when m >= 10 and end_pos - start_pos >= 500 then 'medium' else 'low' end as quality from s""")
 def a39(t):
-    return va.region_quality(va.pileup_counts(t.pile))
+    return va.region_quality(va.pileup_counts(t.pile), t.regions)
 
 
 @query("A42_gene_rollup", f"""with {PILE}, {EVID}, g as (select *, concat('G', pos % 8) as gene from ev), r as (select gene, count(*) filter (alt_support > 0 and coverage >= 10) as high, count(*) filter (alt_support > 0 and coverage < 10) as low from g group by gene)
     select *, case when high > 0 then 'present_with_good_coverage' when low > 0 then 'present_but_low_coverage' else 'none_detected' end as status from r""")
 def a42(t):
-    ev = va.evidence(t.vcf, va.pileup_counts(t.pile)).withColumn("gene", F.concat(F.lit("G"), (F.col("pos") % 8).cast("string")))
+    ev = va.evidence(t.vcf2, va.pileup_counts(t.pile)).withColumn("gene", F.concat(F.lit("G"), (F.col("pos") % 8).cast("string")))
     return va.gene_rollup(ev)
 
 
@@ -283,9 +289,9 @@ def a40(t):
     return sc.hierarchy_totals(leaves, ["superfamily", "family", "class", "subclass"]).withColumn("score", F.round("score", 3))
 
 
-@query("E15_hierarchy_flatten", """select sample, concat('SF', event_id % 2) as superfamily, concat('F', event_id % 4) as family, concat('K', event_id % 8) as class, concat('U', event_id % 16) as subclass, event_id from @scores where event_id % 10 = 0""")
+@query("E15_hierarchy_flatten", """select sample, concat('SF', event_id % 2) as superfamily, concat('F', event_id % 4) as family, concat('K', event_id % 8) as class, concat('U', event_id % 16) as subclass, event_id from @scores""")
 def e15(t):
-    s = t.scores.where("event_id % 10 = 0")
+    s = t.scores
     name = lambda p, k: F.concat(F.lit(p), (F.col("event_id") % k).cast("string")).alias("group")
     leaf = F.struct(name("U", 16), F.lit(1.0).alias("score"))
     tree = F.array(F.struct(name("SF", 2), F.array(F.struct(name("F", 4), F.array(F.struct(name("K", 8), F.array(leaf).alias("members"))).alias("members"))).alias("members")))
@@ -293,10 +299,14 @@ def e15(t):
     return flat.select("sample", "superfamily", "family", "class", "subclass", "event_id")
 
 
-@query("T1_top_class", """with l as (select *, row_number() over (partition by sample, classifier order by ts desc, event_id desc, score desc, class) as k from @scores) select sample, classifier, class, score,
-    case when score >= 80 then 'High' when score >= 50 then 'Medium' when score >= 25 then 'Low' else 'Very low' end as label from l where k = 1""")
+@query("T1_top_class", """with n as (select * replace (case event_id % 5 when 0 then 'sturgeon' when 1 then 'nanodx' when 2 then 'pannanodx' when 3 then 'random_forest' else 'other' end as classifier) from @scores),
+    l as (select *, row_number() over (partition by sample, classifier order by ts desc, event_id desc, score desc, class) as k from n)
+    select sample, classifier, class, score, case when score >= case classifier when 'sturgeon' then 95 when 'nanodx' then 50 when 'pannanodx' then 50 when 'random_forest' then 85 else 80 end then 'High confidence'
+    when score >= case classifier when 'sturgeon' then 80 when 'nanodx' then 25 when 'pannanodx' then 25 when 'random_forest' then 65 else 50 end then 'Medium confidence'
+    when score >= case when classifier = 'other' then 20 else 0 end then 'Low confidence' else 'Very low confidence' end as label from l where k = 1""")
 def t1(t):
-    return sc.latest_top(t.scores).withColumn("label", sc.confidence_label(F.col("score"), 80, 50, 25))
+    named = t.scores.withColumn("classifier", F.expr("case event_id % 5 when 0 then 'sturgeon' when 1 then 'nanodx' when 2 then 'pannanodx' when 3 then 'random_forest' else 'other' end"))
+    return sc.latest_top(named).withColumn("label", sc.confidence_label(F.col("score"), F.col("classifier")))
 
 
 LAST = "last as (select sample, classifier, class, arg_max(score, (ts, event_id)) as last, max(score) as best from @scores group by all)"
@@ -322,7 +332,9 @@ def t4(t):
 
 @query("T5_first_reads", "select sample, chrom, array_to_string(list_sort(list(distinct read_id))[1:10], ',') as reads from @aln group by all")
 def t5(t):
-    return t.aln.groupBy("sample", "chrom").agg(F.array_join(F.slice(F.array_sort(F.collect_set("read_id")), 1, 10), ",").alias("reads"))
+    place = F.row_number().over(Window.partitionBy("sample", "chrom").orderBy("read_id"))
+    first = t.aln.select("sample", "chrom", "read_id").distinct().withColumn("_r", place).where(F.col("_r") <= 10)
+    return first.groupBy("sample", "chrom").agg(F.array_join(F.array_sort(F.collect_list("read_id")), ",").alias("reads"))
 
 
 @query("W9_rolling_median", """with r as (select job_type, event_id, duration_seconds, row_number() over (partition by job_type order by ts, event_id) as r, greatest(10, count(*) over (partition by job_type) // 20) as k from @jobs)

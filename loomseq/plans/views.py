@@ -12,8 +12,8 @@ VIEWS = {
         (l_partkey % 50) * 20000 + (l_orderkey % 40) * 220 + 200 + 10 * cast(l_quantity as bigint) as end_pos,
         40 + (l_orderkey + l_linenumber) % 21 as mapq, 8 + l_orderkey % 12 as qs,
         case when l_linestatus = 'O' then '+' else '-' end as strand, l_linenumber > 1 as is_supplementary, l_shipdate as start_time from {lineitem}""",
-    "genes": """select concat('chr', 1 + p_partkey % 22) as chrom, (p_partkey % 50) * 20000 as start_pos, (p_partkey % 50) * 20000 + 8000 as end_pos,
-        concat('G', p_partkey % 8) as gene from {part} where p_partkey < 400""",
+    "genes": """select concat('chr', 1 + p_partkey % 22) as chrom, (p_partkey % 50) * 20000 + cast(floor(p_partkey / 1100) as bigint) % 40 * 100 as start_pos,
+        (p_partkey % 50) * 20000 + cast(floor(p_partkey / 1100) as bigint) % 40 * 100 + 8000 as end_pos, concat('G', p_partkey % 1100 % 8) as gene from {part}""",
     "regions": """select concat('chr', 1 + p_partkey % 22) as chrom, (p_partkey % 50) * 20000 + (p_size % 7) * 1000 as start_pos,
         (p_partkey % 50) * 20000 + (p_size % 7) * 1000 + 6000 + (p_size % 5) * 3000 as end_pos, concat('G', p_partkey % 8) as name,
         case p_size % 3 when 0 then '+' when 1 then '-' else '.' end as strand from {part}""",
@@ -29,6 +29,9 @@ VIEWS = {
     "bins": """select concat('S', l_orderkey % 4) as sample, concat('chr', 1 + l_partkey % 22) as chrom,
         cast(floor(((l_partkey % 50) * 20000 + (l_orderkey % 40) * 220) / 10000) as bigint) as bin, count(*) as n from {lineitem} group by 1, 2, 3""",
     "cnv": """select sample, chrom, bin, cast((n * 7 + cast(floor(bin / 6) as bigint) * 13) % 30 - 15 as double) / 10 as value from (@bins) q""",
+    "cnvx": """select sample, case chrom when 'chr21' then 'chrX' when 'chr22' then 'chrY' else chrom end as chrom, bin, value from (@cnv) q""",
+    "bandsx": """select case chrom when 'chr21' then 'chrX' when 'chr22' then 'chrY' else chrom end as chrom, band, start_pos, end_pos from (@bands) q where chrom <> 'chr3' or band like 'q%'""",
+    "genesx": """select case chrom when 'chr21' then 'chrX' when 'chr22' then 'chrY' else chrom end as chrom, start_pos, end_pos, gene from (@genes) q""",
     "tcov": """select concat('S', l_orderkey % 4) as sample, concat('chr', 1 + l_partkey % 22) as chrom, concat('G', l_partkey % 8) as gene, l_orderkey % 17 as ts,
         count(*) as reads, sum(200 + 10 * cast(l_quantity as bigint)) as bases, cast(sum(200 + 10 * cast(l_quantity as bigint)) as double) / 400 as coverage from {lineitem} group by 1, 2, 3, 4""",
     "pile": """select concat('chr', 1 + l_suppkey % 22) as chrom, l_partkey * 37 % 100000 as pos, concat('r', l_orderkey) as read_id,
@@ -40,6 +43,7 @@ VIEWS = {
         p_size as qual, case when p_size > 10 then 'PASS' else 'LowQual' end as filter_status,
         concat('CLNSIG=', case p_partkey % 5 when 0 then 'Pathogenic' when 1 then 'Likely_pathogenic' when 2 then 'Benign'
         when 3 then 'Conflicting_classifications_of_pathogenicity' else 'Uncertain_significance' end, ';GENEINFO=G', p_partkey % 8, ':1;DP=', p_size * 2) as info from {part}""",
+    "vcf2": """select chrom, pos, case when qual % 7 = 0 then 'AT' when qual % 7 = 1 then 'C' else ref end as ref, case when qual % 7 = 1 or qual % 7 = 2 then concat(alt, 'C') else alt end as alt from (@vcf) q""",
     "probes": """select concat('cg', p_partkey) as probe_id, concat('chr', 1 + p_partkey % 3) as chrom, p_partkey * 3 % 500 as start_pos from {part}""",
 }
 
