@@ -1,17 +1,20 @@
 """BPE encoding and decoding with a contiguous rank array per word.
 
 Each distinct word is merged once per worker: part boundaries and the ranks of adjacent pairs are held side by
-side, the smallest rank is found by a scan, its boundary deleted and the two neighbouring ranks refreshed.
+side, the smallest rank is found by a scan, its boundary deleted and the two neighbouring ranks refreshed.  Long
+words take the same merges in the same order from a heap.
 """
 
 from __future__ import annotations
 
 import hashlib
+import heapq
 import json
 import re
 import struct
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 import regex
 from pyspark.sql import DataFrame
@@ -21,6 +24,8 @@ from tokenizers import Tokenizer
 from loomseq.llm.common import map_pandas
 
 _NONE = 1 << 60
+#: Words of more bytes are merged with a heap: the scan is for short words.
+LONG_WORD = 96
 _WHITE = r"\t\n\x0b\x0c\r \x85\xa0  -     　"
 
 #: Below these characters nothing composes and lower case is the same in every Unicode version.
@@ -71,13 +76,14 @@ class WordBpe:
         self.white = regex.compile(f"[{_WHITE}]+")
         self.ids: dict[str, tuple[int, ...]] = {}
         self.packed: dict[str, bytes] = {}
-        self.shown: dict[str, str] = {}
 
     def merge(self, word: str) -> list[int]:
         """Ids of one word by the contiguous rank array."""
         sym = [self.alphabet[b] for b in word.encode("utf-8", "surrogatepass")]
         sym[-1] += self.end
         parts = [self.vocab[s] for s in sym]
+        if len(parts) > LONG_WORD:
+            return self.merge_long(parts)
         rank_of = self.ranks.get
         ranks = [rank_of(p, _NONE) for p in zip(parts, parts[1:])]
         while ranks:
@@ -93,6 +99,32 @@ class WordBpe:
                 ranks[i] = rank_of((parts[i], parts[i + 1]), _NONE)
         return parts
 
+    def merge_long(self, parts: list[int]) -> list[int]:
+        """As ``merge``, for long words: a heap of (rank, place) over linked parts, so that no merge scans them all.
+
+        Stale entries are those whose place is gone or whose pair has another rank by now.
+        """
+        n, rank_of = len(parts), self.ranks.get
+        after, before = list(range(1, n + 1)), list(range(-1, n - 1))
+        gone = bytearray(n)
+        heap = [(r, i) for i, p in enumerate(zip(parts, parts[1:])) if (r := rank_of(p)) is not None]
+        heapq.heapify(heap)
+        while heap:
+            rank, i = heapq.heappop(heap)
+            j = after[i]
+            if gone[i] or j >= n or rank_of((parts[i], parts[j])) != rank:
+                continue
+            parts[i] = self.merged[rank]
+            gone[j] = 1
+            after[i] = after[j]
+            if after[j] < n:
+                before[after[j]] = i
+                if (r := rank_of((parts[i], parts[after[i]]))) is not None:
+                    heapq.heappush(heap, (r, i))
+            if before[i] >= 0 and (r := rank_of((parts[before[i]], parts[i]))) is not None:
+                heapq.heappush(heap, (r, before[i]))
+        return [p for p, g in zip(parts, gone) if not g]
+
     def _word(self, word: str) -> tuple[int, ...]:
         ids = self.ids.get(word)
         if ids is None:
@@ -109,15 +141,13 @@ class WordBpe:
             words = [chunk[w.start() : w.end()] for w in self.words.finditer(_NEWER.sub("\ue000", chunk))]
         ids = [i for w in words for i in self._word(w)]
         self.packed[chunk] = struct.pack(f"<{len(ids)}I", *ids)
-        self.shown[chunk] = " ".join(map(self.name.__getitem__, ids))
 
-    def encode(self, text: str) -> tuple[bytes, str]:
-        """(ids as little-endian unsigned 32-bit integers, decoded text) of a whole text."""
-        ids, out = [], []
+    def encode(self, text: str) -> bytes:
+        """The ids of a whole text as little-endian unsigned 32-bit integers."""
+        ids = []
         for k, piece in enumerate(self.special_split.split(text)):
             if k % 2:
                 ids.append(struct.pack("<I", self.special[piece]))
-                out.append(piece)
                 continue
             low = self.normalised(piece) if _BEYOND.search(piece) else piece.lower()
             # str.split also cuts at four control characters that are not white space here
@@ -125,15 +155,13 @@ class WordBpe:
             for c in set(chunks).difference(self.packed):
                 self._learn(c)
             ids.extend(map(self.packed.__getitem__, chunks))
-            out.extend(map(self.shown.__getitem__, chunks))
         if len(self.packed) >= self.cache_words:
             self.packed.clear()
-            self.shown.clear()
-        return b"".join(ids), " ".join(out)
+        return b"".join(ids)
 
     def decode(self, packed: bytes) -> str:
         """Without a decoder in the file, tokens are joined by blanks, special ones included."""
-        return " ".join(self.name[i] for (i,) in struct.iter_unpack("<I", packed))
+        return " ".join(map(self.name.__getitem__, np.frombuffer(packed, "<u4").tolist()))
 
 
 def encode_documents(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -143,7 +171,7 @@ def encode_documents(docs: DataFrame, path: str, id_col: str = "doc_id", text_co
         bpe = WordBpe(path)
         for b in batches:
             got = [bpe.encode(t or "") for t in b["text"]]
-            yield pd.DataFrame({"id": b["id"], "ids": [[i for (i,) in struct.iter_unpack("<I", a)] for a, _ in got], "decoded": [bpe.decode(a) for a, _ in got]})
+            yield pd.DataFrame({"id": b["id"], "ids": [np.frombuffer(a, "<u4").tolist() for a in got], "decoded": [bpe.decode(a) for a in got]})
 
     src = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     kind = docs.schema[id_col].dataType.simpleString()
@@ -161,9 +189,9 @@ def encode_digest(docs: DataFrame, path: str) -> DataFrame:
         for b in batches:
             got = [bpe.encode(t or "") for t in b["text"]]
             yield pd.DataFrame({
-                "doc_id": b["doc_id"], "n_tokens": [len(a) // 4 for a, _ in got],
-                "ids_sha256": [hashlib.sha256(a).hexdigest() for a, _ in got],
-                "decoded_sha256": [hashlib.sha256(d.encode("utf-8", "surrogatepass")).hexdigest() for _, d in got],
+                "doc_id": b["doc_id"], "n_tokens": [len(a) // 4 for a in got],
+                "ids_sha256": [hashlib.sha256(a).hexdigest() for a in got],
+                "decoded_sha256": [hashlib.sha256(bpe.decode(a).encode("utf-8", "surrogatepass")).hexdigest() for a in got],
             })
 
     return map_pandas(docs.select("doc_id", "text"), run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")

@@ -117,11 +117,14 @@ def rare_pairs(lines: DataFrame, texts: DataFrame, least: float) -> DataFrame:
     alone = n.join(ranked.groupBy("h1").agg(F.count("*").alias("k")), "h1").select("h1", "n", (F.col("n") - F.col("k")).alias("own"), (F.col("n") - F.ceil(least * F.col("n") - 1e-9) + 1).alias("prefix"))
     place = F.row_number().over(Window.partitionBy("h1").orderBy("df", "g"))
     first = ranked.join(alone.where("own < prefix"), "h1").withColumn("r", place + F.col("own")).where("r <= prefix").select("h1", "c", "g", "n", "r")
-    other = first.select(F.col("h1").alias("h2"), F.col("c").alias("c2"), "g", F.col("n").alias("n2"), F.col("r").alias("r2"))
+    # the smaller set of a pair is found by a shorter prefix: its overlap is at least that of two sets of its own size
+    shorter = F.col("n") - F.ceil(2 * least / (1 + least) * F.col("n") - 1e-6) + 1
+    other = first.where(F.col("r") <= shorter).select(F.col("h1").alias("h2"), F.col("c").alias("c2"), "g", F.col("n").alias("n2"), F.col("r").alias("r2"))
     # at the first shingle that two sets share, what is left of both must be enough for the overlap that a link takes
     enough = F.least(F.col("n") - F.col("r"), F.col("n2") - F.col("r2")) + 1 >= least / (1 + least) * (F.col("n") + F.col("n2")) - 1e-6
-    met = first.hint("merge").join(other, "g").where((F.col("h1") < F.col("h2")) & (F.col("c") != F.col("c2")) & enough)
-    return met.select(F.col("h1").alias("a"), F.col("h2").alias("b")).distinct()
+    larger = (F.col("n") > F.col("n2")) | ((F.col("n") == F.col("n2")) & (F.col("h1") > F.col("h2")))
+    met = first.hint("merge").join(other, "g").where(larger & (F.col("c") != F.col("c2")) & enough)
+    return met.select(F.least("h1", "h2").alias("a"), F.greatest("h1", "h2").alias("b")).distinct()
 
 
 def open_pairs(labelled: DataFrame, known: DataFrame, least: float) -> DataFrame:

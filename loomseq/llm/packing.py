@@ -103,23 +103,33 @@ def dearest(prices: np.ndarray, lengths: np.ndarray, capacity: int, many: int) -
     return list(out.values())
 
 
-def fractional(lengths: np.ndarray, demand: np.ndarray, capacity: int, steps: int, eps: float) -> dict[tuple, float]:
-    """Multiplicative weights for the covering program: configuration -> amount, scaled to the demanded volume."""
+def fractional(lengths: np.ndarray, demand: np.ndarray, capacity: int, steps: int, eps: float, close: float = 1.001) -> tuple[dict[tuple, float], float]:
+    """Multiplicative weights for the covering program: (configuration -> amount, scaled to the demanded volume; lower bound).
+
+    Prices divided by the value of the dearest configuration are a solution of the dual, so what the demand is worth
+    at them is a lower bound on the sequences; the best one of all steps is kept, and the search ends ``close`` to it.
+    """
     prices = lengths / capacity
     amount: dict[tuple, float] = {}
+    volume = float((lengths * demand).sum())
+    made = total = bound = 0.0
     for _ in range(steps):
         configs = dearest(prices, lengths, capacity, max(1, len(lengths) // 16))
+        bound = max(bound, float((prices * demand).sum()) / max(sum(m * prices[k] for k, m in c.items()) for c in configs))
         cover = np.zeros(len(lengths))
         for config in configs:
             step = min(demand[k] / m for k, m in config.items()) / 4
             key = tuple(sorted(config.items()))
             amount[key] = amount.get(key, 0) + step
+            total += step
             for k, m in config.items():
                 cover[k] += step * m
+                made += step * m * lengths[k]
         prices *= np.exp(-eps * np.minimum(cover / demand, 8))
-    made = sum(a * sum(m * lengths[k] for k, m in c) for c, a in amount.items())
-    scale = float((lengths * demand).sum()) / made
-    return {c: a * scale for c, a in amount.items()}
+        prices /= prices.max()
+        if total * volume / made <= close * bound and len(amount) >= len(lengths):
+            break
+    return {c: a * volume / made for c, a in amount.items()}, bound
 
 
 def best_fit(lengths: np.ndarray, demand: np.ndarray, capacity: int) -> list[dict[int, int]]:
@@ -142,7 +152,17 @@ def best_fit(lengths: np.ndarray, demand: np.ndarray, capacity: int) -> list[dic
 
 
 def plan_bins(hist: dict[int, int], capacity: int = CAPACITY, steps: int = 100, eps: float = 0.5) -> list[tuple[dict[int, int], int]]:
-    """[(configuration: length -> pieces, sequences made so)] that covers the histogram exactly."""
+    """[(configuration: length -> pieces, sequences made so)] that covers the histogram exactly: the better of two roundings."""
+    return min((rounded(hist, capacity, steps, eps, up) for up in (True, False)), key=lambda plan: sum(n for _, n in plan))
+
+
+def rounded(hist: dict[int, int], capacity: int, steps: int, eps: float, up: bool) -> list[tuple[dict[int, int], int]]:
+    """A plan from the program's solution, rounded down and, with ``up``, up again where that fills a sequence well.
+
+    The program is solved and rounded, whatever the histogram's size: amounts are cut to whole numbers, then
+    full configurations are added, those of the longest pieces first, as long as their pieces are there.  What rounding leaves, at most a few
+    pieces per configuration met, is solved again while that places a fifth of it, and then goes best-fit.
+    """
     plan: list[tuple[dict[int, int], int]] = []
     left = {n: c for n, c in hist.items() if c > 0}
     if left.get(capacity):
@@ -151,14 +171,22 @@ def plan_bins(hist: dict[int, int], capacity: int = CAPACITY, steps: int = 100,
         lengths = np.array(sorted(left))
         demand = np.array([left[n] for n in lengths], dtype=np.int64)
         before = int(demand.sum())
-        if before <= 4 * len(lengths):
-            break
-        for config, x in sorted(fractional(lengths, demand.astype(float), capacity, steps, eps).items(), key=lambda c: -c[1]):
-            count = min(int(x), min(int(demand[k]) // m for k, m in config))
+        amounts, _ = fractional(lengths, demand.astype(float), capacity, steps, eps)
+
+        def take(config: tuple, most: float) -> None:
+            count = min(int(most), min(int(demand[k]) // m for k, m in config))
             if count > 0:
                 plan.append(({int(lengths[k]): m for k, m in config}, count))
                 for k, m in config:
                     demand[k] -= m * count
+
+        for config, x in sorted(amounts.items(), key=lambda c: -c[1]):
+            take(config, x)
+        # remainders: configurations of the longest pieces come first, as those are the hardest to place, the fullest before others
+        size = lambda c: sum(m * int(lengths[k]) for k, m in c)
+        for config in sorted(amounts if up else (), key=lambda c: (-c[-1][0], -size(c), -(amounts[c] % 1))):
+            if size(config) >= 0.98 * capacity:
+                take(config, 1)
         left = {int(n): int(c) for n, c in zip(lengths, demand) if c}
         if sum(left.values()) > 0.8 * before:
             break

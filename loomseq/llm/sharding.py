@@ -1,17 +1,36 @@
 """Sharding by a two-pass external shuffle, in DataFrame functions only.
 
-Pass 1 scatters records uniformly into memory-sized buckets by a seeded hash of their key; pass 2 shuffles each
-bucket in memory (``shuffle`` is a Fisher-Yates permutation) and deals the records out from a running position.
+Pass 1 scatters records uniformly into memory-sized buckets by a seeded hash; pass 2 puts each bucket in an order of
+its own by a Fisher-Yates shuffle whose draws come from a hash of seed, bucket and step, and deals the records out from a
+running position.  The same records and seed give the same shards, however Spark cuts the work.
 """
 
 from __future__ import annotations
 
 import math
+import uuid
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from loomseq.llm.common import scratch_dir
+
 LAW = "rows"
+#: What a record counts in a bucket besides its texts; it also bounds the records of a bucket.
+OVERHEAD = 4_000
+
+
+def fisher_yates(n: Column, seed: int, bucket: Column) -> Column:
+    """A permutation of 0..n-1: from the last place down, each is exchanged with a drawn place at or before it."""
+
+    def step(a: Column, i: Column) -> Column:
+        j = F.pmod(F.xxhash64(F.lit(seed), bucket, i), i + 1).cast("int")
+        at, last = F.get(a, j), F.get(a, i)
+        between = F.slice(a, j + 2, F.greatest(i - j - 1, F.lit(0)))
+        return F.when(j == i, a).otherwise(F.concat(F.slice(a, F.lit(1), j), F.array(last), between, F.array(at), F.slice(a, i + 2, F.greatest(n - i - 1, F.lit(0)))))
+
+    first = F.sequence(F.lit(0), n - 1)
+    return F.when(n <= 1, first).otherwise(F.aggregate(F.sequence(n - 1, F.lit(1), F.lit(-1)), first, step))
 
 
 def shard_records(
@@ -27,8 +46,7 @@ def shard_records(
     """
     data = [c for c in records.columns if c.lower() not in ("shard", "slot")]
     wide = [F.coalesce(F.octet_length(F.col(f"`{c}`")), F.lit(0)) for c, t in records.select(*[f"`{c}`" for c in data]).dtypes if t in ("string", "binary")]
-    # 40 bytes stand for a row's other columns
-    total = records.agg(F.sum(sum(wide, F.lit(40).cast("long")))).head()[0] or 0
+    total = records.agg(F.sum(sum(wide, F.lit(OVERHEAD).cast("long")))).head()[0] or 0
     buckets = max(1, math.ceil(total / bucket_bytes))
     rec = F.struct(*[F.col(f"`{c}`") for c in data])
     scattered = records.select(
@@ -36,31 +54,47 @@ def shard_records(
         F.xxhash64(F.lit(seed + 1), F.col(f"`{key}`")).alias("_h"), rec.alias("_r"),
     )
     # sorting by a hash first makes the bucket's content independent of arrival order, so a rerun gives the same
-    shuffled = scattered.groupBy("_b").agg(F.array_sort(F.collect_list(F.struct("_h", "_r"))).alias("_a")).select(
-        "_b", F.size("_a").alias("_n"), F.shuffle("_a", F.lit(seed)).alias("_a")
-    )
-    counts = scattered.groupBy("_b").agg(F.count("*").alias("_c"))
-    starts = counts.select("_b", (F.sum("_c").over(Window.orderBy("_b")) - F.col("_c")).alias("_start"))
+    gathered = scattered.groupBy("_b").agg(F.array_sort(F.collect_list(F.struct("_h", F.xxhash64("_r").alias("_x"), "_r"))).alias("_a"))
+    order = gathered.withColumn("_o", fisher_yates(F.size("_a"), seed + 2, F.col("_b")))
+    shuffled = order.select("_b", F.transform("_o", lambda i: F.get("_a", i)["_r"]).alias("_a"))
+    # running positions of the buckets, in two levels: no task sees all of them
+    counts = scattered.groupBy("_b").agg(F.count("*").alias("_c")).withColumn("_s", F.floor(F.col("_b") / 10_000))
+    upper = counts.groupBy("_s").agg(F.sum("_c").alias("_t"))
+    upper = upper.select("_s", (F.sum("_t").over(Window.orderBy("_s")) - F.col("_t")).alias("_from"))
+    inner = counts.select("_b", "_s", (F.sum("_c").over(Window.partitionBy("_s").orderBy("_b")) - F.col("_c")).alias("_in"))
+    starts = inner.join(upper, "_s").select("_b", (F.col("_from") + F.col("_in")).alias("_start"))
     dealt = shuffled.join(F.broadcast(starts) if buckets <= 100_000 else starts, "_b").select(
-        "_start", F.posexplode("_a").alias("_p", "_e")
+        "_start", F.posexplode("_a").alias("_p", "_r")
     )
     at = F.col("_start") + F.col("_p")
     return dealt.select(
-        "_e._r.*", F.pmod(at, F.lit(shards)).cast("int").alias("shard"), F.floor(at / shards).cast("long").alias("slot")
+        "_r.*", F.pmod(at, F.lit(shards)).cast("int").alias("shard"), F.floor(at / shards).cast("long").alias("slot")
     )
 
 
 def write_shards(sharded: DataFrame, path: str) -> None:
-    """One folder per shard, records in slot order within each file."""
-    sharded.repartition("shard").sortWithinPartitions("shard", "slot").write.partitionBy("shard").parquet(path)
+    """One folder per shard; each task of the deal adds a file to it, in slot order.
+
+    Nothing is exchanged once more: as many tasks write as deal, whatever the number of shards.
+    """
+    sharded.sortWithinPartitions("shard", "slot").write.partitionBy("shard").parquet(path)
+
+
+def read_shards(sharded: DataFrame, path: str) -> DataFrame:
+    """The records written by ``write_shards``, with the columns of ``sharded``."""
+    return sharded.sparkSession.read.schema(sharded.schema).parquet(path)
 
 
 def shard_digest(docs: DataFrame, shards: int = 16, seed: int = 42) -> DataFrame:
-    """The digest of a sharding of documents: the documents are shuffled with their texts, and ids, sizes and
-    checksums are taken from what was dealt out.
+    """The digest of a sharding of documents: shards are written with the texts to the shared scratch folder, and
+    ids, sizes and checksums are taken from the files.
     """
+    spark = docs.sparkSession
+    path = f"{scratch_dir(spark)}/loomseq-shards-{uuid.uuid4().hex}"
+    dealt = shard_records(docs.select("doc_id", "text"), "doc_id", shards, seed)
+    write_shards(dealt, path)
     text = F.coalesce(F.col("text"), F.lit(""))
-    return shard_records(docs.select("doc_id", "text"), "doc_id", shards, seed).select(
+    return read_shards(dealt, path).select(
         "doc_id", (F.octet_length(text) + 1).cast("long").alias("size"), F.crc32(text).cast("long").alias("text_crc32"),
         F.lit(LAW).alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard")
     )
