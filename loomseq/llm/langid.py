@@ -132,8 +132,8 @@ def learn(train: DataFrame, text: str = "text", lang: str = "lang", dim: int = D
     return {k: v / n for k, v in sorted(out.items()) if (n := np.linalg.norm(v)) > 0}
 
 
-def predict_rows(docs: DataFrame, prototypes: dict[str, np.ndarray], dim: int = DIM, group: int = 64) -> DataFrame:
-    """Every row of ``docs`` (with ``text``) and all its columns, plus ``lang_pred`` and ``lang_score``.
+def predict_rows(docs: DataFrame, prototypes: dict[str, np.ndarray], text: str = "text", dim: int = DIM, group: int = 64) -> DataFrame:
+    """Every row of ``docs`` (with the column ``text``) and all its columns, plus ``lang_pred`` and ``lang_score`` (which replace any of those names).
 
     The score is the cosine with the winning prototype, at least 0; ties go to the first language by name.  A
     null text, one without a letter, or a model without languages gives ``und`` and 0.
@@ -145,7 +145,7 @@ def predict_rows(docs: DataFrame, prototypes: dict[str, np.ndarray], dim: int =
         space = GramSpace(dim)
         for b in batches:
             lang, score = [], []
-            texts = [t or "" for t in b["text"]]
+            texts = [t or "" for t in b[text]]
             for at in range(0, len(texts), group):
                 v = space.bundle(texts[at : at + group])
                 norm = np.linalg.norm(v, axis=1)
@@ -162,7 +162,10 @@ def predict_rows(docs: DataFrame, prototypes: dict[str, np.ndarray], dim: int =
 
 
 def identify(docs: DataFrame) -> DataFrame:
-    """(doc_id, held_out, lang_pred, score): learn from the rows that are not held out, predict every row."""
+    """(doc_id, held_out, lang_pred, score): learn from the rows that are not held out, predict every row.
+
+    A row with a null id is not learned from, and not held out; rows that repeat are learned from and predicted each.
+    """
     model = learn(docs.where(~held_out(F.col("doc_id"))))
     found = predict_rows(docs.select("doc_id", "text"), model)
-    return found.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "lang_pred", F.col("lang_score").alias("score"))
+    return found.select("doc_id", F.coalesce(held_out(F.col("doc_id")), F.lit(False)).alias("held_out"), "lang_pred", F.col("lang_score").alias("score"))

@@ -223,6 +223,8 @@ def link_documents(docs: DataFrame, n: int = 3, num: int = 90, den: int = 100, b
     Documents link where den * intersection >= num * union of their sets of distinct ``n``-word shingles (fewer
     words: the whole sequence is one shingle).  A text without words and a null text have the empty set and link
     with nothing.  ``component_id`` is the smallest doc_id reachable by links; a null doc_id is its own component.
+    Rows of one id are one node, whatever their texts: each keeps its own ``n_shingles``, and all share the component.
+    Sets are compared by 64-bit hashes of their shingles.
     Sets that are equal are joined before anything else and count as one below.  A candidate group larger than
     ``block_rows`` is verified block against block in separate tasks.
     """
@@ -269,7 +271,7 @@ def link_documents(docs: DataFrame, n: int = 3, num: int = 90, den: int = 100, b
     dealt = groups.join(sizes, "grp").select("node", "grp", block.alias("b"), "k").select(
         "node", "grp", "b", F.explode(F.sequence(F.lit(0), (F.col("k") - 1).cast("int"))).alias("o")
     ).select("node", "grp", "b", F.least("b", "o").alias("x"), F.greatest("b", "o").alias("y"))
-    work = dealt.join(docs.select(F.col("doc_id").alias("node"), "text").hint("merge"), "node").dropDuplicates(["node", "grp", "x", "y"])
+    work = dealt.join(docs.select(F.col("doc_id").alias("node"), "text", F.xxhash64("text").alias("_t")).hint("merge"), "node").dropDuplicates(["node", "grp", "x", "y", "_t"])
 
     def verify(pdf: pd.DataFrame) -> pd.DataFrame:
         shingler = Shingler(n)

@@ -337,4 +337,4 @@ def score(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> DataF
 
     kinds = ", ".join(f"{f} long" for f in FEATURES)
     out = map_pandas(found, run, f"doc_id long, score double, predicted int, {kinds}")
-    return out.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", "predicted", *FEATURES)
+    return out.select("doc_id", F.coalesce(held_out(F.col("doc_id")), F.lit(False)).alias("held_out"), "score", "predicted", *FEATURES)
