@@ -24,8 +24,11 @@ SHINGLE_WORDS, SIMILARITY_PERCENT = 5, 80
 def keep_known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Language ID: documents without letters, or unlike every learned language, go."""
     model = langid.learn(docs.where(~langid.held_out(F.col("doc_id"))))
-    found = langid.predict_rows(docs, model)
-    return found.where((F.col("lang_pred") != langid.UNKNOWN) & (F.col("lang_score") >= LEAST_COSINE)).select(*docs.columns)
+    # numbered names keep the user's columns apart from the prediction's
+    cols = docs.columns
+    found = langid.predict_rows(docs.toDF(*[f"c{i}" for i in range(len(cols))]), model, f"c{cols.index('text')}")
+    kept = found.where((F.col("lang_pred") != langid.UNKNOWN) & (F.col("lang_score") >= LEAST_COSINE))
+    return kept.select(*[F.col(f"c{i}").alias(c) for i, c in enumerate(cols)])
 
 
 def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
