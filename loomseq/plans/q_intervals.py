@@ -7,6 +7,7 @@ from loomseq.operators import fusion as fu
 from loomseq.operators import intervals as iv
 from loomseq.operators import reads as rd
 from loomseq.plans.registry import query
+from loomseq.streaming import folds
 
 HITS = """hits as (select a.sample, a.read_id, a.chrom, a.start_pos, a.end_pos, a.mapq, a.strand, a.is_supplementary, g.gene
     from @aln a join @genes g on a.chrom = g.chrom and least(a.end_pos, g.end_pos) - greatest(a.start_pos, g.start_pos) > 99)"""
@@ -303,12 +304,16 @@ def u9(t):
     return fu.breakpoint_regions(fu.binned_pairs(pairs(t), WIDE), WIDE)
 
 
-@query("R6_newly_supported", f"""with {HITS}, p as (select distinct gene, read_id from hits where is_supplementary)
-    select gene, support from (select gene, count(distinct read_id) filter (substr(read_id, 2)::bigint % 400 >= 398) as b, count(distinct read_id) as support from p group by gene) where support >= 3 and b < 3""")
+@query("R6_newly_supported", f"""with {HITS}, p as (select distinct gene, read_id, substr(read_id, 2)::bigint % 400 >= 398 as early from hits where is_supplementary),
+    c as (select gene, count(distinct read_id) filter (early) as b, count(distinct read_id) as n from p group by gene)
+    select 0::bigint as v, gene, b as support from c where b >= 3 union all select 1, gene, n from c where b < 3 and n >= 3""")
 def r6(t):
-    h = hits(t).where("is_supplementary").select("gene", "read_id")
+    h = hits(t).where("is_supplementary").select("gene", "read_id").distinct()
     early = F.substring("read_id", 2, 20).cast("long") % 400 >= 398
-    return fu.newly_supported(h.where(early), h.where(~early), ["gene"])
+    from loomseq.plans.q_reads import arriving
+
+    base = arriving(t, [h.where(early), h.where(~early)], folds.crossings("gene", "read_id"), h.schema)
+    return folds.emitted(t.spark, base).select(F.col("v").cast("long").alias("v"), "gene", "support")
 
 
 @query("A4_target_coverage", """with t as (select distinct chrom, start_pos, end_pos, gene from @genes), b as (select t.*, coalesce(sum(least(a.end_pos, t.end_pos) - greatest(a.start_pos, t.start_pos)), 0)::bigint as bases

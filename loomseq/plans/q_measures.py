@@ -311,6 +311,17 @@ def w8(t):
     return cnv.change_points(t.cnv)
 
 
+@query("X1_group_step", """with d as (select sample, chrom, bin, value - lag(value) over (partition by sample, chrom order by bin) as step from @cnv)
+    select sample, chrom, count(*) as bins, round(coalesce(max(abs(step)), 0), 6) as largest from d group by all""")
+def x1(t):
+    def largest(pdf):
+        v = pdf.sort_values("bin")["value"]
+        step = v.diff().abs().max()
+        return pdf.iloc[:1][["sample", "chrom"]].assign(bins=len(v), largest=round(0.0 if step != step else float(step), 6))
+
+    return t.cnv.groupBy("sample", "chrom").applyInPandas(largest, "sample string, chrom string, bins long, largest double")
+
+
 @query("W12_downsample", "select sample, chrom, (bin // 8 + 0.5)::double * 20000 as x, round(avg(value), 6) + 0.0 as value from @cnv group by sample, chrom, bin // 8 having count(*) = 2")
 def w12(t):
     # the derived bins lie four apart

@@ -425,49 +425,98 @@ def e17(t):
     return t.table("lineitem").groupBy(tx.methylation_status(F.when(F.col("l_linenumber") == 1, "Known"), F.col("l_discount")).alias("status")).agg(F.count("*").alias("n"))
 
 
-def streamed(t, df, keys, values, files=4):
-    """``df`` written as ``files`` files, folded one file a batch, and the final state."""
+def arriving(t, parts, fold, schema):
+    """Folder to which ``parts`` came one after the other, each folded by a run over what is new."""
     base = work_dir(t.spark)
-    df.repartition(files, *keys).write.parquet(f"{base}/in")
-    stream = folds.folder_stream(t.spark, f"{base}/in", df.schema, files_per_batch=1)
-    shape = df.groupBy(*keys).agg(*[F.sum(v).cast("long").alias(v) for v in values]).schema
-    folds.fold_stream(stream, f"{base}/state", f"{base}/checkpoint", shape, folds.summed(keys, values)).awaitTermination()
+    for part in parts:
+        part.write.mode("append").parquet(f"{base}/in")
+        stream = folds.folder_stream(t.spark, f"{base}/in", part.schema, files_per_batch=1_000_000)
+        folds.fold_and_emit(stream, base, schema, fold).awaitTermination()
+    return base
+
+
+@query("R1_file_source", "select sample, count(*) as n from @aln where file_no % 3 <> 2 group by sample")
+def r1(t):
+    base = work_dir(t.spark)
+    a = t.aln.select("sample", "file_no", "read_id")
+    for k, name in enumerate(("pass", "fail", "skipped")):
+        a.where(F.col("file_no") % 3 == k).write.parquet(f"{base}/in/{name}")
+    stream = folds.folder_stream(t.spark, f"{base}/in", a.schema, ignore="/skipped/", recursive=True).withColumn("n", F.lit(1))
+    shape = a.groupBy("sample").agg(F.count("*").alias("n")).schema
+    folds.fold_stream(stream, f"{base}/state", f"{base}/checkpoint", shape, folds.summed(["sample"], ["n"])).awaitTermination()
     return folds.latest_state(t.spark, f"{base}/state", shape)
 
 
-@query("R4_staged_accumulation", "select sample, gene, sum(reads)::bigint as reads, sum(bases)::bigint as bases from @tcov group by all")
-def r4(t):
-    return streamed(t, t.tcov.select("sample", "gene", F.col("reads").cast("long"), F.col("bases").cast("long")), ["sample", "gene"], ["reads", "bases"])
+@query("R2_micro_batches", """with g as (select sample_id, job_type, ts, event_id, case when epoch(ts) - epoch(lag(ts) over w) > 600 then 1 else 0 end as fresh from @jobs window w as (partition by sample_id, job_type order by ts, event_id)),
+    r as (select *, sum(fresh) over (partition by sample_id, job_type order by ts, event_id rows unbounded preceding) as run from g),
+    p as (select *, (row_number() over (partition by sample_id, job_type, run order by ts, event_id) - 1) // (case job_type when 'view' then 5 else 2 end) as k from r)
+    select sample_id, job_type, count(*) as jobs, count(distinct (run, k)) as batches from p group by all""")
+def r2(t):
+    cap = F.when(F.col("job_type") == "view", 5).otherwise(2)
+    b = folds.micro_batches(t.jobs, ["sample_id", "job_type"], ["ts", "event_id"], "ts", cap, idle=600)
+    return b.groupBy("sample_id", "job_type").agg(F.count("*").alias("jobs"), F.max("batch").cast("long").alias("batches"))
 
 
-@query("R3_claim_once", "select sample, count(distinct file_no) as files from @aln group by sample")
+@query("R3_claim_once", "select file_no % 3 as v, sample, count(distinct file_no) as files from @aln group by all")
 def r3(t):
-    seen = t.aln.select("sample", F.concat_ws(":", "sample", "file_no").alias("file_key")).distinct()
-    first, second = seen.where("file_key < 'S2'"), seen
-    claimed = first.unionByName(folds.claim_once(first, second, "file_key"))
-    return claimed.groupBy("sample").agg(F.count("*").alias("files"))
+    files = t.aln.select("sample", F.col("file_no").cast("long").alias("file_no"), F.concat_ws(":", "sample", "file_no").alias("file_key"))
+    # files that came before come again with each later part
+    base = arriving(t, [files.where(F.col("file_no") % 3 <= k) for k in range(3)], folds.claims("file_key"), files.select("file_key").schema)
+    return folds.emitted(t.spark, base).groupBy(F.col("v").cast("long").alias("v"), "sample").agg(F.count("*").alias("files"))
+
 
+STAGED = """c as (select sample, ts % 3 as b, count(distinct ts) as f, max(ts) as ts, sum(reads)::bigint as reads from @tcov group by all),
+    p as (select sample, max(f) filter (b = 0) as f0, max(f) filter (b = 1) as f1, max(f) filter (b = 2) as f2, max(ts) filter (b = 0) as t0, max(ts) filter (b = 1) as t1, max(ts) filter (b = 2) as t2,
+    max(reads) filter (b = 0) as r0, max(reads) filter (b = 1) as r1, max(reads) filter (b = 2) as r2 from c group by sample),
+    w as (select *, case when f0 >= 10 then 0 else f0 end as w0 from p), x as (select *, case when w0 + f1 >= 10 then 0 else w0 + f1 end as w1 from w), y as (select *, case when w1 + f2 >= 10 then 0 else w1 + f2 end as w2 from x),
+    pts as (select sample, 0 as v, t0 as ts, r0 as reads from y where f0 >= 10 union all select sample, 1, case when w0 > 0 then greatest(t0, t1) else t1 end, r0 + r1 from y where w0 + f1 >= 10
+    union all select sample, 2, case when w1 = 0 then t2 when w0 = 0 then greatest(t1, t2) else greatest(t0, t1, t2) end, r0 + r1 + r2 from y where w1 + f2 >= 10),
+    fl as (select sample, 3 as v, case when w1 = 0 then t2 when w0 = 0 then greatest(t1, t2) else greatest(t0, t1, t2) end as ts, r0 + r1 + r2 as reads from y where w2 > 0)"""
+
+
+def staged_points(t):
+    c = t.tcov.select("sample", "gene", F.col("ts").cast("long").alias("ts"), F.col("reads").cast("long").alias("reads"))
+    shape = c.schema
+    base = arriving(t, [c.where(F.col("ts") % 3 == k) for k in range(3)], folds.staged(["sample", "gene"], ["reads"], "ts"), shape)
+    return base, shape
+
+
+@query("R4_staged_accumulation", f"with {STAGED} select sample, v::bigint as v, ts, reads from pts")
+def r4(t):
+    base, _ = staged_points(t)
+    return folds.emitted(t.spark, base).select("sample", F.col("v").cast("long").alias("v"), "ts", "reads")
 
-@query("R5_tag_support", "with g as (select read_id, string_agg(distinct chrom, ',' order by chrom) as tag from @aln group by read_id) select tag, count(*) as support from g group by tag having count(*) >= 3")
+
+@query("R8_flush", f"with {STAGED} select sample, v::bigint as v, ts, reads from pts union all select sample, v, ts, reads from fl")
+def r8(t):
+    base, shape = staged_points(t)
+    state = folds.latest_state(t.spark, f"{base}/state", shape)
+    _, last = folds.staged(["sample", "gene"], ["reads"], "ts", force=True)(state, state.limit(0))
+    done = folds.emitted(t.spark, base).select("sample", F.col("v").cast("long").alias("v"), "ts", "reads")
+    return done.unionByName(last.select("sample", F.lit(3).cast("long").alias("v"), "ts", "reads"))
+
+
+@query("R5_tag_support", """with t1 as (select read_id, string_agg(distinct chrom, ',' order by chrom) as tag from @aln where chrom < 'chr2' group by read_id), e1 as (select read_id, tag from t1 where tag in (select tag from t1 group by tag having count(*) >= 3)),
+    t2 as (select read_id, string_agg(distinct chrom, ',' order by chrom) as tag from @aln group by read_id), e2 as (select read_id, tag from t2 where tag in (select tag from t2 group by tag having count(*) >= 3) and read_id not in (select read_id from e1))
+    select 0::bigint as v, tag, count(*) as reads from e1 group by tag union all select 1, tag, count(*) from e2 group by tag""")
 def r5(t):
     pairs = t.aln.select("read_id", "chrom").distinct()
-    state = pairs.where("chrom < 'chr2'")
-    grown = folds.distinct_sets(["read_id", "chrom"])(state, pairs)
-    tags = grown.groupBy("read_id").agg(F.array_join(F.array_sort(F.collect_set("chrom")), ",").alias("tag"))
-    return tags.groupBy("tag").agg(F.count("*").alias("support")).where("support >= 3")
+    early = F.col("chrom") < "chr2"
+    shape = pairs.withColumn("done", F.lit(False)).schema
+    base = arriving(t, [pairs.where(early), pairs.where(~early)], folds.grown_tags("read_id", "chrom"), shape)
+    return folds.emitted(t.spark, base).groupBy(F.col("v").cast("long").alias("v"), "tag").agg(F.count("*").alias("reads"))
 
 
 @query("R7_score_history", "select sample, classifier, count(*) as n from @scores group by all")
 def r7(t):
-    path = work_dir(t.spark)
+    base = work_dir(t.spark)
+    rows = t.scores.select("sample", "classifier", "ts", "class", "score", "event_id")
     for k in (0, 1):
-        src.append_batch(t.scores.where(F.col("event_id") % 2 == k).select("sample", "classifier", "ts", "class", "score"), path, k, ["sample"])
-    return t.spark.read.parquet(path).groupBy("sample", "classifier").agg(F.count("*").alias("n"))
-
-
-@query("R8_flush", "select sample, sum(reads)::bigint as reads from @tcov group by sample")
-def r8(t):
-    return streamed(t, t.tcov.select("sample", F.col("reads").cast("long")), ["sample"], ["reads"], files=2)
+        rows.where(F.col("event_id") % 2 == k).write.mode("append").parquet(f"{base}/in")
+        stream = folds.folder_stream(t.spark, f"{base}/in", rows.schema, files_per_batch=1_000_000)
+        sink = lambda batch, number: src.append_batch(batch.drop("event_id"), f"{base}/history", number, ["sample"])
+        stream.writeStream.foreachBatch(sink).option("checkpointLocation", f"{base}/checkpoint").trigger(availableNow=True).start().awaitTermination()
+    return t.spark.read.parquet(f"{base}/history").groupBy("sample", "classifier").agg(F.count("*").alias("n"))
 
 
 @query("R9_windowed_yield", """select sample, (floor(epoch(start_time) / 2592000) * 2592000)::bigint as window_start, count(*) as reads, sum(end_pos - start_pos)::bigint as bases from @aln where not is_supplementary group by all""")

@@ -8,15 +8,30 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.types import StructType
 
 
-def folder_stream(spark: SparkSession, path: str, schema: StructType, files_per_batch: int = 20, pattern: str = "*.parquet") -> DataFrame:
-    """Files already there first, then new ones, in batches of at most ``files_per_batch``."""
-    return spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch).option("pathGlobFilter", pattern).parquet(path)
+def folder_stream(spark: SparkSession, path: str, schema: StructType, files_per_batch: int = 20, pattern: str = "*.parquet", ignore: str | None = None, recursive: bool = False) -> DataFrame:
+    """Files already there first, then new ones, in batches of at most ``files_per_batch``.
+
+    ``pattern`` is a glob on file names; rows of files whose path matches the regular expression ``ignore`` are left out.
+    """
+    reader = spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch).option("pathGlobFilter", pattern)
+    rows = reader.option("recursiveFileLookup", recursive).parquet(path)
+    return rows.where(~F.col("_metadata.file_path").rlike(ignore)) if ignore else rows
+
+
+def micro_batches(rows: DataFrame, keys: list[str], order: list[str], at: str, cap: Column, idle: float = 2.0) -> DataFrame:
+    """``rows`` plus ``batch`` per ``keys``: a batch ends after ``cap`` rows, or before a row that comes over ``idle`` seconds later."""
+    w = Window.partitionBy(*keys).orderBy(*order)
+    gap = F.col(at).cast("timestamp").cast("double") - F.lag(F.col(at).cast("timestamp").cast("double")).over(w)
+    runs = rows.withColumn("_run", F.sum((F.coalesce(gap, F.lit(0.0)) > idle).cast("int")).over(w))
+    place = F.row_number().over(Window.partitionBy(*keys, "_run").orderBy(*order)) - 1
+    full = runs.withColumn("_k", F.floor(place / cap))
+    return full.withColumn("batch", F.dense_rank().over(Window.partitionBy(*keys).orderBy("_run", "_k"))).drop("_run", "_k")
 
 
 def _fs(spark: SparkSession, path: str):
@@ -49,6 +64,87 @@ def fold_stream(stream: DataFrame, state_path: str, checkpoint: str, schema: Str
     return stream.writeStream.foreachBatch(step).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
+def fold_and_emit(stream: DataFrame, base: str, schema: StructType, fold: Callable[[DataFrame, DataFrame], tuple[DataFrame, DataFrame]]) -> StreamingQuery:
+    """Run ``fold(state, batch) -> (state, emitted)`` over all files there are, under ``base``.
+
+    A batch's emitted rows are its own version beside its state, and both come from the state before it: a batch that
+    runs again replaces what it wrote and adds nothing.
+    """
+
+    def step(batch: DataFrame, batch_id: int) -> None:
+        before = latest_state(batch.sparkSession, f"{base}/state", schema, before=batch_id)
+        state, out = fold(before, batch)
+        out.write.mode("overwrite").parquet(f"{base}/out/v={batch_id}")
+        state.write.mode("overwrite").parquet(f"{base}/state/v={batch_id}")
+
+    return stream.writeStream.foreachBatch(step).option("checkpointLocation", f"{base}/checkpoint").trigger(availableNow=True).start()
+
+
+def emitted(spark: SparkSession, base: str) -> DataFrame:
+    """What all batches emitted, with the batch's number as ``v``."""
+    return spark.read.parquet(f"{base}/out")
+
+
+def claims(key: str) -> Callable[[DataFrame, DataFrame], tuple[DataFrame, DataFrame]]:
+    """Emit the first row of each key; the ledger of keys is the state."""
+
+    def fold(state: DataFrame, batch: DataFrame) -> tuple[DataFrame, DataFrame]:
+        new = claim_once(state, batch, key)
+        return state.select(key).union(new.select(key)), new
+
+    return fold
+
+
+def staged(keys: list[str], values: list[str], at: str, least: int = 10, force: bool = False) -> Callable[[DataFrame, DataFrame], tuple[DataFrame, DataFrame]]:
+    """Hold files (told apart by ``at`` per first key) until ``least`` are staged, then fold them; ``force`` folds any.
+
+    State rows are totals (``at`` null) or staged.  Each fold emits one point: the newest ``at`` and the totals then.
+    """
+    group = keys[0]
+
+    def fold(state: DataFrame, batch: DataFrame) -> tuple[DataFrame, DataFrame]:
+        waiting = state.where(F.col(at).isNotNull()).unionByName(batch.select(*state.columns))
+        due = waiting.groupBy(group).agg(F.countDistinct(at).alias("_n"), F.max(at).alias("_at")).where(F.col("_n") >= (1 if force else least))
+        due = due.select(group, "_at")
+        old = state.where(F.col(at).isNull())
+        sums = old.unionByName(waiting.join(due.select(group), group, "left_semi")).groupBy(*keys).agg(*[F.sum(v).cast("long").alias(v) for v in values])
+        totals = sums.withColumn(at, F.lit(None).cast(state.schema[at].dataType)).select(*state.columns)
+        points = sums.groupBy(group).agg(*[F.sum(v).alias(v) for v in values]).join(due.withColumnRenamed("_at", at), group)
+        return totals.unionByName(waiting.join(due.select(group), group, "left_anti").select(*state.columns)), points
+
+    return fold
+
+
+def grown_tags(item: str, name: str, least: int = 3) -> Callable[[DataFrame, DataFrame], tuple[DataFrame, DataFrame]]:
+    """Sets of names per item grow; an item is emitted once, when the items with its very set first number ``least``.
+
+    State rows are (item, name, done); an item that was emitted stays done, whatever set it moves to later.
+    """
+
+    def fold(state: DataFrame, batch: DataFrame) -> tuple[DataFrame, DataFrame]:
+        pairs = state.unionByName(batch.select(item, name, F.lit(False).alias("done"))).groupBy(item, name).agg(F.max("done").alias("done"))
+        tags = pairs.groupBy(item).agg(F.array_join(F.array_sort(F.collect_set(name)), ",").alias("tag"), F.max("done").alias("done"))
+        valid = tags.groupBy("tag").agg(F.count("*").alias("_n")).where(F.col("_n") >= least).select("tag")
+        new = tags.where("not done").join(valid, "tag", "left_semi").select(item, "tag")
+        told = new.select(item).withColumn("_new", F.lit(True))
+        grown = pairs.join(told, item, "left").select(item, name, (F.col("done") | F.coalesce("_new", F.lit(False))).alias("done"))
+        return grown, new
+
+    return fold
+
+
+def crossings(key: str, item: str, least: int = 3) -> Callable[[DataFrame, DataFrame], tuple[DataFrame, DataFrame]]:
+    """Emit a key, with its support, in the batch in which its distinct items first number ``least``."""
+
+    def fold(state: DataFrame, batch: DataFrame) -> tuple[DataFrame, DataFrame]:
+        grown = state.select(key, item).union(batch.select(key, item)).distinct()
+        before = state.groupBy(key).agg(F.count("*").alias("_b"))
+        after = grown.groupBy(key).agg(F.count("*").alias("support")).where(F.col("support") >= least)
+        return grown, after.join(before, key, "left").where(F.coalesce("_b", F.lit(0)) < least).select(key, "support")
+
+    return fold
+
+
 def summed(keys: list[str], values: list[str]) -> Callable[[DataFrame, DataFrame], DataFrame]:
     """A fold that adds a batch's totals to the state's; the number of batches does not change the result."""
 

@@ -148,3 +148,46 @@ def test_labels_at_their_bounds(spark):
 def test_softmax_of_large_values(spark):
     z = F.array(F.lit(1000.0), F.lit(1000.0))
     assert spark.range(1).select(scores.softmax(z, F.lit(None).cast("double"))).head()[0] == [0.5, 0.5]
+
+
+def test_evidence_ladder_at_its_bounds(spark):
+    cols = "chrom string, pos long, A long, C long, G long, T long, coverage long, major string"
+    table, wants = [], []
+    cases = [
+        ("A", "G", (10, 0), "no_support", "low_frequency"), ("A", "G", (0, 2), "low_support", "homozygous"), ("A", "G", (97, 3), "low_frequency", "low_frequency"),
+        ("A", "G", (90, 10), "medium_frequency", "low_frequency"), ("A", "G", (80, 20), "medium_frequency", "low_frequency"), ("A", "G", (79, 21), "medium_frequency", "heterozygous"),
+        ("A", "G", (70, 30), "high_frequency", "heterozygous"), ("A", "G", (20, 80), "high_frequency", "heterozygous"), ("A", "G", (19, 81), "high_frequency", "homozygous"),
+        ("A", "G", (0, 0), "no_support", "unknown"), ("AT", "A", (5, 5), "indel_requires_review", "indel_requires_review"),
+        ("A", "AT", (6, 4), "insertion_requires_review", "indel_requires_review"), ("C", "CT", (6, 4), "reference_mismatch", "indel_requires_review"),
+    ]
+    for i, (ref, alt, (a, g), level, zyg) in enumerate(cases):
+        table.append(("chr1", i, a, 0, g, 0, a + g, "A" if a + g else None))
+        wants.append((i, level, zyg))
+    v = spark.createDataFrame([("chr1", i, c[0], c[1]) for i, c in enumerate(cases)], "chrom string, pos long, ref string, alt string")
+    out = variants.evidence(v, spark.createDataFrame(table, cols)).orderBy("pos").collect()
+    assert [(r.pos, r.level, r.zygosity) for r in out] == wants
+    assert [(r.ref_support, r.alt_support) for r in out[10:]] == [(0, 0), (6, 0), (0, 0)]
+
+
+def test_sex_and_confidence_ladders(spark):
+    cases = [(0.1, -0.1, "Female"), (0.1, -0.09, "Male"), (0.05, -0.2, "Male"), (0.2, -0.05, "Male (query X/Y copy number changes)"), (0.05, -0.3, "Unknown (Query XY copy number changes)"), (0.0, 0.5, "Unknown")]
+    table = [(f"s{i}", c, 0, v) for i, (x, y, _) in enumerate(cases) for c, v in (("chrX", x), ("chrY", y))]
+    got = {r.sample: r.sex for r in cnv.estimate_sex(spark.createDataFrame(table, "sample string, chrom string, bin int, value double")).collect()}
+    assert got == {f"s{i}": c[2] for i, c in enumerate(cases)}
+    df = spark.createDataFrame([("sturgeon", 95.0), ("sturgeon", 94.9), ("nanodx", 25.0), ("random_forest", 64.9), ("other", 20.0), ("other", 19.9)], "c string, p double")
+    assert [r[0].split()[0] for r in df.select(scores.confidence_label(F.col("p"), F.col("c"))).collect()] == ["High", "Medium", "Medium", "Low", "Low", "Very"]
+
+
+def test_folds_run_again_give_the_same_and_emit_once(spark):
+    made = lambda *x: spark.createDataFrame(list(x), "item string, name string")
+    none = spark.createDataFrame([], "item string, name string, done boolean")
+    fold = folds.grown_tags("item", "name", 2)
+    state, out = fold(none, made(("a", "x"), ("b", "x"), ("c", "y")))
+    assert sorted(map(tuple, out.collect())) == sorted(map(tuple, fold(none, made(("a", "x"), ("b", "x"), ("c", "y")))[1].collect())) == [("a", "x"), ("b", "x")]
+    _, more = fold(state, made(("c", "x"), ("a", "y")))
+    assert sorted(map(tuple, more.collect())) == [("c", "x,y")]
+    force = folds.staged(["g"], ["v"], "at", least=3)
+    state, points = force(spark.createDataFrame([], "g string, at long, v long"), spark.createDataFrame([("g", 1, 5), ("g", 2, 5)], "g string, at long, v long"))
+    assert points.count() == 0 and state.count() == 2
+    state, points = force(state, spark.createDataFrame([("g", 3, 1)], "g string, at long, v long"))
+    assert [tuple(r) for r in points.select("g", "at", "v").collect()] == [("g", 3, 11)] and state.count() == 1
