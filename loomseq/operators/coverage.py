@@ -28,18 +28,30 @@ def methylation_tier(value: Column) -> Column:
     return ladder(value, [(10, "high"), (5, "medium")], "low")
 
 
+TARGET = ["chrom", "start_pos", "end_pos", "gene"]
+
+
+def per_target(aln: DataFrame, targets: DataFrame, total: Column) -> DataFrame:
+    """``total`` over the alignments that touch each target, 0 for none.
+
+    The targets are the joins' small side: alignments are read once, where they lie, and only totals meet the targets again.
+    """
+    t = targets.select(*TARGET)
+    hits = overlap_join(aln, t.distinct(), min_overlap=0).groupBy(*[F.col(f"r_{c}").alias(c) for c in TARGET]).agg(total)
+    name = next(c for c in hits.columns if c not in TARGET)
+    return t.distinct().join(hits, TARGET, "left").withColumn(name, F.coalesce(name, F.lit(0).cast("long")))
+
+
 def target_coverage(aln: DataFrame, targets: DataFrame) -> DataFrame:
     """Bases and depth of each target; the length counts both ends, and targets without a read have zeros."""
-    hits = overlap_join(targets.select("chrom", "start_pos", "end_pos", "gene"), aln.select("chrom", "start_pos", "end_pos"), min_overlap=0, how="left")
-    out = hits.groupBy("chrom", "start_pos", "end_pos", "gene").agg(F.coalesce(F.sum("overlap"), F.lit(0)).alias("bases"))
+    out = per_target(aln, targets, F.sum("overlap").alias("bases"))
     return out.withColumn("length", F.col("end_pos") - F.col("start_pos") + 1).withColumn("coverage", F.col("bases") / F.col("length"))
 
 
 def reads_per_target(aln: DataFrame, targets: DataFrame) -> DataFrame:
     """Primary alignments that touch each target, zero for none."""
     primary = aln.where(~F.col("is_supplementary")).select("read_id", "chrom", "start_pos", "end_pos")
-    hits = overlap_join(targets.select("chrom", "start_pos", "end_pos", "gene"), primary, min_overlap=0, how="left")
-    return hits.groupBy("chrom", "start_pos", "end_pos", "gene").agg(F.count("r_read_id").alias("reads"))
+    return per_target(primary, targets, F.count("read_id").alias("reads"))
 
 
 def add_totals(old: DataFrame, new: DataFrame, keys: list[str], values: list[str], how: str = "outer") -> DataFrame:

@@ -94,10 +94,26 @@ def newest_samples(rows: DataFrame, ts: str, idle_seconds: int, now: Column) ->
     """Newest row per known sample; live ones that idle without jobs become complete."""
     known = rows.where("sample is not null and sample <> 'unknown'")
     last = known.groupBy("sample").agg(F.max(F.struct(ts, "event_id", "status", "jobs")).alias("_l")).select("sample", f"_l.{ts}", "_l.status", "_l.jobs")
-    idle = (F.col("status") == "Live") & (F.col("jobs") == 0) & (F.unix_timestamp(now) - F.unix_timestamp(ts) > idle_seconds)
+    idle = (F.col("status") == "Live") & (F.col("jobs") == 0) & (F.unix_timestamp(now) - F.unix_timestamp(ts) >= idle_seconds)
     return last.withColumn("status", F.when(idle, "Complete").otherwise(F.col("status")))
 
 
+def filter_samples(rows: DataFrame, origin: str | None = None, job_type: str | None = None, search: str = "", text: tuple[str, ...] = ("sample", "status", "job_types", "jobs")) -> DataFrame:
+    """Rows of one origin (``status``), with a job type among their comma list's tokens, and a text in any of some columns.
+
+    The search does not tell upper from lower case; a null column holds no text.
+    """
+    out = rows if origin is None else rows.where(F.col("status") == origin)
+    if job_type is not None:
+        out = out.where(F.array_contains(F.transform(F.split("job_types", ","), lambda x: F.trim(x)), job_type))
+    if search:
+        hit = F.lit(False)
+        for c in text:
+            hit = hit | F.lower(F.coalesce(F.col(c).cast("string"), F.lit(""))).contains(search.lower())
+        out = out.where(hit)
+    return out
+
+
 def score_batches(vectors: DataFrame, model: Callable[[pd.DataFrame], pd.DataFrame], schema: str, key: str = "sample") -> DataFrame:
     """A caller's model over each sample's probe vector; the model gets and returns pandas frames."""
     return vectors.groupBy(key).applyInPandas(model, schema)

@@ -183,12 +183,27 @@ def f15(t):
     return t.aln.join(want, "read_id", "left_semi").groupBy(F.col("is_supplementary").alias("is_supp")).agg(F.count("*").alias("n"))
 
 
-@query("F16_sample_table", """with r as (select sample, ts, event_id, case when event_id % 2 = 0 then 'Live' else 'Done' end as status, event_id % 3 as jobs, row_number() over (partition by sample order by ts desc, event_id desc) as k from @scores), m as (select max(ts) as t from @scores)
-    select sample, case when status = 'Live' and jobs = 0 and epoch(t) - epoch(ts) > -1 then 'Complete' else status end as status, jobs from r, m where k = 1""")
+@query("F16_sample_table", """with r as (select sample, ts, event_id, case when event_id % 2 = 0 then 'Live' else 'Done' end as status, event_id % 3 as jobs, row_number() over (partition by sample order by ts desc, event_id desc) as k from @scores),
+    n as (select sample, case when status = 'Live' and jobs = 0 then 'Complete' else status end as status, jobs from r where k = 1)
+    select sample, status, jobs from n""")
 def f16(t):
+    return newest(t).select("sample", "status", "jobs")
+
+
+def newest(t):
     s = t.scores.withColumns({"status": F.when(F.col("event_id") % 2 == 0, "Live").otherwise("Done"), "jobs": F.col("event_id") % 3})
-    now = s.agg(F.max("ts").alias("_now"))
-    return sc.newest_samples(s.crossJoin(now).withColumn("_t", F.col("ts")), "ts", -1, F.lit("2200-01-01").cast("timestamp")).select("sample", "status", "jobs")
+    return sc.newest_samples(s, "ts", 3600, F.lit("2200-01-01").cast("timestamp"))
+
+
+@query("F16_filtered_samples", """with r as (select sample, event_id, row_number() over (partition by sample, classifier order by ts desc, event_id desc) as k, classifier from @scores),
+    n as (select sample || classifier as sample, case when event_id % 2 = 0 then 'Live' else 'Done' end as status, event_id % 3 as jobs from r where k = 1), j as (select sample_id || job_type as sample, string_agg(distinct status, ', ' order by status) as job_types from @jobs where event_id % 7 = 0 group by 1)
+    select n.sample, case when n.status = 'Live' and jobs = 0 then 'Complete' else n.status end as status, jobs, job_types from n join j using (sample)
+    where (n.status <> 'Live' or jobs <> 0) and n.status = 'Done' and list_contains([trim(x) for x in string_split(job_types, ',')], 'completed') and (contains(lower(n.sample), '1') or contains(jobs::varchar, '1') or contains(lower(job_types), '1'))""")
+def f16b(t):
+    s = t.scores.withColumns({"sample": F.concat("sample", "classifier"), "status": F.when(F.col("event_id") % 2 == 0, "Live").otherwise("Done"), "jobs": F.col("event_id") % 3})
+    last = sc.newest_samples(s, "ts", 3600, F.lit("2200-01-01").cast("timestamp"))
+    types = t.jobs.where("event_id % 7 = 0").groupBy(F.concat("sample_id", "job_type").alias("sample")).agg(F.array_join(F.array_sort(F.collect_set("status")), ", ").alias("job_types"))
+    return sc.filter_samples(last.join(types, "sample"), "Done", "completed", "1").select("sample", "status", "jobs", "job_types")
 
 
 @query("F17_missing_step", """select sample from (select distinct sample from @scores where class = 'C1') where sample in (select distinct sample from @aln) and sample not in (select sample from @scores where class = 'C2' and sample = 'S1')""")
