@@ -8,13 +8,10 @@ running position.  The same records and seed give the same shards, however Spark
 from __future__ import annotations
 
 import math
-import uuid
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from loomseq.llm.common import scratch_dir
-
 LAW = "rows"
 #: What a record counts in a bucket besides its texts; it also bounds the records of a bucket.
 OVERHEAD = 4_000
@@ -86,15 +83,11 @@ def read_shards(sharded: DataFrame, path: str) -> DataFrame:
 
 
 def shard_digest(docs: DataFrame, shards: int = 16, seed: int = 42) -> DataFrame:
-    """The digest of a sharding of documents: shards are written with the texts to the shared scratch folder, and
-    ids, sizes and checksums are taken from the files.
+    """The digest of a sharding of documents: the documents are shuffled with their texts, and ids, sizes and
+    checksums are taken from what was dealt out, which ``write_shards`` would write.
     """
-    spark = docs.sparkSession
-    path = f"{scratch_dir(spark)}/loomseq-shards-{uuid.uuid4().hex}"
-    dealt = shard_records(docs.select("doc_id", "text"), "doc_id", shards, seed)
-    write_shards(dealt, path)
     text = F.coalesce(F.col("text"), F.lit(""))
-    return read_shards(dealt, path).select(
+    return shard_records(docs.select("doc_id", "text"), "doc_id", shards, seed).select(
         "doc_id", (F.octet_length(text) + 1).cast("long").alias("size"), F.crc32(text).cast("long").alias("text_crc32"),
         F.lit(LAW).alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard")
     )
