@@ -79,7 +79,8 @@ def write_shards(sharded: DataFrame, path: str) -> None:
 
 def read_shards(sharded: DataFrame, path: str) -> DataFrame:
     """The records written by ``write_shards``, with the columns of ``sharded``."""
-    return sharded.sparkSession.read.schema(sharded.schema).parquet(path)
+    back = sharded.sparkSession.read.schema(sharded.schema).parquet(path)
+    return back.select(*[F.col(f"`{c}`") for c in sharded.columns])
 
 
 def shard_digest(docs: DataFrame, shards: int = 16, seed: int = 42) -> DataFrame:
