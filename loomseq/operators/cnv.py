@@ -22,7 +22,7 @@ def copy_numbers(bins: DataFrame) -> DataFrame:
     """Value of each bin: twice its count over the sample's median of non-zero autosomal counts."""
     auto = bins.where(F.col("chrom").rlike("^chr[0-9]+$") & (F.col("n") > 0))
     mid = auto.groupBy("sample").agg(F.median("n").alias("m"))
-    return bins.join(F.broadcast(mid), "sample").select(*KEY, "bin", F.round(2 * F.col("n") / F.col("m"), 6).alias("value"))
+    return bins.join(small(mid), "sample").select(*KEY, "bin", F.round(2 * F.col("n") / F.col("m"), 6).alias("value"))
 
 
 def moving_average(bins: DataFrame) -> DataFrame:

@@ -148,9 +148,7 @@ def upsert_ledger(ledger: DataFrame, seen: DataFrame) -> DataFrame:
 
 def hierarchy_totals(leaves: DataFrame, levels: list[str], score: str = "score", top: int = 10) -> DataFrame:
     """Score sums of every group on every level of a class hierarchy, the ``top`` of each level."""
-    out = None
-    for depth, name in enumerate(levels):
-        one = leaves.groupBy("sample", F.col(name).alias("name")).agg(F.round(F.sum(score), 6).alias("score")).withColumn("level", F.lit(depth))
-        out = one if out is None else out.unionByName(one)
+    every = leaves.select("sample", F.col(score).alias("score"), F.posexplode(F.array(*levels)).alias("level", "name"))
+    out = every.groupBy("sample", "name", "level").agg(F.round(F.sum("score"), 6).alias("score")).select("sample", "name", "score", "level")
     rank = F.row_number().over(Window.partitionBy("sample", "level").orderBy(F.desc("score"), "name"))
     return out.withColumn("rank", rank).where(F.col("rank") <= top)
