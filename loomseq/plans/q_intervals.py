@@ -6,7 +6,10 @@ from loomseq.operators import coverage as cov
 from loomseq.operators import fusion as fu
 from loomseq.operators import intervals as iv
 from loomseq.operators import reads as rd
-from loomseq.plans.registry import query
+from loomseq.plans import q_measures
+from loomseq.plans.q_reads import arriving, work_dir
+from loomseq.plans.registry import SQL, query
+from loomseq.sources import tables as src
 from loomseq.streaming import folds
 
 HITS = """hits as (select a.sample, a.read_id, a.chrom, a.start_pos, a.end_pos, a.mapq, a.strand, a.is_supplementary, g.gene
@@ -310,8 +313,6 @@ def u9(t):
 def r6(t):
     h = hits(t).where("is_supplementary").select("gene", "read_id").distinct()
     early = F.substring("read_id", 2, 20).cast("long") % 400 >= 398
-    from loomseq.plans.q_reads import arriving
-
     base = arriving(t, [h.where(early), h.where(~early)], folds.crossings("gene", "read_id"), h.schema)
     return folds.emitted(t.spark, base).select(F.col("v").cast("long").alias("v"), "gene", "support")
 
@@ -355,3 +356,21 @@ def t3(t):
     from pyspark.sql import Window
 
     return t.lens.select("chrom", F.row_number().over(Window.orderBy(iv.chrom_order(F.col("chrom")), "chrom")).alias("place"))
+
+
+def of_kind(kind: str, name: str) -> str:
+    return f"select '{kind}' as kind, count(*) as n, sum(start_pos)::bigint as starts, sum(end_pos)::bigint as ends from ({SQL[name]})"
+
+
+@query("S13_bed_sinks", " union all ".join([of_kind("fusion", "U8_fusion_breakpoints"), of_kind("master", "U9_master_breakpoints"), of_kind("targets", "A4_target_coverage"), of_kind("cnv", "W4_runs")]))
+def s13_sinks(t):
+    base = work_dir(t.spark)
+    fusion, master, targets, regions = u8(t), u9(t), a4(t), q_measures.w4(t)
+    out = None
+    for kind, df in (("fusion", fusion), ("master", master), ("targets", targets), ("cnv", regions)):
+        named = [c for c in ("gene", "kind", "strand", "coverage") if c in df.columns]
+        src.write_lines(df, f"{base}/{kind}.bed", ["chrom", "start_pos", "end_pos", *named], ["chrom", "start_pos", "end_pos"])
+        back = src.read_bed(t.spark, f"{base}/{kind}.bed")
+        one = back.agg(F.count("*").alias("n"), F.sum("start_pos").alias("starts"), F.sum("end_pos").alias("ends")).select(F.lit(kind).alias("kind"), "n", "starts", "ends")
+        out = one if out is None else out.unionByName(one)
+    return out
