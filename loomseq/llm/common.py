@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
-from pyspark.sql.types import StructType
+from pyspark.sql.types import DataType, StructField, StructType
 
 _OWN: dict[str, str] = {}
 #: Spark drops a query's shuffle files when it ends; what it computed is in a table by then.
@@ -77,6 +77,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def keyed(key: str, kind: DataType, rest: str) -> StructType:
+    """The schema of a key column of any type followed by the columns ``rest``."""
+    return StructType([StructField(key, kind), *StructType.fromDDL(rest)])
+
+
 def map_pandas(df: DataFrame, fn: Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]], schema: str | StructType) -> DataFrame:
     """``mapInPandas`` that keeps integers beside nulls as they are (pandas alone would make them floats)."""
     arrow = to_arrow_schema(StructType.fromDDL(schema) if isinstance(schema, str) else schema)

@@ -7,7 +7,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomseq.llm import bpe, hnsw, langid, line_dedup, ngram_join, packing, sharding, suffix_dedup, topk, toxicity
+from loomseq.llm import alignment, bpe, hnsw, langid, line_dedup, mixing, ngram_join, packing, sharding, suffix_dedup, topk, toxicity, whitening
 from loomseq.llm.common import cut, table
 
 
@@ -52,12 +52,25 @@ def op10_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
 
 
+def op11_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix_digest(table(spark, sf_dir, "documents"))
+
+
+def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten_digest(table(spark, sf_dir, "embeddings"))
+
+
+def op13_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = public_tokenizers.path
+    return alignment.align_digest(table(spark, sf_dir, "documents"), path("byte_bpe_50k.json"), path("piece_bpe_32k.model"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     return corpus_pipeline.run(spark, sf_dir)
 
 
 def queries():
-    return {f.__name__: f for f in (op1_embedding_dedup, op2_toxicity, op3_langid, op4_bpe, op5_packing, op6_line_dedup, op7_suffix_dedup, op8_sharding, op9_ngram_join, op10_topk, pipeline)}
+    return {f.__name__: f for f in (op1_embedding_dedup, op2_toxicity, op3_langid, op4_bpe, op5_packing, op6_line_dedup, op7_suffix_dedup, op8_sharding, op9_ngram_join, op10_topk, op11_mixing, op12_whitening, op13_alignment, pipeline)}
 
 
 def oracle_sql():
