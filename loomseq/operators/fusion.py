@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-import uuid
-
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from loomseq.sources.scratch import drop, settle
+
 MIN_SUPPORT = 3
 READ = ["sample", "read_id"]
 
@@ -111,64 +111,26 @@ def greedy_clusters(pairs: DataFrame, distance: int = 100, least: int = 4) -> Da
     return pairs.groupBy("gene_1", "gene_2", "chrom_1", "chrom_2").applyInPandas(run, shape)
 
 
-def density_clusters(pairs: DataFrame, eps: int = 7_500, least: int = MIN_SUPPORT) -> DataFrame:
-    """DBSCAN of (midpoint 1, midpoint 2) per chromosome pair in Manhattan distance, on a grid of ``eps`` cells.
-
-    Output: one row per cluster with its bounds and distinct reads.  Points are first made distinct with their
-    weight, so stacks of equal breakpoints cost one point.  Neighbours are sought in the 3 x 3 cells around a point.
-    """
-    mid = [F.floor((F.col(f"start_pos_{k}") + F.col(f"end_pos_{k}")) / 2) for k in (1, 2)]
-    pts = pairs.select(*READ, "chrom_1", "chrom_2", mid[0].alias("x"), mid[1].alias("y"))
-    key = ["chrom_1", "chrom_2"]
-    spots = pts.groupBy(*key, "x", "y").agg(F.count("*").alias("w"))
-    cell = lambda c: F.floor(F.col(c) / eps)
-    own = spots.withColumns({"cx": cell("x"), "cy": cell("y")})
-    around = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in (-1, 0, 1) for j in (-1, 0, 1)])
-    spread = own.withColumn("_d", F.explode(around)).select(*key, (F.col("cx") + F.col("_d.i")).alias("cx"), (F.col("cy") + F.col("_d.j")).alias("cy"), F.col("x").alias("x2"), F.col("y").alias("y2"), F.col("w").alias("w2"))
-    near = own.join(spread, [*key, "cx", "cy"]).where(F.abs(F.col("x") - F.col("x2")) + F.abs(F.col("y") - F.col("y2")) <= eps)
-    core = near.groupBy(*key, "x", "y").agg(F.sum("w2").alias("n")).where(F.col("n") >= least).select(*key, "x", "y")
-    node = lambda a, b: F.concat_ws(":", *key, F.col(a), F.col(b))
-    links = near.join(core, [*key, "x", "y"]).join(core.select(*key, F.col("x").alias("x2"), F.col("y").alias("y2")), [*key, "x2", "y2"])
-    parts = components(links.select(node("x", "y").alias("src"), node("x2", "y2").alias("dst")))
-    label = core.withColumn("node", node("x", "y")).join(parts, "node", "left").select(*key, F.col("x").alias("x2"), F.col("y").alias("y2"), F.coalesce("component", "node").alias("cluster"))
-    # a border point joins the first cluster, by name, that has a core point near it
-    member = near.join(label, [*key, "x2", "y2"]).groupBy(*key, "x", "y").agg(F.min("cluster").alias("cluster"))
-    return pts.join(member, [*key, "x", "y"]).groupBy(*key, "cluster").agg(
-        F.min("x").alias("start_1"), F.max("x").alias("end_1"), F.min("y").alias("start_2"), F.max("y").alias("end_2"),
-        F.countDistinct(*READ).alias("support"),
-    ).where(F.col("support") >= least).drop("cluster")
-
-
-def components(edges: DataFrame, rounds: int = 100) -> DataFrame:
+def components(edges: DataFrame) -> DataFrame:
     """(node, component): the smallest node reachable, by min-label rounds over an undirected edge list (src, dst).
 
-    Labels halve their paths each round (a node also takes its label's label).  Every round is written to the
-    shared checkpoint folder where one is set, so lost executors cost no recomputation of earlier rounds.
+    Labels halve their paths each round (a node also takes its label's label), and rounds go on until none moves.  Every
+    round is a scratch table, so lost executors cost no recomputation of earlier ones.
     """
-    spark = edges.sparkSession
-    both = edges.where("src <> dst").select("src", "dst").unionByName(edges.where("src <> dst").select(F.col("dst").alias("src"), F.col("src").alias("dst"))).distinct()
-    both = settle(both)
-    labels = settle(both.groupBy("src").agg(F.min("dst").alias("m")).select(F.col("src").alias("node"), F.least("src", "m").alias("component")))
-    for _ in range(rounds):
+    there = edges.where("src <> dst").select("src", "dst")
+    both = settle(there.unionByName(there.select(F.col("dst").alias("src"), F.col("src").alias("dst"))).distinct())
+    labels = settle(both.groupBy("src").agg(F.min("dst").alias("m")).select(F.col("src").alias("node"), F.least("src", "m").alias("component"), F.lit(True).alias("moved")))
+    while True:
         heard = both.join(labels, both["dst"] == labels["node"]).groupBy("src").agg(F.min("component").alias("m"))
         near = labels.join(heard, labels["node"] == heard["src"]).select("node", F.least("component", "m").alias("component"), F.col("component").alias("old"))
         up = labels.select(F.col("node").alias("component"), F.col("component").alias("up"))
-        new = settle(near.join(up, "component", "left").select("node", F.least("component", F.coalesce("up", "component")).alias("component"), "old"))
-        moved = new.where("component <> old").limit(1).count()
-        labels = new.select("node", "component")
-        if not moved:
-            return labels
-    raise RuntimeError("components did not settle")
-
-
-def settle(df: DataFrame) -> DataFrame:
-    """Cut lineage through the shared checkpoint folder; without one (single-machine tests) keep the plan cached."""
-    folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        return df.cache()
-    path = f"{folder.rstrip('/')}/loomseq-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+        lowest = F.least("component", F.coalesce("up", "component"))
+        new = settle(near.join(up, "component", "left").select("node", lowest.alias("component"), (lowest != F.col("old")).alias("moved")))
+        drop(labels)
+        labels = new
+        if labels.where("moved").isEmpty():
+            drop(both)
+            return labels.drop("moved")
 
 
 def gene_groups(cands: DataFrame, least: int = MIN_SUPPORT) -> DataFrame:

@@ -3,6 +3,7 @@
 from pyspark.sql import functions as F
 
 from loomseq.operators import coverage as cov
+from loomseq.operators import density as de
 from loomseq.operators import fusion as fu
 from loomseq.operators import intervals as iv
 from loomseq.operators import reads as rd
@@ -163,9 +164,25 @@ def a20(t):
     return g.groupBy("gene_1", "gene_2").agg(F.count("*").alias("n"), F.min("mapq").alias("mapq"), F.sum("pos_1").alias("pos_1"), F.sum("pos_2").alias("pos_2"))
 
 
-@query("A19_density_clusters")
+#: DBSCAN in SQL: all pairs of points, the walk from every core point, the smallest core point as the cluster's name.
+SCAN = """pairs as (select p.sample, p.read_id, p.chrom as c1, p.start_pos as s1, p.end_pos as e1, p.mapq as q1, s.chrom as c2, s.start_pos as s2, s.end_pos as e2, s.mapq as q2, {k} as k
+      from @aln p join @aln s on p.read_id = s.read_id and p.sample = s.sample where not p.is_supplementary and s.is_supplementary and {f} s.mapq >= 50),
+    pts as (select k, c1, c2, s1 + e1 as x, s2 + e2 as y, count(*) as w from pairs group by all),
+    near as (select a.k, a.c1, a.c2, a.x, a.y, b.x as x2, b.y as y2, b.w from pts a join pts b on a.k = b.k and a.c1 = b.c1 and a.c2 = b.c2 and abs(a.x - b.x) + abs(a.y - b.y) <= 200000),
+    core as (select k, c1, c2, x, y from near group by all having sum(w) >= 3),
+    link as (select n.* from near n join core using (k, c1, c2, x, y) join core o on o.k = n.k and o.c1 = n.c1 and o.c2 = n.c2 and o.x = n.x2 and o.y = n.y2),
+    reach(k, c1, c2, x, y, rx, ry) as (select *, x, y from core union select r.k, r.c1, r.c2, r.x, r.y, l.x2, l.y2 from reach r join link l on r.k = l.k and r.c1 = l.c1 and r.c2 = l.c2 and r.rx = l.x and r.ry = l.y),
+    label as (select k, c1, c2, x, y, min((rx, ry)) as m from reach group by all),
+    member as (select n.k, n.c1, n.c2, n.x, n.y, min(m) as m from near n join label l on n.k = l.k and n.c1 = l.c1 and n.c2 = l.c2 and n.x2 = l.x and n.y2 = l.y group by all),
+    clusters as (select p.k, p.c1, p.c2, m, min(s1) as start_1, max(e1) as end_1, min(s2) as start_2, max(e2) as end_2, count(distinct (sample, read_id)) as support, avg(q1) as mapq_1, avg(e1 - s1) as span_1, avg(q2) as mapq_2, avg(e2 - s2) as span_2
+      from pairs p join member b on p.k = b.k and p.c1 = b.c1 and p.c2 = b.c2 and p.s1 + p.e1 = b.x and p.s2 + p.e2 = b.y group by all having count(distinct (sample, read_id)) >= 3)"""
+
+
+@query("A19_density_clusters", f"""with recursive {SCAN.format(k="''", f="p.mapq >= 50 and")}
+    select c1 as chrom_1, c2 as chrom_2, start_1, end_1, start_2, end_2, support, round(mapq_1, 6) as mapq_1, round(span_1, 6) as span_1, round(mapq_2, 6) as mapq_2, round(span_2, 6) as span_2 from clusters""")
 def a19(t):
-    return fu.density_clusters(pairs(t), eps=100_000)
+    c = de.density_clusters(pairs(t), eps=100_000)
+    return c.select("chrom_1", "chrom_2", "start_1", "end_1", "start_2", "end_2", "support", *[F.round(x, 6).alias(x) for x in ("mapq_1", "span_1", "mapq_2", "span_2")])
 
 
 @query("A21_greedy_clusters")
@@ -181,14 +198,25 @@ def a22(t):
     return fu.validated_genes(p, fu.tag_support(cands(t)).select(F.col("tag").alias("genes")))
 
 
-@query("A23_event_table", f"""with {PAIRS}, e as (select sample, read_id, (c1, m1 // 250000 * 250000, s1) as x, (c2, m2 // 250000 * 250000, s2) as y from pairs),
+@query("A23_event_table", f"""with recursive {SCAN.format(k='p.sample', f='')},
+    ev as (select k as sample, c1 as chrom, start_1 as start_pos, end_1 as end_pos, 'breakpoint_pair_primary' as event_type, support, round_even(mapq_1, 1) as q, round_even(span_1, 0) as sp from clusters
+      union all select k, c2, start_2, end_2, 'breakpoint_pair_supplementary', support, round_even(mapq_2, 1), round_even(span_2, 0) from clusters),
+    i as (select *, case when start_pos <= max(end_pos) over (partition by sample, chrom, event_type order by start_pos, end_pos rows between unbounded preceding and 1 preceding) + 5000 then 0 else 1 end as fresh
+      from ev where start_pos > 0 and end_pos > start_pos),
+    g as (select *, sum(fresh) over (partition by sample, chrom, event_type order by start_pos, end_pos rows unbounded preceding) as isle from i)
+    select sample, chrom, min(start_pos) as start_pos, max(end_pos) as end_pos, event_type, max(support) as read_count, max(q) as avg_mapping_quality, max(sp) as avg_mapping_span from g group by sample, chrom, event_type, isle""")
+def a23(t):
+    return de.event_table(de.event_pairs(t.aln), eps=100_000)
+
+
+@query("A23_binned_events", f"""with {PAIRS}, e as (select sample, read_id, (c1, m1 // 250000 * 250000, s1) as x, (c2, m2 // 250000 * 250000, s2) as y from pairs),
     o as (select sample, read_id, case when x <= y then x else y end as a, case when x <= y then y else x end as b from e),
     b as (select a, b, count(distinct (sample, read_id)) as support from o group by all having count(distinct (sample, read_id)) >= 3),
     ev as (select a[1] as chrom, a[2] as p, support from b union all select b[1], b[2], support from b),
     i as (select *, case when p <= max(p + 500) over (partition by chrom order by p, p rows between unbounded preceding and 1 preceding) + 5000 then 0 else 1 end as fresh from ev),
     k as (select *, sum(fresh) over (partition by chrom order by p) as isle from i)
     select chrom, min(p) as start_pos, max(p) + 500 as end_pos, max(support) as support, count(*) as n from k group by chrom, isle""")
-def a23(t):
+def a23_binned(t):
     b = fu.binned_pairs(pairs(t), WIDE)
     ev = [b.select(F.col(f"chrom_{k}").alias("chrom"), F.lit("breakpoint").alias("event_type"), F.col(f"pos_{k}").alias("start_pos"), (F.col(f"pos_{k}") + 500).alias("end_pos"), "support") for k in (1, 2)]
     return fu.merge_events(ev[0].union(ev[1])).drop("event_type")
