@@ -104,8 +104,13 @@ def first_failing_rule() -> Column:
 
 
 def windowed_yield(aln: DataFrame, length: str = "30 days", late: str | None = None) -> DataFrame:
-    """Reads and bases per sample and tumbling window of start time; with ``late`` a watermark, for streams."""
-    src = aln.withWatermark("start_time", late) if late else aln
-    return src.where(~F.col("is_supplementary")).groupBy("sample", F.window("start_time", length).alias("w")).agg(
+    """Primary reads and bases per sample and tumbling window of start time.
+
+    On a stream, ``late`` sets a watermark: in append mode a window is given once, when the latest start time seen is ``late``
+    past its end; rows that come for a window already closed are dropped, so state is kept for open windows only.
+    """
+    src = aln.where(~F.col("is_supplementary"))
+    src = src.withWatermark("start_time", late) if late else src
+    return src.groupBy("sample", F.window("start_time", length).alias("w")).agg(
         F.count("*").alias("reads"), F.sum(F.col("end_pos") - F.col("start_pos")).alias("bases")
     ).select("sample", F.col("w.start").alias("window_start"), "reads", "bases")

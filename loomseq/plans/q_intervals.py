@@ -8,10 +8,12 @@ from loomseq.operators import fusion as fu
 from loomseq.operators import intervals as iv
 from loomseq.operators import reads as rd
 from loomseq.plans import q_measures
-from loomseq.plans.q_reads import arriving, work_dir
+from loomseq.plans.q_reads import arriving
 from loomseq.plans.registry import SQL, query
 from loomseq.sources import tables as src
+from loomseq.sources.scratch import new_folder
 from loomseq.streaming import folds
+from loomseq.streaming import state as st
 
 HITS = """hits as (select a.sample, a.read_id, a.chrom, a.start_pos, a.end_pos, a.mapq, a.strand, a.is_supplementary, g.gene
     from @aln a join @genes g on a.chrom = g.chrom and least(a.end_pos, g.end_pos) - greatest(a.start_pos, g.start_pos) > 99)"""
@@ -341,7 +343,7 @@ def u9(t):
 def r6(t):
     h = hits(t).where("is_supplementary").select("gene", "read_id").distinct()
     early = F.substring("read_id", 2, 20).cast("long") % 400 >= 398
-    base = arriving(t, [h.where(early), h.where(~early)], folds.crossings("gene", "read_id"), h.schema)
+    base = arriving(t, [h.where(early), h.where(~early)], st.crossings("gene", "read_id", h.schema))
     return folds.emitted(t.spark, base).select(F.col("v").cast("long").alias("v"), "gene", "support")
 
 
@@ -392,7 +394,7 @@ def of_kind(kind: str, name: str) -> str:
 
 @query("S13_bed_sinks", " union all ".join([of_kind("fusion", "U8_fusion_breakpoints"), of_kind("master", "U9_master_breakpoints"), of_kind("targets", "A4_target_coverage"), of_kind("cnv", "W4_runs")]))
 def s13_sinks(t):
-    base = work_dir(t.spark)
+    base = new_folder(t.spark)
     fusion, master, targets, regions = u8(t), u9(t), a4(t), q_measures.w4(t)
     out = None
     for kind, df in (("fusion", fusion), ("master", master), ("targets", targets), ("cnv", regions)):

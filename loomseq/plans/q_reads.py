@@ -1,8 +1,5 @@
 """Queries on sources and sinks, reads, variants, scores, logs, scalar functions and streams."""
 
-import tempfile
-import uuid
-
 import pandas as pd
 from pyspark.sql import Window
 from pyspark.sql import functions as F
@@ -13,19 +10,16 @@ from loomseq.operators import reads as rd
 from loomseq.operators import variants as va
 from loomseq.plans.registry import query
 from loomseq.sources import tables as src
+from loomseq.sources.scratch import new_folder
+from loomseq.streaming import batches as ba
 from loomseq.streaming import folds
+from loomseq.streaming import state as st
 
 
 def lines(df, *cols):
     return df.select(F.concat_ws("\t", *cols).alias("value"))
 
 
-def work_dir(spark):
-    """A new folder in the shared scratch space, or a local one where none is set."""
-    shared = spark.conf.get("spark.checkpoint.dir", None)
-    return f"{shared.rstrip('/')}/loomseq-{uuid.uuid4().hex}" if shared else f"file://{tempfile.mkdtemp(prefix='spark-loomseq-')}"
-
-
 @query("S1_alignment_scan", """select sample, chrom, strand, is_supplementary, count(*) as n, sum(end_pos - start_pos)::bigint as bases from @aln group by all""")
 def s1(t):
     a = t.aln
@@ -83,7 +77,7 @@ def s10(t):
 
 @query("S11_append_sink", "select sample, count(*) as n from @aln group by sample")
 def s11(t):
-    path = work_dir(t.spark)
+    path = new_folder(t.spark)
     a = t.aln.select("sample", "read_id", "file_no")
     for k in (0, 1, 1):  # the second batch is written twice and counts once
         src.append_batch(a.where(F.col("file_no") % 2 == k), path, k, ["sample"])
@@ -92,7 +86,7 @@ def s11(t):
 
 @query("S12_bedmethyl_sink", "select chrom, sum(valid_cov)::bigint as cov, count(*) as n from @bedm group by chrom")
 def s12(t):
-    path = work_dir(t.spark)
+    path = new_folder(t.spark)
     src.write_lines(t.bedm, path, ["chrom", "pos", "mod_code", "strand", "valid_cov", "n_mod"], ["chrom", "pos", "strand", "mod_code", "sample", "batch"])
     p = F.split("value", "\t")
     back = t.spark.read.text(path).select(p[0].alias("chrom"), p[4].cast("long").alias("cov"))
@@ -106,12 +100,12 @@ def s14(t):
 
 @query("S15_report_export", "select 'regions' as name, count(*) as rows from @regions union all select 'genes', count(*) from @genes")
 def s15(t):
-    return src.export_tables({"regions": t.regions, "genes": t.genes}, work_dir(t.spark)).select("name", "rows")
+    return src.export_tables({"regions": t.regions, "genes": t.genes}, new_folder(t.spark)).select("name", "rows")
 
 
 @query("S16_job_log", "select job_type, count(*) as n from @jobs group by job_type")
 def s16(t):
-    path = work_dir(t.spark)
+    path = new_folder(t.spark)
     t.jobs.withColumn("day", F.to_date("ts")).repartition("day").write.partitionBy("day").parquet(path)
     return t.spark.read.parquet(path).groupBy("job_type").agg(F.count("*").alias("n"))
 
@@ -440,26 +434,26 @@ def e17(t):
     return t.table("lineitem").groupBy(tx.methylation_status(F.when(F.col("l_linenumber") == 1, "Known"), F.col("l_discount")).alias("status")).agg(F.count("*").alias("n"))
 
 
-def arriving(t, parts, fold, schema):
+def arriving(t, parts, fold, every=8):
     """Folder to which ``parts`` came one after the other, each folded by a run over what is new."""
-    base = work_dir(t.spark)
+    base = new_folder(t.spark)
     for part in parts:
         part.write.mode("append").parquet(f"{base}/in")
         stream = folds.folder_stream(t.spark, f"{base}/in", part.schema, files_per_batch=1_000_000)
-        folds.fold_and_emit(stream, base, schema, fold).awaitTermination()
+        st.run_fold(stream, base, fold, every).awaitTermination()
     return base
 
 
 @query("R1_file_source", "select sample, count(*) as n from @aln where file_no % 3 <> 2 group by sample")
 def r1(t):
-    base = work_dir(t.spark)
+    base = new_folder(t.spark)
     a = t.aln.select("sample", "file_no", "read_id")
     for k, name in enumerate(("pass", "fail", "skipped")):
         a.where(F.col("file_no") % 3 == k).write.parquet(f"{base}/in/{name}")
     stream = folds.folder_stream(t.spark, f"{base}/in", a.schema, ignore="/skipped/", recursive=True).withColumn("n", F.lit(1))
-    shape = a.groupBy("sample").agg(F.count("*").alias("n")).schema
-    folds.fold_stream(stream, f"{base}/state", f"{base}/checkpoint", shape, folds.summed(["sample"], ["n"])).awaitTermination()
-    return folds.latest_state(t.spark, f"{base}/state", shape)
+    fold = st.summed(["sample"], ["n"], stream.schema)
+    st.run_fold(stream, base, fold).awaitTermination()
+    return st.DeltaState(t.spark, f"{base}/state", fold).rows()
 
 
 @query("R2_micro_batches", """with g as (select sample_id, job_type, ts, event_id, case when epoch(ts) - epoch(lag(ts) over w) > 600 then 1 else 0 end as fresh from @jobs window w as (partition by sample_id, job_type order by ts, event_id)),
@@ -476,7 +470,7 @@ def r2(t):
 def r3(t):
     files = t.aln.select("sample", F.col("file_no").cast("long").alias("file_no"), F.concat_ws(":", "sample", "file_no").alias("file_key"))
     # files that came before come again with each later part
-    base = arriving(t, [files.where(F.col("file_no") % 3 <= k) for k in range(3)], folds.claims("file_key"), files.select("file_key").schema)
+    base = arriving(t, [files.where(F.col("file_no") % 3 <= k) for k in range(3)], st.claims("file_key", files.schema), every=2)
     return folds.emitted(t.spark, base).groupBy(F.col("v").cast("long").alias("v"), "sample").agg(F.count("*").alias("files"))
 
 
@@ -491,9 +485,7 @@ STAGED = """c as (select sample, ts % 3 as b, count(distinct ts) as f, max(ts) a
 
 def staged_points(t):
     c = t.tcov.select("sample", "gene", F.col("ts").cast("long").alias("ts"), F.col("reads").cast("long").alias("reads"))
-    shape = c.schema
-    base = arriving(t, [c.where(F.col("ts") % 3 == k) for k in range(3)], folds.staged(["sample", "gene"], ["reads"], "ts"), shape)
-    return base, shape
+    return arriving(t, [c.where(F.col("ts") % 3 == k) for k in range(3)], st.staged(["sample", "gene"], ["reads"], "ts", c.schema)), c.schema
 
 
 @query("R4_staged_accumulation", f"with {STAGED} select sample, v::bigint as v, ts, reads from pts")
@@ -505,10 +497,10 @@ def r4(t):
 @query("R8_flush", f"with {STAGED} select sample, v::bigint as v, ts, reads from pts union all select sample, v, ts, reads from fl")
 def r8(t):
     base, shape = staged_points(t)
-    state = folds.latest_state(t.spark, f"{base}/state", shape)
-    _, last = folds.staged(["sample", "gene"], ["reads"], "ts", force=True)(state, state.limit(0))
-    done = folds.emitted(t.spark, base).select("sample", F.col("v").cast("long").alias("v"), "ts", "reads")
-    return done.unionByName(last.select("sample", F.lit(3).cast("long").alias("v"), "ts", "reads"))
+    force = st.staged(["sample", "gene"], ["reads"], "ts", shape, force=True)
+    for _ in range(2):  # the second flush finds nothing held and emits nothing
+        folds.end_of_run(t.spark, base, shape, force).awaitTermination()
+    return folds.emitted(t.spark, base).select("sample", F.col("v").cast("long").alias("v"), "ts", "reads")
 
 
 @query("R5_tag_support", """with t1 as (select read_id, string_agg(distinct chrom, ',' order by chrom) as tag from @aln where chrom < 'chr2' group by read_id), e1 as (select read_id, tag from t1 where tag in (select tag from t1 group by tag having count(*) >= 3)),
@@ -517,14 +509,13 @@ def r8(t):
 def r5(t):
     pairs = t.aln.select("read_id", "chrom").distinct()
     early = F.col("chrom") < "chr2"
-    shape = pairs.withColumn("done", F.lit(False)).schema
-    base = arriving(t, [pairs.where(early), pairs.where(~early)], folds.grown_tags("read_id", "chrom"), shape)
+    base = arriving(t, [pairs.where(early), pairs.where(~early)], st.grown_tags("read_id", "chrom"))
     return folds.emitted(t.spark, base).groupBy(F.col("v").cast("long").alias("v"), "tag").agg(F.count("*").alias("reads"))
 
 
 @query("R7_score_history", "select sample, classifier, count(*) as n from @scores group by all")
 def r7(t):
-    base = work_dir(t.spark)
+    base = new_folder(t.spark)
     rows = t.scores.select("sample", "classifier", "ts", "class", "score", "event_id")
     for k in (0, 1):
         rows.where(F.col("event_id") % 2 == k).write.mode("append").parquet(f"{base}/in")
@@ -539,6 +530,43 @@ def r9(t):
     return rd.windowed_yield(t.aln).withColumn("window_start", F.unix_timestamp("window_start"))
 
 
+@query("R2_batch_stream", """with j as (select sample_id, job_type, event_id % 2 as part, case job_type when 'view' then 50 else 20 end as cap, event_id % 97 = 0 as alone from @jobs),
+    p as (select sample_id, job_type, part, any_value(cap) as cap, count(*) filter (alone) as one, count(*) filter (not alone) as n from j group by sample_id, job_type, part)
+    select sample_id, job_type, sum(one + n)::bigint as jobs, sum(one)::bigint as alone, sum(n // cap)::bigint as by_cap, sum(case when n % cap > 0 then 1 else 0 end)::bigint as by_idle from p group by all""")
+def r2_stream(t):
+    base, rows = new_folder(t.spark), t.jobs.select("sample_id", "job_type", "ts", "event_id")
+    cap = F.when(F.col("job_type") == "view", 50).otherwise(20)
+    part = [rows.where(F.col("event_id") % 2 == k) for k in (0, 1)]
+    part[0].coalesce(1).write.parquet(f"{base}/in")
+    stream = folds.folder_stream(t.spark, f"{base}/in", rows.schema, files_per_batch=1_000)
+    jobs = ba.job_batches(stream, ["sample_id", "job_type"], "event_id", "ts", cap, alone=F.col("event_id") % 97 == 0)
+    query = folds.sink_versions(jobs, base, every="500 milliseconds")
+    try:  # the second part comes when the first one's last batches are closed
+        folds.await_rows(query, t.spark, base, part[0].count())
+        part[1].coalesce(1).write.mode("append").parquet(f"{base}/in")
+        folds.await_rows(query, t.spark, base, rows.count())
+    finally:
+        query.stop()
+    got = folds.emitted(t.spark, base)
+    closed = lambda by: F.countDistinct(F.when(F.col("closed_by") == by, F.col("batch")))
+    return got.groupBy("sample_id", "job_type").agg(F.count("*").alias("jobs"), closed("alone").alias("alone"), closed("cap").alias("by_cap"), closed("idle").alias("by_idle"))
+
+
+@query("R9_event_time", """with p as (select *, year(start_time) - 1990 + case when file_no % 5 = 0 then 2 else 0 end as part, (floor(epoch(start_time) / 2592000) * 2592000)::bigint as w from @aln where not is_supplementary),
+    m as (select part, max(epoch(start_time)) as top from p group by part), u as (select part, max(top) over (order by part rows between unbounded preceding and 1 preceding) - 5184000 as mark from m),
+    k as (select p.* from p join u using (part) where mark is null or w + 2592000 > mark), e as (select max(top) - 5184000 as mark from m)
+    select sample, w as window_start, count(*) as reads, sum(end_pos - start_pos)::bigint as bases from k, e where w + 2592000 <= e.mark group by all""")
+def r9_stream(t):
+    base = new_folder(t.spark)
+    rows = t.aln.withColumn("start_time", F.col("start_time").cast("timestamp"))
+    rows = rows.select("sample", "start_pos", "end_pos", "is_supplementary", "start_time", (F.year("start_time") - 1990 + F.when(F.col("file_no") % 5 == 0, 2).otherwise(0)).alias("part"))
+    for k in sorted(r["part"] for r in rows.select("part").distinct().collect()):  # parts are years of a run
+        rows.where(F.col("part") == k).write.mode("append").parquet(f"{base}/in")
+        stream = folds.folder_stream(t.spark, f"{base}/in", rows.schema, files_per_batch=1_000_000)
+        folds.sink_versions(rd.windowed_yield(stream, "30 days", "60 days"), base).awaitTermination()
+    return folds.emitted(t.spark, base).select("sample", F.unix_timestamp("window_start").alias("window_start"), "reads", "bases")
+
+
 @query("X2_score_batches", "select sample, count(*) as probes, round(sum(percent_modified) / count(*), 4) as score from @bedm group by sample")
 def x2(t):
     def model(pdf: pd.DataFrame) -> pd.DataFrame:

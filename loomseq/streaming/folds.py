@@ -1,11 +1,8 @@
-"""Structured Streaming: folder source, micro-batch folds with versioned state, claim-once, incremental support.
-
-State tables are versioned snapshots ``state/v=<batch>``: a batch writes a new version from the previous one and
-itself, so a batch run again after a failure writes the same version again.
-"""
+"""Structured Streaming: folder source, micro-batches of a table, sinks of numbered versions, the end of a run."""
 
 from __future__ import annotations
 
+import time
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -13,6 +10,9 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.types import StructType
 
+from loomseq.sources.scratch import filesystem
+from loomseq.streaming.state import Fold, run_fold
+
 
 def folder_stream(spark: SparkSession, path: str, schema: StructType, files_per_batch: int = 20, pattern: str = "*.parquet", ignore: str | None = None, recursive: bool = False) -> DataFrame:
     """Files already there first, then new ones, in batches of at most ``files_per_batch``.
@@ -34,132 +34,44 @@ def micro_batches(rows: DataFrame, keys: list[str], order: list[str], at: str, c
     return full.withColumn("batch", F.dense_rank().over(Window.partitionBy(*keys).orderBy("_run", "_k"))).drop("_run", "_k")
 
 
-def _fs(spark: SparkSession, path: str):
-    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), p
-
-
-def latest_state(spark: SparkSession, path: str, schema: StructType, before: int | None = None) -> DataFrame:
-    """The newest complete snapshot (of a batch under ``before``), or no rows."""
-    fs, p = _fs(spark, path)
-    versions = []
-    if fs.exists(p):
-        for s in fs.listStatus(p):
-            name = s.getPath().getName()
-            if name.startswith("v=") and fs.exists(spark.sparkContext._jvm.org.apache.hadoop.fs.Path(s.getPath(), "_SUCCESS")):
-                versions.append(int(name[2:]))
-    versions = [v for v in versions if before is None or v < before]
-    if not versions:
-        return spark.createDataFrame([], schema)
-    return spark.read.schema(schema).parquet(f"{path}/v={max(versions)}")
-
+def sink_versions(stream: DataFrame, base: str, every: str | None = None) -> StreamingQuery:
+    """What a stream gives as versions ``base/out/v=<batch>``: a batch that runs again replaces what it wrote.
 
-def fold_stream(stream: DataFrame, state_path: str, checkpoint: str, schema: StructType, fold: Callable[[DataFrame, DataFrame], DataFrame]) -> StreamingQuery:
-    """Run ``fold(state, batch) -> state`` over all files there are, one snapshot per batch."""
+    ``every`` is a trigger's interval of processing time; without it all files there are are taken and the query ends.
+    """
 
     def step(batch: DataFrame, batch_id: int) -> None:
-        state = latest_state(batch.sparkSession, state_path, schema, before=batch_id)
-        fold(state, batch).write.mode("overwrite").parquet(f"{state_path}/v={batch_id}")
+        batch.write.mode("overwrite").parquet(f"{base}/out/v={batch_id}")
 
-    return stream.writeStream.foreachBatch(step).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    writer = stream.writeStream.foreachBatch(step).option("checkpointLocation", f"{base}/checkpoint")
+    return (writer.trigger(processingTime=every) if every else writer.trigger(availableNow=True)).start()
 
 
-def fold_and_emit(stream: DataFrame, base: str, schema: StructType, fold: Callable[[DataFrame, DataFrame], tuple[DataFrame, DataFrame]]) -> StreamingQuery:
-    """Run ``fold(state, batch) -> (state, emitted)`` over all files there are, under ``base``.
+def await_rows(query: StreamingQuery, spark: SparkSession, base: str, rows: int, seconds: float = 120) -> None:
+    """Wait until a running query has written ``rows`` rows; raise if it fails or takes longer than ``seconds``."""
+    until = time.time() + seconds
+    while True:
+        if query.exception():
+            raise query.exception()
+        fs, p = filesystem(spark, f"{base}/out")
+        done = [f"{base}/out/{s.getPath().getName()}" for s in fs.listStatus(p)] if fs.exists(p) else []
+        done = [d for d in done if fs.exists(filesystem(spark, f"{d}/_SUCCESS")[1])]
+        if done and spark.read.parquet(*done).count() >= rows:
+            return
+        if time.time() > until:
+            raise TimeoutError(f"under {rows} rows after {seconds} s")
+        time.sleep(0.3)
 
-    A batch's emitted rows are its own version beside its state, and both come from the state before it: a batch that
-    runs again replaces what it wrote and adds nothing.
-    """
 
-    def step(batch: DataFrame, batch_id: int) -> None:
-        before = latest_state(batch.sparkSession, f"{base}/state", schema, before=batch_id)
-        state, out = fold(before, batch)
-        out.write.mode("overwrite").parquet(f"{base}/out/v={batch_id}")
-        state.write.mode("overwrite").parquet(f"{base}/state/v={batch_id}")
+def end_of_run(spark: SparkSession, base: str, arrival: StructType, fold: Fold) -> StreamingQuery:
+    """One more batch, without rows, for a fold that lets go of what it holds: its state is stored like any other's.
 
-    return stream.writeStream.foreachBatch(step).option("checkpointLocation", f"{base}/checkpoint").trigger(availableNow=True).start()
+    An empty file in ``base/in`` marks the end, so the flush has a batch number of its own; a later one finds nothing held.
+    """
+    spark.createDataFrame([], arrival).coalesce(1).write.mode("append").parquet(f"{base}/in")
+    return run_fold(folder_stream(spark, f"{base}/in", arrival, files_per_batch=1_000_000), base, fold)
 
 
 def emitted(spark: SparkSession, base: str) -> DataFrame:
     """What all batches emitted, with the batch's number as ``v``."""
     return spark.read.parquet(f"{base}/out")
-
-
-def claims(key: str) -> Callable[[DataFrame, DataFrame], tuple[DataFrame, DataFrame]]:
-    """Emit the first row of each key; the ledger of keys is the state."""
-
-    def fold(state: DataFrame, batch: DataFrame) -> tuple[DataFrame, DataFrame]:
-        new = claim_once(state, batch, key)
-        return state.select(key).union(new.select(key)), new
-
-    return fold
-
-
-def staged(keys: list[str], values: list[str], at: str, least: int = 10, force: bool = False) -> Callable[[DataFrame, DataFrame], tuple[DataFrame, DataFrame]]:
-    """Hold files (told apart by ``at`` per first key) until ``least`` are staged, then fold them; ``force`` folds any.
-
-    State rows are totals (``at`` null) or staged.  Each fold emits one point: the newest ``at`` and the totals then.
-    """
-    group = keys[0]
-
-    def fold(state: DataFrame, batch: DataFrame) -> tuple[DataFrame, DataFrame]:
-        waiting = state.where(F.col(at).isNotNull()).unionByName(batch.select(*state.columns))
-        due = waiting.groupBy(group).agg(F.countDistinct(at).alias("_n"), F.max(at).alias("_at")).where(F.col("_n") >= (1 if force else least))
-        due = due.select(group, "_at")
-        old = state.where(F.col(at).isNull())
-        sums = old.unionByName(waiting.join(due.select(group), group, "left_semi")).groupBy(*keys).agg(*[F.sum(v).cast("long").alias(v) for v in values])
-        totals = sums.withColumn(at, F.lit(None).cast(state.schema[at].dataType)).select(*state.columns)
-        points = sums.groupBy(group).agg(*[F.sum(v).alias(v) for v in values]).join(due.withColumnRenamed("_at", at), group)
-        return totals.unionByName(waiting.join(due.select(group), group, "left_anti").select(*state.columns)), points
-
-    return fold
-
-
-def grown_tags(item: str, name: str, least: int = 3) -> Callable[[DataFrame, DataFrame], tuple[DataFrame, DataFrame]]:
-    """Sets of names per item grow; an item is emitted once, when the items with its very set first number ``least``.
-
-    State rows are (item, name, done); an item that was emitted stays done, whatever set it moves to later.
-    """
-
-    def fold(state: DataFrame, batch: DataFrame) -> tuple[DataFrame, DataFrame]:
-        pairs = state.unionByName(batch.select(item, name, F.lit(False).alias("done"))).groupBy(item, name).agg(F.max("done").alias("done"))
-        tags = pairs.groupBy(item).agg(F.array_join(F.array_sort(F.collect_set(name)), ",").alias("tag"), F.max("done").alias("done"))
-        valid = tags.groupBy("tag").agg(F.count("*").alias("_n")).where(F.col("_n") >= least).select("tag")
-        new = tags.where("not done").join(valid, "tag", "left_semi").select(item, "tag")
-        told = new.select(item).withColumn("_new", F.lit(True))
-        grown = pairs.join(told, item, "left").select(item, name, (F.col("done") | F.coalesce("_new", F.lit(False))).alias("done"))
-        return grown, new
-
-    return fold
-
-
-def crossings(key: str, item: str, least: int = 3) -> Callable[[DataFrame, DataFrame], tuple[DataFrame, DataFrame]]:
-    """Emit a key, with its support, in the batch in which its distinct items first number ``least``."""
-
-    def fold(state: DataFrame, batch: DataFrame) -> tuple[DataFrame, DataFrame]:
-        grown = state.select(key, item).union(batch.select(key, item)).distinct()
-        before = state.groupBy(key).agg(F.count("*").alias("_b"))
-        after = grown.groupBy(key).agg(F.count("*").alias("support")).where(F.col("support") >= least)
-        return grown, after.join(before, key, "left").where(F.coalesce("_b", F.lit(0)) < least).select(key, "support")
-
-    return fold
-
-
-def summed(keys: list[str], values: list[str]) -> Callable[[DataFrame, DataFrame], DataFrame]:
-    """A fold that adds a batch's totals to the state's; the number of batches does not change the result."""
-
-    def fold(state: DataFrame, batch: DataFrame) -> DataFrame:
-        new = batch.groupBy(*keys).agg(*[F.sum(v).alias(v) for v in values])
-        return state.unionByName(new).groupBy(*keys).agg(*[F.sum(v).cast("long").alias(v) for v in values])
-
-    return fold
-
-
-def distinct_sets(keys: list[str]) -> Callable[[DataFrame, DataFrame], DataFrame]:
-    """A fold that keeps distinct keys: read-gene pairs, claimed files, pair-read evidence."""
-    return lambda state, batch: state.select(*keys).union(batch.select(*keys)).distinct()
-
-
-def claim_once(state: DataFrame, batch: DataFrame, key: str) -> DataFrame:
-    """Rows of a batch whose key was not claimed before, one per key."""
-    return batch.join(state.select(key), key, "left_anti").dropDuplicates([key])

@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 from loomseq.functions import text as tx
 from loomseq.operators import cnv, coverage, fusion, intervals, methylation, reads, scores, variants
 from loomseq.sources import tables
-from loomseq.streaming import folds
 
 
 def rows(df, *cols):
@@ -118,15 +117,6 @@ def test_newly_supported_crosses_once(spark):
     assert rows(fusion.newly_supported(seen, batch, ["gene"]), "gene", "support") == [("g", 3)]
 
 
-def test_stream_of_files_equals_batch(spark, tmp_path):
-    df = spark.createDataFrame([("a", i % 3, i) for i in range(60)], "sample string, k int, v long")
-    df.repartition(5).write.parquet(str(tmp_path / "in"))
-    stream = folds.folder_stream(spark, str(tmp_path / "in"), df.schema, files_per_batch=1)
-    shape = df.groupBy("sample", "k").agg(F.sum("v").alias("v")).schema
-    folds.fold_stream(stream, str(tmp_path / "state"), str(tmp_path / "ck"), shape, folds.summed(["sample", "k"], ["v"])).awaitTermination()
-    assert rows(folds.latest_state(spark, str(tmp_path / "state"), shape), "k", "v") == [(0, 570), (1, 590), (2, 610)]
-
-
 def test_bed_widths_comments_and_bad_rows(spark):
     v = [("chr1\t5\t9",), ("# c",), ("",), ("chr1\t1\t2\tg\t.\t?",), ("chr1\tx\t2",), ("track name",)]
     df = tables.parse_bed(spark.createDataFrame(v, "value string"))
@@ -176,18 +166,3 @@ def test_sex_and_confidence_ladders(spark):
     assert got == {f"s{i}": c[2] for i, c in enumerate(cases)}
     df = spark.createDataFrame([("sturgeon", 95.0), ("sturgeon", 94.9), ("nanodx", 25.0), ("random_forest", 64.9), ("other", 20.0), ("other", 19.9)], "c string, p double")
     assert [r[0].split()[0] for r in df.select(scores.confidence_label(F.col("p"), F.col("c"))).collect()] == ["High", "Medium", "Medium", "Low", "Low", "Very"]
-
-
-def test_folds_run_again_give_the_same_and_emit_once(spark):
-    made = lambda *x: spark.createDataFrame(list(x), "item string, name string")
-    none = spark.createDataFrame([], "item string, name string, done boolean")
-    fold = folds.grown_tags("item", "name", 2)
-    state, out = fold(none, made(("a", "x"), ("b", "x"), ("c", "y")))
-    assert sorted(map(tuple, out.collect())) == sorted(map(tuple, fold(none, made(("a", "x"), ("b", "x"), ("c", "y")))[1].collect())) == [("a", "x"), ("b", "x")]
-    _, more = fold(state, made(("c", "x"), ("a", "y")))
-    assert sorted(map(tuple, more.collect())) == [("c", "x,y")]
-    force = folds.staged(["g"], ["v"], "at", least=3)
-    state, points = force(spark.createDataFrame([], "g string, at long, v long"), spark.createDataFrame([("g", 1, 5), ("g", 2, 5)], "g string, at long, v long"))
-    assert points.count() == 0 and state.count() == 2
-    state, points = force(state, spark.createDataFrame([("g", 3, 1)], "g string, at long, v long"))
-    assert [tuple(r) for r in points.select("g", "at", "v").collect()] == [("g", 3, 11)] and state.count() == 1
