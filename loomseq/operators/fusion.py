@@ -13,9 +13,10 @@ READ = ["sample", "read_id"]
 
 
 def candidates(hits: DataFrame) -> DataFrame:
-    """Alignment-gene hits of reads that meet more than one gene."""
-    multi = hits.groupBy(*READ).agg(F.countDistinct("gene").alias("_n")).where("_n > 1").select(*READ)
-    return hits.join(multi, READ, "left_semi")
+    """Alignment-gene hits of reads that meet more than one gene: gathered once per read, whose hits are few."""
+    rest = [c for c in hits.columns if c not in READ]
+    per = hits.groupBy(*READ).agg(F.collect_set("gene").alias("_genes"), F.collect_list(F.struct(*rest)).alias("_hits")).where(F.size("_genes") > 1)
+    return per.select(*READ, F.explode("_hits").alias("_h")).select(*[c if c in READ else F.col(f"_h.{c}").alias(c) for c in hits.columns])
 
 
 def read_tags(cands: DataFrame) -> DataFrame:
@@ -24,22 +25,24 @@ def read_tags(cands: DataFrame) -> DataFrame:
 
 
 def tag_support(cands: DataFrame, least: int = MIN_SUPPORT) -> DataFrame:
-    """Tags with at least ``least`` distinct reads."""
-    return read_tags(cands).groupBy("tag").agg(F.countDistinct(*READ).alias("support")).where(F.col("support") >= least)
+    """Tags with at least ``least`` distinct reads (a read has one tag)."""
+    return read_tags(cands).groupBy("tag").agg(F.count("*").alias("support")).where(F.col("support") >= least)
 
 
 def artifact_reads(hits: DataFrame, similar: int = 50) -> DataFrame:
     """Reads one alignment of which meets two genes, or with two alignments whose ends both lie within ``similar``.
 
-    Two different alignments are compared once; repeats of one alignment on several genes make the read an artifact.
+    Two different alignments are compared within their read, from one row per read; an alignment that meets several genes
+    shows as more (alignment, gene) pairs than alignments.
     """
-    spot = ["chrom", "start_pos", "end_pos"]
-    twice = hits.groupBy(*READ, *spot).agg(F.countDistinct("gene").alias("_n")).where("_n > 1").select(*READ)
-    a = hits.select(*READ, *spot).distinct()
-    b = a.select(*READ, "chrom", F.col("start_pos").alias("_s"), F.col("end_pos").alias("_e"))
-    first = (F.col("start_pos") < F.col("_s")) | ((F.col("start_pos") == F.col("_s")) & (F.col("end_pos") < F.col("_e")))
-    near = (F.abs(F.col("start_pos") - F.col("_s")) <= similar) & (F.abs(F.col("end_pos") - F.col("_e")) <= similar)
-    return a.join(b, [*READ, "chrom"]).where(first & near).select(*READ).union(twice).distinct()
+    spot = F.struct("chrom", "start_pos", "end_pos")
+    per = hits.groupBy(*READ).agg(F.collect_set(spot).alias("_spots"), F.size(F.collect_set(F.struct(spot.alias("s"), "gene"))).alias("_pairs"))
+
+    def near(a, b):
+        return (a["chrom"] == b["chrom"]) & (a != b) & (F.abs(a["start_pos"] - b["start_pos"]) <= similar) & (F.abs(a["end_pos"] - b["end_pos"]) <= similar)
+
+    close = F.exists("_spots", lambda a: F.exists("_spots", lambda b: near(a, b)))
+    return per.where((F.col("_pairs") > F.size("_spots")) | close).select(*READ)
 
 
 def breakpoint_pairs(aln: DataFrame) -> DataFrame:
@@ -135,10 +138,20 @@ def components(edges: DataFrame) -> DataFrame:
 
 def gene_groups(cands: DataFrame, least: int = MIN_SUPPORT) -> DataFrame:
     """Connected groups of genes: tags of exactly two genes are edges; groups with ``least`` or more distinct reads."""
-    tags = read_tags(cands).where(F.size(F.split("tag", ",")) == 2).withColumn("g", F.split("tag", ","))
-    edges = tags.select(*READ, F.col("g")[0].alias("src"), F.col("g")[1].alias("dst"))
-    parts = components(edges.select("src", "dst").distinct())
-    reads = edges.join(parts, edges["src"] == parts["node"]).groupBy("component").agg(F.countDistinct(*READ).alias("support"))
+    return edge_groups(pair_edges(cands), least)
+
+
+def pair_edges(cands: DataFrame) -> DataFrame:
+    """(src, dst, n): gene pairs that are a read's whole tag, with the number of such reads."""
+    tags = read_tags(cands).withColumn("g", F.split("tag", ",")).where(F.size("g") == 2)
+    return tags.groupBy(F.col("g")[0].alias("src"), F.col("g")[1].alias("dst")).agg(F.count("*").alias("n"))
+
+
+def edge_groups(edges: DataFrame, least: int = MIN_SUPPORT) -> DataFrame:
+    """(genes, support) of the connected groups of an edge list with read counts; a read counts for one edge only."""
+    edges = settle(edges)
+    parts = components(edges)
+    reads = edges.join(parts, edges["src"] == parts["node"]).groupBy("component").agg(F.sum("n").alias("support"))
     genes = parts.groupBy("component").agg(F.array_join(F.array_sort(F.collect_set("node")), ",").alias("genes"))
     return genes.join(reads, "component").where(F.col("support") >= least).select("genes", "support")
 

@@ -2,7 +2,7 @@
 
 Intervals are 0-based and half-open unless a function says otherwise; columns are ``chrom, start_pos, end_pos``.
 Range joins never fall back to a nested loop: both sides are cut into bins and joined on (chrom, bin); a pair is
-kept only in the bin that holds the larger start, so it appears once.
+kept only in the bin that holds the larger start, so it appears once.  Long intervals go to coarser bins.
 """
 
 from __future__ import annotations
@@ -19,22 +19,56 @@ def small(df: DataFrame, rows: int = SMALL_ROWS) -> DataFrame:
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
 
 
-def bins(start: Column, last: Column, width: int) -> Column:
-    return F.explode(F.sequence(F.floor(start / width), F.floor(F.greatest(last, start) / width)))
+#: An interval over this many bins goes to bins that are wider by STEP, and if need be by STEP squared.
+LONG, STEP, LEVELS = 16, 256, 3
+
+
+def level(start: Column, last: Column, width: int) -> Column:
+    """0, 1 or 2: the finest bins of which the interval covers at most ``LONG``; the widest take any."""
+    span = lambda k: F.floor(last / (width * STEP**k)) - F.floor(start / (width * STEP**k)) < LONG
+    return F.when(span(0), 0).when(span(1), 1).otherwise(2)
+
+
+def cells(start: Column, last: Column, width: int, own: Column, upto: int) -> Column:
+    """One row per (level, bin) that the interval covers: at its own level and at those up to ``upto`` that are coarser."""
+    last = F.greatest(last, start)
+
+    def at(k: int) -> Column:
+        w = width * STEP**k
+        every = F.transform(F.sequence(F.floor(start / w), F.floor(last / w)), lambda x: F.struct(F.lit(k).alias("k"), x.alias("b")))
+        return F.when((own == k) | ((own < k) & (k <= upto)), every).otherwise(F.slice(every, 1, 0))
+
+    return F.explode(F.concat(*[at(k) for k in range(LEVELS)]))
+
+
+def region_side(df: DataFrame, start: Column, last: Column, width: int, upto: int) -> tuple[DataFrame, int]:
+    """The smaller side of a range join in its bins, with its own level and its level's bins up to ``upto``; the coarsest level in it.
+
+    One pass over at most ``SMALL_ROWS`` rows tells both: up to that many rows are broadcast; beyond, all levels are assumed.
+    """
+    df = df.withColumn("_rlev", level(start, F.greatest(last, start), width))
+    seen = df.select("_rlev").limit(SMALL_ROWS + 1).agg(F.count("*").alias("n"), F.max("_rlev").alias("top")).head()
+    few = seen["n"] <= SMALL_ROWS
+    out = df.withColumn("_rcell", cells(start, last, width, F.col("_rlev"), upto))
+    return (F.broadcast(out) if few else out), (seen["top"] or 0) if few else LEVELS - 1
 
 
 def overlap_join(left: DataFrame, right: DataFrame, min_overlap: int = 99, width: int = BIN, how: str = "inner") -> DataFrame:
     """Pairs on one chromosome that share more than ``min_overlap`` bases; the right side's columns get ``r_``.
 
+    Two intervals meet in the bins of the longer one's level, so an interval of any length is cut into at most ``LONG`` bins
+    at its own level and a few at the coarser ones (the coarsest: length / (65,536 * ``width``)).
     ``how`` may be ``left``: rows without a partner stay, with nulls.  Zero-length intervals meet nothing.
     """
     r = right.select(*[F.col(c).alias(f"r_{c}") for c in right.columns])
-    lb = left.withColumn("_bin", bins(F.col("start_pos"), F.col("end_pos") - 1, width))
-    rb = small(r.withColumn("_rbin", bins(F.col("r_start_pos"), F.col("r_end_pos") - 1, width)))
+    rb, top = region_side(r, F.col("r_start_pos"), F.col("r_end_pos") - 1, width, LEVELS - 1)
+    last = F.greatest(F.col("end_pos") - 1, F.col("start_pos"))
+    lb = left.withColumn("_lev", level(F.col("start_pos"), last, width)).withColumn("_cell", cells(F.col("start_pos"), last, width, F.col("_lev"), top))
     shared = F.least("end_pos", "r_end_pos") - F.greatest("start_pos", "r_start_pos")
-    one = F.col("_bin") == F.floor(F.greatest("start_pos", "r_start_pos") / width)
-    on = (F.col("chrom") == F.col("r_chrom")) & (F.col("_bin") == F.col("_rbin")) & (shared > min_overlap) & one
-    pairs = lb.join(rb, on).withColumn("overlap", shared).drop("_bin", "_rbin")
+    wide = F.element_at(F.array(*[F.lit(width * STEP**k) for k in range(LEVELS)]), F.col("_cell.k") + 1)
+    one = (F.col("_cell.k") == F.greatest("_lev", "_rlev")) & (F.col("_cell.b") == F.floor(F.greatest("start_pos", "r_start_pos") / wide))
+    on = (F.col("chrom") == F.col("r_chrom")) & (F.col("_cell") == F.col("_rcell")) & (shared > min_overlap) & one
+    pairs = lb.join(rb, on).withColumn("overlap", shared).drop("_cell", "_rcell", "_lev", "_rlev")
     if how == "inner":
         return pairs
     keys = left.columns
@@ -51,17 +85,24 @@ def touching(left: DataFrame, right: DataFrame, keys: list[str], min_overlap: in
 def contained(left: DataFrame, right: DataFrame, width: int = BIN) -> DataFrame:
     """Pairs in which the left interval lies fully inside the right one (``r_``); overlapping windows keep all pairs."""
     r = right.select(*[F.col(c).alias(f"r_{c}") for c in right.columns])
-    rb = small(r.withColumn("_rbin", bins(F.col("r_start_pos"), F.col("r_end_pos"), width)))
-    on = (F.col("chrom") == F.col("r_chrom")) & (F.floor(F.col("start_pos") / width) == F.col("_rbin"))
-    return left.join(rb, on & (F.col("start_pos") >= F.col("r_start_pos")) & (F.col("end_pos") <= F.col("r_end_pos"))).drop("_rbin")
+    rb, top = region_side(r, F.col("r_start_pos"), F.col("r_end_pos"), width, 0)
+    on = (F.col("chrom") == F.col("r_chrom")) & (F.col("_cell") == F.col("_rcell"))
+    pairs = with_point(left, F.col("start_pos"), width, top).join(rb, on & (F.col("start_pos") >= F.col("r_start_pos")) & (F.col("end_pos") <= F.col("r_end_pos")))
+    return pairs.drop("_cell", "_rcell", "_rlev")
+
+
+def with_point(df: DataFrame, pos: Column, width: int, top: int) -> DataFrame:
+    """Each row once per level up to ``top``, in the bin that holds ``pos``; a region is in the bins of one level only."""
+    return df.withColumn("_cell", F.explode(F.array(*[F.struct(F.lit(k).alias("k"), F.floor(pos / (width * STEP**k)).alias("b")) for k in range(top + 1)])))
 
 
 def points_in(points: DataFrame, regions: DataFrame, before: int = 0, after: int = 0, width: int = BIN, pos: str = "pos") -> DataFrame:
     """Pairs with ``start_pos - before <= pos <= end_pos + after``, both ends inclusive; chromosome names as given."""
     r = regions.select(*[F.col(c).alias(f"r_{c}") for c in regions.columns])
-    rb = small(r.withColumn("_rbin", bins(F.col("r_start_pos") - before, F.col("r_end_pos") + after, width)))
-    on = (F.col("chrom") == F.col("r_chrom")) & (F.floor(F.col(pos) / width) == F.col("_rbin"))
-    return points.join(rb, on & F.col(pos).between(F.col("r_start_pos") - before, F.col("r_end_pos") + after)).drop("_rbin")
+    rb, top = region_side(r, F.col("r_start_pos") - before, F.col("r_end_pos") + after, width, 0)
+    on = (F.col("chrom") == F.col("r_chrom")) & (F.col("_cell") == F.col("_rcell"))
+    near = F.col(pos).between(F.col("r_start_pos") - before, F.col("r_end_pos") + after)
+    return with_point(points, F.col(pos), width, top).join(rb, on & near).drop("_cell", "_rcell", "_rlev")
 
 
 def islands(df: DataFrame, keys: list[str], slack: int = 0) -> DataFrame:
