@@ -30,17 +30,25 @@ def level(start: Column, last: Column, width: int) -> Column:
 
 
 def cells(start: Column, last: Column, width: int, own: Column, upto: int) -> Column:
-    """One row per (level, bin) that the interval covers: at its own level and at those up to ``upto`` that are coarser."""
+    """One row per bin that the interval covers, at its own level and at those up to ``upto`` that are coarser.
+
+    A bin is one number, four times its place plus its level, so that joins go by a long.
+    """
     last = F.greatest(last, start)
 
     def at(k: int) -> Column:
         w = width * STEP**k
-        every = F.transform(F.sequence(F.floor(start / w), F.floor(last / w)), lambda x: F.struct(F.lit(k).alias("k"), x.alias("b")))
-        return F.when((own == k) | ((own < k) & (k <= upto)), every).otherwise(F.slice(every, 1, 0))
+        every = F.sequence(F.floor(start / w) * 4 + k, F.floor(last / w) * 4 + k, F.lit(4).cast("long"))
+        return F.when((own == k) | ((own < k) & F.lit(k <= upto)), every).otherwise(F.array().cast("array<bigint>"))
 
     return F.explode(F.concat(*[at(k) for k in range(LEVELS)]))
 
 
+def bin_width(cell: Column, width: int) -> Column:
+    k = cell % 4
+    return F.when(k == 0, width).when(k == 1, width * STEP).otherwise(width * STEP**2)
+
+
 def region_side(df: DataFrame, start: Column, last: Column, width: int, upto: int) -> tuple[DataFrame, int]:
     """The smaller side of a range join in its bins, with its own level and its level's bins up to ``upto``; the coarsest level in it.
 
@@ -65,10 +73,10 @@ def overlap_join(left: DataFrame, right: DataFrame, min_overlap: int = 99, width
     last = F.greatest(F.col("end_pos") - 1, F.col("start_pos"))
     lb = left.withColumn("_lev", level(F.col("start_pos"), last, width)).withColumn("_cell", cells(F.col("start_pos"), last, width, F.col("_lev"), top))
     shared = F.least("end_pos", "r_end_pos") - F.greatest("start_pos", "r_start_pos")
-    wide = F.element_at(F.array(*[F.lit(width * STEP**k) for k in range(LEVELS)]), F.col("_cell.k") + 1)
-    one = (F.col("_cell.k") == F.greatest("_lev", "_rlev")) & (F.col("_cell.b") == F.floor(F.greatest("start_pos", "r_start_pos") / wide))
+    lb = lb.withColumn("_w", bin_width(F.col("_cell"), width))
+    one = (F.col("_cell") % 4 == F.greatest("_lev", "_rlev")) & (F.floor(F.col("_cell") / 4) == F.floor(F.greatest("start_pos", "r_start_pos") / F.col("_w")))
     on = (F.col("chrom") == F.col("r_chrom")) & (F.col("_cell") == F.col("_rcell")) & (shared > min_overlap) & one
-    pairs = lb.join(rb, on).withColumn("overlap", shared).drop("_cell", "_rcell", "_lev", "_rlev")
+    pairs = lb.join(rb, on).withColumn("overlap", shared).drop("_cell", "_rcell", "_lev", "_rlev", "_w")
     if how == "inner":
         return pairs
     keys = left.columns
@@ -93,7 +101,7 @@ def contained(left: DataFrame, right: DataFrame, width: int = BIN) -> DataFrame:
 
 def with_point(df: DataFrame, pos: Column, width: int, top: int) -> DataFrame:
     """Each row once per level up to ``top``, in the bin that holds ``pos``; a region is in the bins of one level only."""
-    return df.withColumn("_cell", F.explode(F.array(*[F.struct(F.lit(k).alias("k"), F.floor(pos / (width * STEP**k)).alias("b")) for k in range(top + 1)])))
+    return df.withColumn("_cell", F.explode(F.array(*[F.floor(pos / (width * STEP**k)) * 4 + k for k in range(top + 1)])))
 
 
 def points_in(points: DataFrame, regions: DataFrame, before: int = 0, after: int = 0, width: int = BIN, pos: str = "pos") -> DataFrame:
