@@ -204,12 +204,15 @@ def near_duplicates(vectors: DataFrame, least: float = 0.93, shard_rows: int = 4
     """(vec_id, n_links, component_id, kept) per vector of ``vectors`` (vec_id, embedding, label).
 
     Vectors are compared only where labels are equal and not null.  A vector that is null, empty, zero or holds
-    null or non-finite components links with nothing and is kept; lengths that differ are not compared; an id that
-    repeats counts once; a null id is returned with no component.  A label's vectors are spread over shards of a
+    null or non-finite components links with nothing and is kept; lengths that differ are not compared.  Rows are told apart
+    by a number of their own, so rows of one id are vectors like any others: each has its row and its links, equal ones link
+    with each other.  A null id links with nothing and is returned with no component.  A label's vectors are spread over shards of a
     bounded size, so one label with a third of all rows is no single task.
     """
-    good = vectors.where(usable() & F.col("vec_id").isNotNull() & F.col("label").isNotNull()).select(
-        F.col("vec_id").cast("long").alias("id"), "label", F.transform("embedding", lambda x: x.cast("double")).alias("v")
+    # the numbers are written with the rows, so a task that runs again finds the same
+    rows = cut(vectors.select(F.col("vec_id").cast("long").alias("vec_id"), "label", "embedding", F.monotonically_increasing_id().alias("row")), "vectors")
+    good = rows.where(usable() & F.col("vec_id").isNotNull() & F.col("label").isNotNull()).select(
+        F.col("row").alias("id"), "label", F.transform("embedding", lambda x: x.cast("double")).alias("v")
     ).where(F.exists("v", lambda x: x != 0)).withColumn("dim", F.size("v"))
     sizes = good.groupBy("label", "dim").agg(F.count("*").alias("n"))
     split = sizes.select("label", "dim", F.ceil(F.col("n") / shard_rows).alias("shards"), F.ceil(F.col("n") / block_rows).alias("blocks"))
@@ -221,17 +224,18 @@ def near_duplicates(vectors: DataFrame, least: float = 0.93, shard_rows: int = 4
     asked = asked.select(*[F.col(c).alias(c) for c in asked.columns])
 
     def run(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        left, right = left.drop_duplicates("id"), right.drop_duplicates("id")
         rows: list[tuple[int, int, int]] = []
         if len(left) and len(right):
             rows = link_group(left["id"].to_numpy(), np.stack(left["v"].to_list()), right["id"].to_numpy(), np.stack(right["v"].to_list()), least)
-        return pd.DataFrame(rows, columns=["vec_id", "n", "root"])
+        return pd.DataFrame(rows, columns=["row", "n", "root"])
 
     key = ["label", "dim", "shard", "block"]
-    found = cut(members.groupBy(key).cogroup(asked.groupBy(key)).applyInPandas(run, "vec_id long, n long, root long"), "links")
-    counts = found.groupBy("vec_id").agg(F.sum("n").alias("n_links"))
-    parts = connected_components(found, "vec_id", "root").withColumnRenamed("node", "vec_id")
-    every = vectors.select(F.col("vec_id").cast("long").alias("vec_id")).distinct()
-    out = every.join(counts, "vec_id", "left").join(parts, "vec_id", "left")
+    found = cut(members.groupBy(key).cogroup(asked.groupBy(key)).applyInPandas(run, "row long, n long, root long"), "links")
+    counts = found.groupBy("row").agg(F.sum("n").alias("n_links"))
+    parts = connected_components(found, "row", "root").withColumnRenamed("node", "row")
+    every = rows.select("row", "vec_id")
+    lowest = parts.join(every, "row").groupBy("component").agg(F.min("vec_id").alias("low"))
+    parts = parts.join(lowest, "component").select("row", F.col("low").alias("component"))
+    out = every.join(counts, "row", "left").join(parts, "row", "left")
     component = F.coalesce("component", "vec_id")
     return out.select("vec_id", F.coalesce("n_links", F.lit(0).cast("long")).alias("n_links"), component.alias("component_id"), (F.col("vec_id") == component).alias("kept"))

@@ -222,7 +222,7 @@ def link_documents(docs: DataFrame, n: int = 3, num: int = 90, den: int = 100, b
 
     Documents link where den * intersection >= num * union of their sets of distinct ``n``-word shingles (fewer
     words: the whole sequence is one shingle).  A text without words and a null text have the empty set and link
-    with nothing.  ``component_id`` is the smallest doc_id reachable by links; a null doc_id is its own component.
+    with nothing.  ``component_id`` is the smallest doc_id reachable by links; a row with a null doc_id links with nothing and has no component.
     Rows of one id are one node, whatever their texts: each keeps its own ``n_shingles``, and all share the component.
     Sets are compared by 64-bit hashes of their shingles.
     Sets that are equal are joined before anything else and count as one below.  A candidate group larger than
@@ -288,4 +288,5 @@ def link_documents(docs: DataFrame, n: int = 3, num: int = 90, den: int = 100, b
     parts = connected_components(links, "node", "low")
     release(docs.sparkSession, groups, links)
     out = of.join(parts, "node", "left")
-    return out.select("doc_id", "n_shingles", F.coalesce("component", "node", "doc_id").alias("component_id"))
+    component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "node", "doc_id"))
+    return out.select("doc_id", "n_shingles", component.alias("component_id"))

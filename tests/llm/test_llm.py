@@ -349,8 +349,13 @@ def test_op1_and_op10_over_several_shards_and_blocks(spark):
     near = (u @ u.T >= 0.93) & (label[:, None] == label)
     np.fill_diagonal(near, False)
     root = brute.union_find(len(x), zip(*np.nonzero(near)))
-    got = {r.vec_id: (r.n_links, r.component_id) for r in hnsw.near_duplicates(df.union(df.limit(5)), shard_rows=60, block_rows=50).collect()}
+    got = {r.vec_id: (r.n_links, r.component_id) for r in hnsw.near_duplicates(df, shard_rows=60, block_rows=50).collect()}
     assert got == {i: (int(near[i].sum()), root[i]) for i in range(len(x))}
+    # rows that repeat are vectors of their own, linked with what they repeat
+    again = sorted((r.vec_id, r.n_links, r.component_id) for r in hnsw.near_duplicates(df.union(df.where("vec_id in (1, 2, 300, 301)")), shard_rows=60, block_rows=50).collect())
+    twice = {1, 2, 300, 301}
+    links = lambda i: int(near[i].sum()) + sum(bool(near[i][j]) for j in twice) + (i in twice)
+    assert again == sorted((i, links(i), root[i]) for i in range(len(x)) for _ in range(2 if i in twice else 1))
     z = np.floor(256 * x.astype(np.float64))
     want = set()
     for q in range(0, len(x), 50):
@@ -370,3 +375,24 @@ def test_registered_names():
     have = set(queries.queries())
     assert {n.split("_")[0] for n in have} == {f"op{i}" for i in range(1, 11)} | {"pipeline"}
     assert set(queries.oracle_sql()) <= have
+
+
+def test_op1_rows_of_one_id_are_vectors_of_their_own(spark):
+    rows = [(1, [1.0, 0.0], 1), (1, [0.0, 1.0], 1), (2, [1.0, 0.0], 1), (3, [0.0, 1.0], 1), (7, [1.0, 1.0], 2), (7, [1.0, 1.0], 2), (None, [1.0, 0.0], 1), (None, None, None)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int")
+    got = sorted(str(tuple(r)) for r in hnsw.near_duplicates(df).collect())
+    want = [(1, 1, 1, True), (1, 1, 1, True), (2, 1, 1, False), (3, 1, 1, False), (7, 1, 7, True), (7, 1, 7, True), (None, 0, None, None), (None, 0, None, None)]
+    assert got == sorted(map(str, want))
+
+
+def test_op9_null_ids_have_no_component(spark):
+    rows = [(None, "a b c d e f"), (1, "a b c d e f"), (None, "a b c d e f"), (2, "a b c d e f"), (2, "a b c d e f"), (None, None), (3, "")]
+    got = sorted(str(tuple(r)) for r in ngram_join.link_documents(spark.createDataFrame(rows, DOCS), sample=1.0).collect())
+    assert got == sorted(map(str, [(None, 4, None), (None, 4, None), (1, 4, 1), (2, 4, 1), (2, 4, 1), (None, 0, None), (3, 0, 3)]))
+
+
+def test_pipeline_join_stage_keeps_dotted_columns_and_null_ids(spark):
+    rows = [(1, "one two three four five six", "x"), (2, "one two three four five six", "y"), (None, "one two three four five six", "z")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, `a.b` string")
+    out = corpus_pipeline.keep_one_of_each_group(spark, df, "")
+    assert out.columns == df.columns and sorted(str(r["a.b"]) for r in out.collect()) == ["x", "z"]
