@@ -42,7 +42,7 @@ def keep_one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
     """N-gram Jaccard join: of each group of near copies the smallest id stays."""
     groups = ngram_join.link_documents(docs, n=SHINGLE_WORDS, num=SIMILARITY_PERCENT, den=100)
     rest = groups.where("component_id <> doc_id").select("doc_id").distinct()
-    return docs.join(rest, "doc_id", "left_anti").select(*docs.columns)
+    return docs.join(rest, "doc_id", "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def drop_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
