@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from loomseq.sources.scratch import drop, settle
@@ -93,25 +93,41 @@ def pair_support(hits: DataFrame, least: int = 4) -> DataFrame:
 def greedy_clusters(pairs: DataFrame, distance: int = 100, least: int = 4) -> DataFrame:
     """Pairs of one gene pair and chromosome pair grouped around seeds; groups of ``least`` or more reads.
 
-    Rows are taken by (pos_1, pos_2, sample, read_id), so the result does not depend on arrival; a row joins the
-    first seed within ``distance`` at both ends, or becomes a seed.
+    Rows are taken by (pos_1, pos_2, sample, read_id), so the result does not depend on arrival; a row joins the first
+    seed within ``distance`` at both ends, or becomes a seed.
+
+    A seed takes no row beyond a stretch of ``distance`` bases without first ends, so a gene pair is dealt out by such
+    stretches: its occupied cells of that width, not its rows, are put in order.  Within a group only the seeds still in
+    reach are kept, by the cell of their second end.
     """
     shape = "gene_1 string, gene_2 string, chrom_1 string, chrom_2 string, pos_1 long, pos_2 long, support long"
+    key = ["gene_1", "gene_2", "chrom_1", "chrom_2"]
+    celled = settle(pairs.withColumn("_c", F.floor(F.col("pos_1") / distance)))
+    order = Window.partitionBy(*key).orderBy("_c")
+    held = celled.select(*key, "_c").distinct().withColumn("_new", (F.col("_c") - F.lag("_c").over(order) > 1).cast("int"))
+    # some stretches go together, so that groups are not too small to be worth a call
+    held = held.withColumn("_part", F.floor(F.sum(F.coalesce("_new", F.lit(0))).over(order) / 256)).drop("_new")
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        seeds: list[list] = []
+        seeds: list[tuple] = []
+        reach: dict[int, list[int]] = {}
+        oldest = 0
         for r in pdf.sort_values(["pos_1", "pos_2", *READ]).itertuples():
-            for s in seeds:
-                if abs(r.pos_1 - s[0]) <= distance and abs(r.pos_2 - s[1]) <= distance:
-                    s[2].add((r.sample, r.read_id))
-                    break
+            while oldest < len(seeds) and seeds[oldest][0] < r.pos_1 - distance:  # seeds are in the order of their first end
+                reach[seeds[oldest][1] // distance].remove(oldest)
+                oldest += 1
+            c = r.pos_2 // distance
+            near = [i for k in (c - 1, c, c + 1) for i in reach.get(k, ()) if abs(r.pos_2 - seeds[i][1]) <= distance]
+            if near:
+                seeds[min(near)][2].add((r.sample, r.read_id))
             else:
-                seeds.append([r.pos_1, r.pos_2, {(r.sample, r.read_id)}])
+                reach.setdefault(c, []).append(len(seeds))
+                seeds.append((r.pos_1, r.pos_2, {(r.sample, r.read_id)}))
         head = pdf.iloc[0]
         return pd.DataFrame([(head.gene_1, head.gene_2, head.chrom_1, head.chrom_2, a, b, len(n)) for a, b, n in seeds if len(n) >= least],
                             columns=["gene_1", "gene_2", "chrom_1", "chrom_2", "pos_1", "pos_2", "support"])
 
-    return pairs.groupBy("gene_1", "gene_2", "chrom_1", "chrom_2").applyInPandas(run, shape)
+    return celled.join(held, [*key, "_c"]).groupBy(*key, "_part").applyInPandas(run, shape)
 
 
 def components(edges: DataFrame) -> DataFrame:

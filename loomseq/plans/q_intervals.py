@@ -187,7 +187,17 @@ def a19(t):
     return c.select("chrom_1", "chrom_2", "start_1", "end_1", "start_2", "end_2", "support", *[F.round(x, 6).alias(x) for x in ("mapq_1", "span_1", "mapq_2", "span_2")])
 
 
-@query("A21_greedy_clusters")
+#: The plain loop in SQL: row after row of a group, with the list of seeds so far.
+GREEDY = """f as (select sample, read_id, gene, min((chrom, start_pos, end_pos, mapq)) as f from good group by all),
+    p as (select a.sample, a.read_id, a.gene as gene_1, b.gene as gene_2, a.f[1] as chrom_1, a.f[2] as pos_1, b.f[1] as chrom_2, b.f[2] as pos_2 from f a join f b on a.sample = b.sample and a.read_id = b.read_id and a.gene < b.gene),
+    o as materialized (select *, (gene_1, gene_2, chrom_1, chrom_2)::varchar as k, row_number() over (partition by gene_1, gene_2, chrom_1, chrom_2 order by pos_1, pos_2, sample, read_id) as rn from p),
+    walk(k, rn, seeds, s) as (select k, rn, [{'a': pos_1, 'b': pos_2}], 1::bigint from o where rn = 1 union all
+      select k, rn, case when hit > 0 then seeds else list_append(seeds, {'a': pos_1, 'b': pos_2}) end, case when hit > 0 then hit else len(seeds) + 1 end
+      from (select o.k, o.rn, w.seeds, o.pos_1, o.pos_2, coalesce(list_position([abs(x.a - o.pos_1) <= 100 and abs(x.b - o.pos_2) <= 100 for x in w.seeds], true), 0)::bigint as hit from walk w join o on o.k = w.k and o.rn = w.rn + 1) q)"""
+
+
+@query("A21_greedy_clusters", f"""with recursive {HITS}, {GOOD}, {GREEDY}, t as (select gene_1, gene_2, chrom_1, chrom_2, s, seeds[s].a as pos_1, seeds[s].b as pos_2, sample, read_id from o join walk using (k, rn))
+    select gene_1, gene_2, chrom_1, chrom_2, pos_1, pos_2, count(distinct (sample, read_id)) as support from t group by gene_1, gene_2, chrom_1, chrom_2, s, pos_1, pos_2 having count(distinct (sample, read_id)) >= 2""")
 def a21(t):
     return fu.greedy_clusters(fu.gene_pairs(hits(t).where(rd.well_mapped())), least=2)
 
