@@ -98,13 +98,14 @@ def spot_clusters(spots: DataFrame, keys: list[str], eps: float, least: int) ->
 def density_clusters(pairs: DataFrame, eps: float = 7_500, least: int = MIN_SUPPORT, by: tuple[str, ...] = ()) -> DataFrame:
     """Clusters of breakpoint pairs (from ``breakpoint_pairs``) per chromosome pair and ``by``, with ``least`` or more reads.
 
-    Columns: ``by``, chrom_1, chrom_2, and per side start, end (the box around its alignments), mapq and span (means over the
-    cluster's pairs); support = distinct reads.
+    Columns: ``by``, chrom_1, chrom_2, and per side start, end (the box around its alignments), span and, where pairs have it, mapq
+    (means over the cluster's pairs); support = distinct reads.
     """
     keys = [*by, *PLACE]
     at = pairs.withColumns({"x": F.col("start_pos_1") + F.col("end_pos_1"), "y": F.col("start_pos_2") + F.col("end_pos_2")})
     member = spot_clusters(at.groupBy(*keys, "x", "y").agg(F.count("*").alias("w")), keys, eps, least)
-    means = [F.avg(c).alias(n) for k in (1, 2) for c, n in ((F.col(f"mapq_{k}"), f"mapq_{k}"), (F.col(f"end_pos_{k}") - F.col(f"start_pos_{k}"), f"span_{k}"))]
+    means = [F.avg(F.col(f"end_pos_{k}") - F.col(f"start_pos_{k}")).alias(f"span_{k}") for k in (1, 2)]
+    means += [F.avg(c).alias(c) for c in ("mapq_1", "mapq_2") if c in pairs.columns]
     box = [f(f"{c}_pos_{k}").alias(f"{c}_{k}") for k in (1, 2) for c, f in (("start", F.min), ("end", F.max))]
     out = at.join(member, [*keys, "x", "y"]).groupBy(*keys, "cluster").agg(*box, F.countDistinct(*READ).alias("support"), *means)
     return out.where(F.col("support") >= least).drop("cluster")

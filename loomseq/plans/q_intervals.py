@@ -170,7 +170,7 @@ def a20(t):
 SCAN = """pairs as (select p.sample, p.read_id, p.chrom as c1, p.start_pos as s1, p.end_pos as e1, p.mapq as q1, s.chrom as c2, s.start_pos as s2, s.end_pos as e2, s.mapq as q2, {k} as k
       from @aln p join @aln s on p.read_id = s.read_id and p.sample = s.sample where not p.is_supplementary and s.is_supplementary and {f} s.mapq >= 50),
     pts as (select k, c1, c2, s1 + e1 as x, s2 + e2 as y, count(*) as w from pairs group by all),
-    near as (select a.k, a.c1, a.c2, a.x, a.y, b.x as x2, b.y as y2, b.w from pts a join pts b on a.k = b.k and a.c1 = b.c1 and a.c2 = b.c2 and abs(a.x - b.x) + abs(a.y - b.y) <= 200000),
+    near as (select a.k, a.c1, a.c2, a.x, a.y, b.x as x2, b.y as y2, b.w from pts a join pts b on a.k = b.k and a.c1 = b.c1 and a.c2 = b.c2 and abs(a.x - b.x) + abs(a.y - b.y) <= 400000),
     core as (select k, c1, c2, x, y from near group by all having sum(w) >= 3),
     link as (select n.* from near n join core using (k, c1, c2, x, y) join core o on o.k = n.k and o.c1 = n.c1 and o.c2 = n.c2 and o.x = n.x2 and o.y = n.y2),
     reach(k, c1, c2, x, y, rx, ry) as (select *, x, y from core union select r.k, r.c1, r.c2, r.x, r.y, l.x2, l.y2 from reach r join link l on r.k = l.k and r.c1 = l.c1 and r.c2 = l.c2 and r.rx = l.x and r.ry = l.y),
@@ -183,7 +183,7 @@ SCAN = """pairs as (select p.sample, p.read_id, p.chrom as c1, p.start_pos as s1
 @query("A19_density_clusters", f"""with recursive {SCAN.format(k="''", f="p.mapq >= 50 and")}
     select c1 as chrom_1, c2 as chrom_2, start_1, end_1, start_2, end_2, support, round(mapq_1, 6) as mapq_1, round(span_1, 6) as span_1, round(mapq_2, 6) as mapq_2, round(span_2, 6) as span_2 from clusters""")
 def a19(t):
-    c = de.density_clusters(pairs(t), eps=100_000)
+    c = de.density_clusters(pairs(t), eps=200_000)
     return c.select("chrom_1", "chrom_2", "start_1", "end_1", "start_2", "end_2", "support", *[F.round(x, 6).alias(x) for x in ("mapq_1", "span_1", "mapq_2", "span_2")])
 
 
@@ -218,7 +218,7 @@ def a22(t):
     g as (select *, sum(fresh) over (partition by sample, chrom, event_type order by start_pos, end_pos rows unbounded preceding) as isle from i)
     select sample, chrom, min(start_pos) as start_pos, max(end_pos) as end_pos, event_type, max(support) as read_count, max(q) as avg_mapping_quality, max(sp) as avg_mapping_span from g group by sample, chrom, event_type, isle""")
 def a23(t):
-    return de.event_table(de.event_pairs(t.aln), eps=100_000)
+    return de.event_table(de.event_pairs(t.aln), eps=200_000)
 
 
 @query("A23_binned_events", f"""with {PAIRS}, e as (select sample, read_id, (c1, m1 // 250000 * 250000, s1) as x, (c2, m2 // 250000 * 250000, s2) as y from pairs),

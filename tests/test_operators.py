@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from loomseq.functions import text as tx
-from loomseq.operators import cnv, coverage, fusion, intervals, methylation, reads, scores, variants
+from loomseq.operators import cnv, coverage, density, fusion, intervals, methylation, reads, scores, variants
 from loomseq.sources import tables
 
 
@@ -108,7 +108,7 @@ def test_components_equal_union_find(spark):
 def test_density_clusters_of_two_stacks(spark):
     p = [("s", f"r{i}", "chr1", 1000 + i, 1000 + i, "chr2", 9000, 9000) for i in range(4)] + [("s", "far", "chr1", 90_000, 90_000, "chr2", 9000, 9000)]
     df = spark.createDataFrame(p, "sample string, read_id string, chrom_1 string, start_pos_1 long, end_pos_1 long, chrom_2 string, start_pos_2 long, end_pos_2 long")
-    assert rows(fusion.density_clusters(df), "start_1", "end_1", "support") == [(1000, 1003, 4)]
+    assert rows(density.density_clusters(df), "start_1", "end_1", "support") == [(1000, 1003, 4)]
 
 
 def test_newly_supported_crosses_once(spark):
