@@ -306,7 +306,15 @@ def w7(t):
     return cnv.normalised(c.where("sample <> 'S0'"), c.where("sample = 'S0'"))
 
 
-@query("W8_change_points")
+#: The programme over all starts of the last segment, bin after bin, with running sums in the order of the bins; then the walk back.
+@query("W8_change_points", """with recursive o as materialized (select sample, chrom, value, row_number() over (partition by sample, chrom order by bin) as e, count(*) over (partition by sample, chrom) as n from @cnv),
+    walk(sample, chrom, n, e, s1, s2, best, back) as (select sample, chrom, n, 0::bigint, [0.0::double], [0.0::double], [-10.0::double], [0::bigint] from o where e = 1 and n > 3
+      union all select sample, chrom, n, e, s1, s2, list_append(best, case when e < 2 then 'inf'::double else list_min(cost) + 10 end), list_append(back, case when e < 2 then 0 else starts[list_position(cost, list_min(cost))] end)
+      from (select *, [best[s + 1] + s2[e + 1] - s2[s + 1] - (s1[e + 1] - s1[s + 1]) * (s1[e + 1] - s1[s + 1]) / (e - s) for s in starts] as cost
+      from (select w.sample, w.chrom, w.n, o.e, list_append(w.s1, w.s1[w.e + 1] + o.value) as s1, list_append(w.s2, w.s2[w.e + 1] + o.value * o.value) as s2, w.best, w.back, [x for x in range(0, o.e - 1) if x <> 1] as starts
+      from walk w join o on o.sample = w.sample and o.chrom = w.chrom and o.e = w.e + 1) q) r),
+    trace(sample, chrom, e, back) as (select sample, chrom, e, back from walk where e = n union all select sample, chrom, back[e + 1], back from trace where back[e + 1] > 0)
+    select sample, chrom, e * 10000 - 10000 as start_pos, e * 10000 + 10000 as end_pos from trace""")
 def w8(t):
     return cnv.change_points(t.cnv)
 
