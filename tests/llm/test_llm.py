@@ -396,3 +396,16 @@ def test_pipeline_join_stage_keeps_dotted_columns_and_null_ids(spark):
     df = spark.createDataFrame(rows, "doc_id long, text string, `a.b` string")
     out = corpus_pipeline.keep_one_of_each_group(spark, df, "")
     assert out.columns == df.columns and sorted(str(r["a.b"]) for r in out.collect()) == ["x", "z"]
+
+
+def test_null_and_repeated_ids_keep_their_rows(spark):
+    rows = [(None, "hello there, how are you today"), (None, None), (5, "bonjour tout le monde"), (5, "another text of the same id"), (5, "another text of the same id")]
+    df = spark.createDataFrame(rows, DOCS).withColumn("lang", F.lit("en")).withColumn("score", F.lit("clash"))
+    path = public_tokenizers.path
+    ids = lambda out: sorted(str(r.doc_id) for r in out.select("doc_id").collect())
+    want = sorted(["None", "None", "5", "5", "5"])
+    assert ids(langid.identify(df)) == want
+    assert ids(bpe.encode_digest(df, path("word_bpe_49k.json"))) == want
+    assert ids(sharding.shard_digest(df, shards=2)) == want
+    pieces = packing.pack_pieces(packing.token_pieces(df, path("byte_bpe_50k.json")))
+    assert ids(pieces) == want and pieces.agg(F.sum("length")).head()[0] == sum(len(packing.encoder(path("byte_bpe_50k.json"))(t or "")) + 1 for _, t in rows)
