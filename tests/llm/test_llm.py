@@ -373,7 +373,7 @@ def test_empty_tables_give_empty_results(spark):
 
 def test_registered_names():
     have = set(queries.queries())
-    assert {n.split("_")[0] for n in have} == {f"op{i}" for i in range(1, 11)} | {"pipeline"}
+    assert {n.split("_")[0] for n in have} == {f"op{i}" for i in range(1, 14)} | {"pipeline"}
     assert set(queries.oracle_sql()) <= have
 
 
