@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from loomseq.operators.intervals import small
+from loomseq.operators.quantiles import quantiles
 
 BIN_WIDTH = 10_000
 KEY = ["sample", "chrom"]
@@ -21,7 +22,7 @@ def binned_counts(aln: DataFrame, width: int = BIN_WIDTH, least_mapq: int = 60)
 def copy_numbers(bins: DataFrame) -> DataFrame:
     """Value of each bin: twice its count over the sample's median of non-zero autosomal counts."""
     auto = bins.where(F.col("chrom").rlike("^chr[0-9]+$") & (F.col("n") > 0))
-    mid = auto.groupBy("sample").agg(F.median("n").alias("m"))
+    mid = quantiles(auto, ["sample"], "n", [0.5]).select("sample", F.col("q")[0].alias("m"))
     return bins.join(small(mid), "sample").select(*KEY, "bin", F.round(2 * F.col("n") / F.col("m"), 6).alias("value"))
 
 

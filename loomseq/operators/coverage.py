@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from loomseq.operators.intervals import overlap_join
+from loomseq.operators.quantiles import quantiles
 
 
 def ladder(value: Column, steps: list[tuple[float, str]], otherwise: str) -> Column:
@@ -81,15 +82,15 @@ def distribution(df: DataFrame, value: str = "coverage") -> DataFrame:
     """Median, mean, bounds and the percentages of rows at depths 30, 20 and 10."""
     c = F.col(value)
     share = lambda n: F.round(100 * F.avg((c >= n).cast("int")), 6).alias(f"pct_{n}")
-    return df.agg(F.median(c).alias("median"), F.round(F.avg(c), 6).alias("mean"), F.min(c).alias("min"), F.max(c).alias("max"), share(30), share(20), share(10))
+    mid = quantiles(df, [], value, [0.5]).select(F.col("q")[0].alias("median"))
+    rest = df.agg(F.round(F.avg(c), 6).alias("mean"), F.min(c).alias("min"), F.max(c).alias("max"), share(30), share(20), share(10))
+    return rest.join(F.broadcast(mid), F.lit(True), "left").select("median", *rest.columns)
 
 
 def box_statistics(df: DataFrame, keys: list[str], value: str = "coverage") -> DataFrame:
-    """Minimum, quartiles (interpolated) and maximum per group."""
-    q = F.percentile(value, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)))
-    return df.groupBy(*keys).agg(F.min(value).alias("min"), q.alias("_q"), F.max(value).alias("max"), F.count("*").alias("n")).select(
-        *keys, "min", *[F.round(F.col("_q")[i], 6).alias(n) for i, n in enumerate(("q1", "median", "q3"))], "max", "n"
-    )
+    """Minimum, quartiles (interpolated) and maximum per group, and the number of its values."""
+    q = quantiles(df, keys, value, [0.25, 0.5, 0.75])
+    return q.select(*keys, "min", *[F.round(F.col("q")[i], 6).alias(n) for i, n in enumerate(("q1", "median", "q3"))], "max", "n")
 
 
 def iqr_outliers(df: DataFrame, keys: list[str], value: str = "coverage", least_rows: int = 4) -> DataFrame:

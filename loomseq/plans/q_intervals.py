@@ -249,6 +249,15 @@ def g1(t):
     return fu.gene_groups(cands(t))
 
 
+@query("G1_grown_groups", SQL["G1_gene_groups"])
+def g1_grown(t):
+    # a read's alignments come together, so each part has whole tags of its own reads
+    parts = [fu.pair_edges(cands(t).where(F.pmod(F.hash("read_id"), F.lit(3)) == k)) for k in range(3)]
+    fold = st.grown_groups("src", "dst", "n")
+    base = arriving(t, parts, fold, every=2)
+    return st.group_lists(st.DeltaState(t.spark, f"{base}/state", fold).rows())
+
+
 @query("G2_fusion_counts", f"""with {HITS}, {GOOD}, {CANDS}, {TAGS} select count(distinct tag) as genome_tags,
     count(distinct case when list_contains(string_split(tag, ','), 'G0') then tag end) as target_tags, count(*) as n_reads from tags""")
 def g2(t):

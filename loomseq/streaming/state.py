@@ -161,6 +161,65 @@ def crossings(key: str, item: str, batch: StructType, least: int = 3) -> Fold:
     return Fold(StructType([batch[key], batch[item], *StructType.fromDDL("n long")]), (key, item), (key, item), step)
 
 
+LINKED = "kind string, id string, member string, root string, label string, size long, n long"
+
+
+def grown_groups(src: str, dst: str, weight: str, least: int = 3) -> Fold:
+    """Connected groups of a graph whose edges come in batches; emits the groups that a batch touched and that weigh ``least``.
+
+    State rows are stars: ``node`` rows hold a node's root, ``member`` rows a root's nodes, ``group`` rows a root's smallest node
+    (``label``), its number of nodes and the summed weight of its edges.  A batch is joined with the roots of the
+    nodes it names only, and where groups meet, the largest keeps its root and the others' nodes move: a node moves at most as
+    often as its group can double.  Edges with a null end are left out, and loops make no group.  Emits (label, size, n).
+    """
+
+    def step(lookup: Lookup, hold: Hold, rows: DataFrame) -> tuple[DataFrame, DataFrame]:
+        from loomseq.operators.fusion import components
+
+        none = lambda kind: F.lit(None).cast(kind)
+        a, b = F.col(src).cast("string"), F.col(dst).cast("string")
+        edges = hold(rows.where(a.isNotNull() & b.isNotNull() & (a != b)).groupBy(a.alias("a"), b.alias("b")).agg(F.sum(weight).cast("long").alias("w")))
+        ends = edges.select(F.col("a").alias("id")).union(edges.select("b")).distinct()
+        known = lookup(ends.select(F.lit("node").alias("kind"), "id")).select("id", "root")
+        named = hold(ends.join(known, "id", "left").select("id", F.coalesce("root", "id").alias("root"), F.col("root").isNull().alias("fresh")))
+        at = lambda end: named.select(F.col("id").alias(end), F.col("root").alias(f"r{end}"))
+        between = hold(edges.join(at("a"), "a").join(at("b"), "b").groupBy("ra", "rb").agg(F.sum("w").alias("w")))
+        parts = components(between.select(F.col("ra").alias("src"), F.col("rb").alias("dst"))).select(F.col("node").alias("root"), "component")
+        roots = named.groupBy("root").agg(F.max("fresh").alias("fresh"))
+        heads = lookup(roots.select(F.lit("group").alias("kind"), F.col("root").alias("id"))).select(F.col("id").alias("root"), "label", "size", "n")
+        met = roots.join(heads, "root", "left").join(parts, "root", "left").select(
+            "root", "fresh", F.coalesce("component", "root").alias("c"), F.coalesce("label", "root").alias("label"), F.coalesce("size", F.lit(1)).alias("size"), F.coalesce("n", F.lit(0)).alias("n")
+        )
+        met = hold(met)
+        weights = between.join(met.select(F.col("root").alias("ra"), "c"), "ra").groupBy("c").agg(F.sum("w").alias("w"))
+        merged = met.groupBy("c").agg(F.max(F.struct("size", "root"))["root"].alias("keeps"), F.min("label").alias("label"), F.sum("size").alias("size"), F.sum("n").alias("n"))
+        merged = hold(merged.join(weights, "c").select("c", "keeps", "label", "size", (F.col("n") + F.col("w")).alias("n")))
+        gone = hold(met.join(merged.select("c", "keeps"), "c").where("root <> keeps").select("root", "keeps", "fresh"))
+        stored = lookup(gone.where("not fresh").select(F.lit("member").alias("kind"), F.col("root").alias("id"))).select(F.col("id").alias("root"), "member")
+        moved = hold(stored.join(gone.select("root", "keeps"), "root"))
+        new = met.where("fresh").join(merged.select("c", "keeps"), "c").select(F.col("root").alias("member"), "keeps")
+        placed = hold(moved.select("member", "keeps").unionByName(new))
+
+        def shaped(df: DataFrame, kind: str, gone: bool, **cols: str) -> DataFrame:
+            empty = {"member": none("string"), "root": none("string"), "label": none("string"), "size": none("long"), "n": none("long")}
+            values = [F.col(cols[c]).alias(c) if c in cols else e.alias(c) for c, e in empty.items()]
+            return df.select(F.lit(kind).alias("kind"), F.col(cols["id"]).alias("id"), *values, F.lit(gone).alias("_gone"))
+
+        changed = shaped(placed, "node", False, id="member", root="keeps").unionByName(shaped(placed, "member", False, id="keeps", member="member"))
+        changed = changed.unionByName(shaped(moved, "member", True, id="root", member="member")).unionByName(shaped(gone.where("not fresh"), "group", True, id="root"))
+        changed = changed.unionByName(shaped(merged, "group", False, id="keeps", label="label", size="size", n="n"))
+        return changed, merged.where(F.col("n") >= least).select("label", "size", "n")
+
+    return Fold(StructType.fromDDL(LINKED), ("kind", "id", "member"), ("kind", "id"), step)
+
+
+def group_lists(state: DataFrame, least: int = 3) -> DataFrame:
+    """(genes, support): the groups of a ``grown_groups`` state of at least ``least``, members in order."""
+    heads = state.where("kind = 'group'").where(F.col("n") >= least).select("id", F.col("n").alias("support"))
+    names = state.where("kind = 'member'").groupBy("id").agg(F.array_join(F.array_sort(F.collect_set("member")), ",").alias("genes"))
+    return heads.join(names, "id").select("genes", "support")
+
+
 TAGS = "kind string, id string, tag string, done boolean, n long, waiting array<string>"
 
 

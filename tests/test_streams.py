@@ -1,6 +1,7 @@
 """Folds over delta state, batches with timers, windows by event time."""
 
 import datetime
+import random
 import time
 
 import pytest
@@ -142,3 +143,33 @@ def test_late_rows_are_dropped_and_windows_come_once(spark, tmp_path):
         time.sleep(0.1)
     got = sorted((r.window_start.isoformat()[:10], r.reads, r.bases) for r in folds.emitted(spark, base).collect())
     assert got == [("2023-12-29", 3, 30), ("2024-02-07", 2, 20)]
+
+
+def test_groups_grow_and_meet_over_batches(spark, tmp_path):
+    base, shape = f"file://{tmp_path}", "a string, b string, w long"
+    fold = st.grown_groups("a", "b", "w", least=1)
+    r = random.Random(11)
+    edges = [(f"n{r.randrange(60)}", f"n{r.randrange(60)}", r.randrange(1, 4)) for _ in range(45)]
+    edges += [("n1", "n1", 9), (None, "n1", 9), ("n1", None, 9), ("n2", "n3", 2), ("n2", "n3", 2)]
+    so_far = []
+    for k in range(4):
+        batch = edges[k::4]
+        state = came(spark, base, batch, shape, fold, every=2)
+        so_far += [e for e in batch if None not in e and e[0] != e[1]]
+        group = {}
+        for a, b, _ in so_far:
+            whole = group.get(a, {a}) | group.get(b, {b})
+            for n in whole:
+                group[n] = whole
+        want = {(",".join(sorted(g)), sum(w for a, _, w in so_far if a in g)) for g in map(frozenset, group.values())}
+        assert {tuple(x) for x in st.group_lists(state.rows(), 1).collect()} == want
+    heads = state.rows().where("kind = 'group'").collect()
+    assert {(h.label, h["size"], h.n) for h in heads} == {(min(g.split(",")), len(g.split(",")), n) for g, n in want}
+    last = folds.emitted(spark, base).where("v = 3").count()
+    # the last batch once more, after a failure: the same state and the same rows
+    v = 3
+    before = sorted(map(str, state.rows().collect()))
+    changed, told = fold.step(lambda t: state.rows(v, t), lambda df: df, spark.createDataFrame(edges[3::4], shape))
+    assert told.count() == last
+    state.write(v, changed)
+    assert sorted(map(str, state.rows().collect())) == before
