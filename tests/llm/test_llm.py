@@ -277,6 +277,18 @@ def test_op8_a_rerun_gives_the_same_and_files_hold_the_shards(spark, tmp_path):
         assert sorted(r.slot for r in back.where(F.col("shard") == shard).collect()) == list(range(100))
 
 
+def test_op8_spreads_equal_rows(spark, tmp_path):
+    one = spark.range(40_000).select(F.lit(None).cast("long").alias("doc_id"), F.lit(None).cast("string").alias("text"))
+    docs = one.unionByName(spark.range(300).select(F.col("id").alias("doc_id"), F.concat(F.lit("t"), F.col("id") % 7).alias("text")))
+    b = sharding.scatter(docs, "doc_id", 80, 42).groupBy("_b").count().toPandas()["count"]
+    assert b.sum() == 40_300 and len(b) == 80 and b.max() < 700
+    out = sharding.shard_records(docs, shards=7)
+    n = out.groupBy("shard").agg(F.count("*").alias("n"), F.countDistinct("slot").alias("d"), F.max("slot").alias("m")).collect()
+    assert sum(r.n for r in n) == 40_300 and max(r.n for r in n) - min(r.n for r in n) <= 1 and all(r.d == r.n == r.m + 1 for r in n)
+    again = sharding.shard_records(docs.repartition(5), shards=7)
+    assert out.exceptAll(again).count() == 0
+
+
 def test_op8_shuffle_is_a_permutation(spark):
     rows = [r.o for r in spark.range(300).select(sharding.fisher_yates((F.col("id") % 40 + 1).cast("int"), 3, F.col("id")).alias("o")).collect()]
     assert all(sorted(o) == list(range(len(o))) for o in rows) and len({tuple(o) for o in rows if len(o) == 30}) > 1
