@@ -1,14 +1,13 @@
 """Exact top-k inner-product search with cover trees on both sides.
 
 Candidates are dealt into shards and queries into blocks by hash; every (shard, block) pair is one group.  Inside
-a group both sides are put in cover trees; a best-first walk over the candidates' tree prunes a pair of nodes when
-the bound from their centres and covering radii is below the worst k-th score of the query node's group.
+a group both sides are put in cover trees that are descended together: a pair of nodes is dropped when the bound from
+their centres and covering radii is below the worst k-th score of the query node's group.
 """
 
 from __future__ import annotations
 
 import heapq
-from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
@@ -16,68 +15,112 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 SCALE = 256
+#: Children of at most this many points are held together in leaves by place.
+TINY = 4
 
 
 class CoverNode:
-    """Points within ``radius`` of ``center``; children are separated by half of it.  Small nodes keep their points."""
+    """Points within ``radius`` of ``center``; children lie within half of it, around points that far apart.
 
-    __slots__ = ("center", "radius", "points", "children", "centers", "norms", "radii")
+    Children of a few points each become leaves by place.  ``floor`` is used on the query side: the worst k-th score of the node's queries.
+    """
+
+    __slots__ = ("center", "norm", "radius", "points", "children", "parent", "floor", "centers", "norms", "radii")
 
-    def __init__(self, x: np.ndarray, center: int, points: np.ndarray, dist: np.ndarray, leaf: int):
-        self.center, self.points = center, points
-        self.radius = float(dist.max()) if len(dist) else 0.0
+    def __init__(self, x: np.ndarray, points: np.ndarray, center: np.ndarray, parent: CoverNode | None):
+        self.center, self.points, self.parent = center, points, parent
+        self.norm = float(np.sqrt((center**2).sum()))
+        self.radius = float(distances(x[points], center).max())
         self.children: list[CoverNode] = []
-        if len(points) > leaf and self.radius > 0:
-            half = self.radius / 2
-            rest, near = points, dist
-            c = center
-            while len(rest):
-                inside = near <= half
-                self.children.append(CoverNode(x, c, rest[inside], near[inside], leaf))
-                rest = rest[~inside]
-                if len(rest):
-                    c = int(rest[0])
-                    near = np.sqrt(np.maximum(((x[rest] - x[c]) ** 2).sum(axis=1), 0))
-            self.centers = x[[n.center for n in self.children]]
-            self.norms = np.sqrt((self.centers**2).sum(axis=1))
-            self.radii = np.array([n.radius for n in self.children])
-
-    def leaves(self) -> Iterator[CoverNode]:
-        """Nodes without children; a long row of single points is read as groups by its parent."""
-        if not self.children:
-            yield self
-        for c in self.children:
-            yield from c.leaves()
+        self.floor = -np.inf
+
+    def close(self) -> None:
+        """Arrays of the children's balls, for bounds of all of them at once."""
+        self.centers = np.stack([c.center for c in self.children])
+        self.norms = np.array([c.norm for c in self.children])
+        self.radii = np.array([c.radius for c in self.children])
+
+
+def distances(x: np.ndarray, center: np.ndarray) -> np.ndarray:
+    return np.sqrt(((x - center) ** 2).sum(axis=1))
+
+
+def by_place(x: np.ndarray, points: np.ndarray, leaf: int) -> list[np.ndarray]:
+    """Points in parts of at most ``leaf``, cut in half along the line to the farthest point."""
+    todo, parts = [points], []
+    while todo:
+        p = todo.pop()
+        if len(p) <= leaf:
+            parts.append(p)
+            continue
+        far = x[p[distances(x[p], x[p[0]]).argmax()]]
+        order = p[np.argsort(x[p] @ (far - x[p[0]]), kind="stable")]
+        todo += [order[: len(p) // 2], order[len(p) // 2 :]]
+    return parts
 
 
 def cover_tree(x: np.ndarray, leaf: int) -> CoverNode:
-    points = np.arange(len(x))
-    return CoverNode(x, 0, points, np.sqrt(((x - x[0]) ** 2).sum(axis=1)), leaf)
+    root = CoverNode(x, np.arange(len(x)), x[0], None)
+    todo = [root]
+    while todo:
+        node = todo.pop()
+        if len(node.points) <= leaf or node.radius == 0:
+            continue
+        rest, few = node.points, []
+        center = node.center
+        while len(rest):
+            inside = distances(x[rest], center) <= node.radius / 2
+            part, rest = rest[inside], rest[~inside]
+            if len(part) > TINY:
+                node.children.append(CoverNode(x, part, center, node))
+            else:
+                few.append(part)
+            center = x[rest[0]] if len(rest) else center
+        todo += node.children
+        if few:
+            node.children += [CoverNode(x, p, x[p].mean(axis=0), node) for p in by_place(x, np.concatenate(few), leaf) if len(p)]
+        node.close()
+    return root
 
 
 class Best:
-    """The k best (score, id) of each query of a group; equal scores go to the smaller id."""
+    """The k best (score, id) of each query; equal scores go to the smaller id."""
 
     def __init__(self, own: np.ndarray, k: int):
         self.own, self.k = own, k
         self.rows: list[list[tuple[int, int]]] = [[] for _ in own]
         self.floor = np.full(len(own), -np.inf)
 
-    def add(self, scores: np.ndarray, ids: list[np.ndarray]) -> None:
-        for i, j in zip(*np.nonzero(scores >= self.floor[:, None])):
-            s = int(scores[i, j])
-            if s < self.floor[i]:
+    def add(self, queries: np.ndarray, scores: np.ndarray, ids: list[np.ndarray]) -> None:
+        least = self.floor[queries]
+        if scores.shape[1] > self.k + 1:
+            # each column has a candidate, and a query is itself at most one of them
+            least = np.maximum(least, np.partition(scores, -(self.k + 1), axis=1)[:, -(self.k + 1)])
+        for i, j in zip(*np.nonzero(scores >= least[:, None])):
+            q, s = queries[i], int(scores[i, j])
+            if s < self.floor[q]:
                 continue
-            row = self.rows[i]
-            row += [(-s, int(v)) for v in ids[j] if v != self.own[i]]
+            row = self.rows[q]
+            row += [(-s, int(v)) for v in ids[j] if v != self.own[q]]
             row.sort()
             del row[self.k :]
             if len(row) == self.k:
-                self.floor[i] = -row[-1][0]
+                self.floor[q] = -row[-1][0]
+
+
+def highest(q: CoverNode, center, norm, radius):
+    """The most that a query of ``q`` can score with a point of a ball, or of several balls."""
+    slack = 1e-9 * (q.norm + q.radius) * (norm + radius) + 1e-6
+    return center @ q.center + q.norm * radius + norm * q.radius + radius * q.radius + slack
 
 
-def search_group(ids: np.ndarray, x: np.ndarray, query_ids: np.ndarray, q: np.ndarray, k: int, leaf: int = 48) -> list[tuple[int, int, int]]:
-    """(query id, candidate id, score) of the k best candidates of each query within one group."""
+def search_group(ids: np.ndarray, x: np.ndarray, query_ids: np.ndarray, q: np.ndarray, k: int, leaf: int = 48, seen: dict | None = None) -> list[tuple[int, int, int]]:
+    """(query id, candidate id, score) of the k best candidates of each query within one group.
+
+    Pairs of a query node and a candidate node wait on one heap by their highest possible score.  A pair goes when
+    that is under the query node's floor; two leaves are scored, and floors rise to the root; otherwise the wider node
+    of the two is opened.  ``seen`` takes the numbers of pairs met, dropped and scored.
+    """
     order = np.argsort(ids, kind="stable")
     where: dict[bytes, int] = {}
     same: list[list[int]] = []
@@ -92,45 +135,42 @@ def search_group(ids: np.ndarray, x: np.ndarray, query_ids: np.ndarray, q: np.nd
             same[at].append(int(ids[i]))
     ux = x[first]
     members = [np.array(s) for s in same]
-    tree = cover_tree(ux, leaf)
-    out = []
-    groups = [g.points for g in cover_tree(q, leaf).leaves()]
-    # single-point leaves are walked together: their common ball is centred on the mean
-    small = [g for g in groups if len(g) < 8]
-    groups = [g for g in groups if len(g) >= 8] + [np.concatenate(small[i : i + 32]) for i in range(0, len(small), 32)]
-    for g in groups:
-        qs = q[g]
-        qc = qs.mean(axis=0)
-        qn, qr = float(np.sqrt((qc**2).sum())), float(np.sqrt(((qs - qc) ** 2).sum(axis=1).max()))
-        best = Best(query_ids[g], k)
-
-        def bounds(centers: np.ndarray, norms: np.ndarray, radii: np.ndarray) -> np.ndarray:
-            return centers @ qc + qn * radii + norms * qr + radii * qr + 1e-6
-
-        heap: list[tuple[float, int, CoverNode]] = [(-np.inf, 0, tree)]
-        tick = 0
-        while heap:
-            top, _, node = heapq.heappop(heap)
-            if -top < best.floor.min():
-                break
-            if not node.children:
-                best.add(qs @ ux[node.points].T, [members[p] for p in node.points])
-                continue
-            ub = bounds(node.centers, node.norms, node.radii)
-            single = np.array([not c.children and len(c.points) <= 4 for c in node.children])
-            for j in np.nonzero(~single & (ub >= best.floor.min()))[0]:
-                tick += 1
-                heapq.heappush(heap, (-float(ub[j]), tick, node.children[j]))
-            loose = np.nonzero(single)[0]
-            loose = loose[np.argsort(-ub[loose], kind="stable")]
-            for at in range(0, len(loose), 128):
-                part = loose[at : at + 128]
-                if ub[part[0]] < best.floor.min():
+    asked, held = cover_tree(q, leaf), cover_tree(ux, leaf)
+    best = Best(query_ids, k)
+    met = dropped = scored = 0
+    heap: list[tuple[float, int, CoverNode, CoverNode]] = [(-np.inf, 0, asked, held)]
+    tick = 0
+    while heap:
+        top, _, a, b = heapq.heappop(heap)
+        met += 1
+        if -top < a.floor:
+            dropped += 1
+            continue
+        if not a.children and not b.children:
+            scored += 1
+            best.add(a.points, q[a.points] @ ux[b.points].T, [members[p] for p in b.points])
+            a.floor = best.floor[a.points].min()
+            up = a.parent
+            while up is not None:
+                low = min(c.floor for c in up.children)
+                if low <= up.floor:
                     break
-                points = np.concatenate([node.children[j].points for j in part])
-                best.add(qs @ ux[points].T, [members[p] for p in points])
-        out += [(int(best.own[i]), v, -s) for i, row in enumerate(best.rows) for s, v in row]
-    return out
+                up.floor, up = low, up.parent
+            continue
+        if b.children and (not a.children or b.radius >= a.radius):
+            bounds = highest(a, b.centers, b.norms, b.radii)
+            pairs = [(bounds[j], a, b.children[j]) for j in np.nonzero(bounds >= a.floor)[0]]
+            dropped += len(b.children) - len(pairs)
+        else:
+            bounds = highest(b, a.centers, a.norms, a.radii)
+            pairs = [(u, c, b) for u, c in zip(bounds, a.children) if u >= c.floor]
+            dropped += len(a.children) - len(pairs)
+        for u, c, d in pairs:
+            tick += 1
+            heapq.heappush(heap, (-float(u), tick, c, d))
+    if seen is not None:
+        seen.update(met=met, dropped=dropped, scored=scored)
+    return [(int(best.own[i]), v, -s) for i, row in enumerate(best.rows) for s, v in row]
 
 
 def usable(vector: str = "embedding") -> Column:

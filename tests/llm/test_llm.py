@@ -421,3 +421,36 @@ def test_null_and_repeated_ids_keep_their_rows(spark):
     assert ids(sharding.shard_digest(df, shards=2)) == want
     pieces = packing.pack_pieces(packing.token_pieces(df, path("byte_bpe_50k.json")))
     assert ids(pieces) == want and pieces.agg(F.sum("length")).head()[0] == sum(len(packing.encoder(path("byte_bpe_50k.json"))(t or "")) + 1 for _, t in rows)
+
+
+def test_op10_descends_both_trees(spark):
+    r = np.random.default_rng(3)
+    middles = r.normal(0, 4_000, (40, 8))
+    x = np.floor(np.concatenate([m + r.normal(0, 40, (60, 8)) for m in middles]))
+    x = np.concatenate([x, x[:200], np.zeros((5, 8))])
+    ids = np.arange(len(x))
+    asked = ids[ids % 5 == 0]
+    seen = {}
+    got = sorted(topk.search_group(ids, x, asked, x[asked], 5, leaf=16, seen=seen))
+    scores = x[asked] @ x.T
+    want = []
+    for i, a in enumerate(asked):
+        order = [j for j in np.lexsort((ids, -scores[i])) if j != a][:5]
+        want += [(int(a), int(j), int(scores[i, j])) for j in order]
+    assert got == sorted(want)
+    leaves = lambda n: sum(map(leaves, n.children)) if n.children else 1
+    both = leaves(topk.cover_tree(x[asked], 16)) * leaves(topk.cover_tree(np.unique(x, axis=0), 16))
+    # whole groups of queries lose whole groups of candidates: far fewer pairs are met than there are pairs of leaves
+    assert seen["dropped"] > 0 and seen["scored"] < both / 4 and seen["met"] < both
+
+
+def test_op10_trees_cover_their_points(spark):
+    x = np.random.default_rng(4).normal(0, 100, (700, 12))
+    todo, points = [topk.cover_tree(x, 20)], []
+    while todo:
+        n = todo.pop()
+        assert topk.distances(x[n.points], n.center).max() <= n.radius + 1e-9
+        assert len(n.points) <= 20 or n.children
+        points += [] if n.children else n.points.tolist()
+        todo += n.children
+    assert sorted(points) == list(range(700))
