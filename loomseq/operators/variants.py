@@ -121,12 +121,14 @@ def evidence(variants: DataFrame, pile: DataFrame) -> DataFrame:
 def region_quality(pile: DataFrame, regions: DataFrame) -> DataFrame:
     """Coverage of the positions in each region (chrom, start_pos, end_pos, name; ends included) and what it is worth.
 
-    High: mean of 30 on a region of 1000 bases; medium: 10 on 500.  A region without a covered position is low.
+    High: mean of 30 on a region of 1000 bases; medium: 10 on 500.  A region without a covered position is low.  Copies of a
+    region are one region.
     """
+    regions = regions.select("chrom", "start_pos", "end_pos", "name").distinct()
     spots = points_in(pile.select("chrom", "pos", "coverage"), regions).groupBy(
         "chrom", F.col("r_start_pos").alias("start_pos"), F.col("r_end_pos").alias("end_pos"), F.col("r_name").alias("name")
     ).agg(F.count("*").alias("positions"), F.sum("coverage").alias("total"), F.avg("coverage").alias("m"), F.round(F.stddev_pop("coverage"), 6).alias("sd"))
-    s = regions.select("chrom", "start_pos", "end_pos", "name").distinct().join(spots, ["chrom", "start_pos", "end_pos", "name"], "left")
+    s = regions.join(spots, ["chrom", "start_pos", "end_pos", "name"], "left")
     size, m = F.col("end_pos") - F.col("start_pos"), F.coalesce("m", F.lit(0.0))
     label = F.when((m >= 30) & (size >= 1000), "high").when((m >= 10) & (size >= 500), "medium").otherwise("low")
     zero = F.lit(0).cast("long")

@@ -166,3 +166,10 @@ def test_sex_and_confidence_ladders(spark):
     assert got == {f"s{i}": c[2] for i, c in enumerate(cases)}
     df = spark.createDataFrame([("sturgeon", 95.0), ("sturgeon", 94.9), ("nanodx", 25.0), ("random_forest", 64.9), ("other", 20.0), ("other", 19.9)], "c string, p double")
     assert [r[0].split()[0] for r in df.select(scores.confidence_label(F.col("p"), F.col("c"))).collect()] == ["High", "Medium", "Medium", "Low", "Low", "Very"]
+
+
+def test_copies_of_a_region_count_their_positions_once(spark):
+    pile = spark.createDataFrame([("chr1", 5, 2), ("chr1", 9, 4)], "chrom string, pos long, coverage long")
+    # two strands of one place are one region for its quality
+    r = spark.createDataFrame([("chr1", 0, 600, "x", "+"), ("chr1", 0, 600, "x", "-"), ("chr1", 700, 800, "y", "+")], "chrom string, start_pos long, end_pos long, name string, strand string")
+    assert rows(variants.region_quality(pile, r), "name", "positions", "total", "mean") == [("x", 2, 6, 3.0), ("y", 0, 0, 0.0)]
