@@ -133,10 +133,25 @@ def export_tables(frames: dict[str, DataFrame], path: str) -> DataFrame:
     return spark.read.json(f"{path}/manifest")
 
 
+def json_number(v: Column) -> Column:
+    """A double as JSON text: its shortest digits, written out from 1e-6 up to 1e21 and with an exponent beyond."""
+    text, size = v.cast("string"), F.abs(v)
+    whole = F.regexp_replace(text.try_cast("decimal(38,16)").cast("string"), "0+$", "")
+    part = F.regexp_replace(text.try_cast("decimal(38,24)").cast("string"), "0+$", "")
+    whole = F.when(F.endswith(whole, F.lit(".")), F.concat(whole, F.lit("0"))).otherwise(whole)
+    short = F.regexp_replace(F.lower(text), "\\.0e", "e")
+    return (
+        F.when(F.isnan(v) | (size == float("inf")), F.concat(F.lit('"'), text, F.lit('"'))).when(~F.contains(text, F.lit("E")), text)
+        .when((size >= 1) & (size < 1e21), whole).when((size >= 1e-6) & (size < 1), part).otherwise(short)
+    )
+
+
 def series_json(df: DataFrame, keys: list[str], ts_ms: str, value: str) -> DataFrame:
     """Per key a JSON text ``{"series": [[ms, value], ...]}`` in time order; rows with a null value are left out."""
-    pts = F.transform(F.array_sort(F.collect_list(F.struct(F.col(ts_ms).alias("t"), F.col(value).alias("v")))), lambda s: F.array(s["t"].cast("double"), s["v"].cast("double")))
-    return df.where(F.col(value).isNotNull()).groupBy(*keys).agg(pts.alias("series")).select(*keys, F.to_json(F.struct("series")).alias("json"))
+    number = lambda c: F.coalesce(json_number(c.cast("double")), F.lit("null"))
+    pts = F.transform(F.array_sort(F.collect_list(F.struct(F.col(ts_ms).alias("t"), F.col(value).alias("v")))), lambda s: F.concat(F.lit("["), number(s["t"]), F.lit(","), number(s["v"]), F.lit("]")))
+    series = F.concat(F.lit('{"series":['), F.array_join(pts, ","), F.lit("]}"))
+    return df.where(F.col(value).isNotNull()).groupBy(*keys).agg(series.alias("json"))
 
 
 def flatten_hierarchy(df: DataFrame, column: str = "json") -> DataFrame:
