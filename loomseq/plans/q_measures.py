@@ -90,8 +90,11 @@ def a9(t):
 
 @query("J8_probe_window", """select p.chrom, count(*) as n, count(distinct p.probe_id) as probes from @probes p join @bedm b on b.chrom = p.chrom and b.pos between p.start_pos - 25 and p.start_pos + 26 group by p.chrom""")
 def j8(t):
-    spots = t.probes.withColumn("end_pos", F.col("start_pos") + 1)
-    return points_in(t.bedm, spots, 25, 25, width=64).groupBy("chrom").agg(F.count("*").alias("n"), F.countDistinct("r_probe_id").alias("probes"))
+    # probes of one place and calls of one place are compared once
+    spots = t.probes.select("chrom", "start_pos").distinct().withColumn("end_pos", F.col("start_pos") + 1)
+    near = points_in(t.bedm.groupBy("chrom", "pos").agg(F.count("*").alias("w")), spots, 25, 25, width=64)
+    per = near.groupBy("chrom", F.col("r_start_pos").alias("start_pos")).agg(F.sum("w").alias("w"))
+    return t.probes.join(per, ["chrom", "start_pos"]).groupBy("chrom").agg(F.sum("w").alias("n"), F.countDistinct("probe_id").alias("probes"))
 
 
 @query("J9_site_filter", "select sample, count(*) as n from @bedm b where exists (select 1 from @probes p where p.chrom = b.chrom and p.start_pos = b.pos) group by sample")
