@@ -32,27 +32,28 @@ def methylation_tier(value: Column) -> Column:
 TARGET = ["chrom", "start_pos", "end_pos", "gene"]
 
 
-def per_target(aln: DataFrame, targets: DataFrame, total: Column) -> DataFrame:
-    """``total`` over the alignments that touch each target, 0 for none.
+def per_target(aln: DataFrame, targets: DataFrame, rows: Column, total: Column) -> DataFrame:
+    """``total`` over the alignments that touch each target, 0 for none; ``rows`` counts those of one place as ``w``.
 
-    The targets are the joins' small side: alignments are read once, where they lie, and only totals meet the targets again.
+    Alignments of one place meet the targets once.  The targets are the join's small side, and only totals meet them again.
     """
     t = targets.select(*TARGET)
-    hits = overlap_join(aln, t.distinct(), min_overlap=0).groupBy(*[F.col(f"r_{c}").alias(c) for c in TARGET]).agg(total)
+    spots = aln.groupBy("chrom", "start_pos", "end_pos").agg(rows.alias("w"))
+    hits = overlap_join(spots, t.distinct(), min_overlap=0).groupBy(*[F.col(f"r_{c}").alias(c) for c in TARGET]).agg(total)
     name = next(c for c in hits.columns if c not in TARGET)
     return t.distinct().join(hits, TARGET, "left").withColumn(name, F.coalesce(name, F.lit(0).cast("long")))
 
 
 def target_coverage(aln: DataFrame, targets: DataFrame) -> DataFrame:
     """Bases and depth of each target; the length counts both ends, and targets without a read have zeros."""
-    out = per_target(aln, targets, F.sum("overlap").alias("bases"))
+    out = per_target(aln, targets, F.count("*"), F.sum(F.col("overlap") * F.col("w")).alias("bases"))
     return out.withColumn("length", F.col("end_pos") - F.col("start_pos") + 1).withColumn("coverage", F.col("bases") / F.col("length"))
 
 
 def reads_per_target(aln: DataFrame, targets: DataFrame) -> DataFrame:
     """Primary alignments that touch each target, zero for none."""
     primary = aln.where(~F.col("is_supplementary")).select("read_id", "chrom", "start_pos", "end_pos")
-    return per_target(primary, targets, F.count("read_id").alias("reads"))
+    return per_target(primary, targets, F.count("read_id"), F.sum("w").alias("reads"))
 
 
 def add_totals(old: DataFrame, new: DataFrame, keys: list[str], values: list[str], how: str = "outer") -> DataFrame:
