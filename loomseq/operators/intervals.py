@@ -84,10 +84,63 @@ def overlap_join(left: DataFrame, right: DataFrame, min_overlap: int = 99, width
     return pairs.unionByName(alone, allowMissingColumns=True)
 
 
-def touching(left: DataFrame, right: DataFrame, keys: list[str], min_overlap: int = 0) -> DataFrame:
-    """Semi join: rows of ``left`` (told apart by ``keys``) that overlap any row of ``right``."""
-    hits = overlap_join(left, right.select("chrom", "start_pos", "end_pos"), min_overlap).select(*keys).distinct()
-    return left.join(hits, keys, "left_semi")
+def stretches(right: DataFrame, labels: list[str], min_overlap: int = 0) -> DataFrame:
+    """What the regions of each label cover: disjoint stretches, each with the end of the one before it (``_before``).
+
+    Two intervals share more than ``min_overlap`` bases exactly if both, made shorter by that at their ends, share any; so
+    the regions are cut first and then united, and no copy or crowd of regions is met more than once per label.
+    """
+    cut = right.select("chrom", "start_pos", (F.col("end_pos") - min_overlap).alias("end_pos"), *labels).where("start_pos < end_pos").distinct()
+    one = merge_regions(cut, ["chrom", *labels], names=None).drop("n")
+    return one.withColumn("_before", F.lag("end_pos").over(Window.partitionBy("chrom", *labels).orderBy("start_pos")))
+
+
+def label_hits(left: DataFrame, right: DataFrame, labels: list[str], min_overlap: int = 99) -> DataFrame:
+    """Each left row once per label (``r_``) of which it shares more than ``min_overlap`` bases with some region."""
+    cut = left.withColumn("_end", F.col("end_pos")).withColumn("end_pos", F.col("end_pos") - min_overlap).where("start_pos < end_pos")
+    j = overlap_join(cut, stretches(right, labels, min_overlap), 0)
+    first = F.col("r__before").isNull() | (F.col("r__before") <= F.col("start_pos"))
+    whole = [F.col("_end").alias(c) if c == "end_pos" else F.col(c) for c in left.columns]
+    return j.where(first).select(*whole, *[f"r_{c}" for c in labels])
+
+
+SPOT = ["chrom", "start_pos", "end_pos"]
+
+
+def label_counts(left: DataFrame, right: DataFrame, labels: list[str], min_overlap: int = 99, width: int = BIN) -> DataFrame:
+    """``label_hits`` with ``n``, the number of regions of the label that the row meets; no pairs are made.
+
+    Of regions and a row, both cut by ``min_overlap``, those begin before the row ends that it meets or that end before it
+    starts.  So n is a difference of two running sums over a label's bounds, which are taken within bins and added to
+    the sums of the bins before.  Left rows of one place ask once.
+    """
+    lab = [f"r_{c}" for c in labels]
+    spots = label_hits(left.select(*SPOT).distinct(), right, labels, min_overlap)
+    few = right.select(*SPOT, *[F.col(c).alias(f"r_{c}") for c in labels]).where(F.col("end_pos") - F.col("start_pos") > min_overlap).groupBy(*SPOT, *lab).agg(F.count("*").alias("w"))
+    begun = lambda at, w: F.struct(F.lit(0).alias("kind"), at.alias("at"), w.alias("w"))
+    ended = lambda at, w: F.struct(F.lit(1).alias("kind"), at.alias("at"), (-w).alias("w"))
+    bound = F.col("end_pos") - min_overlap
+    marks = few.withColumn("_m", F.explode(F.array(begun(F.col("start_pos"), F.col("w")), ended(bound, F.col("w"))))).select("chrom", *lab, "_m.*", F.lit(None).cast("struct<s:bigint,e:bigint>").alias("spot"))
+    zero = F.lit(0).cast("long")
+    asks = spots.withColumn("_m", F.explode(F.array(begun(bound - 1, zero), ended(F.col("start_pos"), zero)))).select("chrom", *lab, "_m.*", F.struct(F.col("start_pos").cast("long").alias("s"), F.col("end_pos").cast("long").alias("e")).alias("spot"))
+    line = ["chrom", *lab, "kind"]
+    every = marks.unionByName(asks).withColumn("_bin", F.floor(F.col("at") / width))
+    sums = every.groupBy(*line, "_bin").agg(F.sum("w").alias("_w"))
+    base = sums.withColumn("_base", F.coalesce(F.sum("_w").over(Window.partitionBy(*line).orderBy("_bin").rowsBetween(Window.unboundedPreceding, -1)), zero)).drop("_w")
+    own = F.sum("w").over(Window.partitionBy(*line, "_bin").orderBy("at").rangeBetween(Window.unboundedPreceding, 0))
+    seen = every.withColumn("_own", own).where("spot is not null").alias("a")
+    keys = [*line, "_bin"]
+    same = F.lit(True)
+    for c in keys:
+        same = same & F.col(f"a.{c}").eqNullSafe(F.col(f"b.{c}"))
+    n = seen.join(base.alias("b"), same).groupBy(*[F.col(f"a.{c}").alias(c) for c in ("chrom", *lab)], "spot").agg(F.sum(F.col("_own") + F.col("_base")).alias("n"))
+    n = n.select("chrom", F.col("spot.s").alias("start_pos"), F.col("spot.e").alias("end_pos"), *lab, "n")
+    return left.join(n, SPOT).select(*left.columns, *lab, "n")
+
+
+def touching(left: DataFrame, right: DataFrame, min_overlap: int = 0) -> DataFrame:
+    """Semi join: rows of ``left`` that overlap any row of ``right``."""
+    return label_hits(left, right, [], min_overlap)
 
 
 def contained(left: DataFrame, right: DataFrame, width: int = BIN) -> DataFrame:
