@@ -91,17 +91,21 @@ def probe_votes(probes: DataFrame, calls: DataFrame, margin: int = 25, low: floa
 def site_pairs(bed: DataFrame, pairs: DataFrame) -> DataFrame:
     """Per sample and pair (pair_id, chrom, p1, p2): forward calls at p1 - 1 and reverse ones at p2 - 1 put together.
 
-    The percentage is weighted by coverage; modified counts are rounded.
+    The percentage is weighted by coverage; modified counts are rounded.  Pairs of one place share their sums, which are
+    taken once per place and sample; only those meet the pairs.
     """
-    each = pairs.select("pair_id", "chrom", F.explode(F.array(
+    place = ["chrom", "p1", "p2"]
+    each = pairs.select(*place).distinct().select(*place, F.explode(F.array(
         F.struct((F.col("p1") - 1).alias("pos"), F.lit("+").alias("strand")), F.struct((F.col("p2") - 1).alias("pos"), F.lit("-").alias("strand")))).alias("e"))
-    hits = bed.join(small(each.select("pair_id", "chrom", "e.pos", "e.strand")), ["chrom", "pos", "strand"])
+    hits = bed.join(small(each.select(*place, "e.pos", "e.strand")), ["chrom", "pos", "strand"])
     cov = lambda s: F.coalesce(F.sum(F.when(F.col("strand") == s, F.col("valid_cov"))), F.lit(0))
-    total = F.sum("valid_cov")
-    return hits.groupBy("sample", "pair_id").agg(
-        cov("+").alias("forward_cov"), cov("-").alias("reverse_cov"), total.alias("total_cov"),
-        F.round(F.sum(F.col("valid_cov") * F.col("percent_modified") / 100)).cast("long").alias("total_mod"),
-        F.round(F.sum(F.col("valid_cov") * F.col("percent_modified")) / total, 2).alias("meth_pct"),
+    weighted = F.col("valid_cov") * F.col("percent_modified")
+    sums = {"forward_cov": cov("+"), "reverse_cov": cov("-"), "total_cov": F.sum("valid_cov"), "_mod": F.sum(weighted / 100), "_weighted": F.sum(weighted)}
+    per = hits.groupBy("sample", *place).agg(*[c.alias(n) for n, c in sums.items()])
+    # an id may name several places
+    out = pairs.join(small(per), place).groupBy("sample", "pair_id").agg(*[F.sum(n).alias(n) for n in sums])
+    return out.select(
+        "sample", "pair_id", "forward_cov", "reverse_cov", "total_cov", F.round("_mod").cast("long").alias("total_mod"), F.round(F.col("_weighted") / F.col("total_cov"), 2).alias("meth_pct"),
     )
 
 
