@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+from collections import deque
+from itertools import count
+
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from loomseq.sources.scratch import drop, settle
 
@@ -97,37 +101,55 @@ def greedy_clusters(pairs: DataFrame, distance: int = 100, least: int = 4) -> Da
     seed within ``distance`` at both ends, or becomes a seed.
 
     A seed takes no row beyond a stretch of ``distance`` bases without first ends, so a gene pair is dealt out by such
-    stretches: its occupied cells of that width, not its rows, are put in order.  Within a group only the seeds still in
-    reach are kept, by the cell of their second end.
+    stretches: its occupied cells of that width, not its rows, are put in order.  A task walks its sorted rows and holds
+    only the seeds still in reach, by the cell of their second end.
     """
-    shape = "gene_1 string, gene_2 string, chrom_1 string, chrom_2 string, pos_1 long, pos_2 long, support long"
     key = ["gene_1", "gene_2", "chrom_1", "chrom_2"]
+    ends = ["pos_1", "pos_2"]
+    shape = StructType([*[pairs.schema[c] for c in key], *[StructField(c, LongType()) for c in (*ends, "support")]])
     celled = settle(pairs.withColumn("_c", F.floor(F.col("pos_1") / distance)))
     order = Window.partitionBy(*key).orderBy("_c")
     held = celled.select(*key, "_c").distinct().withColumn("_new", (F.col("_c") - F.lag("_c").over(order) > 1).cast("int"))
-    # some stretches go together, so that groups are not too small to be worth a call
-    held = held.withColumn("_part", F.floor(F.sum(F.coalesce("_new", F.lit(0))).over(order) / 256)).drop("_new")
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        seeds: list[tuple] = []
-        reach: dict[int, list[int]] = {}
-        oldest = 0
-        for r in pdf.sort_values(["pos_1", "pos_2", *READ]).itertuples():
-            while oldest < len(seeds) and seeds[oldest][0] < r.pos_1 - distance:  # seeds are in the order of their first end
-                reach[seeds[oldest][1] // distance].remove(oldest)
-                oldest += 1
-            c = r.pos_2 // distance
-            near = [i for k in (c - 1, c, c + 1) for i in reach.get(k, ()) if abs(r.pos_2 - seeds[i][1]) <= distance]
-            if near:
-                seeds[min(near)][2].add((r.sample, r.read_id))
-            else:
-                reach.setdefault(c, []).append(len(seeds))
-                seeds.append((r.pos_1, r.pos_2, {(r.sample, r.read_id)}))
-        head = pdf.iloc[0]
-        return pd.DataFrame([(head.gene_1, head.gene_2, head.chrom_1, head.chrom_2, a, b, len(n)) for a, b, n in seeds if len(n) >= least],
-                            columns=["gene_1", "gene_2", "chrom_1", "chrom_2", "pos_1", "pos_2", "support"])
-
-    return celled.join(held, [*key, "_c"]).groupBy(*key, "_part").applyInPandas(run, shape)
+    held = held.withColumn("part", F.floor(F.sum(F.coalesce("_new", F.lit(0))).over(order) / 256)).drop("_new")
+    dealt = celled.join(held, [*key, "_c"]).select(*key, "part", *ends, *READ).repartition(*key, "part").sortWithinPartitions(*key, "part", *ends, *READ)
+
+    def run(batches):
+        group, seeds, reach, ticket = None, deque(), {}, count()
+
+        def leave(done: list) -> None:
+            a, b, reads = seeds.popleft()
+            near = reach[b // distance]
+            near.popleft()  # seeds of a cell leave in the order they came
+            if not near:
+                del reach[b // distance]
+            if len(reads) >= least:
+                done.append((*group[:-1], a, b, len(reads)))
+
+        for pdf in batches:
+            done: list[tuple] = []
+            for g1, g2, c1, c2, part, a, b, sample, read in pdf.itertuples(index=False, name=None):
+                if (g1, g2, c1, c2, part) != group:
+                    while seeds:
+                        leave(done)
+                    group = (g1, g2, c1, c2, part)
+                while seeds and seeds[0][0] < a - distance:  # seeds are in the order of their first end
+                    leave(done)
+                c = b // distance
+                # the first seed in reach, by the order in which seeds came
+                near = [(at, seed) for k in (c - 1, c, c + 1) for at, seed in reach.get(k, ()) if abs(b - seed[1]) <= distance]
+                if near:
+                    min(near, key=lambda n: n[0])[1][2].add((sample, read))
+                else:
+                    seed = (a, b, {(sample, read)})
+                    reach.setdefault(c, deque()).append((next(ticket), seed))
+                    seeds.append(seed)
+            yield pd.DataFrame(done, columns=shape.names)
+        done = []
+        while seeds:
+            leave(done)
+        yield pd.DataFrame(done, columns=shape.names)
+
+    return dealt.mapInPandas(run, shape)
 
 
 def components(edges: DataFrame) -> DataFrame:
