@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from loomseq.sources.scratch import settle
+
 BIN = 20_000
 SMALL_ROWS = 100_000
 
@@ -49,14 +51,14 @@ def bin_width(cell: Column, width: int) -> Column:
     return F.when(k == 0, width).when(k == 1, width * STEP).otherwise(width * STEP**2)
 
 
-def region_side(df: DataFrame, start: Column, last: Column, width: int, upto: int) -> tuple[DataFrame, int]:
+def region_side(df: DataFrame, start: Column, last: Column, width: int, upto: int, rows: int = SMALL_ROWS) -> tuple[DataFrame, int]:
     """The smaller side of a range join in its bins, with its own level and its level's bins up to ``upto``; the coarsest level in it.
 
-    One pass over at most ``SMALL_ROWS`` rows tells both: up to that many rows are broadcast; beyond, all levels are assumed.
+    One pass over at most ``rows`` rows tells both: up to that many rows are broadcast; beyond, all levels are assumed.
     """
     df = df.withColumn("_rlev", level(start, F.greatest(last, start), width))
-    seen = df.select("_rlev").limit(SMALL_ROWS + 1).agg(F.count("*").alias("n"), F.max("_rlev").alias("top")).head()
-    few = seen["n"] <= SMALL_ROWS
+    seen = df.select("_rlev").limit(rows + 1).agg(F.count("*").alias("n"), F.max("_rlev").alias("top")).head()
+    few = seen["n"] <= rows
     out = df.withColumn("_rcell", cells(start, last, width, F.col("_rlev"), upto))
     return (F.broadcast(out) if few else out), (seen["top"] or 0) if few else LEVELS - 1
 
@@ -92,50 +94,86 @@ def stretches(right: DataFrame, labels: list[str], min_overlap: int = 0) -> Data
     """
     cut = right.select("chrom", "start_pos", (F.col("end_pos") - min_overlap).alias("end_pos"), *labels).where("start_pos < end_pos").distinct()
     one = merge_regions(cut, ["chrom", *labels], names=None).drop("n")
-    return one.withColumn("_before", F.lag("end_pos").over(Window.partitionBy("chrom", *labels).orderBy("start_pos")))
+    line = Window.partitionBy("chrom", *labels)
+    return one.withColumns({"_before": F.lag("end_pos").over(line.orderBy("start_pos")), "_first": F.min("start_pos").over(line), "_last": F.max("end_pos").over(line)})
 
 
 def label_hits(left: DataFrame, right: DataFrame, labels: list[str], min_overlap: int = 99) -> DataFrame:
     """Each left row once per label (``r_``) of which it shares more than ``min_overlap`` bases with some region."""
+    return line_hits(left, right, labels, min_overlap).select(*left.columns, *[f"r_{c}" for c in labels])
+
+
+def line_hits(left: DataFrame, right: DataFrame, labels: list[str], min_overlap: int) -> DataFrame:
+    """``label_hits`` with where the label's stretches begin and end on the chromosome (``r__first``, ``r__last``)."""
     cut = left.withColumn("_end", F.col("end_pos")).withColumn("end_pos", F.col("end_pos") - min_overlap).where("start_pos < end_pos")
-    j = overlap_join(cut, stretches(right, labels, min_overlap), 0)
+    # the stretches are few and asked for twice, by their number and by the join
+    j = overlap_join(cut, settle(stretches(right, labels, min_overlap)), 0)
     first = F.col("r__before").isNull() | (F.col("r__before") <= F.col("start_pos"))
     whole = [F.col("_end").alias(c) if c == "end_pos" else F.col(c) for c in left.columns]
-    return j.where(first).select(*whole, *[f"r_{c}" for c in labels])
+    return j.where(first).select(*whole, *[f"r_{c}" for c in labels], "r__first", "r__last")
 
 
 SPOT = ["chrom", "start_pos", "end_pos"]
+#: Bins of the steps of a running count, and up to how many steps are broadcast.
+STEP_BIN, STEP_ROWS = 512, 300_000
+
+
+def same_line(labels: list[str], a: str, b: str) -> Column:
+    on = F.col(f"{a}chrom") == F.col(f"{b}chrom")
+    for c in labels:
+        on = on & F.col(f"{a}{c}").eqNullSafe(F.col(f"{b}{c}"))
+    return on
+
+
+def bound_steps(right: DataFrame, labels: list[str], min_overlap: int) -> DataFrame:
+    """How many regions of a label, cut by ``min_overlap``, begin (``begun``) and end (``ended``) up to a position: (start_pos, end_pos) of equal counts.
+
+    The steps of a label on a chromosome lie end to end, from one base before its first region to its last region's end.
+    Counts run within parts of the chromosome and are added to those of the parts before.
+    """
+    line = ["chrom", *labels]
+    cut = right.select("chrom", "start_pos", (F.col("end_pos") - min_overlap).alias("end_pos"), *labels).where("start_pos < end_pos")
+    mark = lambda at, begun, ended: F.struct(at.cast("long").alias("at"), F.lit(begun).cast("long").alias("b"), F.lit(ended).cast("long").alias("e"))
+    bounds = cut.select(*line, F.explode(F.array(mark(F.col("start_pos"), 1, 0), mark(F.col("end_pos"), 0, 1))).alias("m")).groupBy(*line, "m.at").agg(F.sum("m.b").alias("b"), F.sum("m.e").alias("e"))
+    before = bounds.groupBy(*line).agg((F.min("at") - 1).alias("at"), F.lit(0).cast("long").alias("b"), F.lit(0).cast("long").alias("e"))
+    every = bounds.unionByName(before).withColumn("part", F.floor(F.col("at") / 1_000_000))
+    far = Window.partitionBy(*line).orderBy("part")
+    earlier = lambda c: F.coalesce(F.sum(c).over(far.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    parts = every.groupBy(*line, "part").agg(F.sum("b").alias("b"), F.sum("e").alias("e"), F.min("at").alias("head"))
+    parts = parts.select(*[F.col(c).alias(f"p_{c}") for c in (*line, "part")], earlier("b").alias("b0"), earlier("e").alias("e0"), F.lead("head").over(far).alias("next"))
+    near = Window.partitionBy(*line, "part").orderBy("at")
+    runs = every.select(*line, "part", "at", F.sum("b").over(near).alias("b"), F.sum("e").over(near).alias("e"), F.lead("at").over(near).alias("then"))
+    runs = runs.select(*[F.col(c).alias(f"s_{c}") for c in line], "part", "at", "b", "e", "then")
+    on = same_line(labels, "s_", "p_") & (F.col("part") == F.col("p_part"))
+    return runs.join(parts, on).select(
+        *[F.col(f"s_{c}").alias(c) for c in line], F.col("at").alias("start_pos"), F.coalesce("then", "next", F.col("at") + 1).alias("end_pos"),
+        (F.col("b") + F.col("b0")).alias("begun"), (F.col("e") + F.col("e0")).alias("ended"),
+    )
 
 
-def label_counts(left: DataFrame, right: DataFrame, labels: list[str], min_overlap: int = 99, width: int = BIN) -> DataFrame:
+def label_counts(left: DataFrame, right: DataFrame, labels: list[str], min_overlap: int = 99, width: int = STEP_BIN) -> DataFrame:
     """``label_hits`` with ``n``, the number of regions of the label that the row meets; no pairs are made.
 
     Of regions and a row, both cut by ``min_overlap``, those begin before the row ends that it meets or that end before it
-    starts.  So n is a difference of two running sums over a label's bounds, which are taken within bins and added to
-    the sums of the bins before.  Left rows of one place ask once.
+    starts.  So n is a difference of two running counts over a label's bounds, each looked up in the one step that holds
+    the row's bound.  Where the steps are too many to broadcast, left rows of one place ask once.
     """
-    lab = [f"r_{c}" for c in labels]
-    spots = label_hits(left.select(*SPOT).distinct(), right, labels, min_overlap)
-    few = right.select(*SPOT, *[F.col(c).alias(f"r_{c}") for c in labels]).where(F.col("end_pos") - F.col("start_pos") > min_overlap).groupBy(*SPOT, *lab).agg(F.count("*").alias("w"))
-    begun = lambda at, w: F.struct(F.lit(0).alias("kind"), at.alias("at"), w.alias("w"))
-    ended = lambda at, w: F.struct(F.lit(1).alias("kind"), at.alias("at"), (-w).alias("w"))
-    bound = F.col("end_pos") - min_overlap
-    marks = few.withColumn("_m", F.explode(F.array(begun(F.col("start_pos"), F.col("w")), ended(bound, F.col("w"))))).select("chrom", *lab, "_m.*", F.lit(None).cast("struct<s:bigint,e:bigint>").alias("spot"))
-    zero = F.lit(0).cast("long")
-    asks = spots.withColumn("_m", F.explode(F.array(begun(bound - 1, zero), ended(F.col("start_pos"), zero)))).select("chrom", *lab, "_m.*", F.struct(F.col("start_pos").cast("long").alias("s"), F.col("end_pos").cast("long").alias("e")).alias("spot"))
-    line = ["chrom", *lab, "kind"]
-    every = marks.unionByName(asks).withColumn("_bin", F.floor(F.col("at") / width))
-    sums = every.groupBy(*line, "_bin").agg(F.sum("w").alias("_w"))
-    base = sums.withColumn("_base", F.coalesce(F.sum("_w").over(Window.partitionBy(*line).orderBy("_bin").rowsBetween(Window.unboundedPreceding, -1)), zero)).drop("_w")
-    own = F.sum("w").over(Window.partitionBy(*line, "_bin").orderBy("at").rangeBetween(Window.unboundedPreceding, 0))
-    seen = every.withColumn("_own", own).where("spot is not null").alias("a")
-    keys = [*line, "_bin"]
-    same = F.lit(True)
-    for c in keys:
-        same = same & F.col(f"a.{c}").eqNullSafe(F.col(f"b.{c}"))
-    n = seen.join(base.alias("b"), same).groupBy(*[F.col(f"a.{c}").alias(c) for c in ("chrom", *lab)], "spot").agg(F.sum(F.col("_own") + F.col("_base")).alias("n"))
-    n = n.select("chrom", F.col("spot.s").alias("start_pos"), F.col("spot.e").alias("end_pos"), *lab, "n")
-    return left.join(n, SPOT).select(*left.columns, *lab, "n")
+    steps = settle(bound_steps(right, labels, min_overlap))
+    few = steps.limit(STEP_ROWS + 1).count() <= STEP_ROWS
+    s = steps.select(*[F.col(c).alias(f"s_{c}") for c in steps.columns])
+    s, top = region_side(s, F.col("s_start_pos"), F.col("s_end_pos") - 1, width, 0, STEP_ROWS)
+    out = [*left.columns, *[f"r_{c}" for c in labels]] if few else [*SPOT, *[f"r_{c}" for c in labels]]
+    asks = line_hits(left if few else left.select(*SPOT).distinct(), right, labels, min_overlap).withColumn("r_chrom", F.col("chrom"))
+
+    def look(df: DataFrame, pos: Column, value: str) -> DataFrame:
+        on = same_line(labels, "r_", "s_") & (F.col("_cell") == F.col("_rcell")) & (F.col("_at") >= F.col("s_start_pos")) & (F.col("_at") < F.col("s_end_pos"))
+        at = with_point(df.withColumn("_at", pos), F.col("_at"), width, top)
+        return at.join(s, on).select(*df.columns, F.col(f"s_{value}").alias(f"_{value}"))
+
+    asks = look(asks, F.least(F.col("end_pos") - min_overlap - 1, "r__last"), "begun")
+    asks = look(asks, F.greatest(F.col("start_pos"), F.col("r__first") - 1), "ended")
+    n = asks.select(*out, (F.col("_begun") - F.col("_ended")).alias("n"))
+    return n if few else left.join(n, SPOT).select(*left.columns, *[f"r_{c}" for c in labels], "n")
 
 
 def touching(left: DataFrame, right: DataFrame, min_overlap: int = 0) -> DataFrame:

@@ -43,3 +43,24 @@ def test_reads_of_one_place_meet_a_target_as_one_row(spark):
     t = spark.createDataFrame([("chr1", 40, 140, "x"), ("chr2", 0, 9, "y")], RIGHT)
     assert sorted((r.gene, r.bases) for r in coverage.target_coverage(reads, t).collect()) == [("x", 250), ("y", 0)]
     assert sorted((r.gene, r.reads) for r in coverage.reads_per_target(reads, t).collect()) == [("x", 3), ("y", 0)]
+
+
+def plan(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_rows_meet_a_small_set_of_regions_where_they_lie(spark):
+    reads = spark.range(1_000).select("id", F.lit("chr1").alias("chrom"), (F.col("id") * 10).alias("start_pos"), (F.col("id") * 10 + 300).alias("end_pos"))
+    genes = spark.createDataFrame([("chr1", 100, 5_000, "a"), ("chr1", 400, 6_000, "a"), ("chr1", 0, 50, "b")], RIGHT)
+    counts, hits = iv.label_counts(reads, genes, ["gene"]), iv.label_hits(reads, genes, ["gene"])
+    assert "Exchange hashpartitioning" not in plan(counts) and "Window" not in plan(counts)
+    assert "Exchange hashpartitioning" not in plan(hits) and "Window" not in plan(hits)
+    assert counts.agg(F.sum("n")).head()[0] == sum(min(i * 10 + 300, e) - max(i * 10, s) > 99 for i in range(1_000) for s, e in ((100, 5_000), (400, 6_000)))
+
+
+def test_counts_without_broadcast_equal_those_with_it(spark, monkeypatch):
+    rnd = random.Random(7)
+    a, b = spark.createDataFrame([(i, c, s, e) for i, (c, s, e, _) in enumerate(crowd(rnd, 60))], LEFT), spark.createDataFrame(crowd(rnd, 80), RIGHT)
+    few = sorted(map(str, iv.label_counts(a, b, ["gene"], 20).collect()))
+    monkeypatch.setattr(iv, "STEP_ROWS", 10)
+    assert sorted(map(str, iv.label_counts(a, b, ["gene"], 20).collect())) == few
