@@ -6,7 +6,7 @@ from collections import deque
 from itertools import count
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
@@ -14,23 +14,30 @@ from loomseq.sources.scratch import drop, settle
 
 MIN_SUPPORT = 3
 READ = ["sample", "read_id"]
+#: Rows of a read are brought together by the id first: samples are few, and a sort that begins with them compares whole rows.
+BY_READ = READ[::-1]
 
 
 def candidates(hits: DataFrame) -> DataFrame:
     """Alignment-gene hits of reads that meet more than one gene: gathered once per read, whose hits are few."""
     rest = [c for c in hits.columns if c not in READ]
-    per = hits.groupBy(*READ).agg(F.collect_set("gene").alias("_genes"), F.collect_list(F.struct(*rest)).alias("_hits")).where(F.size("_genes") > 1)
+    per = hits.groupBy(*BY_READ).agg(F.collect_set("gene").alias("_genes"), F.collect_list(F.struct(*rest)).alias("_hits")).where(F.size("_genes") > 1)
     return per.select(*READ, F.explode("_hits").alias("_h")).select(*[c if c in READ else F.col(f"_h.{c}").alias(c) for c in hits.columns])
 
 
-def read_tags(cands: DataFrame) -> DataFrame:
-    """Each read's tag: its distinct genes in order, joined by a comma."""
-    return cands.groupBy(*READ).agg(F.array_join(F.array_sort(F.collect_set("gene")), ",").alias("tag"))
+def read_genes(hits: DataFrame, genes: int = 1) -> DataFrame:
+    """Each read with its distinct genes in order (``genes``), of reads with at least so many."""
+    return hits.groupBy(*BY_READ).agg(F.array_sort(F.collect_set("gene")).alias("genes")).where(F.size("genes") >= genes).select(*READ, "genes")
 
 
-def tag_support(cands: DataFrame, least: int = MIN_SUPPORT) -> DataFrame:
+def read_tags(hits: DataFrame, genes: int = 0) -> DataFrame:
+    """Each read's tag, its distinct genes in order, joined by a comma; of reads with at least ``genes`` genes."""
+    return read_genes(hits, genes).select(*READ, F.array_join("genes", ",").alias("tag"))
+
+
+def tag_support(hits: DataFrame, least: int = MIN_SUPPORT, genes: int = 0) -> DataFrame:
     """Tags with at least ``least`` distinct reads (a read has one tag)."""
-    return read_tags(cands).groupBy("tag").agg(F.count("*").alias("support")).where(F.col("support") >= least)
+    return read_tags(hits, genes).groupBy("tag").agg(F.count("*").alias("support")).where(F.col("support") >= least)
 
 
 def artifact_reads(hits: DataFrame, similar: int = 50) -> DataFrame:
@@ -91,7 +98,10 @@ def gene_pairs(hits: DataFrame) -> DataFrame:
 
 def pair_support(hits: DataFrame, least: int = 4) -> DataFrame:
     """Gene pairs with ``least`` or more distinct reads, without regard to where they break."""
-    return gene_pairs(hits).groupBy("gene_1", "gene_2").agg(F.countDistinct(*READ).alias("support")).where(F.col("support") >= least)
+    sets = read_genes(hits.where(F.col("sample").isNotNull() & F.col("read_id").isNotNull()), 2)
+    pairs = sets.select("genes", F.posexplode("genes").alias("at", "gene_1"))
+    pairs = pairs.select("gene_1", F.explode(F.slice("genes", F.col("at") + 2, F.size("genes"))).alias("gene_2"))
+    return pairs.groupBy("gene_1", "gene_2").agg(F.count("*").alias("support")).where(F.col("support") >= least)
 
 
 def greedy_clusters(pairs: DataFrame, distance: int = 100, least: int = 4) -> DataFrame:
@@ -174,15 +184,15 @@ def components(edges: DataFrame) -> DataFrame:
             return labels.drop("moved")
 
 
-def gene_groups(cands: DataFrame, least: int = MIN_SUPPORT) -> DataFrame:
+def gene_groups(hits: DataFrame, least: int = MIN_SUPPORT) -> DataFrame:
     """Connected groups of genes: tags of exactly two genes are edges; groups with ``least`` or more distinct reads."""
-    return edge_groups(pair_edges(cands), least)
+    return edge_groups(pair_edges(hits), least)
 
 
-def pair_edges(cands: DataFrame) -> DataFrame:
-    """(src, dst, n): gene pairs that are a read's whole tag, with the number of such reads."""
-    tags = read_tags(cands).withColumn("g", F.split("tag", ",")).where(F.size("g") == 2)
-    return tags.groupBy(F.col("g")[0].alias("src"), F.col("g")[1].alias("dst")).agg(F.count("*").alias("n"))
+def pair_edges(hits: DataFrame, *by: Column) -> DataFrame:
+    """(src, dst, ``by``, n): gene pairs that are a read's whole tag, with the number of such reads."""
+    tags = read_tags(hits, 2).withColumn("g", F.split("tag", ",")).where(F.size("g") == 2)
+    return tags.groupBy(F.col("g")[0].alias("src"), F.col("g")[1].alias("dst"), *by).agg(F.count("*").alias("n"))
 
 
 def edge_groups(edges: DataFrame, least: int = MIN_SUPPORT) -> DataFrame:
