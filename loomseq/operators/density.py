@@ -11,6 +11,7 @@ The plane is cut into cells whose side is half the reach, so that points of one
 * two full cells are joined if any two of their points are neighbours.  For cells one above the other that is the least
   of |dx| + dy; it needs only the highest point per x of the lower cell and the lowest per x of the upper one, and a
   running maximum over x.  Cells side by side go the same way with the axes exchanged.
+  Most full cells are joined by their outermost points already; only pairs of cells that these leave apart go that way.
 
 Full cells and single core points are then the nodes of a graph whose components are the clusters.
 """
@@ -36,27 +37,44 @@ def _around(df: DataFrame, reach: int = 2) -> DataFrame:
     ).drop("_i", "_j")
 
 
-def _close_cells(full_spots: DataFrame, keys: list[str], reach: int) -> DataFrame:
-    """(keys, ax, ay, bx, by): pairs of full cells that hold two points at most ``reach`` apart."""
+#: From a full cell to those above it and beside it that can hold a neighbour; the others are steps from there to here.
+SIDEWAYS, ALONG = [(i, j) for j in (1, 2) for i in range(-2, 3)], [(1, 0), (2, 0)]
+
+
+def _outer_links(full_spots: DataFrame, keys: list[str], reach: int) -> tuple[DataFrame, DataFrame]:
+    """Pairs of full cells within two steps of each other, as (keys, cx, cy, i, j): those whose outermost points are at most ``reach`` apart, and the rest."""
+    ways = [F.col("x"), F.col("y"), F.col("x") + F.col("y"), F.col("x") - F.col("y")]
+    tips = F.array(*[f(F.struct("x", "y"), w) for w in ways for f in (F.min_by, F.max_by)])
+    cells = settle(full_spots.groupBy(*keys, "cx", "cy").agg(tips.alias("tips")))
+    steps = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i, j in SIDEWAYS + ALONG])
+    one = cells.withColumn("_s", F.explode(steps)).select(*keys, "cx", "cy", "_s.*", (F.col("cx") + F.col("_s.i")).alias("nx"), (F.col("cy") + F.col("_s.j")).alias("ny"), "tips")
+    other = cells.select(*keys, F.col("cx").alias("nx"), F.col("cy").alias("ny"), F.col("tips").alias("tips2"))
+    near = lambda a, b: F.abs(a["x"] - b["x"]) + F.abs(a["y"] - b["y"]) <= reach
+    met = one.join(other, [*keys, "nx", "ny"]).select(*keys, "cx", "cy", "i", "j", F.exists("tips", lambda a: F.exists("tips2", lambda b: near(a, b))).alias("close"))
+    met = settle(met)
+    drop(cells)
+    return met.where("close").drop("close"), met.where("not close").drop("close")
+
+
+def _close_cells(full_spots: DataFrame, keys: list[str], reach: int, asked: DataFrame) -> DataFrame:
+    """Those of the pairs of full cells in ``asked`` (keys, cx, cy, i, j) that hold two points at most ``reach`` apart."""
     out = None
-    sideways = [(i, j) for j in (1, 2) for i in range(-2, 3)]
     # a runs along the border between two cells, b across it; cells of one row wait for the second round
-    for a, b, ca, cb, steps in (("x", "y", "cx", "cy", sideways), ("y", "x", "cy", "cx", [(0, 1), (0, 2)])):
+    for a, b, some in (("x", "y", F.col("j") > 0), ("y", "x", F.col("j") == 0)):
         low = full_spots.groupBy(*keys, "cx", "cy", F.col(a).alias("along")).agg(F.max(b).alias("top"), F.min(b).alias("foot"))
-        steps = [F.struct(F.lit(i).alias("da"), F.lit(j).alias("db")) for i, j in steps]
         # a pair is named by its lower cell and the step to the upper one
-        below = low.select("*", F.explode(F.array(*steps)).alias("_s")).select(*keys, F.col(ca).alias("la"), F.col(cb).alias("lb"), "_s", "along", F.col("top").alias("h"), F.lit(True).alias("lower"))
-        above = low.select("*", F.explode(F.array(*steps)).alias("_s")).select(*keys, (F.col(ca) - F.col("_s.da")).alias("la"), (F.col(cb) - F.col("_s.db")).alias("lb"), "_s", "along", F.col("foot").alias("h"), F.lit(False).alias("lower"))
-        pair = [*keys, "la", "lb", "_s"]
+        pair = [*keys, "la", "lb", "i", "j"]
+        lower = asked.where(some).select(*keys, "cx", "cy", F.col("cx").alias("la"), F.col("cy").alias("lb"), "i", "j")
+        upper = asked.where(some).select(*keys, (F.col("cx") + F.col("i")).alias("cx"), (F.col("cy") + F.col("j")).alias("cy"), F.col("cx").alias("la"), F.col("cy").alias("lb"), "i", "j")
+        below = low.join(lower, [*keys, "cx", "cy"]).select(*pair, "along", F.col("top").alias("h"), F.lit(True).alias("lower"))
+        above = low.join(upper, [*keys, "cx", "cy"]).select(*pair, "along", F.col("foot").alias("h"), F.lit(False).alias("lower"))
         both = below.unionByName(above)
         order = Window.partitionBy(*pair).orderBy("along")
         left = F.max(F.when(F.col("lower"), F.col("h") + F.col("along"))).over(order.rangeBetween(Window.unboundedPreceding, 0))
         right = F.max(F.when(F.col("lower"), F.col("h") - F.col("along"))).over(order.rangeBetween(0, Window.unboundedFollowing))
         gap = F.least(F.col("h") + F.col("along") - left, F.col("h") - F.col("along") - right)
         met = both.withColumn("_gap", F.when(~F.col("lower"), gap)).groupBy(*pair).agg(F.min("_gap").alias("_gap")).where(F.col("_gap") <= reach)
-        first, second = (F.col("la"), F.col("lb")), (F.col("la") + F.col("_s.da"), F.col("lb") + F.col("_s.db"))
-        (ax, ay), (bx, by) = (first, second) if a == "x" else (first[::-1], second[::-1])
-        met = met.select(*keys, ax.alias("ax"), ay.alias("ay"), bx.alias("bx"), by.alias("by"))
+        met = met.select(*keys, F.col("la").alias("cx"), F.col("lb").alias("cy"), "i", "j")
         out = met if out is None else out.unionByName(met)
     return out
 
@@ -83,8 +101,18 @@ def spot_clusters(spots: DataFrame, keys: list[str], eps: float, least: int) ->
     seen = near.join(thin_core, on)
     to_cell = seen.where("full2").select(spot("x", "y").alias("src"), cell("nx", "ny").alias("dst"))
     to_spot = seen.where("not full2").join(thin_core.select(*keys, F.col("x").alias("x2"), F.col("y").alias("y2")), [*keys, "x2", "y2"]).select(spot("x", "y").alias("src"), spot("x2", "y2").alias("dst"))
-    cell_cell = _close_cells(own.where("full"), keys, reach).select(cell("ax", "ay").alias("src"), cell("bx", "by").alias("dst"))
-    parts = settle(components(to_cell.union(to_spot).union(cell_cell).where("src <> dst").distinct()))
+    ends = lambda df: df.withColumns({"_x": F.col("cx") + F.col("i"), "_y": F.col("cy") + F.col("j")}).withColumns({"src": cell("cx", "cy"), "dst": cell("_x", "_y")}).drop("_x", "_y")
+    joined, rest = (ends(p) for p in _outer_links(own.where("full"), keys, reach))
+    known = settle(joined.select("src", "dst").union(to_cell).union(to_spot).where("src <> dst").distinct())
+    parts = settle(components(known))
+    # a pair of cells that other links join already needs no answer
+    group = lambda c: parts.select(F.col("node").alias(c), F.col("component").alias(f"{c}_c"))
+    apart_yet = F.coalesce("src_c", "src") != F.coalesce("dst_c", "dst")
+    asked = settle(rest.join(group("src"), "src", "left").join(group("dst"), "dst", "left").where(apart_yet).select(*keys, "cx", "cy", "i", "j"))
+    if not asked.isEmpty():
+        more = settle(known.union(ends(_close_cells(own.where("full"), keys, reach, asked)).select("src", "dst")))
+        drop(parts)
+        parts = settle(components(more))
     cores = own.where("full").select(*on, cell("cx", "cy").alias("node")).unionByName(thin_core.select(*on, spot("x", "y").alias("node")))
     named = cores.join(parts, "node", "left").withColumn("_g", F.coalesce("component", "node"))
     least_spot = named.groupBy("_g").agg(F.min(F.struct("x", "y")).alias("cluster"))

@@ -69,6 +69,15 @@ def test_dense_place_takes_bounded_time(spark):
     assert [(r.support, r.start_1, r.end_1, r.start_2, r.end_2, r.mapq_1, r.mapq_2) for r in out] == [(100_000, 1_000_000, 1_000_900, 2_000_000, 2_000_900, 60.0, 50.0)]
 
 
+def test_cells_joined_by_outermost_points_are_not_swept(spark, monkeypatch):
+    swept = []
+    sweep = de._close_cells
+    monkeypatch.setattr(de, "_close_cells", lambda *a: swept.append(a) or sweep(*a))
+    dense = spark.range(1_600).select(F.lit("a").alias("k"), (F.col("id") % 40).alias("x"), F.floor(F.col("id") / 40).alias("y"), F.lit(1).cast("long").alias("w"))
+    assert {tuple(r.cluster) for r in de.spot_clusters(dense, ["k"], 4, 3).collect()} == {(0, 0)}
+    assert not swept
+
+
 def test_event_table_by_hand(spark):
     shape = "sample string, read_id string, chrom string, start_pos long, end_pos long, strand string, mapq int, is_supplementary boolean"
     rows = []
