@@ -156,14 +156,13 @@ def label_counts(left: DataFrame, right: DataFrame, labels: list[str], min_overl
 
     Of regions and a row, both cut by ``min_overlap``, those begin before the row ends that it meets or that end before it
     starts.  So n is a difference of two running counts over a label's bounds, each looked up in the one step that holds
-    the row's bound.  Where the steps are too many to broadcast, left rows of one place ask once.
+    the row's bound.  Left rows of one place ask once.
     """
     steps = settle(bound_steps(right, labels, min_overlap))
-    few = steps.limit(STEP_ROWS + 1).count() <= STEP_ROWS
     s = steps.select(*[F.col(c).alias(f"s_{c}") for c in steps.columns])
     s, top = region_side(s, F.col("s_start_pos"), F.col("s_end_pos") - 1, width, 0, STEP_ROWS)
-    out = [*left.columns, *[f"r_{c}" for c in labels]] if few else [*SPOT, *[f"r_{c}" for c in labels]]
-    asks = line_hits(left if few else left.select(*SPOT).distinct(), right, labels, min_overlap).withColumn("r_chrom", F.col("chrom"))
+    lab = [f"r_{c}" for c in labels]
+    asks = line_hits(left.select(*SPOT).distinct(), right, labels, min_overlap).withColumn("r_chrom", F.col("chrom"))
 
     def look(df: DataFrame, pos: Column, value: str) -> DataFrame:
         on = same_line(labels, "r_", "s_") & (F.col("_cell") == F.col("_rcell")) & (F.col("_at") >= F.col("s_start_pos")) & (F.col("_at") < F.col("s_end_pos"))
@@ -172,8 +171,8 @@ def label_counts(left: DataFrame, right: DataFrame, labels: list[str], min_overl
 
     asks = look(asks, F.least(F.col("end_pos") - min_overlap - 1, "r__last"), "begun")
     asks = look(asks, F.greatest(F.col("start_pos"), F.col("r__first") - 1), "ended")
-    n = asks.select(*out, (F.col("_begun") - F.col("_ended")).alias("n"))
-    return n if few else left.join(n, SPOT).select(*left.columns, *[f"r_{c}" for c in labels], "n")
+    n = asks.select(*SPOT, *lab, (F.col("_begun") - F.col("_ended")).alias("n"))
+    return left.join(n, SPOT).select(*left.columns, *lab, "n")
 
 
 def touching(left: DataFrame, right: DataFrame, min_overlap: int = 0) -> DataFrame:
