@@ -32,12 +32,35 @@ def read_genes(hits: DataFrame, genes: int = 1) -> DataFrame:
 
 def read_tags(hits: DataFrame, genes: int = 0) -> DataFrame:
     """Each read's tag, its distinct genes in order, joined by a comma; of reads with at least ``genes`` genes."""
-    return read_genes(hits, genes).select(*READ, F.array_join("genes", ",").alias("tag"))
+    return set_tags(read_genes(hits, genes))
+
+
+def set_tags(sets: DataFrame) -> DataFrame:
+    """The tags of reads given with their ``genes``."""
+    return sets.select(*READ, F.array_join("genes", ",").alias("tag"))
 
 
 def tag_support(hits: DataFrame, least: int = MIN_SUPPORT, genes: int = 0) -> DataFrame:
     """Tags with at least ``least`` distinct reads (a read has one tag)."""
-    return read_tags(hits, genes).groupBy("tag").agg(F.count("*").alias("support")).where(F.col("support") >= least)
+    return set_support(read_genes(hits, genes), least)
+
+
+def set_support(sets: DataFrame, least: int = MIN_SUPPORT) -> DataFrame:
+    """``tag_support`` of reads given with their ``genes``."""
+    return set_tags(sets).groupBy("tag").agg(F.count("*").alias("support")).where(F.col("support") >= least)
+
+
+def supported_middles(hits: DataFrame, least: int = MIN_SUPPORT) -> DataFrame:
+    """(chrom, mid): distinct middles of the alignments of reads with more than one gene whose tag has ``least`` reads.
+
+    A read's tag and middles are gathered once, in one row, for both the count of its tag and what comes of it.
+    """
+    mid = F.struct("chrom", F.floor((F.col("start_pos") + F.col("end_pos")) / 2).alias("mid"))
+    per = hits.groupBy(*BY_READ).agg(F.collect_set("gene").alias("genes"), F.collect_set(mid).alias("mids")).where(F.size("genes") > 1)
+    per = settle(per.select(*READ, F.array_join(F.array_sort("genes"), ",").alias("tag"), "mids"))
+    told = per.groupBy("tag").agg(F.count("*").alias("support")).where(F.col("support") >= least).select("tag")
+    named = per.where(F.col("sample").isNotNull() & F.col("read_id").isNotNull())
+    return named.join(told, "tag", "left_semi").select(F.explode("mids").alias("m")).select("m.*").distinct()
 
 
 def artifact_reads(hits: DataFrame, similar: int = 50) -> DataFrame:
@@ -98,8 +121,13 @@ def gene_pairs(hits: DataFrame) -> DataFrame:
 
 def pair_support(hits: DataFrame, least: int = 4) -> DataFrame:
     """Gene pairs with ``least`` or more distinct reads, without regard to where they break."""
-    sets = read_genes(hits.where(F.col("sample").isNotNull() & F.col("read_id").isNotNull()), 2)
-    pairs = sets.select("genes", F.posexplode("genes").alias("at", "gene_1"))
+    return set_pairs(read_genes(hits, 2), least)
+
+
+def set_pairs(sets: DataFrame, least: int = 4) -> DataFrame:
+    """``pair_support`` of reads given with their ``genes``."""
+    named = sets.where(F.col("sample").isNotNull() & F.col("read_id").isNotNull())
+    pairs = named.select("genes", F.posexplode("genes").alias("at", "gene_1"))
     pairs = pairs.select("gene_1", F.explode(F.slice("genes", F.col("at") + 2, F.size("genes"))).alias("gene_2"))
     return pairs.groupBy("gene_1", "gene_2").agg(F.count("*").alias("support")).where(F.col("support") >= least)
 
@@ -191,7 +219,12 @@ def gene_groups(hits: DataFrame, least: int = MIN_SUPPORT) -> DataFrame:
 
 def pair_edges(hits: DataFrame, *by: Column) -> DataFrame:
     """(src, dst, ``by``, n): gene pairs that are a read's whole tag, with the number of such reads."""
-    tags = read_tags(hits, 2).withColumn("g", F.split("tag", ",")).where(F.size("g") == 2)
+    return set_edges(read_genes(hits, 2), *by)
+
+
+def set_edges(sets: DataFrame, *by: Column) -> DataFrame:
+    """``pair_edges`` of reads given with their ``genes``."""
+    tags = set_tags(sets).withColumn("g", F.split("tag", ",")).where(F.size("g") == 2)
     return tags.groupBy(F.col("g")[0].alias("src"), F.col("g")[1].alias("dst"), *by).agg(F.count("*").alias("n"))
 
 
