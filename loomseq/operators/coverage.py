@@ -68,10 +68,10 @@ def latest_snapshot(df: DataFrame, keys: list[str], ts: str, values: list[str])
     return df.groupBy(*keys).agg(F.max(F.struct(ts, *values)).alias("_s")).select(*keys, *[F.col(f"_s.{v}").alias(v) for v in values])
 
 
-def on_off_target(aln: DataFrame, targets: DataFrame, lengths: DataFrame) -> DataFrame:
-    """Depth of each chromosome on and off its targets."""
+def on_off_target(aln: DataFrame, covered: DataFrame, lengths: DataFrame) -> DataFrame:
+    """Depth of each chromosome on and off its targets, whose ``target_coverage`` is ``covered``."""
     total = aln.groupBy("chrom").agg(F.sum(F.col("end_pos") - F.col("start_pos")).alias("all_bases"))
-    on = target_coverage(aln, targets).groupBy("chrom").agg(F.sum("bases").alias("on_bases"), F.sum("length").alias("on_length"))
+    on = covered.groupBy("chrom").agg(F.sum("bases").alias("on_bases"), F.sum("length").alias("on_length"))
     j = lengths.join(total, "chrom", "left").join(on, "chrom", "left").na.fill(0, ["all_bases", "on_bases", "on_length"])
     return j.select(
         "chrom", F.round(F.when(F.col("on_length") > 0, F.col("on_bases") / F.col("on_length")).otherwise(0.0), 6).alias("on_depth"),

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from loomseq.plans import q_intervals, q_measures, q_reads  # noqa: F401  (their queries are the frames)
-from loomseq.plans.registry import QUERIES, SQL
+from loomseq.plans.registry import PLANS, QUERIES, SQL, Tables
 from loomseq.sources import exports
 from loomseq.sources.scratch import new_folder
 
@@ -32,8 +32,9 @@ FRAMES = {
 
 
 def exported(spark, sf_dir):
-    frames = {name: QUERIES[key](spark, sf_dir) for name, key in FRAMES.items()}
-    return exports.export_report(spark, frames, new_folder(spark), "run").select("name", "rows")
+    t = Tables(spark, sf_dir, several=True)
+    frames = exports.side_by_side(lambda key: PLANS[key](t), FRAMES.values())
+    return exports.export_report(spark, dict(zip(FRAMES, frames, strict=True)), new_folder(spark), "run").select("name", "rows")
 
 
 QUERIES["S15_whole_export"] = exported
