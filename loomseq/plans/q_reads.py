@@ -507,7 +507,7 @@ def r8(t):
     t2 as (select read_id, string_agg(distinct chrom, ',' order by chrom) as tag from @aln group by read_id), e2 as (select read_id, tag from t2 where tag in (select tag from t2 group by tag having count(*) >= 3) and read_id not in (select read_id from e1))
     select 0::bigint as v, tag, count(*) as reads from e1 group by tag union all select 1, tag, count(*) from e2 group by tag""")
 def r5(t):
-    pairs = t.aln.select("read_id", "chrom").distinct()
+    pairs = t.aln.select("read_id", "chrom")  # as they arrive; the fold takes a read's names together
     early = F.col("chrom") < "chr2"
     base = arriving(t, [pairs.where(early), pairs.where(~early)], st.grown_tags("read_id", "chrom"))
     return folds.emitted(t.spark, base).groupBy(F.col("v").cast("long").alias("v"), "tag").agg(F.count("*").alias("reads"))

@@ -69,11 +69,12 @@ class DeltaState:
             return self.spark.createDataFrame([], self.fold.schema)
         out = reduce(DataFrame.unionByName, parts)
         if touched is not None:
-            keys = touched.select(*self.fold.by).distinct()
-            there = [r[0] for r in keys.select(self.bucket()).distinct().collect()]  # at most one per bucket
-            keys = keys.toDF(*[f"_{c}" for c in self.fold.by])
+            there = [r[0] for r in touched.select(self.bucket()).distinct().collect()]  # at most one per bucket
+            keys = touched.select(*self.fold.by).toDF(*[f"_{c}" for c in self.fold.by])
             out = out.where(F.col("_b").isin(there))
             out = out.join(keys, same(out, keys, self.fold.by), "left_semi")
+        if len(parts) == 1:  # a version has one row per key
+            return out.where(~F.coalesce("_gone", F.lit(False))).select(*self.fold.schema.names)
         newest = F.max("_v").over(Window.partitionBy(*self.fold.key))
         out = out.withColumn("_newest", newest).where((F.col("_v") == F.col("_newest")) & ~F.coalesce("_gone", F.lit(False)))
         return out.select(*self.fold.schema.names)
@@ -81,11 +82,11 @@ class DeltaState:
     def write(self, version: int, changed: DataFrame) -> None:
         """Store a batch's changed rows; each ``every`` versions also all rows, after which older versions go."""
         rows = changed if "_gone" in changed.columns else changed.withColumn("_gone", F.lit(False))
-        rows.select(*self.fold.schema.names, "_gone", self.bucket().alias("_b")).repartition("_b").write.mode("overwrite").partitionBy("_b").parquet(f"{self.path}/delta/v={version}")
+        rows.select(*self.fold.schema.names, "_gone", self.bucket().alias("_b")).hint("rebalance", "_b").write.mode("overwrite").partitionBy("_b").parquet(f"{self.path}/delta/v={version}")
         full = self.versions("full", version)
         if len([v for v in self.versions("delta", version + 1) if not full or v > full[-1]]) >= self.every:
             whole = self.rows(version + 1).withColumn("_gone", F.lit(False)).withColumn("_b", self.bucket())
-            whole.repartition("_b").write.mode("overwrite").partitionBy("_b").parquet(f"{self.path}/full/v={version}")
+            whole.hint("rebalance", "_b").write.mode("overwrite").partitionBy("_b").parquet(f"{self.path}/full/v={version}")
             # the version before stays: this batch may have to run again
             for kind in ("delta", "full"):
                 for v in self.versions(kind, full[-1] if full else 0):
@@ -243,15 +244,18 @@ def grown_tags(item: str, name: str, least: int = 3) -> Fold:
         steps = hold(plus.unionByName(minus).groupBy("tag").agg(F.sum("_d").alias("_d")))
         before = lookup(steps.select(F.lit("tag").alias("kind"), F.col("tag").alias("id"))).select(F.col("id").alias("tag"), "n", "waiting")
         count = hold(steps.join(before, "tag", "left").select("tag", (F.coalesce("n", F.lit(0)) + F.col("_d")).alias("n"), "waiting"))
-        # who waits at a touched tag now: those that waited and have not left, and the new ones
-        stayed = count.select("tag", F.explode("waiting").alias("id"))
-        waiting = hold(_anti(stayed, minus, ("tag", "id")).unionByName(plus.where("not done").select("tag", "id")).distinct())
-        told = hold(waiting.join(count.where(F.col("n") >= least).select("tag"), "tag", "left_semi").select("id", "tag"))
-        short = waiting.join(count.where(F.col("n") < least).select("tag"), "tag", "left_semi").groupBy("tag").agg(F.collect_set("id").alias("waiting"))
+        # who is at a touched tag now: those that waited and have not left, under ``least`` each, and those that moved to it
+        left = moved.where(F.col("_old").isNotNull()).join(count.where("waiting is not null").select(F.col("tag").alias("_old")), "_old", "left_semi")
+        stayed = _anti(count.select("tag", "n", F.explode("waiting").alias("id")), left.select(F.col("_old").alias("tag"), "id"), ("tag", "id"))
+        # no one is in both: who moved to a tag did not wait there
+        at = moved.select("id", "tag", "done").join(count.select("tag", "n"), "tag").unionByName(stayed.withColumn("done", F.lit(False)))
+        enough = F.col("n") >= least
+        short = at.where(~F.col("done") & ~enough).groupBy("tag").agg(F.collect_set("id").alias("waiting"))
+        told = at.where(~F.col("done") & enough)
+        # who waits on is stored as it is
+        items = moved.select("id", "tag", "done").join(count.select("tag", "n"), "tag").unionByName(stayed.where(enough).withColumn("done", F.lit(False)))
         none = lambda kind: F.lit(None).cast(kind)
-        flagged = told.select("id", F.lit(True).alias("_told"))
-        items = moved.select("id", "tag", "done").unionByName(_anti(told, moved, ("id",)).select("id", "tag", F.lit(False).alias("done"))).join(flagged, "id", "left")
-        items = items.select(F.lit("item").alias("kind"), "id", "tag", (F.col("done") | F.coalesce("_told", F.lit(False))).alias("done"), none("long").alias("n"), none("array<string>").alias("waiting"))
+        items = items.select(F.lit("item").alias("kind"), "id", "tag", (F.col("done") | enough).alias("done"), none("long").alias("n"), none("array<string>").alias("waiting"))
         tags = count.drop("waiting").join(short, "tag", "left").select(F.lit("tag").alias("kind"), F.col("tag").alias("id"), none("string").alias("tag"), none("boolean").alias("done"), "n", "waiting", (F.col("n") <= 0).alias("_gone"))
         return items.withColumn("_gone", F.lit(False)).unionByName(tags), told.select(F.col("id").alias(item), "tag")
 
