@@ -66,6 +66,10 @@ class Bands:
             # the next band begins beyond the largest set that can link with this band's smallest
             self.starts.append(max(self.starts[-1] + 1, self.starts[-1] * self.den // self.num + 1))
 
+    def upto(self, size: int) -> list[int]:
+        """The smallest sizes of the bands up to that of ``size``."""
+        return self.starts[: self.band(size) + 1]
+
     def band(self, size: int) -> int:
         self._grow(size)
         return int(np.searchsorted(self.starts, size, side="right")) - 1
@@ -217,6 +221,32 @@ def link_sets(ids: np.ndarray, sets: list[np.ndarray], left: np.ndarray, num: in
     return {i: find(i) for i in range(n)}
 
 
+#: Numbers of blocks of one size band, of which there are fewer.
+_BLOCKS = 1 << 20
+
+
+def deal_blocks(members: DataFrame, bands: Bands, block_rows: int) -> DataFrame:
+    """(node, grp, at, x, y): the blocks ``x`` and ``y`` that meet in one task, one of them (``at``) the row's own.
+
+    ``members`` holds (node, grp, n_shingles).  A group of up to ``block_rows`` rows is one block.  A larger one is cut by size
+    band, and a band by hash into blocks of about that many rows; a block meets those of its own band and of the two
+    beside it, as sets that link are no further apart.  So a row goes to the blocks of sizes like its own, not to all.
+    """
+    top = members.agg(F.max("n_shingles")).head()[0] or 1
+    starts = F.lit([s for s in bands.upto(top)])
+    band = (F.size(F.filter(starts, lambda s: s <= F.col("n_shingles"))) - 1).cast("long")
+    large = members.groupBy("grp").agg((F.count("*") > block_rows).alias("large"))
+    placed = members.join(large, "grp").select("node", "grp", F.when(F.col("large"), band).otherwise(F.lit(0).cast("long")).alias("band")).distinct()
+    counts = placed.groupBy("grp", "band").agg(F.ceil(F.count("*") / block_rows).cast("long").alias("k"))
+    beside = lambda step, name: counts.select("grp", (F.col("band") - step).alias("band"), F.col("k").alias(name))
+    counts = counts.join(beside(1, "_next"), ["grp", "band"], "left").join(beside(-1, "_last"), ["grp", "band"], "left")
+    blocks = lambda k, step: F.when(F.col(k) > 0, F.transform(F.sequence(F.lit(0).cast("long"), F.col(k) - 1), lambda o: (F.col("band") + step) * _BLOCKS + o)).otherwise(F.array().cast("array<long>"))
+    at = F.col("band") * _BLOCKS + F.pmod(F.xxhash64("node"), F.col("k"))
+    met = F.concat(blocks("k", 0), blocks("_next", 1), blocks("_last", -1))
+    dealt = placed.join(counts, ["grp", "band"]).select("node", "grp", at.alias("at"), F.explode(met).alias("o"))
+    return dealt.select("node", "grp", "at", F.least("at", "o").alias("x"), F.greatest("at", "o").alias("y"))
+
+
 def link_documents(docs: DataFrame, n: int = 3, num: int = 90, den: int = 100, block_rows: int = 1_000, sample: float = 1 / 16) -> DataFrame:
     """(doc_id, n_shingles, component_id) for every row of ``docs`` (doc_id, text).
 
@@ -226,7 +256,7 @@ def link_documents(docs: DataFrame, n: int = 3, num: int = 90, den: int = 100, b
     Rows of one id are one node, whatever their texts: each keeps its own ``n_shingles``, and all share the component.
     Sets are compared by 64-bit hashes of their shingles.
     Sets that are equal are joined before anything else and count as one below.  A candidate group larger than
-    ``block_rows`` is verified block against block in separate tasks.
+    ``block_rows`` is verified block against block of like sizes in separate tasks.
     """
     bands = Bands(num, den)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
@@ -261,22 +291,18 @@ def link_documents(docs: DataFrame, n: int = 3, num: int = 90, den: int = 100, b
     shared = own.groupBy("entry").agg(F.min("s1").alias("low"), F.max("s1").alias("high")).where("low <> high").select("entry", "low")
     ties = own.hint("merge").join(shared, "entry").where("s1 <> low").select("s1", "low").distinct()
     found = connected_components(ties, "s1", "low").select(F.col("node").alias("s1"), F.col("component").alias("grp"))
-    groups = cut(of.where("doc_id = node").select("s1", "node").join(found, "s1").select("node", "grp"), "groups")
+    groups = cut(of.where("doc_id = node").select("s1", "node", "n_shingles").join(found, "s1").select("node", "grp", "n_shingles"), "groups")
 
     release(docs.sparkSession, sets)
 
-    sizes = groups.groupBy("grp").agg(F.count("*").alias("c")).select("grp", F.ceil(F.col("c") / block_rows).alias("k"))
-    block = F.pmod(F.xxhash64("node"), F.col("k")).cast("int")
-    # a block meets itself and every other block once; small groups have one block and one task
-    dealt = groups.join(sizes, "grp").select("node", "grp", block.alias("b"), "k").select(
-        "node", "grp", "b", F.explode(F.sequence(F.lit(0), (F.col("k") - 1).cast("int"))).alias("o")
-    ).select("node", "grp", "b", F.least("b", "o").alias("x"), F.greatest("b", "o").alias("y"))
-    work = dealt.join(docs.select(F.col("doc_id").alias("node"), "text", F.xxhash64("text").alias("_t")).hint("merge"), "node").dropDuplicates(["node", "grp", "x", "y", "_t"])
+    # repeated texts of one id go before the texts are shipped, by the partitioning that the join needs anyway
+    texts = docs.select(F.col("doc_id").alias("node"), "text", F.xxhash64("text").alias("_t")).repartition("node").dropDuplicates(["node", "_t"])
+    work = deal_blocks(groups, bands, block_rows).join(texts.hint("merge"), "node")
 
     def verify(pdf: pd.DataFrame) -> pd.DataFrame:
         shingler = Shingler(n)
         ids = pdf["node"].to_numpy()
-        first = (pdf["b"] == pdf["x"]).to_numpy()
+        first = (pdf["at"] == pdf["x"]).to_numpy()
         root = link_sets(ids, [shingler.of(t) for t in pdf["text"]], first, num, den)
         low: dict[int, int] = {}
         for i, r in root.items():

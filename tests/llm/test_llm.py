@@ -454,3 +454,22 @@ def test_op10_trees_cover_their_points(spark):
         points += [] if n.children else n.points.tolist()
         todo += n.children
     assert sorted(points) == list(range(700))
+
+
+def test_a_large_group_is_dealt_to_blocks_of_like_sizes(spark):
+    bands = ngram_join.Bands(80, 100)
+    rows = [(i, 7, 1 + i % 1000) for i in range(4000)] + [(5000 + i, 8, 1 + 300 * i) for i in range(50)]
+    got = ngram_join.deal_blocks(spark.createDataFrame(rows, "node long, grp long, n_shingles long"), bands, 100).collect()
+    tasks = {}
+    for r in got:
+        assert r["at"] in (r.x, r.y)
+        tasks.setdefault(r.node, set()).add((r.grp, r.x, r.y))
+    size = {n: s for n, _, s in rows}
+    # sets that may link meet in one task
+    for a in range(0, 4000, 97):
+        for b in range(0, 4000, 13):
+            if a != b and 100 * min(size[a], size[b]) >= 80 * max(size[a], size[b]):
+                assert tasks[a] & tasks[b]
+    assert all(len(tasks[5000 + i]) == 1 for i in range(50))
+    # all 40 blocks of the group met each other before
+    assert sum(len(tasks[i]) for i in range(4000)) / 4000 < 25
