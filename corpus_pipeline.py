@@ -40,7 +40,7 @@ def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 def keep_one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """N-gram Jaccard join: of each group of near copies the smallest id stays."""
-    groups = ngram_join.link_documents(docs, n=SHINGLE_WORDS, num=SIMILARITY_PERCENT, den=100)
+    groups = ngram_join.link_documents(docs, n=SHINGLE_WORDS, num=SIMILARITY_PERCENT, den=100, thin=True)
     rest = groups.where("component_id <> doc_id").select("doc_id").distinct()
     return docs.join(rest, "doc_id", "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])
 

@@ -247,7 +247,21 @@ def deal_blocks(members: DataFrame, bands: Bands, block_rows: int) -> DataFrame:
     return dealt.select("node", "grp", "at", F.least("at", "o").alias("x"), F.greatest("at", "o").alias("y"))
 
 
-def link_documents(docs: DataFrame, n: int = 3, num: int = 90, den: int = 100, block_rows: int = 1_000, sample: float = 1 / 16) -> DataFrame:
+def may_link(sets: DataFrame, num: int, den: int) -> DataFrame:
+    """(s1, s2, n_shingles, node) of the different sets of ``sets`` that can link with another one.
+
+    ``sets`` holds (doc_id, n_shingles, s1, s2, grams), ``grams`` being any part of each set that a hash of the n-gram decides.
+    Of a set that links, at most n - ceil(n * num / den) n-grams are missing in the other one; a set with more n-grams that
+    no other set has links with nothing.  Counting them in a part of the n-grams leaves sets in, but never one out.
+    """
+    lone = sets.select("s1", F.explode("grams").alias("gram")).groupBy("gram").agg(F.min("s1").alias("s1"), F.max("s1").alias("other"))
+    lone = lone.where("s1 = other").groupBy("s1").agg(F.count("*").alias("lone"))
+    nodes = sets.groupBy("n_shingles", "s1", "s2").agg(F.min("doc_id").alias("node"))
+    missing = F.col("n_shingles") - F.expr(f"(n_shingles * {num} + {den - 1}) div {den}")
+    return nodes.join(lone, "s1", "left").where(F.coalesce("lone", F.lit(0)) <= missing).select("s1", "s2", "n_shingles", "node")
+
+
+def link_documents(docs: DataFrame, n: int = 3, num: int = 90, den: int = 100, block_rows: int = 1_000, sample: float = 1 / 16, thin: bool = False) -> DataFrame:
     """(doc_id, n_shingles, component_id) for every row of ``docs`` (doc_id, text).
 
     Documents link where den * intersection >= num * union of their sets of distinct ``n``-word shingles (fewer
@@ -255,16 +269,19 @@ def link_documents(docs: DataFrame, n: int = 3, num: int = 90, den: int = 100, b
     with nothing.  ``component_id`` is the smallest doc_id reachable by links; a row with a null doc_id links with nothing and has no component.
     Rows of one id are one node, whatever their texts: each keeps its own ``n_shingles``, and all share the component.
     Sets are compared by 64-bit hashes of their shingles.
-    Sets that are equal are joined before anything else and count as one below.  A candidate group larger than
-    ``block_rows`` is verified block against block of like sizes in separate tasks.
+    Sets that are equal are joined before anything else and count as one below.  With ``thin``, sets with too many shingles
+    of their own go next (``may_link``) and only the others are indexed, which pays where shingles are long: the result
+    is the same.  A candidate group larger than ``block_rows`` is verified block against block of like sizes in separate tasks.
     """
     bands = Bands(num, den)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    # a part of the shingles, of which a set of shingles of its own has twice as many as may be missing
+    part = np.uint64(max(1, den // (2 * (den - num)) if num < den else den))
 
-    def sketch(batches: Iterator[pd.DataFrame], index: Index) -> Iterator[pd.DataFrame]:
+    def sketch(batches: Iterator[pd.DataFrame], of) -> Iterator[pd.DataFrame]:
         shingler = Shingler(n)
         for b in batches:
-            for at in range(0, len(b), 1_000):  # entries of few documents at a time, so that a worker stays small
+            for at in range(0, len(b), 1_000):  # few documents at a time, so that a worker stays small
                 rows = []
                 for d, t in zip(b["doc_id"][at : at + 1_000], b["text"][at : at + 1_000]):
                     g = shingler.of(t)
@@ -272,31 +289,44 @@ def link_documents(docs: DataFrame, n: int = 3, num: int = 90, den: int = 100, b
                         rows.append((d, 0, 0, 0, []))
                         continue
                     s = int(np.bitwise_xor.reduce(mix(g + _M2)).view(np.int64)), int(mix(g + _M3).sum().view(np.int64))
-                    rows.append((d, len(g), *s, index.entries(g).view(np.int64) if index else g.view(np.int64)))
+                    rows.append((d, len(g), *s, of(g).view(np.int64)))
                 yield pd.DataFrame(rows, columns=["doc_id", "n_shingles", "s1", "s2", "grams"])
 
     shape = "doc_id long, n_shingles long, s1 long, s2 long, grams array<long>"
-    part = docs.where(F.pmod(F.xxhash64(F.lit(5), "doc_id"), F.lit(round(1 / sample))) == 0)
-    plans = plan_bands(map_pandas(part, lambda b: sketch(b, None), shape).where("n_shingles > 0").select("grams"), Index(bands))
-    index = Index(bands, plans)
-    sets = cut(map_pandas(docs, lambda b: sketch(b, index), shape), "sets")
+
+    def planned(rows: DataFrame) -> Index:
+        some = rows.where(F.pmod(F.xxhash64(F.lit(5), "doc_id"), F.lit(round(1 / sample))) == 0)
+        return Index(bands, plan_bands(map_pandas(some, lambda b: sketch(b, lambda g: g), shape).where("n_shingles > 0").select("grams"), Index(bands)))
+
+    index = None if thin else planned(docs)
+    sets = cut(map_pandas(docs, lambda b: sketch(b, index.entries if index else lambda g: g[g % part == 0]), shape), "sets")
 
     # equal sets are one node from here on: its smallest id; in the index they go by their hash, so no id is joined on
-    nodes = sets.where("n_shingles > 0 and doc_id is not null").groupBy("n_shingles", "s1", "s2").agg(F.min("doc_id").alias("node"))
+    whole = sets.where("n_shingles > 0 and doc_id is not null")
+    nodes = whole.groupBy("n_shingles", "s1", "s2").agg(F.min("doc_id").alias("node"))
     of = cut(sets.select("doc_id", "n_shingles", "s1", "s2").join(nodes, ["n_shingles", "s1", "s2"], "left").select("doc_id", "n_shingles", "s1", "node"), "nodes")
 
+    # repeated texts of one id go before the texts are shipped, by the partitioning that the join needs anyway
+    texts = docs.select(F.col("doc_id").alias("node"), "text", F.xxhash64("text").alias("_t")).repartition("node").dropDuplicates(["node", "_t"])
+    indexed, made = whole, [sets]
+    if thin:
+        left = cut(may_link(whole, num, den), "left")
+        release(docs.sparkSession, sets)
+        texts = cut(texts.hint("merge").join(left.select("node").distinct(), "node"), "texts")
+        again = texts.select(F.col("node").alias("doc_id"), "text")
+        index = planned(again)
+        entries = cut(map_pandas(again, lambda b: sketch(b, index.entries), shape), "entries")
+        indexed, made = entries.join(left, ["s1", "s2", "n_shingles"], "left_semi"), [left, entries]
+
     # entries that two different sets share tie both to the smallest, which gives the candidate groups; the join is
     # a merge join at every size, whose hot keys AQE splits
-    own = sets.where("n_shingles > 0 and doc_id is not null").select("s1", F.explode("grams").alias("entry"))
+    own = indexed.select("s1", F.explode("grams").alias("entry"))
     shared = own.groupBy("entry").agg(F.min("s1").alias("low"), F.max("s1").alias("high")).where("low <> high").select("entry", "low")
     ties = own.hint("merge").join(shared, "entry").where("s1 <> low").select("s1", "low").distinct()
     found = connected_components(ties, "s1", "low").select(F.col("node").alias("s1"), F.col("component").alias("grp"))
     groups = cut(of.where("doc_id = node").select("s1", "node", "n_shingles").join(found, "s1").select("node", "grp", "n_shingles"), "groups")
+    release(docs.sparkSession, *made)
 
-    release(docs.sparkSession, sets)
-
-    # repeated texts of one id go before the texts are shipped, by the partitioning that the join needs anyway
-    texts = docs.select(F.col("doc_id").alias("node"), "text", F.xxhash64("text").alias("_t")).repartition("node").dropDuplicates(["node", "_t"])
     work = deal_blocks(groups, bands, block_rows).join(texts.hint("merge"), "node")
 
     def verify(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -312,7 +342,7 @@ def link_documents(docs: DataFrame, n: int = 3, num: int = 90, den: int = 100, b
 
     links = cut(work.groupBy("grp", "x", "y").applyInPandas(verify, "node long, low long"), "pairs")
     parts = connected_components(links, "node", "low")
-    release(docs.sparkSession, groups, links)
+    release(docs.sparkSession, groups, links, texts)
     out = of.join(parts, "node", "left")
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "node", "doc_id"))
     return out.select("doc_id", "n_shingles", component.alias("component_id"))

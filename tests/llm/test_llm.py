@@ -473,3 +473,28 @@ def test_a_large_group_is_dealt_to_blocks_of_like_sizes(spark):
     assert all(len(tasks[5000 + i]) == 1 for i in range(50))
     # all 40 blocks of the group met each other before
     assert sum(len(tasks[i]) for i in range(4000)) / 4000 < 25
+
+
+@pytest.mark.parametrize("n, num", [(3, 90), (5, 80)])
+def test_op9_thinned_equals_brute_force(spark, n, num):
+    rows = near_copies(2)
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in ngram_join.link_documents(spark.createDataFrame(rows, DOCS), n=n, num=num, sample=1.0, thin=True).collect()}
+    assert got == brute.shingle_groups(rows, n, num)
+
+
+def test_op9_indexes_only_sets_that_can_link(spark):
+    # 60 originals of their own words chain by empty segments; two near copies of one and two equal texts stay
+    own = [" ".join(f"d{d}w{i}" for i in range(40)) for d in range(60)]
+    near = own[0].split()
+    near[0] = "other"
+    rows = [*enumerate(own), (100, " ".join(near)), (101, own[1]), (102, ""), (103, None), (None, own[2])]
+    grams = {d: {hash(tuple((t or "").split()[i : i + 3])) for i in range(38)} if t else set() for d, t in rows}
+    sets = [(d, len(g), hash(frozenset(g)), 0, sorted(g)) for d, g in grams.items() if g and d is not None]
+    sets = spark.createDataFrame(sets, "doc_id long, n_shingles long, s1 long, s2 long, grams array<long>")
+    left = {r.node for r in ngram_join.may_link(sets, 90, 100).collect()}
+    assert left == {0, 100}
+    # a part of the n-grams leaves more in and none out
+    for of in (2, 5, 9):
+        assert {0, 100} <= {r.node for r in ngram_join.may_link(sets.withColumn("grams", F.expr(f"filter(grams, g -> pmod(g, {of}) = 0)")), 90, 100).collect()}
+    got = {(r.doc_id, r.component_id) for r in ngram_join.link_documents(spark.createDataFrame(rows, DOCS), sample=1.0, thin=True).collect()}
+    assert (100, 0) in got and (101, 1) in got and (5, 5) in got and (102, 102) in got and (None, None) in got
