@@ -19,6 +19,7 @@ from pyspark.sql.types import DataType, StructField, StructType
 _OWN: dict[str, str] = {}
 #: Spark drops a query's shuffle files when it ends; what it computed is in a table by then.
 _CLEAN = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+_BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
 
 
 def scratch_dir(spark: SparkSession) -> str:
@@ -33,20 +34,25 @@ def scratch_dir(spark: SparkSession) -> str:
     return f"file://{_OWN[app]}"
 
 
-def cut(df: DataFrame, tag: str) -> DataFrame:
+def cut(df: DataFrame, tag: str, batch: int | None = None) -> DataFrame:
     """Write ``df`` as a table in the shared scratch folder and read it back.
 
+    ``batch`` is the number of rows that a Python worker gets at a time, where whole texts go to it.
+
     This cuts lineage in a way that survives lost executors: the parts are ordinary files in the folder that
     the cluster shares, not blocks on executors.
     """
     spark = df.sparkSession
     path = f"{scratch_dir(spark)}/loomseq-{tag}-{uuid.uuid4().hex}"
-    before = spark.conf.get(_CLEAN)
-    spark.conf.set(_CLEAN, "true")
+    now = {_CLEAN: "true"} | ({_BATCH: str(batch)} if batch else {})
+    before = {k: spark.conf.get(k) for k in now}
     try:
+        for k, v in now.items():
+            spark.conf.set(k, v)
         df.write.parquet(path)
     finally:
-        spark.conf.set(_CLEAN, before)
+        for k, v in before.items():
+            spark.conf.set(k, v)
     out = spark.read.schema(df.schema).parquet(path)
     out._loomseq_path = path
     return out

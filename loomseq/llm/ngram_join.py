@@ -10,7 +10,7 @@ them.  Documents that share an index entry form candidate groups, in which links
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -139,17 +139,18 @@ class Index:
         return np.unique(np.concatenate(out))
 
 
-def plan_bands(sample: DataFrame, index: Index, most_segments: int = 64) -> dict[int, np.ndarray]:
-    """Thresholds per band from collision counts on a sample of sets.
+def plan_bands(sample: DataFrame, sets: Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]], index: Index, most_segments: int = 64) -> dict[int, np.ndarray]:
+    """Thresholds per band from collision counts on a sample; ``sets`` makes frames with ``grams`` of its rows.
 
     Only the cost of the search depends on this, never its result, so a sample is enough.  Bands of many segments
     keep threshold 0 throughout: their segments are alike and the pigeonhole needs each of them.
     """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
+        # in one worker with what makes the sets: a second one per task would stay in the executor's memory
+        for b in sets(batches):
             rows = []
-            for g in b["grams"]:
+            for g in filter(len, b["grams"]):
                 g = np.asarray(g, dtype=np.int64).view(np.uint64)
                 own = index.bands.band(len(g))
                 for band in (own, own + 1):
@@ -296,10 +297,10 @@ def link_documents(docs: DataFrame, n: int = 3, num: int = 90, den: int = 100, b
 
     def planned(rows: DataFrame) -> Index:
         some = rows.where(F.pmod(F.xxhash64(F.lit(5), "doc_id"), F.lit(round(1 / sample))) == 0)
-        return Index(bands, plan_bands(map_pandas(some, lambda b: sketch(b, lambda g: g), shape).where("n_shingles > 0").select("grams"), Index(bands)))
+        return Index(bands, plan_bands(some, lambda b: sketch(b, lambda g: g), Index(bands)))
 
     index = None if thin else planned(docs)
-    sets = cut(map_pandas(docs, lambda b: sketch(b, index.entries if index else lambda g: g[g % part == 0]), shape), "sets")
+    sets = cut(map_pandas(docs, lambda b: sketch(b, index.entries if index else lambda g: g[g % part == 0]), shape), "sets", 1_000 if thin else None)
 
     # equal sets are one node from here on: its smallest id; in the index they go by their hash, so no id is joined on
     whole = sets.where("n_shingles > 0 and doc_id is not null")
@@ -315,7 +316,7 @@ def link_documents(docs: DataFrame, n: int = 3, num: int = 90, den: int = 100, b
         texts = cut(texts.hint("merge").join(left.select("node").distinct(), "node"), "texts")
         again = texts.select(F.col("node").alias("doc_id"), "text")
         index = planned(again)
-        entries = cut(map_pandas(again, lambda b: sketch(b, index.entries), shape), "entries")
+        entries = cut(map_pandas(again, lambda b: sketch(b, index.entries), shape), "entries", 1_000)
         indexed, made = entries.join(left, ["s1", "s2", "n_shingles"], "left_semi"), [left, entries]
 
     # entries that two different sets share tie both to the smallest, which gives the candidate groups; the join is
