@@ -19,6 +19,8 @@ BINS = BANDS * ROWS
 #: Mean number of hashes per bin that pass the threshold; a bin that gets none takes the next full one's value.
 PER_BIN = 2
 BIN_BITS = BINS.bit_length() - 1
+#: Characters of pairs per task where pairs are verified: its table of shingles must fit the caches, and none spills.
+TASK_CHARS = 300_000
 TRIMMED = r"trim(BOTH ' \t\r' FROM line)"
 
 
@@ -73,18 +75,23 @@ def band_keys(lines: DataFrame, key: list[str]) -> DataFrame:
 def similarities(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     """(a, b, j, na, nb) for each of ``pairs`` (a, b): exact Jaccard similarity and sizes of the shingle sets.
 
-    Each pair's shingles are exploded and counted where the pair's row lies: no shingle is exchanged.
+    Each pair's shingles are exploded and counted where the pair's row lies: no shingle is exchanged.  The pairs are dealt
+    to as many tasks as their characters ask for.
     """
     side = lambda c: texts.select(F.col("h1").alias(c), F.col("norm").alias(f"t{c}"))
     both = pairs.hint("merge").join(side("a"), "a").hint("merge").join(side("b"), "b")
-    m = both.select("a", "b", characters("ta").alias("ua"), characters("tb").alias("ub"))
+    both = cut(both.select("a", "b", "ta", "tb"), "both")
+    chars = both.agg(F.sum(F.length("ta") + F.length("tb"))).head()[0] or 0
+    m = both.repartition(1 + chars // TASK_CHARS, "a", "b").select("a", "b", characters("ta").alias("ua"), characters("tb").alias("ub"))
     m = m.select("a", "b", "ua", "ub", shingle_count("ua").alias("ka"), shingle_count("ub").alias("kb"))
     m = m.select("a", "b", "ua", "ub", "ka", F.explode(F.sequence(F.lit(0), F.col("ka") + F.col("kb") - 1)).alias("i"))
     left = F.col("i") < F.col("ka")
     m = m.select("a", "b", F.when(left, shingle("ua", F.col("i"))).otherwise(shingle("ub", F.col("i") - F.col("ka"))).alias("g"), F.when(left, 1).otherwise(2).alias("of"))
     m = m.groupBy("a", "b", "g").agg(F.bit_or("of").alias("of"))
     in_both, na, nb = (F.count(F.when(c, 1)) for c in (F.col("of") == 3, F.col("of") != 2, F.col("of") != 1))
-    return m.groupBy("a", "b").agg((in_both / F.count("*")).alias("j"), na.alias("na"), nb.alias("nb"))
+    known = cut(m.groupBy("a", "b").agg((in_both / F.count("*")).alias("j"), na.alias("na"), nb.alias("nb")), "known")
+    drop_cut(both)
+    return known
 
 
 def labelled_buckets(buckets: DataFrame, parts: DataFrame) -> DataFrame:
@@ -146,13 +153,13 @@ def bucket_links(buckets: DataFrame, texts: DataFrame, least: float, crowded: in
     by one, but in buckets where these are more than ``crowded`` times the lines, only those that share a rare shingle.
     """
     ends = buckets.where("h1 <> lead").select(F.col("lead").alias("a"), F.col("h1").alias("b")).distinct()
-    known = cut(similarities(ends, texts), "known")
+    known = similarities(ends, texts)
     links = known.where(F.col("j") >= least).select("a", "b")
     parts = cut(connected_components(links, "a", "b"), "parts")
     labelled = cut(labelled_buckets(buckets, parts), "open")
     few, many = split_crowded(labelled, crowded)
     left = open_pairs(few, known, least).unionByName(rare_pairs(many.select("h1", "c").distinct(), texts, least)).distinct()
-    more = cut(similarities(cut(left, "pairs"), texts).where(F.col("j") >= least).select("a", "b"), "more")
+    more = similarities(cut(left, "pairs"), texts).where(F.col("j") >= least).select("a", "b")
     return connected_components(links.unionByName(more), "a", "b")
 
 
