@@ -1,14 +1,18 @@
 """Fuzzy line deduplication by MinHash, in DataFrame functions only.
 
-Every non-blank line is the set of its runs of 10 characters.  Equal lines are one; of each different line the shingles
-are hashed once, a hash threshold keeps those that can be the least of one of 32 bins, and the bins' least hashes are
-its signature.  Bands of four bins give buckets.  Every pair of lines in a bucket is verified by exact Jaccard
-similarity, unless other links put both in one component already.  Links are united by distributed star rounds, and
-the first line of each component in (doc_id, line number) order stays.
+Every non-blank line is the set of its runs of 10 characters.  The shingles of a line are hashed once, a hash threshold
+keeps those that can be the least of one of 32 bins, and the bins' least hashes are its signature; equal lines have
+equal signatures.  Bands of four bins give buckets.  Every pair of lines in a bucket is verified by exact Jaccard
+similarity, unless bitmaps of the two sets differ in more places than a link allows or other links put both in one
+component already.  Links are united by distributed star rounds, and the first line of each component in (doc_id, line
+number) order stays.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import add
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -19,8 +23,8 @@ BINS = BANDS * ROWS
 #: Mean number of hashes per bin that pass the threshold; a bin that gets none takes the next full one's value.
 PER_BIN = 2
 BIN_BITS = BINS.bit_length() - 1
-#: Characters of pairs per task where pairs are verified: its table of shingles must fit the caches, and none spills.
-TASK_CHARS = 300_000
+#: Words of 64 bits in the bitmap of a line, and in that of a line of a crowded bucket.
+WORDS, CROWDED_WORDS = 32, 16
 TRIMMED = r"trim(BOTH ' \t\r' FROM line)"
 
 
@@ -50,48 +54,82 @@ def shingle(chars: str, at: Column) -> Column:
     return F.xxhash64(F.substring(chars, at * 4 + 1, F.lit(4 * SHINGLE)))
 
 
-def band_keys(lines: DataFrame, key: list[str]) -> DataFrame:
-    """(h1, keys): the bands' keys of each row of ``lines`` (``key`` columns, h1, norm), whose ``key`` is unique.
+def shingles(lines: DataFrame, columns: list[str]) -> DataFrame:
+    """(``columns``, n, g): a row for each run of characters of ``norm``, n of them a line, with its hash."""
+    m = lines.select(*columns, characters("norm").alias("u"))
+    m = m.select(*columns, "u", shingle_count("u").alias("n"))
+    m = m.select(*columns, "u", "n", F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("i"))
+    return m.select(*columns, "n", shingle("u", F.col("i")).alias("g"))
+
+
+def shingle_hashes(text: str) -> Column:
+    """The hashes of the text's shingles as an array.
+
+    The characters are bound by an outer ``transform``: read from the row, they would be copied for every shingle.
+    """
+    every = lambda u: F.transform(F.sequence(F.lit(0), shingle_count(u) - 1), lambda i: shingle(u, i))
+    return F.get(F.transform(F.array(characters(text)), every), 0)
+
+
+def band_keys(lines: DataFrame) -> DataFrame:
+    """(h1, key): the bands' keys of each different line of ``lines`` (h1, norm).
 
-    The upper bits of a shingle's hash choose its bin; in its bin only a hash below a threshold that falls with the
-    line's length goes on, which leaves ``PER_BIN`` a bin in the mean.
+    The upper bits of a shingle's hash choose its band and its bin; in its bin only a hash below a threshold that falls
+    with the line's length goes on, which leaves ``PER_BIN`` a bin in the mean.  A bin that gets none takes the next full
+    one's value in its band, and a band of a short line that gets none has no key.  Equal lines meet here, as minima of one key.
     """
-    m = lines.select(*key, "h1", characters("norm").alias("u"))
-    m = m.select(*key, "h1", "u", shingle_count("u").alias("n"))
-    m = m.select(*key, "h1", "u", "n", F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("i"))
-    m = m.select(*key, "h1", "n", shingle("u", F.col("i")).alias("g"))
-    low = F.shiftrightunsigned(F.shiftleft("g", BIN_BITS), 32)
-    m = m.where(low * F.col("n") < F.lit(BINS * PER_BIN << 32)).select(*key, "h1", "g", F.shiftrightunsigned("g", 64 - BIN_BITS).alias("bin"))
-    m = m.groupBy(*key).agg(F.min("h1").alias("h1"), *[F.min(F.when(F.col("bin") == b, F.col("g"))).alias(f"m{b}") for b in range(BINS)])
-    every = ["h1", *[f"m{b}" for b in range(BINS)]]
-    m = m.select(*every, *[F.coalesce(*[f"m{ROWS * k + i}" for i in range(ROWS)]).alias(f"g{k}") for k in range(BANDS)])
-    m = m.select(*every, *[F.coalesce(*[f"g{(k + 1 + i) % BANDS}" for i in range(BANDS)]).alias(f"n{k}") for k in range(BANDS)])
-    filled = lambda k, i: F.coalesce(*[f"m{ROWS * k + x}" for x in range(i, ROWS)], f"n{k}")
-    bands = F.array(*[F.xxhash64(F.lit(k), *[filled(k, i) for i in range(ROWS)]) for k in range(BANDS)])
-    # a line so short that none of its hashes passes has no bands
-    return m.where("n0 is not null").select("h1", F.array_distinct(bands).alias("keys"))
-
-
-def similarities(pairs: DataFrame, texts: DataFrame) -> DataFrame:
-    """(a, b, j, na, nb) for each of ``pairs`` (a, b): exact Jaccard similarity and sizes of the shingle sets.
-
-    Each pair's shingles are exploded and counted where the pair's row lies: no shingle is exchanged.  The pairs are dealt
-    to as many tasks as their characters ask for.
+    m = shingles(lines, ["h1"])
+    low = F.shiftrightunsigned(F.shiftleft("g", BIN_BITS), 33)
+    m = m.select("h1", "n", low.alias("low"), F.shiftrightunsigned("g", 64 - BIN_BITS).cast("int").alias("bin"))
+    m = m.where(F.col("low") * F.col("n") < F.lit(BINS * PER_BIN << 31))
+    m = m.select("h1", (F.col("bin") % BANDS).alias("band"), F.floor(F.col("bin") / BANDS).alias("row"), F.col("low").cast("int").alias("low"))
+    m = m.groupBy("h1", "band").agg(*[F.min(F.when(F.col("row") == i, F.col("low"))).alias(f"m{i}") for i in range(ROWS)])
+    filled = [F.coalesce(*[f"m{(i + x) % ROWS}" for x in range(ROWS)]) for i in range(ROWS)]
+    return m.select("h1", F.xxhash64("band", *filled).alias("key"))
+
+
+def word_and_bit(words: int) -> tuple[Column, Column]:
+    """The word of a bitmap that the hash ``g`` belongs to, and its bit there as a long."""
+    return F.col("g").bitwiseAND(F.lit(words - 1)).cast("int"), F.expr("shiftleft(1L, cast(shiftrightunsigned(g, 8) & 63 as int))")
+
+
+def bitmaps(texts: DataFrame, together: int = 4) -> DataFrame:
+    """(h1, n, w0, ...): for each line the number of its runs and a bitmap with the bit of each of its shingles.
+
+    ``together`` words are a row first, then all: a row of an aggregate costs as much as it has columns.
     """
+    word, bit = word_and_bit(WORDS)
+    m = shingles(texts, ["h1"]).select("h1", "n", word.alias("word"), bit.alias("bit"))
+    m = m.select("h1", "n", F.shiftright("word", together.bit_length() - 1).alias("part"), (F.col("word") % together).alias("word"), "bit")
+    m = m.groupBy("h1", "n", "part").agg(*[F.bit_or(F.when(F.col("word") == k, F.col("bit"))).alias(f"p{k}") for k in range(together)])
+    whole = [F.max(F.when(F.col("part") == k // together, F.col(f"p{k % together}"))) for k in range(WORDS)]
+    return m.groupBy("h1", "n").agg(*[F.coalesce(w, F.lit(0)).alias(f"w{k}") for k, w in enumerate(whole)])
+
+
+def other_side(maps: DataFrame, **names: str) -> DataFrame:
+    """``maps`` with the columns ``names`` renamed, n as n2, own as own2 and each word w as v."""
+    names = {"n": "n2", "own": "own2", **names}
+    return maps.select(*[F.col(c).alias(names.get(c, f"v{c[1:]}" if c[0] == "w" else c)) for c in maps.columns])
+
+
+def apart(words: int) -> Column:
+    """Places where two lines' bitmaps differ: for each there is a shingle that one of them lacks."""
+    return reduce(add, [F.bit_count(F.col(f"w{k}").bitwiseXOR(F.col(f"v{k}"))) for k in range(words)])
+
+
+def may_link(differ: Column, least: float) -> Column:
+    """Whether sets of at most n and n2 shingles can link, of which ``differ`` or more are in one only."""
+    return differ * (1 + least) <= (1 - least) * (F.col("n") + F.col("n2")) + 1e-6
+
+
+def linked(pairs: DataFrame, texts: DataFrame, least: float) -> DataFrame:
+    """Those of ``pairs`` (a, b) whose exact Jaccard similarity is ``least`` or more; pairs are dealt out evenly first."""
     side = lambda c: texts.select(F.col("h1").alias(c), F.col("norm").alias(f"t{c}"))
-    both = pairs.hint("merge").join(side("a"), "a").hint("merge").join(side("b"), "b")
-    both = cut(both.select("a", "b", "ta", "tb"), "both")
-    chars = both.agg(F.sum(F.length("ta") + F.length("tb"))).head()[0] or 0
-    m = both.repartition(1 + chars // TASK_CHARS, "a", "b").select("a", "b", characters("ta").alias("ua"), characters("tb").alias("ub"))
-    m = m.select("a", "b", "ua", "ub", shingle_count("ua").alias("ka"), shingle_count("ub").alias("kb"))
-    m = m.select("a", "b", "ua", "ub", "ka", F.explode(F.sequence(F.lit(0), F.col("ka") + F.col("kb") - 1)).alias("i"))
-    left = F.col("i") < F.col("ka")
-    m = m.select("a", "b", F.when(left, shingle("ua", F.col("i"))).otherwise(shingle("ub", F.col("i") - F.col("ka"))).alias("g"), F.when(left, 1).otherwise(2).alias("of"))
-    m = m.groupBy("a", "b", "g").agg(F.bit_or("of").alias("of"))
-    in_both, na, nb = (F.count(F.when(c, 1)) for c in (F.col("of") == 3, F.col("of") != 2, F.col("of") != 1))
-    known = cut(m.groupBy("a", "b").agg((in_both / F.count("*")).alias("j"), na.alias("na"), nb.alias("nb")), "known")
-    drop_cut(both)
-    return known
+    both = pairs.hint("merge").join(side("a"), "a").hint("merge").join(side("b"), "b").repartition("a", "b")
+    sets = both.select("a", "b", shingle_hashes("ta").alias("x"), shingle_hashes("tb").alias("y"))
+    j = F.size(F.array_intersect("x", "y")) / F.size(F.array_union("x", "y"))
+    # a filter on what is not yet written would make the sets once more
+    return cut(sets.select("a", "b", j.alias("j")), "known").where(F.col("j") >= least).select("a", "b")
 
 
 def labelled_buckets(buckets: DataFrame, parts: DataFrame) -> DataFrame:
@@ -113,37 +151,44 @@ def rare_pairs(lines: DataFrame, texts: DataFrame, least: float) -> DataFrame:
 
     Shingles are ordered by how many of the lines have them.  Of two sets that link, each has one of the other's among
     the first n - ceil(least * n) + 1 of its own n, so only those are met: near copies that are too far apart have their own
-    changes there.
+    changes there.  A pair meets at its first common shingle only.  Shingles of the very same lines, as the runs over one changed word are, meet once, at the first of them.
+    What pairs share by chance is told by the shingles that each has alone and by bitmaps of the others.
     """
-    m = lines.join(texts, "h1").select("h1", "c", characters("norm").alias("u"))
-    m = m.select("h1", "c", "u", F.explode(F.sequence(F.lit(0), shingle_count("u") - 1)).alias("i")).select("h1", "c", shingle("u", F.col("i")).alias("g"))
+    m = shingles(lines.join(texts, "h1"), ["h1", "c"])
     sets = cut(m.groupBy("h1", "g").agg(F.first("c").alias("c")), "sets")
-    ranked = sets.join(sets.groupBy("g").agg(F.count("*").alias("df")), "g").where("df > 1")
+    of = sets.groupBy("g").agg(F.count("*").alias("df"), F.bit_xor(F.xxhash64("h1")).alias("same")).where("df > 1")
+    ranked = cut(sets.join(of.hint("shuffle_hash"), "g"), "ranked")
     n = sets.groupBy("h1").agg(F.count("*").alias("n"))
+    # a bit of these bitmaps says whether the number of its shingles is odd: fewer words do than where it says whether there are any
+    word, bit = word_and_bit(CROWDED_WORDS)
+    words = [f"w{k}" for k in range(CROWDED_WORDS)]
+    shared = ranked.groupBy("h1").agg(F.count("*").alias("k"), *[F.coalesce(F.bit_xor(F.when(word == k, bit)), F.lit(0)).alias(w) for k, w in enumerate(words)])
     # shingles of one line only come first and meet nothing: they use up their share of the prefix
-    alone = n.join(ranked.groupBy("h1").agg(F.count("*").alias("k")), "h1").select("h1", "n", (F.col("n") - F.col("k")).alias("own"), (F.col("n") - F.ceil(least * F.col("n") - 1e-9) + 1).alias("prefix"))
-    place = F.row_number().over(Window.partitionBy("h1").orderBy("df", "g"))
-    first = ranked.join(alone.where("own < prefix"), "h1").withColumn("r", place + F.col("own")).where("r <= prefix").select("h1", "c", "g", "n", "r")
+    alone = n.join(shared, "h1").select("h1", "n", (F.col("n") - F.col("k")).alias("own"), (F.col("n") - F.ceil(least * F.col("n") - 1e-9) + 1).alias("prefix"), *words)
+    order = Window.partitionBy("h1").orderBy("df", "same", "g")
+    placed = ranked.select("h1", "c", "g", F.row_number().over(order).alias("r"), F.coalesce(F.lag("same").over(order) != F.col("same"), F.lit(True)).alias("new"))
+    first = placed.where("new").join(alone.where("own < prefix"), "h1").withColumn("r", F.col("r") + F.col("own"))
+    first = cut(first.where("r <= prefix").select("h1", "c", "g", "n", "own", "r", *words), "first")
+    prefixes = first.groupBy("h1").agg(F.sort_array(F.collect_list(F.struct("r", "g"))).getField("g").alias("all"))
+    first = first.join(prefixes, "h1")
     # the smaller set of a pair is found by a shorter prefix: its overlap is at least that of two sets of its own size
     shorter = F.col("n") - F.ceil(2 * least / (1 + least) * F.col("n") - 1e-6) + 1
-    other = first.where(F.col("r") <= shorter).select(F.col("h1").alias("h2"), F.col("c").alias("c2"), "g", F.col("n").alias("n2"), F.col("r").alias("r2"))
+    other = other_side(first.where(F.col("r") <= shorter), h1="h2", c="c2", r="r2", all="all2")
     # at the first shingle that two sets share, what is left of both must be enough for the overlap that a link takes
     enough = F.least(F.col("n") - F.col("r"), F.col("n2") - F.col("r2")) + 1 >= least / (1 + least) * (F.col("n") + F.col("n2")) - 1e-6
     larger = (F.col("n") > F.col("n2")) | ((F.col("n") == F.col("n2")) & (F.col("h1") > F.col("h2")))
-    met = first.hint("merge").join(other, "g").where(larger & (F.col("c") != F.col("c2")) & enough)
-    return met.select(F.least("h1", "h2").alias("a"), F.greatest("h1", "h2").alias("b")).distinct()
+    near = may_link(F.col("own") + F.col("own2") + apart(CROWDED_WORDS), least)
+    # null-safe: else the intersection is made for every pair, to see that it is not null
+    earliest = F.get(F.array_intersect("all", "all2"), 0).eqNullSafe(F.col("g"))
+    met = first.hint("merge").join(other, "g").where(larger & (F.col("c") != F.col("c2")) & enough & near & earliest)
+    return met.select(F.least("h1", "h2").alias("a"), F.greatest("h1", "h2").alias("b"))
 
 
-def open_pairs(labelled: DataFrame, known: DataFrame, least: float) -> DataFrame:
-    """Distinct (a, b) of the lines in different components of one bucket that can still link.
-
-    Sizes of sets that link differ little, and as 1 - Jaccard is a metric, so do their distances to the bucket's lead.
-    """
-    to_lead = known.select(F.col("a").alias("lead"), F.col("b").alias("h1"), "j", F.col("nb").alias("n"))
-    x = labelled.where("h1 <> lead").join(to_lead, ["lead", "h1"]).select("key", "h1", "j", "n", "c")
-    y = x.select("key", F.col("h1").alias("h2"), F.col("j").alias("j2"), F.col("n").alias("n2"), F.col("c").alias("c2"))
-    may = (F.abs(F.col("j") - F.col("j2")) <= 1 - least + 1e-9) & (F.least("n", "n2") >= least * F.greatest("n", "n2"))
-    return x.hint("merge").join(y, "key").where((F.col("h1") < F.col("h2")) & (F.col("c") != F.col("c2")) & may).select(F.col("h1").alias("a"), F.col("h2").alias("b")).distinct()
+def open_pairs(labelled: DataFrame, maps: DataFrame, least: float) -> DataFrame:
+    """Distinct (a, b) of the lines in different components of one bucket that can still link by their bitmaps."""
+    x = labelled.select("key", "h1", "c").join(maps, "h1")
+    y = other_side(x, h1="h2", c="c2")
+    return x.hint("merge").join(y, "key").where((F.col("h1") < F.col("h2")) & (F.col("c") != F.col("c2")) & may_link(apart(WORDS), least)).select(F.col("h1").alias("a"), F.col("h2").alias("b")).distinct()
 
 
 def bucket_links(buckets: DataFrame, texts: DataFrame, least: float, crowded: int = 8) -> DataFrame:
@@ -152,58 +197,63 @@ def bucket_links(buckets: DataFrame, texts: DataFrame, least: float, crowded: in
     First each line meets its bucket's lead.  The pairs that are then still in different components are verified one
     by one, but in buckets where these are more than ``crowded`` times the lines, only those that share a rare shingle.
     """
+    maps = cut(bitmaps(texts), "maps")
     ends = buckets.where("h1 <> lead").select(F.col("lead").alias("a"), F.col("h1").alias("b")).distinct()
-    known = similarities(ends, texts)
-    links = known.where(F.col("j") >= least).select("a", "b")
+    near = ends.hint("merge").join(maps.withColumnRenamed("h1", "a"), "a").hint("merge").join(other_side(maps, h1="b"), "b")
+    links = linked(near.where(may_link(apart(WORDS), least)).select("a", "b"), texts, least)
     parts = cut(connected_components(links, "a", "b"), "parts")
     labelled = cut(labelled_buckets(buckets, parts), "open")
     few, many = split_crowded(labelled, crowded)
-    left = open_pairs(few, known, least).unionByName(rare_pairs(many.select("h1", "c").distinct(), texts, least)).distinct()
-    more = similarities(cut(left, "pairs"), texts).where(F.col("j") >= least).select("a", "b")
+    left = open_pairs(few, maps, least).unionByName(rare_pairs(many.select("h1", "c").distinct(), texts, least)).distinct()
+    more = linked(left, texts, least)
+    drop_cut(maps)
     return connected_components(links.unionByName(more), "a", "b")
 
 
 def removed_lines(docs: DataFrame, least: float = 0.8) -> DataFrame:
     """(doc_id, rh, ln) of the lines to remove: exact and fuzzy repeats of a line that comes earlier.
 
-    Null texts and ids have no lines; blank lines are never removed.  Rows equal in doc_id and text count as one row.
+    Null texts and ids have no lines; blank lines are never removed.  Rows equal in doc_id and text count as one row,
+    and a line of theirs is named as often as they are.
     Two different lines with one 64-bit hash, should they ever occur, are both left alone.
     """
     place = ["doc_id", "rh", "ln"]
-    lines = cut(numbered_lines(docs).select(*place, "h1", F.xxhash64(F.lit(17), "norm").alias("h2")).distinct(), "lines")
-    kinds = lines.groupBy("h1").agg(F.min(F.struct(*place)).alias("first"), F.count("*").alias("n"), F.min("h2").alias("lo"), F.max("h2").alias("hi"))
-    kinds = cut(kinds.where("lo = hi").select("h1", "first.*", "n"), "kinds")
-
-    # one exchange of the texts by place; what follows up to the bands stays in its partitions
-    firsts = numbered_lines(docs).drop("h1").hint("merge").join(kinds.drop("n"), place)
-    sketched = cut(band_keys(firsts, place), "bands")
-    banded = sketched.select("h1", F.explode("keys").alias("key"))
-    crowded = banded.groupBy("key").agg(F.min("h1").alias("lead"), F.max("h1").alias("last")).where("lead <> last").select("key", "lead")
-    buckets = cut(banded.hint("merge").join(crowded, "key"), "buckets")
-    drop_cut(sketched)
-
-    wanted = buckets.select("h1").distinct().join(kinds.drop("n"), "h1")
-    texts = cut(numbered_lines(docs).drop("h1").hint("merge").join(wanted, place).select("h1", "norm").distinct(), "texts")
+    lines = cut(numbered_lines(docs).select(*place, "h1", F.xxhash64(F.lit(17), "norm").alias("h2")), "lines")
+    # the bands are made where the documents lie: no text is exchanged for them
+    banded = cut(band_keys(numbered_lines(docs).select("h1", "norm")), "bands")
+    several = banded.alias("x").hint("merge").join(banded.alias("y"), F.expr("x.key = y.key and x.h1 <> y.h1"), "left_semi")
+    several = cut(several, "several")
+    drop_cut(banded)
+    buckets = cut(several.join(several.groupBy("key").agg(F.min("h1").alias("lead")).hint("shuffle_hash"), "key").select("key", "lead", "h1"), "buckets")
+    drop_cut(several)
+
+    wanted = buckets.select("h1").distinct()
+    texts = cut(numbered_lines(docs).select("h1", "norm").join(wanted.hint("shuffle_hash"), "h1", "left_semi").distinct(), "texts")
     parts = cut(bucket_links(buckets, texts, least), "parts")
     drop_cut(buckets)
     drop_cut(texts)
 
-    grouped = kinds.join(parts.withColumnRenamed("node", "h1"), "h1", "left").where("n > 1 or component is not null")
-    grouped = grouped.select("h1", F.coalesce("component", "h1").alias("c"), F.struct(*place).alias("first"))
-    keep = grouped.groupBy("c").agg(F.min("first").alias("keep"))
-    fate = grouped.join(keep, "c").select("h1", "keep")
-    return lines.join(fate, "h1").where(F.struct(*place) != F.col("keep")).select(*place)
+    kinds = lines.groupBy("h1").agg(F.count("*").alias("n"), F.min("h2").alias("lo"), F.max("h2").alias("hi")).where("lo = hi").select("h1", "n")
+    grouped = kinds.join(parts.withColumnRenamed("node", "h1").hint("shuffle_hash"), "h1", "left").where("n > 1 or component is not null")
+    grouped = grouped.select("h1", F.coalesce("component", "h1").alias("c"))
+    members = cut(lines.join(grouped.hint("shuffle_hash"), "h1").select("c", *place), "members")
+    keep = members.groupBy("c").agg(F.min(F.struct(*place)).alias("keep"))
+    gone = cut(members.join(keep.hint("shuffle_hash"), "c").where(F.struct(*place) != F.col("keep")).select(*place), "gone")
+    for t in (lines, parts, members):
+        drop_cut(t)
+    return gone
 
 
 def dedup_rows(docs: DataFrame, least: float = 0.8) -> DataFrame:
     """(row, text, lines_removed): every row of ``docs`` as a struct, its text without the repeats, and their number."""
     gone = removed_lines(docs.select("doc_id", "text"), least).groupBy("doc_id", "rh").agg(F.collect_set("ln").alias("gone"))
     gone = gone.select(F.col("doc_id").alias("id"), "rh", "gone")
-    rows = docs.select(F.col("doc_id").cast("long").alias("id"), F.xxhash64("text").alias("rh"), "text", F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
-    all_ = F.split("text", "\n")
+    rows = docs.select(F.col("doc_id").cast("long").alias("id"), F.xxhash64("text").alias("rh"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
+    was = F.col("row.text")
+    all_ = F.split(was, "\n")
     kept = F.transform(F.array_except(F.sequence(F.lit(0), F.size(all_) - 1), "gone"), lambda i: F.get("all", i))
-    out = rows.hint("merge").join(gone, ["id", "rh"], "left").withColumn("all", F.when(F.col("gone").isNotNull(), all_))
-    text = F.when(F.col("gone").isNotNull(), F.array_join(kept, "\n")).otherwise(F.col("text"))
+    out = rows.join(gone.hint("shuffle_hash"), ["id", "rh"], "left").withColumn("all", F.when(F.col("gone").isNotNull(), all_))
+    text = F.when(F.col("gone").isNotNull(), F.array_join(kept, "\n")).otherwise(was)
     return out.select("row", text.alias("text"), F.coalesce(F.when(F.col("gone").isNotNull(), F.size("gone")), F.lit(0)).cast("long").alias("lines_removed"))
 
 
@@ -231,6 +281,7 @@ def lines_digest(docs: DataFrame, least: float = 0.8) -> DataFrame:
     """(doc_id, n_lines, n_removed, kept_sha256) for every document; null text counts as no lines and empty bytes."""
     rows = dedup_rows(docs.select("doc_id", "text"), least)
     was = F.col("row.text")
-    n_lines = F.when(was.isNull(), F.lit(0)).otherwise(F.size(F.split(was, "\n"))).cast("long")
+    breaks = F.octet_length(was) - F.octet_length(F.replace(was, F.lit("\n")))
+    n_lines = F.when(was.isNull(), F.lit(0)).otherwise(breaks + 1).cast("long")
     sha = F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256)
     return rows.select("row.doc_id", n_lines.alias("n_lines"), F.col("lines_removed").alias("n_removed"), sha.alias("kept_sha256"))

@@ -208,6 +208,29 @@ def test_op6_equals_brute_force(spark, monkeypatch):
     assert line_dedup.lines_digest(df).count() == len(rows)
 
 
+def test_op6_crowded_lines_meet_only_where_they_can_link(spark):
+    rnd = random.Random(8)
+    slots, stock, lines = words(rnd, 60).split(), words(rnd, 9).split(), []
+    for i in range(120):  # a template with some words out of a small stock: near each other, few by 0.8
+        w = lines[-1].split() if i % 8 == 1 else list(slots)
+        for k in rnd.sample(range(len(w)), 1 if i % 8 == 1 else 6):
+            w[k] = rnd.choice(stock)
+        lines.append(" ".join(w))
+    lines = list(dict.fromkeys(lines))
+    texts = spark.createDataFrame(list(enumerate(lines)), "h1 long, norm string")
+    sets = [{x[j : j + 10] for j in range(len(x) - 9)} for x in lines]
+    like = {(a, b): len(sets[a] & sets[b]) / len(sets[a] | sets[b]) for b in range(len(sets)) for a in range(b)}
+    links = {p for p, j in like.items() if j >= 0.8}
+    rare = line_dedup.rare_pairs(texts.select("h1", F.col("h1").alias("c")), texts, 0.8).collect()
+    assert len(rare) == len(set(rare)) and links <= {tuple(r) for r in rare}
+    assert len(rare) <= 2 * len(links) and len(like) > 400 * len(links)
+    x = texts.select(F.lit(0).alias("key"), "h1", F.col("h1").alias("c"))
+    near = {tuple(r) for r in line_dedup.open_pairs(x, line_dedup.bitmaps(texts), 0.8).collect()}
+    assert links <= near and len(near) <= 2 * len(links)
+    got = {tuple(r) for r in line_dedup.linked(spark.createDataFrame(list(like), "a long, b long"), texts, 0.8).collect()}
+    assert links and got == links
+
+
 def test_op6_repeated_rows_null_ids_and_clashing_columns(spark):
     long = "a line that is long enough to be told apart from others"
     rows = [(1, long), (1, long), (2, f"x\n{long}"), (2, "x"), (None, long), (None, long), (3, None)]
