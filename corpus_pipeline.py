@@ -55,9 +55,9 @@ def drop_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
     cols = docs.columns
     lost = suffix_dedup.remove_repeats(docs.select("doc_id", "text")).where("n_removed > 0").select("doc_id", "tie", "kept")
     kept = map_pandas(lost.dropDuplicates(["doc_id", "tie"]), decode, "id long, tie int, kept string")
-    rows = docs.select(F.col("doc_id").cast("long").alias("id"), F.hash("text").alias("tie"), F.col("text").alias("was"), F.struct(*[F.col(f"`{c}`") for c in cols]).alias("row"))
+    rows = docs.select(F.col("doc_id").cast("long").alias("id"), F.hash("text").alias("tie"), F.struct(*[F.col(f"`{c}`") for c in cols]).alias("row"))
     out = rows.hint("merge").join(kept, ["id", "tie"], "left").where("kept is null or trim(kept) <> ''")
-    out = out.select("row", F.coalesce("kept", "was").alias("text"), F.col("kept").isNotNull().alias("cut"))
+    out = out.select("row", F.coalesce("kept", "row.text").alias("text"), F.col("kept").isNotNull().alias("cut"))
     return out.select(*line_dedup.with_text(out, cols, F.col("cut")))
 
 
